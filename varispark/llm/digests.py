@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from varispark.llm.shared import ship, slices
 
-WINDOW = 32
-SPAN = 32
+WINDOW = 16
+SPAN = 16
 POINTS = 6
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
