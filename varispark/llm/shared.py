@@ -64,7 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application, so that it need not be installed on them."""
+    """Give executors this package, once for each application, so that it need not be installed on them, and bound Arrow batches."""
+    # Bounds of what a Python worker and the JVM's buffers for it hold at once, whatever the texts' lengths.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varispark.llm.shared import ship, slices
-from varispark.llm.tokens import CUT, KEPT_CHARS, Generations
+from varispark.llm.tokens import BYTE_PIECES, PLAIN, Cache, byte_letters
 
 #: The pre-tokenisation rule of the byte-level vocabulary, a fixed value.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,13 +32,6 @@ LIMIT = 512
 _loaded: dict[str, "PrefixCounter"] = {}
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary, by its rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class PrefixCounter:
     """Counts for one vocabulary file."""
 
@@ -48,7 +41,7 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = {c: b for b, c in byte_letters().items()}
         raw = lambda s: "".join(chr(letters[c]) for c in s)
         self.tokens = {raw(k): v for k, v in spec["model"]["vocab"].items() if all(c in letters for c in k)}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -57,7 +50,7 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECE)
         self.names = {v: k for k, v in self.tokens.items()}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.known = Generations()
+        self.counts_of = Cache(lambda p: self.piece(p)[-1])
         self.automaton = ahocorasick.Automaton()
         for name, i in self.tokens.items():
             self.automaton.add_word(name, (len(name), i))
@@ -111,28 +104,24 @@ class PrefixCounter:
                 last[end], count[end] = token, count[at] + 1
         return count
 
-    def total(self, text: str) -> int:
-        return sum(self.piece(p)[-1] for p in self.pieces.findall(text))
+    def cut(self, text: str) -> list[str]:
+        """The pieces of ordinary text."""
+        return BYTE_PIECES.findall(text) if PLAIN.fullmatch(text) else self.pieces.findall(text)
 
-    def stretches(self, text: str) -> tuple[list[str], list[int]]:
-        """The stretches of a text, between which its encoding always cuts, and the tokens of each."""
+    def total(self, text: str) -> int:
+        return sum(map(self.counts_of.__getitem__, self.cut(text)))
+
+    def parts(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces and special strings of a text, and the tokens of each."""
+        self.counts_of.turn()
+        if "<|" not in text:
+            found = self.cut(text)
+            return found, list(map(self.counts_of.__getitem__, found))
         parts, counts, at = [], [], 0
-        self.known.turn()
-        new, old = self.known.new, self.known.old
         for m in [*self.special.finditer(text), None]:
-            cut = CUT.split(text[at : m.start() if m else len(text)])
-            parts.append(cut[0])
-            counts.append(self.total(cut[0]))
-            for x in cut[1:]:
-                n = new.get(x)
-                if n is None:
-                    n = old.get(x)
-                    if n is None:
-                        n = self.total(" " + x)
-                    if len(x) <= KEPT_CHARS:
-                        new[x] = n
-                counts.append(n)
-                parts.append(" " + x)
+            found = self.cut(text[at : m.start() if m else len(text)])
+            parts += found
+            counts += map(self.counts_of.__getitem__, found)
             if m:
                 parts.append(m[0])
                 counts.append(1)
@@ -140,7 +129,7 @@ class PrefixCounter:
         return parts, counts
 
     def counts(self, text: str) -> "PrefixCounts":
-        return PrefixCounts(self, *self.stretches(text))
+        return PrefixCounts(self, *self.parts(text))
 
 
 class PrefixCounts:
@@ -156,48 +145,44 @@ class PrefixCounts:
         return self.tokens[-1]
 
     def at(self, chars: int) -> int:
-        """Exact number of tokens of the text's first so many characters."""
-        chars = max(0, min(chars, self.chars[-1]))
-        k = bisect.bisect_right(self.chars, chars) - 1
-        if self.chars[k] == chars:
-            if k == 0 or not self.parts[k - 1][-1:].isspace():
-                return self.tokens[k]
-            k -= 1
-        if self.counter.special.fullmatch(self.parts[k]):  # cut inside a special string, which so is ordinary text
-            return self.tokens[k - 1] + sum(self.counter.stretches(self.parts[k - 1] + self.parts[k][: chars - self.chars[k]])[1])
-        return self.tokens[k] + self._within(self.parts[k], chars - self.chars[k])
-
-    def _within(self, part: str, chars: int) -> int:
-        """Tokens of the first characters of a stretch: those of its whole pieces, and the last one's table at its byte.
-
-        Only a piece of white space or a contraction can be cut otherwise when the text ends inside what follows it.
+        """Exact number of tokens of the text's first so many characters.
+
+        It is the count before the piece that is cut plus the piece's table at the cut. Three kinds of piece
+        are cut otherwise when the text ends in them, and are counted anew with the piece before them: white
+        space after white space, a special string, and a contraction.
         """
-        total, at, spans = 0, 0, []
-        for m in self.counter.pieces.finditer(part):
-            if m.start() >= chars:
-                break
-            spans.append(m[0])
-            at = m.start()
-        tail = spans.pop()
-        if spans and spans[-1].isspace() and (tail[0].isspace()):
-            at -= len(spans[-1])
-            spans.pop()
-        end = part[at:chars]
-        total += sum(self.counter.piece(s)[-1] for s in spans)
-        if tail.startswith(end) and self.counter.pieces.fullmatch(end) and not end.startswith("'"):
-            return total + self.counter.piece(tail)[len(end.encode("utf-8"))]
-        return total + self.counter.total(end)
+        chars = max(0, min(chars, self.chars[-1]))
+        k = bisect.bisect_left(self.chars, chars) - 1
+        if k < 0:
+            return 0
+        part, own = self.parts[k], self.counter
+        head = part[: chars - self.chars[k]]
+        before = self.parts[k - 1] if k and not own.special.fullmatch(self.parts[k - 1]) else ""
+        if own.special.fullmatch(part):
+            if head == part:
+                return self.tokens[k + 1]
+            return self.tokens[k - bool(before)] + own.total(before + head)
+        if head.isspace() and before.isspace():
+            return self.tokens[k - 1] + own.total(before + head)
+        if head == part:
+            return self.tokens[k + 1]
+        if head.startswith("'"):
+            return self.tokens[k] + own.total(head)
+        return self.tokens[k] + own.piece(part)[len(head.encode("utf-8"))]
 
     def fits(self, budget: int) -> int:
-        """Most characters of the text that a budget of tokens holds, cut at the last stretch or byte table that fits."""
+        """Most characters that a budget of tokens holds, looked for in the piece in which the budget ends."""
         if self.total <= budget:
             return self.chars[-1]
         k = bisect.bisect_right(self.tokens, budget) - 1
-        best = self.chars[k]
-        for chars in range(self.chars[k + 1] - 1, self.chars[k], -1):
-            if self.at(chars) <= budget:
-                return chars
-        return best
+        part, table = self.parts[k], self.counter.piece(self.parts[k])
+        offset = list(accumulate(map(lambda c: len(c.encode("utf-8")), part)))
+        n = len(part) - 1
+        while n and self.tokens[k] + table[offset[n - 1]] > budget:
+            n -= 1
+        while n and self.at(self.chars[k] + n) > budget:
+            n -= 1
+        return self.chars[k] + n
 
 
 def counter(path: str) -> PrefixCounter:
@@ -220,7 +205,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
                 for t in part.column(1).to_pylist():
                     t = t or ""
                     size.append(len(t.encode("utf-8")))
-                    parts, counts = own.stretches(t)
+                    parts, counts = own.parts(t)
                     n = sum(counts)
                     tokens.append(n)
                     fit.append(len(t) if n <= limit else PrefixCounts(own, parts, counts).fits(limit))

@@ -1,10 +1,11 @@
-"""Token ids by the tokenizers library, encoded once for each distinct stretch of text.
-
-A space that has other characters than white space on both sides is a place where both
-pre-tokenisation rules used here always cut (the space opens the next piece or is dropped), and
-no normalisation reaches across it. So a text is cut there, each distinct stretch is encoded by
-the library, and its ids are kept in a cache of two generations with a fixed number of entries.
-For a tokenizer with other rules, whole texts are encoded.
+"""Token ids by the tokenizers library, encoded once for each distinct piece of text.
+
+A text of ASCII characters and Latin-1 letters, for which the pre-tokenisation rules are plain, is
+cut into pieces here. The ids of each distinct piece, which the library's BPE model makes, are kept
+in a cache of two generations with a fixed number of entries. Any other text is cut at spaces
+between other characters than white space, where both rules used here always cut and across which
+no normalisation reaches; stretches with other characters are encoded by the whole library. For a
+tokenizer with other rules, whole texts are encoded by it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ from array import array
 
 CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Entries of one cache generation.
-ENTRIES = 250_000
+ENTRIES = 350_000
 #: Longer stretches are encoded but not kept.
 KEPT_CHARS = 64
+#: Characters for which pieces are cut here. Letters are ASCII and Latin-1 ones that are composed and have one lower case.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf"[\n !-~{_L}]*")
+#: The two pre-tokenisation rules for these characters, fixed values.
+BYTE_PIECES = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_L}]+")
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -30,15 +37,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Generations:
-    """A mapping that forgets what has not been used for one generation."""
+class Cache(dict):
+    """Values made by a function when first asked for; forgets what two turns have not asked for."""
+
+    def __init__(self, make, entries: int = ENTRIES):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
 
-    def __init__(self, entries: int = ENTRIES):
-        self.new, self.old, self.entries = {}, {}, entries
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            self[key] = value
+        return value
 
     def turn(self) -> None:
-        if len(self.new) > self.entries:
-            self.new, self.old = {}, self.new
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary, by its rule."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -53,57 +77,53 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cuts = _cuts_at_spaces(path)
-        self.rest = Generations()
+        self.model = self.library.model
+        self.rule = _rule(path)
+        self.letters = byte_letters()
+        self.pieces = Cache(self._piece)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, cache: Generations, keys: set, prefix: str) -> list[str]:
-        """Puts the ids of all keys into the cache's new generation; what is not known is encoded by the library.
-
-        Returns long keys, which the caller takes out again after use.
-        """
-        cache.turn()
-        new, old = cache.new, cache.old
-        missing = []
-        for k in keys.difference(new):
-            if k in old:
-                new[k] = old[k]
-            else:
-                missing.append(k)
-        new.update(zip(missing, self._encode([prefix + k for k in missing])))
-        return [k for k in missing if len(k) > KEPT_CHARS]
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _stretch(self, text: str) -> bytes:
+        if not PLAIN.fullmatch(text) or "<|" in text:  # special strings begin so
+            return self._encode([text])[0]
+        found = WORD_PIECES.findall(text.lower()) if self.rule == "words" else BYTE_PIECES.findall(text)
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; no special tokens are added."""
-        if not self.cuts:
+        if not self.rule:
             return self._encode(texts)
-        parts = [CUT.split(t) for t in texts]
-        rest = set()
-        for p in parts:
-            rest.update(p[1:])
-        long = self._fill(self.rest, rest, " ")
-        firsts = self._encode([p[0] for p in parts])
-        known = self.rest.new
-        out = [first + b"".join([known[x] for x in p[1:]]) for first, p in zip(firsts, parts)]
-        for k in long:
-            del known[k]
+        self.pieces.turn()
+        out = []
+        for t in texts:
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                out.append(self._stretch(t))
+            else:
+                first, *rest = CUT.split(t)
+                out.append(self._stretch(first) + b"".join([self._stretch(" " + x) for x in rest]))
         return out
 
 
-def _cuts_at_spaces(path: str) -> bool:
+def _rule(path: str) -> str:
+    """Which of the two rules a file has: bytes, words, or none of them."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    if any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
-        return False
+    if any(t["lstrip"] or t["rstrip"] or " " in t["content"] or not t["content"].startswith("<|") for t in spec["added_tokens"]):
+        return ""
     before, normal = spec["pre_tokenizer"], spec["normalizer"]
     if normal is None:
-        return before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        return "bytes" if before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] else ""
     kinds = [n["type"] for n in normal.get("normalizers", [])]
     split = before.get("pretokenizers", [{}])[0]
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
-    return kinds == ["NFC", "Replace", "Lowercase"] and bool(drops) and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "")
+    same = drops and split["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return "words" if kinds == ["NFC", "Replace", "Lowercase"] and same else ""
 
 
 def encoder(path: str) -> Encoder:
