@@ -13,7 +13,7 @@ Layout, all numbers little-endian:
     u64 offset of the index | crc32 u32 of the index | magic
 
 Documents are written in ascending order of doc_id, null ids first, equal ids in order of their
-token ids. Null text counts as empty and has the end id alone. An empty table makes no file.
+texts' hashes. Null text counts as empty and has the end id alone. An empty table makes no file.
 A task writes to a name of its own and then renames the file, so a lost or doubled task leaves no
 half-written file in the list of files that is read back.
 """
@@ -160,42 +160,29 @@ class Reader:
             at += n
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids, as binary."""
-    ship(docs.sparkSession)
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def run(batches):
-        own = encoder(path)
-        for batch in batches:
-            for part in slices(batch):
-                ids = own.ids([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def _open(folder: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder)
 
 
-def write(rows: DataFrame, folder: str, bits: int = 1, chunk_ids: int = CHUNK_IDS) -> DataFrame:
-    """Writes (doc_id, ids) to files in ascending doc_id order; the list of files, with the ids before each.
+def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, bits: int = 1, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+    """Encodes all documents into files in ascending doc_id order; the list of files, with the ids before each.
 
-    The rows are dealt out over ranges of doc_id and then of ids' hashes, so that a doc_id that many rows
-    share goes to many tasks. The list has a row for each file.
+    The rows are dealt out over ranges of doc_id and then of their texts' hashes, so that a doc_id that many
+    rows share goes to many tasks. The list has a row for each file.
     """
-    ship(rows.sparkSession)
-    tie = F.xxhash64("ids")
-    ordered = rows.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
+        own = encoder(path)
         part, number, writer, sink, done = TaskContext.get().partitionId(), 0, None, None, []
 
         def close():
@@ -207,23 +194,24 @@ def write(rows: DataFrame, folder: str, bits: int = 1, chunk_ids: int = CHUNK_ID
             number += 1
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if writer is None:
-                    name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.vsbp"  # of this attempt; the list has one attempt's files
-                    temporary = f"{name}.writing"
-                    sink = store.open_output_stream(f"{root}/{temporary}")
-                    writer = Writer(sink, bits, chunk_ids)
-                writer.add(doc_id, ids)
-                if writer.n >= FILE_IDS:
-                    close()
-                    writer = None
+            for rows in slices(batch):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), own.ids(rows.column(1).to_pylist())):
+                    if writer is None:
+                        name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.vsbp"  # of this attempt; the list has one attempt's files
+                        temporary = f"{name}.writing"
+                        sink = store.open_output_stream(f"{root}/{temporary}")
+                        writer = Writer(sink, bits, chunk_ids)
+                    writer.add(doc_id, ids + end)
+                    if writer.n >= FILE_IDS:
+                        close()
+                        writer = None
         if writer is not None:
             close()
         if done:
             names = ["part", "number", "name", "n_ids", "n_docs"]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=names)
 
-    found = ordered.select("doc_id", "ids").mapInArrow(run, "part long, number long, name string, n_ids long, n_docs long")
+    found = ordered.select("doc_id", "text").mapInArrow(run, "part long, number long, name string, n_ids long, n_docs long")
     files = materialize(found, "plane-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -244,12 +232,11 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     docs = pa.array(own.docs, mask=own.docs == _NULL)
                     yield pa.RecordBatch.from_arrays([docs, pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("name", "base").repartition("name")
+    spread = files.select("name", "base").repartition(max(1, files.count()))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int | None, bits: int = 1) -> DataFrame:
     """Encodes, writes and reads back all documents."""
-    rows = materialize(encoded(docs, path, end_id), "plane-ids")
     folder = scratch(docs.sparkSession, "planes")
-    return read(write(rows, folder, bits), folder)
+    return read(write(docs, path, folder, end_id, bits), folder)
