@@ -116,7 +116,7 @@ def border_covariate(spark, sf):
 
 def lag_ystar(spark, sf):
     units = _field(spark, sf)
-    return _rounded(design.lagged(units.select("id", "y"), design.neighbour_weights(units), PSI), 2)
+    return _rounded(design.lagged(units.select("id", F.log("y").alias("y")), design.neighbour_weights(units), PSI), 6)
 
 
 def _markers(spark, sf, loci: int = 64):
@@ -237,7 +237,7 @@ _ORACLES = {
         "SELECT count(*) AS rows, round(avg(s), 6) AS d, round(avg(ss), 6) AS k_identity, round(avg(s * s / ss), 6) AS n_eff FROM (SELECT src, sum(x) AS s, sum(x * x) AS ss FROM (SELECT src, level, sum(1 / dist) AS x FROM nb GROUP BY src, level) GROUP BY src)", _FIELD, _NEAR.format(k=2)
     ),
     "border_covariate": _sql("SELECT nb.src AS id, round(sum(0.125e0 * x), 6) AS x FROM nb JOIN (SELECT src, sum(0.125e0) AS x FROM nb GROUP BY 1) o ON nb.dst = o.src GROUP BY 1", _FIELD, _NEAR.format(k=1)),
-    "lag_ystar": _sql(f"SELECT u.id, round(u.y - {PSI}e0 * coalesce(wy, 0), 2) AS ystar FROM u LEFT JOIN (SELECT src, sum(w * v.y) AS wy FROM w JOIN u v ON w.dst = v.id GROUP BY 1) k ON u.id = k.src", _FIELD, _NEAR.format(k=1), _W),
+    "lag_ystar": _sql(f"SELECT u.id, round(ln(u.y) - {PSI}e0 * coalesce(wy, 0), 6) AS ystar FROM u LEFT JOIN (SELECT src, sum(w * ln(v.y)) AS wy FROM w JOIN u v ON w.dst = v.id GROUP BY 1) k ON u.id = k.src", _FIELD, _NEAR.format(k=1), _W),
     "maf_filter": _sql("SELECT snp, n, round(f, 6) AS f, round(least(f, 1 - f), 6) AS maf FROM f WHERE least(f, 1 - f) >= 4e-1", _MARK, _FREQ),
     "grm_vanraden": _sql(
         "SELECT a.gen AS i, b.gen AS j, round(99e-2 * sum(a.z * b.z) / max(scale) + CASE WHEN a.gen = b.gen THEN 1e-2 ELSE 0 END, 6) AS k FROM z a JOIN z b ON a.snp = b.snp AND a.gen <= b.gen, (SELECT sum(2 * f * (1 - f)) AS scale FROM f) GROUP BY a.gen, b.gen",
