@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varispark.llm import bit_planes, digests, language_id, line_dedup, mixing, packing, secrets, simhash, token_counts, top_k
+from varispark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from varispark.llm.shared import table
 from varispark.llm.tokens import tokenizer_path
 
@@ -55,4 +56,4 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_source_mixing, op4_language_id, op5_bit_planes, op6_line_dedup, op7_simhash, op8_packing, op9_top_k, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+
