@@ -129,8 +129,7 @@ class Model:
                 if end.any():
                     (j,) = np.nonzero(end)
                     count[j] += 1
-                    again = move[width + c[j]]
-                    s[j] = np.where(again == 0, 1, again)
+                    s[j] = move[width + c[j]]  # a character that no phrase begins with is a phrase of its own
                 state[:n] = s
             out[:, k] = np.bincount(who, weights=count, minlength=len(texts))
         return out
