@@ -3,9 +3,11 @@
 Only the histogram of piece lengths, with at most ``capacity`` entries, comes to the driver. There,
 patterns of two or three lengths that fill a sequence exactly are enumerated, and counts of how
 often to repeat each are fitted to the histogram by non-negative least squares (coordinate descent
-that starts with the patterns that gain most). The counts are rounded down and cut to what the
+that starts with the patterns that gain most), where misses count more the longer the length, since
+short pieces are easy to place later. Of the counts a share is taken, rounded down and cut to what the
 histogram has; all that is left is packed best fit, longest first, over whole groups of equal
-sequences, so the plan's size depends on the capacity and not on the number of documents.
+sequences. The share is that of SHARES that needs fewest sequences. The plan's size depends on the
+capacity and not on the number of documents.
 
 Pieces of one length are numbered: each task numbers its own while it encodes, and sums over tasks
 give each task's first number. A piece finds its sequence and offset from its length and number by
@@ -29,6 +31,10 @@ from varispark.llm.tokens import encoder
 
 CAPACITY = 1024
 ROUNDS = 300
+#: Shares of the fitted counts that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25)
+#: Least weight of a length in the fit; a length weighs its part of the capacity.
+LEAST_WEIGHT = 0.01
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -54,45 +60,52 @@ def fit(histogram: np.ndarray, triples: np.ndarray, rounds: int = ROUNDS) -> np.
     x = np.zeros(len(triples))
     if not len(triples):
         return x
+    capacity = int(triples[0].sum())
+    weight = np.maximum(np.arange(capacity + 1) / capacity, LEAST_WEIGHT)
+    weight[0] = 0.0
     r = histogram.astype(float)
-    r[0] = 0.0
-    real = (triples > 0).astype(float)
     a, b, c = triples.T
     # a length that a pattern has twice or three times counts squared
-    norm = real.sum(axis=1) + 2 * ((a == b) & (a > 0)) + 2 * (b == c) + 2 * ((a == c) & (a > 0))
+    norm = weight[a] + weight[b] + weight[c] + 2 * (weight[a] * ((a == b) + (a == c)) + weight[b] * (b == c))
     for _ in range(rounds):
-        step = np.maximum((r[a] + r[b] + r[c]) / norm, -x)
+        wr = weight * r
+        step = np.maximum((wr[a] + wr[b] + wr[c]) / norm, -x)
         gain = step * step * norm
         best = np.argsort(-gain)[:4096]
-        if gain[best[0]] < 0.5:
+        if gain[best[0]] < 0.05:
             break
         taken = np.zeros(len(r), dtype=bool)
         picked = []
         for j, (u, v, w) in zip(best.tolist(), triples[best].tolist()):
             if not (taken[u] or taken[v] or taken[w]):
-                taken[[v, w]] = True
+                taken[v] = taken[w] = True
                 taken[u] = u > 0
                 picked.append(j)
         picked = np.array(picked)
         x[picked] += step[picked]
         for k in range(3):
             np.subtract.at(r, triples[picked, k], step[picked])
-        r[0] = 0.0
     return x
 
 
+def best_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> "Plan":
+    """The plan with fewest sequences among the shares of the fitted counts."""
+    left = histogram.astype(np.int64)
+    triples = patterns(np.nonzero(left[:capacity])[0], capacity)
+    counts = fit(left, triples)
+    return min((Plan(left, capacity, triples, share * counts) for share in SHARES), key=lambda p: p.sequences)
+
+
 class Plan:
     """Ranges of numbers of each length, and the sequences and offsets that they go to."""
 
-    def __init__(self, histogram: np.ndarray, capacity: int = CAPACITY):
+    def __init__(self, histogram: np.ndarray, capacity: int, triples: np.ndarray, counts: np.ndarray):
         self.capacity, self.left = capacity, histogram.astype(np.int64).copy()
         self.next = np.zeros(capacity + 1, dtype=np.int64)
         self.rows: list[tuple[int, int, int, int, int]] = []  # length, first number, count, first sequence, offset
         self.sequences = 0
         self._open(int(self.left[capacity]), [capacity])
-        lengths = np.nonzero(self.left)[0]
-        triples = patterns(lengths, capacity)
-        counts = np.floor(fit(self.left, triples) + 1e-6).astype(np.int64)
+        counts = np.floor(counts + 1e-6).astype(np.int64)
         for j in np.argsort(-counts, kind="stable"):
             if counts[j] < 1:
                 break
@@ -186,7 +199,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> D
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         histogram[r["length"]] = r["n"]
-    plan = Plan(histogram, capacity)
+    plan = best_plan(histogram, capacity)
     numbered = rows.join(firsts.select(F.col("length").alias("l"), F.col("task").alias("t"), "base"), (F.col("length") == F.col("l")) & (F.col("task") == F.col("t")))
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("number")).alias("number"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
