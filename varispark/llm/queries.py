@@ -47,7 +47,7 @@ def op8_packing(spark, sf_dir):
 
 
 def op9_top_k(spark, sf_dir):
-    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top_k.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
 def op10_fingerprints(spark, sf_dir):

@@ -180,12 +180,12 @@ def index(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(build, "block long, ids binary, least binary, bits binary, slices binary")
 
 
-def search(vectors: DataFrame, queries, k: int = TOP, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
-    """The k best rows of each query: query_id, rank, vec_id, score. queries: a condition on vec_id that picks query rows."""
+def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
+    """The k best rows of each query: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows."""
     rows = materialize(quantised(vectors), "vectors")
     blocks = max(1, -(-rows.count() // block))
     built = materialize(index(rows, blocks), "slices")
-    asked = rows.where(queries).distinct()
+    asked = rows.where(F.expr(queries)).distinct()
     groups = max(1, -(-asked.count() // group))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v"), F.xxhash64("vec_id", "v").alias("q"))
     # Tiles: each group of queries meets each block once.
