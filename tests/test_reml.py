@@ -92,3 +92,13 @@ def test_ld_prune_drops_copies(spark):
     rows = [(s, g, float((g * (1 if s < 3 else 7) + (s == 2) * g) % 3)) for s in (0, 1, 4) for g in range(12)]
     df = spark.createDataFrame(rows, "snp int, gen int, dose double")
     assert sorted(r["snp"] for r in design.ld_prune(df, 0.9, 5).collect()) == [0] or design.ld_prune(df, 0.9, 5).count() <= 2
+
+
+def test_gradient_is_that_of_the_value(field, spark):
+    from varispark.functions import optimise
+
+    df = field[0]
+    for random in ("~ g", "~ ar1(pos)", "~ g + exp(pos)"):
+        like = reml.Likelihood(reml.build(df, "y ~ b + x", random))
+        theta = like.start() + 0.1
+        assert np.allclose(like.value_and_gradient(theta)[1], optimise.gradient(like, theta), atol=1e-4)

@@ -16,63 +16,70 @@ def gradient(f: Callable, x: np.ndarray, h: float = 1e-5) -> np.ndarray:
     return out
 
 
-def hessian(f: Callable, x: np.ndarray, h: float = 1e-3) -> np.ndarray:
+def hessian(grad: Callable, x: np.ndarray, h: float = 1e-4) -> np.ndarray:
+    """Symmetric Hessian by central differences of a gradient."""
     n = len(x)
-    out, base = np.zeros((n, n)), f(x)
-    step = np.eye(n) * h
+    out = np.zeros((n, n))
     for i in range(n):
-        out[i, i] = (f(x + step[i]) - 2 * base + f(x - step[i])) / h**2
-        for j in range(i):
-            out[i, j] = out[j, i] = (f(x + step[i] + step[j]) - f(x + step[i] - step[j]) - f(x - step[i] + step[j]) + f(x - step[i] - step[j])) / (4 * h * h)
-    return out
+        e = np.zeros(n)
+        e[i] = h
+        out[i] = (grad(x + e) - grad(x - e)) / (2 * h)
+    return (out + out.T) / 2
 
 
 def minimise(f: Callable, x0: np.ndarray, free: np.ndarray | None = None, low: float = -12.0, high: float = 12.0, rounds: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float, bool]:
-    """BFGS within a box over the free parameters; the point, its value, and whether the decrement is below tol."""
+    """BFGS within a box over the free parameters of f, which gives its value and gradient.
+
+    Returns the point, its value, and whether the decrement is below tol.
+    """
     free = np.ones(len(x0), dtype=bool) if free is None else free
     x = np.clip(np.asarray(x0, dtype=float), low, high)
 
-    def g(z: np.ndarray) -> float:
+    def g(z: np.ndarray) -> tuple[float, np.ndarray]:
         full = x.copy()
         full[free] = z
         try:
-            v = f(full)
+            v, d = f(full)
         except np.linalg.LinAlgError:
-            return np.inf
-        return v if np.isfinite(v) else np.inf
+            return np.inf, np.zeros(len(z))
+        return (v, d[free]) if np.isfinite(v) else (np.inf, np.zeros(len(z)))
 
     z, n = x[free], int(free.sum())
     if not n:
-        return x, f(x), True
-    inv, value, grad, done = np.eye(n) * 0.1, g(z), gradient(g, z), False
+        return x, f(x)[0], True
+    value, grad = g(z)
+    fresh_start = lambda d: np.eye(n) * min(0.1, 0.5 / max(1e-12, float(np.abs(d).max())))
+    inv, clean, done = fresh_start(grad), True, False
     for _ in range(rounds):
         live = ~(((z <= low + 1e-9) & (grad > 0)) | ((z >= high - 1e-9) & (grad < 0)))
         step = np.zeros(n)
         step[live] = -inv[np.ix_(live, live)] @ grad[live]
         slope = float(step @ grad)
-        if -slope < tol:
+        if -slope < tol and (not clean or np.abs(grad[live]).max(initial=0) < 1e-6):
             done = True
             break
-        step *= min(1.0, 2.0 / np.abs(step).max())
+        step *= min(1.0, 2.0 / max(1e-300, np.abs(step).max()))
         size, moved = 1.0, False
         for _ in range(40):
             new = np.clip(z + size * step, low, high)
-            got = g(new)
+            got, d = g(new)
             if got < value + 1e-4 * size * slope:
                 moved = True
                 break
             size /= 2
         if not moved:
-            if np.allclose(inv, np.eye(n) * 0.1):
+            if clean:
+                done = np.abs(grad[live]).max(initial=0) < 1e-4
                 break
-            inv = np.eye(n) * 0.1
+            inv, clean = fresh_start(grad), True
             continue
-        fresh = gradient(g, new)
-        s, y = new - z, fresh - grad
+        s, y = new - z, d - grad
         if s @ y > 1e-12:
+            if clean:
+                inv = np.eye(n) * (s @ y) / (y @ y)
             r = 1 / (s @ y)
             left = np.eye(n) - r * np.outer(s, y)
-            inv = left @ inv @ left.T + r * np.outer(s, s)
-        z, value, grad = new, got, fresh
+            inv, clean = left @ inv @ left.T + r * np.outer(s, s), False
+        z, value, grad = new, got, d
     x[free] = z
     return x, value, done

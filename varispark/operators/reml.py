@@ -88,12 +88,17 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     entries, effects, at = [], [], 0
     one = lambda col, x: F.struct(col.cast("int").alias("c"), x.cast("double").alias("x"))
 
-    def indicator(columns: list[tuple[str, list]]) -> list:
-        """Conditions of the product of some factors' levels, in order; numeric columns multiply."""
-        out = [([], None)]
+    def term_entry(columns: list[tuple[str, list]]) -> tuple[list[str], object]:
+        """Labels of a fixed term's columns, and its one entry of a row: which column, and the product of its numbers."""
+        labels, code, x = [""], F.lit(at), F.lit(1.0)
         for name, levels in columns:
-            out = [([*labels, f"{name}{v}" if levels else name], (F.lit(1.0) if x is None else x) * (F.when(F.col(name) == F.lit(v), 1.0).otherwise(0.0) if levels else F.col(name).cast("double"))) for labels, x in out for v in (levels or [None])]
-        return [(":".join(labels), x) for labels, x in out]
+            labels = [f"{label}:{name}{v}".lstrip(":") for label in labels for v in (levels or [""])]
+            if levels:
+                which = F.element_at(F.create_map(*[v for i, lv in enumerate(levels) for v in (F.lit(lv), F.lit(i))]), F.col(name))
+                code = (code - at) * len(levels) + which + at
+            else:
+                x = x * F.col(name).cast("double")
+        return labels, one(code, F.when(code.isNotNull(), x).otherwise(0.0))
 
     levels_of = {c: _distinct(rows, [c], 1_000)[c].tolist() for t in fixed_terms for c in t if kinds[c] in ("string", "boolean") or c == trait}
     fixed_effects = []
@@ -109,11 +114,10 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
             margin = tuple(x for x in term if x != c)
             dropped = (intercept or k > 0) if not margin else margin in names or all((x,) in names for x in margin)
             columns.append((c, levels_of[c][1:] if c in levels_of and dropped else levels_of.get(c, [])))
-        cols = indicator(columns)
-        fixed_effects.append(Effects(":".join(term), at, [label for label, _ in cols]))
-        for label, x in cols:
-            entries.append(one(F.lit(at), x))
-            at += 1
+        labels, entry = term_entry(columns)
+        fixed_effects.append(Effects(":".join(term), at, labels))
+        entries.append(entry)
+        at += len(labels)
     p = at
     trait_code = F.lit(0)
     if trait:
@@ -155,19 +159,25 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     scale = F.sqrt(F.col(weights)) if weights else F.lit(1.0)
     coo = F.transform(F.filter(F.array(*entries), lambda e: e["x"] != 0), lambda e: F.struct(e["c"].alias("c"), (e["x"] * scale).alias("x")))
     section = F.col(res.section) if res.section else F.lit(None).cast("string")
+    trait_text = F.col("t").cast("string")
     coded = rows.select(section.alias("section"), trait_code.alias("t"), *([F.col(unit).alias("unit")] if unit else []), coo.alias("coo"), (F.log(F.col(weights)) if weights else F.lit(0.0)).alias("lw"))
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
             raise ValueError("a unit has two records of one trait")
         units = coded.groupBy("section", "unit").agg(F.array_sort(F.collect_list(F.struct("t", "coo"))).alias("recs"), F.sum("lw").alias("lw"))  # as many as there are traits
+        pattern = F.array_join(F.transform("recs", lambda r: r["t"].cast("string")), ",")
+        flat = F.flatten(F.transform("recs", lambda r: F.transform(r["coo"], lambda e: F.struct(r["t"].alias("t"), e["c"].alias("c"), e["x"].alias("x")))))
+        units = units.select("section", pattern.alias("pattern"), flat.alias("e"), F.size("recs").alias("k"), "lw")
+        pairs = F.explode(F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: (b["t"] > a["t"]) | ((b["t"] == a["t"]) & (b["c"] >= a["c"]))), lambda b: F.struct(a["t"].alias("t1"), b["t"].alias("t2"), a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x"))))))
+        sums = units.select("section", "pattern", pairs.alias("s")).where("s.x <> 0")
     else:
-        units = coded.select("section", F.array(F.struct("t", "coo")).alias("recs"), "lw")
-    pattern = F.array_join(F.transform("recs", lambda r: r["t"].cast("string")), ",")
-    flat = F.flatten(F.transform("recs", lambda r: F.transform(r["coo"], lambda e: F.struct(r["t"].alias("t"), e["c"].alias("c"), e["x"].alias("x")))))
-    units = units.select("section", pattern.alias("pattern"), flat.alias("e"), F.size("recs").alias("k"), "lw")
-    pairs = F.explode(F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: (b["t"] > a["t"]) | ((b["t"] == a["t"]) & (b["c"] >= a["c"]))), lambda b: F.struct(a["t"].alias("t1"), b["t"].alias("t2"), a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x"))))))
-    sums = units.select("section", "pattern", pairs.alias("s")).groupBy("section", "pattern", "s.t1", "s.t2", "s.i", "s.j").agg(F.sum("s.x").alias("x"))
+        # every row is a unit of its own: its pairs are written out, one for each two terms, and stay in generated code
+        units = coded.select("section", trait_text.alias("pattern"), F.lit(1).alias("k"), "lw")
+        flat = rows.select(section.alias("section"), trait_code.alias("t"), *[v for k, e in enumerate(entries) for v in (e["c"].alias(f"__c{k}"), (e["x"] * scale).alias(f"__x{k}"))])
+        products = F.array(*[F.struct(F.col(f"__c{a}").alias("i"), F.col(f"__c{b}").alias("j"), (F.col(f"__x{a}") * F.col(f"__x{b}")).alias("x")) for a in range(len(entries)) for b in range(a, len(entries))])
+        sums = flat.select("section", F.col("t").cast("string").alias("pattern"), "t", F.inline(products)).where("x <> 0").select("section", "pattern", F.struct(F.col("t").alias("t1"), F.col("t").alias("t2"), "i", "j", "x").alias("s"))
+    sums = sums.groupBy("section", "pattern", "s.t1", "s.t2", "s.i", "s.j").agg(F.sum("s.x").alias("x"))
     counts = units.groupBy("section", "pattern").agg(F.count("*").alias("units"), F.sum("k").alias("n"), F.sum("lw").alias("lw")).collect()
     cells = {(r["section"], r["pattern"]): (r["units"], {}) for r in counts}
     for r in sums.toLocalIterator():  # at most the square of the number of effects, for each pair of traits
@@ -268,10 +278,11 @@ class Likelihood:
                     c += w * g if a == b else w * (g + g.T)
         for e, (ss, sl) in zip(m.random, self.slices):
             sig, kin = structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank), self.level(e, theta[sl])
-            ls, lk = np.linalg.cholesky(sig), np.linalg.cholesky(kin + (1e-10 * np.eye(e.q) if e.term.level not in ("id", "fixed") else 0.0))
+            jitter = 0.0 if e.term.level in ("id", "fixed") else 1e-10
+            ls, lk = np.linalg.cholesky(sig), np.linalg.cholesky(kin + jitter * np.eye(e.q)) if e.term.level != "id" else np.eye(e.q)
             logdet += 2 * (e.q * np.log(np.diag(ls)).sum() + e.t * np.log(np.diag(lk)).sum())
             sl = slice(e.offset, e.offset + e.t * e.q)
-            c[sl, sl] += np.kron(np.linalg.inv(sig), np.eye(e.q) if e.term.level == "id" else np.linalg.inv(kin))
+            c[sl, sl] += np.kron(np.linalg.inv(sig), np.eye(e.q) if e.term.level == "id" else np.linalg.inv(kin + jitter * np.eye(e.q)))
         return c[: m.m, : m.m], c[: m.m, m.m], float(c[m.m, m.m]), logdet
 
     def __call__(self, theta: np.ndarray) -> float:
@@ -282,6 +293,59 @@ class Likelihood:
         return logdet + 2 * float(np.log(np.diag(low)).sum()) + yy - float(half @ half)
 
 
+    def value_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value and its gradient from one inverse of the equations.
+
+        Derivatives of the small matrices (between traits, between levels) are central differences of their
+        closed forms; what they meet are traces with the inverse and the solution.
+        """
+        m, h, grad = self.model, 1e-6, np.zeros(self.size)
+        c, b, yy, logdet = self.equations(theta)
+        low = np.linalg.cholesky(c)
+        inv = np.linalg.inv(c)
+        x = inv @ b
+        value = logdet + 2 * float(np.log(np.diag(low)).sum()) + yy - float(b @ x)
+        z = np.append(-x, 1.0)
+        meet = np.outer(z, z)
+        meet[: m.m, : m.m] += inv  # tr(C^-1 dC) + z'dMz is the sum of this times dM
+        step = lambda j: np.eye(self.size)[j] * h
+        for s, sl in zip(m.sections, self.residual):
+            parts = [(units, [int(v) for v in pattern.split(",")], {k: float((meet * g).sum()) for k, g in sums.items()}) for (section, pattern), (units, sums) in m.cells.items() if section == s]
+
+            def own(th: np.ndarray) -> float:
+                full, out = structures.sigma(th[sl], m.residual.struct, len(m.traits), m.residual.rank), 0.0
+                for units, ts, dots in parts:
+                    r = full[np.ix_(ts, ts)]
+                    ri = np.linalg.inv(r)
+                    out += units * np.linalg.slogdet(r)[1] + sum(ri[ts.index(i), ts.index(j)] * d * (1 if i == j else 2) for (i, j), d in dots.items())
+                return out
+
+            for j in range(sl.start, sl.stop):
+                grad[j] = (own(theta + step(j)) - own(theta - step(j))) / (2 * h)
+        for e, (ss, sl) in zip(m.random, self.slices):
+            k = slice(e.offset, e.offset + e.t * e.q)
+            block = meet[k, k].reshape(e.t, e.q, e.t, e.q)
+            kin = None if e.term.level == "id" else self.level(e, theta[sl])
+            traces = np.einsum("aibi->ab", block) if kin is None else np.einsum("aibj,ij->ab", block, np.linalg.inv(kin))
+
+            def between(th: np.ndarray) -> float:
+                sig = structures.sigma(th[ss], e.term.struct, e.t, e.term.rank)
+                return e.q * np.linalg.slogdet(sig)[1] + float((np.linalg.inv(sig) * traces).sum())
+
+            for j in range(ss.start, ss.stop):
+                grad[j] = (between(theta + step(j)) - between(theta - step(j))) / (2 * h)
+            if sl.stop > sl.start:
+                folded = np.einsum("aibj,ab->ij", block, np.linalg.inv(structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank)))
+
+                def levels(th: np.ndarray) -> float:
+                    kk = self.level(e, th[sl]) + 1e-10 * np.eye(e.q)
+                    return e.t * np.linalg.slogdet(kk)[1] + float((np.linalg.inv(kk) * folded).sum())
+
+                for j in range(sl.start, sl.stop):
+                    grad[j] = (levels(theta + step(j)) - levels(theta - step(j))) / (2 * h)
+        return value, grad
+
+
 @dataclass
 class Fit:
     model: Model
@@ -452,10 +516,10 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     if fixed_theta is not None:
         free = np.isnan(fixed_theta)
         start = np.where(free, start, fixed_theta)
-    best, value, done = optimise.minimise(like, start, free)
+    best, value, done = optimise.minimise(like.value_and_gradient, start, free)
     c, b, _, _ = like.equations(best)
     cinv = np.linalg.inv(c)
-    return Fit(model, like, best, value, done, cinv, cinv @ b, optimise.hessian(like, best), free)
+    return Fit(model, like, best, value, done, cinv, cinv @ b, optimise.hessian(lambda th: like.value_and_gradient(th)[1], best), free)
 
 
 def reml(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, **options) -> Fit:
