@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import ship, slices
+from varispark.llm.shared import held, ship, slices
 
 #: Bounds of the sample: texts per language, and characters taken from all of them together.
 SAMPLE_TEXTS = 64
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 30_000
 #: Texts of fewer or more characters than these are no sample texts, so that no single text makes up the sample.
 SAMPLE_SIZE = (200, 8_000)
 BLOCK = 512
@@ -40,7 +40,6 @@ SYMBOLS = 128
 RUNS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
-_models: dict[str, "Model"] = {}
 
 
 def plain(text: str) -> str:
@@ -156,10 +155,7 @@ def _points(text: str) -> np.ndarray:
 def model(sample: dict[str, str]) -> Model:
     """One model for each Python process and sample."""
     key = hashlib.sha256(repr(sorted(sample.items())).encode()).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(sample)
-    return _models[key]
+    return held(("languages", key), lambda: Model(sample))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,6 +22,7 @@ BROADCAST_BYTES = 32 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
+_held: dict = {}
 _local: dict[str, tempfile.TemporaryDirectory] = {}
 _own: list[tempfile.TemporaryDirectory] = []
 
@@ -86,6 +87,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def held(key: tuple, make):
+    """The one large object (a vocabulary with its cache, a model) that this Python process holds; another takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,7 +40,7 @@ GROUP = 2_000
 #: Shingles whose bits are counted at once.
 STEP = 16_384
 #: Rows of variants that are sorted at once, about.
-SORTED = 2_000_000
+SORTED = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:

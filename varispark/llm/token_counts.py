@@ -22,14 +22,13 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varispark.llm.shared import ship, slices
+from varispark.llm.shared import held, ship, slices
 from varispark.llm.tokens import BYTE_PIECES, PLAIN, Cache, byte_letters
 
 #: The pre-tokenisation rule of the byte-level vocabulary, a fixed value.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 512
 
-_loaded: dict[str, "PrefixCounter"] = {}
 
 
 class PrefixCounter:
@@ -186,9 +185,8 @@ class PrefixCounts:
 
 
 def counter(path: str) -> PrefixCounter:
-    if path not in _loaded:
-        _loaded[path] = PrefixCounter(path)
-    return _loaded[path]
+    """One counter for each Python process and file."""
+    return held(("counter", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

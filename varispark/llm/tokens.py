@@ -16,9 +16,11 @@ import re
 import sys
 from array import array
 
+from varispark.llm.shared import held
+
 CUT = re.compile(r" (?<=\S )(?=\S)")
 #: Entries of one cache generation.
-ENTRIES = 350_000
+ENTRIES = 300_000
 #: Longer stretches are encoded but not kept.
 KEPT_CHARS = 64
 #: Characters for which pieces are cut here. Letters are ASCII and Latin-1 ones that are composed and have one lower case.
@@ -28,7 +30,6 @@ PLAIN = re.compile(rf"[\n !-~{_L}]*")
 BYTE_PIECES = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_L}]+")
 
-_loaded: dict[str, "Encoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -128,6 +129,4 @@ def _rule(path: str) -> str:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each Python process and file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return held(("encoder", path), lambda: Encoder(path))
