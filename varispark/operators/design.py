@@ -35,6 +35,13 @@ def gram(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "row_id").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("x"))
 
 
+def cross_gram(df: DataFrame, left: str, right: str, *by: str) -> DataFrame:
+    """Cross-products of two factors' incidences over the same rows, by groups: *by, i, j, x; one pre-aggregated pass."""
+    counts = df.na.drop(subset=[left, right]).groupBy(*by, F.col(left).alias("f1"), F.col(right).alias("f2")).agg(F.count("*").cast("double").alias("x"))
+    a, b = level_table(df, left).toDF("f1", "i"), level_table(df, right).toDF("f2", "j")
+    return counts.join(a, "f1").join(b, "f2").select(*by, "i", "j", "x")
+
+
 def to_long(df: DataFrame, ids: list[str], traits: list[str]) -> DataFrame:
     """One row per unit and trait: ids, trait, y."""
     return df.unpivot([F.col(c) for c in ids], [F.col(c) for c in traits], "trait", "y")
@@ -46,12 +53,13 @@ def trait_patterns(df: DataFrame, unit: str, trait: str) -> DataFrame:
     return sets.groupBy("pattern").agg(F.count("*").alias("units"))
 
 
-def lattice(df: DataFrame, row: str, col: str) -> DataFrame:
-    """All cells of the smallest lattice that holds the positions: r, c, and whether a record is there."""
-    seen = df.select(F.col(row).cast("long").alias("r"), F.col(col).cast("long").alias("c")).distinct()
-    box = seen.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    cells = box.select(F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return cells.join(seen.withColumn("seen", F.lit(True)), ["r", "c"], "left").select("r", "c", F.coalesce("seen", F.lit(False)).alias("observed"))
+def lattice(df: DataFrame, row: str, col: str, block: str | None = None) -> DataFrame:
+    """All cells of the smallest lattice that holds each block's positions: (block,) r, c, and whether a record is there."""
+    by = [block] if block else []
+    seen = df.select(*by, F.col(row).cast("long").alias("r"), F.col(col).cast("long").alias("c")).distinct()
+    box = seen.groupBy(*by).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    cells = box.select(*by, F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select(*by, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return cells.join(seen.withColumn("seen", F.lit(True)), [*by, "r", "c"], "left").select(*by, "r", "c", F.coalesce("seen", F.lit(False)).alias("observed"))
 
 
 def neighbours(units: DataFrame, rank: int = 1, window: str = "chebyshev", spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -155,24 +163,38 @@ def ld_pairs(markers: DataFrame, window: int) -> DataFrame:
     return a.join(b, ["b", "gen"]).groupBy("a", "b").agg((r * r).alias("r2"))
 
 
-def ld_prune(markers: DataFrame, r2: float, window: int) -> DataFrame:
-    """Loci kept by the greedy rule: a locus goes if one kept before it within the window has r2 above the limit.
+def ld_prune(markers: DataFrame, r2: float, window: int, duplicates: bool = True) -> DataFrame:
+    """Loci kept by the greedy rule, in map order within a chromosome: a locus goes if one kept before it, at most window
+    places away, has a squared correlation of r2 or more. Loci without variation go; with duplicates, so do all but the
+    first of loci whose profiles are equal up to sign and scale, wherever they are.
 
-    Only loci with a neighbour above the limit are decided one after the other, in one task per chromosome.
+    Only loci with a neighbour above the limit are decided one after the other, in one task per chromosome. markers: snp
+    (integer order), gen, dose, and chr where there are several. The columns of the result are snp and chr.
     """
     import pandas as pd
 
-    chrom = "chr" if "chr" in markers.columns else None
-    loci = markers.select("snp", *([chrom] if chrom else [F.lit(0).alias("chr")])).distinct()
-    high = ld_pairs(markers, window).where(F.col("r2") > r2)
-    high = high.join(loci.select(F.col("snp").alias("a"), F.col("chr").alias("ca")), "a").join(loci.select(F.col("snp").alias("b"), F.col("chr").alias("cb")), "b").where("ca = cb")
+    rows = markers.select("snp", "gen", F.col("dose").cast("double").alias("dose"), *(["chr"] if "chr" in markers.columns else [F.lit(0).alias("chr")]))
+    varies = rows.groupBy("snp", "chr").agg(F.min("dose").alias("lo"), F.max("dose").alias("hi")).where("hi > lo").select("snp", "chr")
+    rank = F.row_number().over(Window.partitionBy("chr").orderBy("snp"))
+    loci = varies.withColumn("place", rank)
+    one = rows.join(loci, ["snp", "chr"])
+    a = one.select("chr", "gen", F.col("snp").alias("a"), F.col("dose").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
+    b = one.select("chr", "gen", F.col("snp").alias("b"), F.col("dose").alias("z"), "place")
+    r = F.corr("x", "z")
+    high = a.join(b, ["chr", "place", "gen"]).groupBy("chr", "a", "b").agg((r * r).alias("r2")).where(F.col("r2") >= r2 - 1e-12)
 
     def decide(pairs: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()
-        for a, b in sorted(zip(pairs["a"], pairs["b"])):
-            if a not in gone:
-                gone.add(b)
+        for x, y in sorted(zip(pairs["a"], pairs["b"])):
+            if x not in gone:
+                gone.add(y)
         return pd.DataFrame({"snp": sorted(gone)}, dtype="int64")
 
-    gone = high.groupBy("ca").applyInPandas(decide, "snp long")
-    return loci.join(gone, "snp", "left_anti")
+    kept = loci.join(high.groupBy("chr").applyInPandas(decide, "snp long"), "snp", "left_anti").select("snp", "chr")
+    if not duplicates:
+        return kept
+    moments = rows.join(kept, ["snp", "chr"]).groupBy("snp", "chr").agg(F.avg("dose").alias("m"), F.stddev_pop("dose").alias("s"), F.array_sort(F.collect_list(F.struct("gen", "dose"))).alias("d"))  # a list as long as there are genotypes
+    z = F.transform("d", lambda e: F.round((e["dose"] - F.col("m")) / F.col("s"), 9) + 0.0)
+    moments = moments.withColumn("z", z).withColumn("first", F.element_at(F.filter("z", lambda v: v != 0), 1))
+    key = F.sha2(F.concat_ws(",", F.transform("z", lambda v: F.when(F.col("first") < 0, -v).otherwise(v) + 0.0)), 256)
+    return moments.groupBy(key.alias("key")).agg(F.min_by(F.struct("snp", "chr"), F.struct("chr", "snp")).alias("k")).select("k.snp", "k.chr")

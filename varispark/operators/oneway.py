@@ -69,3 +69,10 @@ def anova(stats: DataFrame) -> DataFrame:
     msw = F.col("ssw") / (F.col("obs") - F.col("q"))
     n0 = (F.col("obs") - F.col("nn") / F.col("obs")) / (F.col("q") - 1)
     return s.select(msb.alias("ms_between"), msw.alias("ms_within"), ((msb - msw) / n0).alias("var_between"), msw.alias("var_within"))
+
+
+def fitted(df: DataFrame, stats: DataFrame, factor: str, y: Column, su2: float, se2: float) -> DataFrame:
+    """Complete rows of df with their fitted values and residuals; rows without a level or a response have none and go."""
+    effects = blup(stats, su2, se2).join(F.broadcast(neg2_loglik(stats, su2, se2).select("mu")), how="cross").select("level", (F.col("mu") + F.col("u")).alias("fitted"))
+    out = df.join(effects, F.col(factor) == F.col("level")).drop("level").withColumn("resid", y - F.col("fitted"))
+    return out.where("resid is not null and not isnan(resid)")

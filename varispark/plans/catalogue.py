@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.operators import design, oneway, scans
+from varispark.operators import design, oneway, scans, summaries
 
 SU2, SE2 = 0.05, 0.6
 GRID = [(0.01, 0.5), (0.01, 0.7), (0.05, 0.5), (0.05, 0.6), (0.05, 0.7), (0.2, 0.6)]
@@ -58,14 +58,13 @@ def factor_levels_design(spark, sf):
     return design.level_table(_t(spark, sf, "customer"), "c_nationkey").withColumn("idx", F.col("idx").cast("long"))
 
 
-def _two(spark, sf):
-    rows = _t(spark, sf, "lineitem").where("l_partkey <= 100").withColumn("rid", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return design.incidence(rows, "rid", "l_suppkey"), design.incidence(rows, "rid", "l_partkey")
+def two_way_incidence_gram(spark, sf):
+    return design.cross_gram(_t(spark, sf, "lineitem"), "l_suppkey", "l_partkey").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "x")
 
 
-def two_way_incidence_gram(spark, sf):
-    a, b = _two(spark, sf)
-    return design.gram(a, b).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "x")
+def gram_components(spark, sf):
+    g = design.cross_gram(_t(spark, sf, "lineitem"), "l_suppkey", "l_linenumber", "l_returnflag")
+    return g.select("l_returnflag", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "x")
 
 
 def complete_cases(spark, sf):
@@ -74,7 +73,7 @@ def complete_cases(spark, sf):
 
 
 def long_format_unpivot(spark, sf):
-    long = design.to_long(_t(spark, sf, "lineitem").where("l_linenumber = 1"), ["l_orderkey"], ["l_discount", "l_tax"])
+    long = design.to_long(_t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
     return _rounded(long.groupBy("trait").agg(F.count("*").alias("n"), F.avg("y").alias("mean")))
 
 
@@ -94,8 +93,8 @@ _W = "w AS (SELECT src, dst, 1.0e0 / count(*) OVER (PARTITION BY src) AS w FROM
 
 
 def lattice_completion(spark, sf):
-    rows = _field(spark, sf).where("block = 1 and grp <> 'F'")
-    return design.lattice(rows, "r", "c").groupBy("observed").agg(F.count("*").alias("cells"))
+    rows = _field(spark, sf).where("grp <> 'F'")
+    return design.lattice(rows, "r", "c", "block").groupBy("block", "observed").agg(F.count("*").alias("cells"))
 
 
 def neighbour_weights(spark, sf):
@@ -195,6 +194,68 @@ def wald_df2_pvalue(spark, sf):
     return _rounded(_tests(spark, sf).select("snp", F.exp(-F.col("chi2") / 2).alias("p")), 8)
 
 
+def fisher_z_ci(spark, sf):
+    r = _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.corr("l_quantity", "l_extendedprice").alias("r"), F.count("*").alias("n"))
+    return _rounded(summaries.cor_interval(r, "r", n="n"))
+
+
+def ratios_h2(spark, sf):
+    long = oneway.anova(_stats(spark, sf)).select(F.lit("price").alias("target"), F.inline(F.array(F.struct(F.lit("supplier").alias("component"), F.col("var_between").alias("estimate")), F.struct(F.lit("residual").alias("component"), F.col("var_within").alias("estimate")))))
+    return _rounded(summaries.shares(long, "target", "estimate"))
+
+
+def delta_method_ratio_se(spark, sf):
+    a = oneway.anova(_stats(spark, sf)).crossJoin(F.broadcast(_stats(spark, sf).agg(F.count("*").alias("q"), F.sum("n").alias("obs"), F.sum(F.col("n") * F.col("n")).alias("nn"))))  # one row each
+    n0 = (F.col("obs") - F.col("nn") / F.col("obs")) / (F.col("q") - 1)
+    vb, vw = 2 * F.pow("ms_between", F.lit(2)) / (F.col("q") - 1), 2 * F.pow("ms_within", F.lit(2)) / (F.col("obs") - F.col("q"))
+    se = summaries.ratio_se(F.col("var_between"), F.col("var_within"), (vb + vw) / (n0 * n0), vw, -vw / n0)
+    return _rounded(a.select((F.col("var_between") / (F.col("var_between") + F.col("var_within"))).alias("h2"), se.alias("se")), 8)
+
+
+def aic_grid_summary(spark, sf):
+    fits = oneway.profile_grid(_stats(spark, sf), GRID).select("su2", "se2", (-F.col("neg2") / 2).alias("loglik"), F.lit(3).alias("n_par"))
+    return _rounded(summaries.grid_summary(fits, ["su2", "se2"]), 5)
+
+
+def weighted_rows(spark, sf):
+    return _rounded(summaries.weighted_sums(_t(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", F.log("l_extendedprice")), 4)
+
+
+def fitted_residuals(spark, sf):
+    stats = _stats(spark, sf)
+    return _rounded(oneway.fitted(_t(spark, sf, "lineitem"), stats, "l_suppkey", F.log("l_extendedprice"), SU2, SE2).select("l_orderkey", "l_linenumber", "fitted", "resid"))
+
+
+def posterior_rhat(spark, sf):
+    draws = _t(spark, sf, "events").withColumn("chain", F.col("user_id") % 8)
+    return _rounded(summaries.rhat(summaries.split_chains(draws, "chain", ["event_id"]), ["chain", "half"], "value"))
+
+
+def spline_linear_basis(spark, sf):
+    return _rounded(summaries.hat_basis(_t(spark, sf, "lineitem"), "l_quantity", 0.0, 60.0, 8), 4)
+
+
+def matern_half_pairs(spark, sf):
+    n = design.neighbours(_field(spark, sf))
+    return _rounded(n.select("src", "dst", summaries.matern_half(F.col("dist"), 1.5).alias("r")))
+
+
+def spherical_corr_pairs(spark, sf):
+    n = design.neighbours(_field(spark, sf), 2)
+    return _rounded(n.select("src", "dst", summaries.spherical(F.col("dist"), 2.5).alias("r")))
+
+
+def separable_cov_pairs(spark, sf):
+    units = _field(spark, sf)
+    at = lambda k, i: units.select("block", F.col("id").alias(k), F.col("r").alias(f"r{i}"), F.col("c").alias(f"c{i}"))
+    n = design.neighbours(units).join(at("src", 1), ["block", "src"]).join(at("dst", 2), ["block", "dst"])
+    return _rounded(n.select("src", "dst", summaries.separable_pairs(F.col("r1") - F.col("r2"), F.col("c1") - F.col("c2"), RHO, PSI).alias("r")))
+
+
+def ld_prune(spark, sf):
+    return design.ld_prune(_markers(spark, sf), 0.05, 5).select("snp")
+
+
 def _sql(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
@@ -219,15 +280,20 @@ _ORACLES = {
     "ols_normal_equations": "SELECT l_returnflag, count(*) AS n, round(regr_slope(ln(l_extendedprice), l_quantity), 8) AS slope, round(regr_intercept(ln(l_extendedprice), l_quantity), 8) AS intercept, round(regr_r2(ln(l_extendedprice), l_quantity), 8) AS r2 FROM lineitem GROUP BY 1",
     "factor_levels_design": "SELECT c_nationkey AS level, row_number() OVER (ORDER BY c_nationkey) - 1 AS idx FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL)",
     "two_way_incidence_gram": _sql(
-        "SELECT i, j, CAST(sum(a.x * b.x) AS DOUBLE) AS x FROM (SELECT rid, i, count(*) AS x FROM l JOIN s USING (l_suppkey) GROUP BY 1, 2) a JOIN (SELECT rid, j, count(*) AS x FROM l JOIN p USING (l_partkey) GROUP BY 1, 2) b USING (rid) GROUP BY i, j",
-        "l AS (SELECT concat(l_orderkey, '-', l_linenumber) AS rid, l_suppkey, l_partkey FROM lineitem WHERE l_partkey <= 100)", "s AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS i FROM (SELECT DISTINCT l_suppkey FROM l))", "p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS j FROM (SELECT DISTINCT l_partkey FROM l))",
+        "SELECT i, j, CAST(count(*) AS DOUBLE) AS x FROM lineitem JOIN s USING (l_suppkey) JOIN p USING (l_partkey) GROUP BY i, j",
+        "s AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS i FROM (SELECT DISTINCT l_suppkey FROM lineitem))", "p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS j FROM (SELECT DISTINCT l_partkey FROM lineitem))",
+    ),
+    "gram_components": _sql(
+        "SELECT l_returnflag, i, j, CAST(count(*) AS DOUBLE) AS x FROM lineitem JOIN s USING (l_suppkey) JOIN p USING (l_linenumber) GROUP BY 1, i, j",
+        "s AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS i FROM (SELECT DISTINCT l_suppkey FROM lineitem))", "p AS (SELECT l_linenumber, row_number() OVER (ORDER BY l_linenumber) - 1 AS j FROM (SELECT DISTINCT l_linenumber FROM lineitem))",
     ),
     "complete_cases": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 5 AND l_extendedprice IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1",
-    "long_format_unpivot": "SELECT trait, count(*) AS n, round(avg(y), 6) AS mean FROM (SELECT 'l_discount' AS trait, l_discount AS y FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'l_tax', l_tax FROM lineitem WHERE l_linenumber = 1) GROUP BY 1",
+    "long_format_unpivot": "SELECT trait, count(*) AS n, round(avg(y), 6) AS mean FROM (SELECT 'l_discount' AS trait, l_discount AS y FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1",
     "trait_patterns": "SELECT pattern, count(*) AS units FROM (SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS pattern FROM events GROUP BY 1) GROUP BY 1",
     "lattice_completion": _sql(
-        "SELECT seen AS observed, count(*) AS cells FROM (SELECT a.r, b.c, EXISTS (SELECT 1 FROM x WHERE x.r = a.r AND x.c = b.c) AS seen FROM (SELECT unnest(range(r0, r1 + 1)) AS r FROM box) a, (SELECT unnest(range(c0, c1 + 1)) AS c FROM box) b) GROUP BY 1",
-        _FIELD, "x AS (SELECT DISTINCT r, c FROM u WHERE block = 1 AND grp <> 'F')", "box AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM x)",
+        "SELECT a.block, x.r IS NOT NULL AS observed, count(*) AS cells FROM a LEFT JOIN x ON a.block = x.block AND a.r = x.r AND a.c = x.c GROUP BY 1, 2",
+        _FIELD, "x AS (SELECT DISTINCT block, r, c FROM u WHERE grp <> 'F')", "box AS (SELECT block, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM x GROUP BY 1)",
+        "b AS (SELECT block, unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM box)", "a AS (SELECT block, r, unnest(range(c0, c1 + 1)) AS c FROM b)",
     ),
     "neighbour_weights": _sql("SELECT src, dst, round(w, 6) AS w FROM w", _FIELD, _NEAR.format(k=1), _W),
     "neighbourhood_level_incidence": _sql(
@@ -259,5 +325,34 @@ _ORACLES = {
     "sed_pairs": _sql("SELECT a.level AS a, b.level AS b, round(sqrt(a.v + b.v), 4) AS sed FROM m a JOIN m b ON a.level < b.level", "m AS (SELECT c_nationkey AS level, var_samp(c_acctbal) / count(*) AS v FROM customer GROUP BY 1)"),
     "wald_df2_pvalue": _sql("SELECT snp, round(exp(-chi2 / 2), 8) AS p FROM t", _TEST),
 }
-QUERIES = {k: globals()[k] for k in _ORACLES}
+_TANH = "(exp(2 * ({0})) - 1) / (exp(2 * ({0})) + 1)"
+_Z95 = "1.959963984540054e0"
+_ANOVA = "an AS (SELECT msb, msw, n0, (msb - msw) / n0 AS v1, msw AS v2, 2 * msb * msb / (q - 1) AS vb, 2 * msw * msw / (obs - q) AS vw FROM (SELECT count(*) AS q, sum(n) AS obs, (sum(n * mean * mean) - sum(n * mean) ** 2 / sum(n)) / (count(*) - 1) AS msb, sum(ss) / (sum(n) - count(*)) AS msw, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS n0 FROM st))"
+_POINTS = "g AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}e0, {b}e0)" for k, (a, b) in enumerate(GRID)) + ") v(point, su2, se2))"
+_ORACLES |= {
+    "fisher_z_ci": _sql(
+        f"SELECT l_returnflag, round(r, 6) AS r, n, round(z, 6) AS z_fisher, round(s, 6) AS se_z, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(hi - lo, 6) AS width, hi - lo <= 15e-1 AS informative FROM (SELECT *, {_TANH.format(f'z - {_Z95} * s')} AS lo, {_TANH.format(f'z + {_Z95} * s')} AS hi FROM c)",
+        "c AS (SELECT *, 5e-1 * ln((1 + r) / (1 - r)) AS z, 1 / sqrt(n - 3) AS s FROM (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem GROUP BY 1))",
+    ),
+    "ratios_h2": _sql("SELECT 'price' AS target, component, round(v, 6) AS estimate, round(v / (v1 + v2), 6) AS share FROM (SELECT 'supplier' AS component, v1 AS v, v1, v2 FROM an UNION ALL SELECT 'residual', v2, v1, v2 FROM an)", _STATS, _ANOVA),
+    "delta_method_ratio_se": _sql("SELECT round(v1 / (v1 + v2), 8) AS h2, round(sqrt(v2 * v2 * (vb + vw) / (n0 * n0) + v1 * v1 * vw + 2 * v1 * v2 * vw / n0) / (v1 + v2) ** 2, 8) AS se FROM an", _STATS, _ANOVA),
+    "aic_grid_summary": _sql(
+        "SELECT round(min(aic), 5) AS best_aic, arg_min(su2, aic) AS best_su2, arg_min(se2, aic) AS best_se2, count(*) FILTER (d <= 2) AS n_supported, count(*) AS n_cells, min(su2) FILTER (d <= 2) AS su2_min, max(su2) FILTER (d <= 2) AS su2_max, min(se2) FILTER (d <= 2) AS se2_min, max(se2) FILTER (d <= 2) AS se2_max, count(DISTINCT su2) * count(DISTINCT se2) - count(DISTINCT (su2, se2)) AS n_missing, count(*) - count(DISTINCT (su2, se2)) AS n_repeated FROM (SELECT *, aic - min(aic) OVER () AS d FROM p)",
+        _STATS, _POINTS, f"p AS (SELECT su2, se2, 6 + {_NEG2} AS aic FROM st, g GROUP BY point, su2, se2)",
+    ),
+    "weighted_rows": "SELECT l_returnflag, count(*) AS n, round(sum(ln(w)), 4) AS log_w, round(sum(w), 4) AS w, round(sum(w * y), 4) AS wy, round(sum(w * y * y), 4) AS wyy FROM (SELECT l_returnflag, l_quantity AS w, ln(l_extendedprice) AS y FROM lineitem) WHERE w > 0 AND y IS NOT NULL GROUP BY 1",
+    "fitted_residuals": _sql(
+        "SELECT l_orderkey, l_linenumber, round(mu + u, 6) AS fitted, round(ln(l_extendedprice) - mu - u, 6) AS resid FROM lineitem JOIN b ON l_suppkey = level",
+        _STATS, f"v AS (SELECT *, {_V} FROM st)", "mu AS (SELECT sum(n / (se2 + n * su2) * mean) / sum(n / (se2 + n * su2)) AS mu FROM v)", "b AS (SELECT level, mu, n * su2 / (se2 + n * su2) * (mean - mu) AS u FROM v, mu)",
+    ),
+    "posterior_rhat": _sql(
+        "SELECT chains, round(n, 6) AS n, round(within, 6) AS within, round(between_, 6) AS between, round(sqrt(((n - 1) / n * within + between_) / within), 6) AS rhat FROM (SELECT count(*) AS chains, avg(k) AS n, avg(v) AS within, var_samp(m) AS between_ FROM (SELECT count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM h GROUP BY chain, half))",
+        "h AS (SELECT user_id % 8 AS chain, value, CASE WHEN row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) <= count(*) OVER (PARTITION BY user_id % 8) // 2 THEN 0 ELSE 1 END AS half FROM events)",
+    ),
+    "spline_linear_basis": "SELECT knot, round(sum(v), 4) AS s, round(sum(v * v), 4) AS ss FROM (SELECT k AS knot, greatest(0, 1 - abs(l_quantity * 8 / 6e1 - k)) AS v FROM lineitem, range(9) r(k)) WHERE v <> 0 GROUP BY 1",
+    "matern_half_pairs": _sql("SELECT src, dst, round(exp(-dist / 15e-1), 6) AS r FROM nb", _FIELD, _NEAR.format(k=1)),
+    "spherical_corr_pairs": _sql("SELECT src, dst, round(CASE WHEN dist < 25e-1 THEN 1 - 15e-1 * dist / 25e-1 + 5e-1 * (dist / 25e-1) ** 3 ELSE 0 END, 6) AS r FROM nb", _FIELD, _NEAR.format(k=2)),
+    "separable_cov_pairs": _sql(f"SELECT src, dst, round({RHO}e0 ** abs(a.r - b.r) * {PSI}e0 ** abs(a.c - b.c), 6) AS r FROM nb JOIN u a ON nb.src = a.id JOIN u b ON nb.dst = b.id", _FIELD, _NEAR.format(k=1)),
+}
+QUERIES = {k: globals()[k] for k in _ORACLES} | {"ld_prune": ld_prune}
 ORACLE_SQL = _ORACLES
