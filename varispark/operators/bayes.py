@@ -1,0 +1,146 @@
+"""Posterior of a model's parameters: priors, mode, Hamiltonian chains side by side, summaries.
+
+Chains are rows of a DataFrame, each run in one task on the cross-products (which are as large as the equations).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from varispark.functions import optimise
+from varispark.operators import summaries
+from varispark.operators.reml import Fit, Likelihood
+
+
+def kinds(like: Likelihood) -> list[str]:
+    """What each parameter is: sd (a logarithm of a standard deviation), free (a loading), cor (through tanh), range."""
+    out: list[str] = []
+    t_all = len(like.model.traits)
+
+    def between(struct: str, t: int, n: int) -> list[str]:
+        if struct == "us":
+            return ["sd" if i == j else "free" for i in range(t) for j in range(i + 1)]
+        if struct in ("fa", "rr"):
+            return ["free"] * (n - t) + ["sd"] * t if struct == "fa" else ["free"] * n
+        if struct == "corh":
+            return ["sd"] * t + ["cor"]
+        return ["sd"] * min(n, t) + ["free"] * (n - min(n, t))
+
+    for e, (ss, sl) in zip(like.model.random, like.slices):
+        out += between(e.term.struct, e.t, ss.stop - ss.start)
+        first = ["range"] if e.term.level in ("lvr", "sph", "cir", "mtrn") else ["free"] if e.term.level in ("own", "corg") else ["cor"]
+        out += first * (sl.stop - sl.start)
+    for sl in like.residual:
+        n = sl.stop - sl.start
+        out += ["sd"] + ["cor"] * (n - 1) if like.model.residual.axes else between(like.model.residual.struct, t_all, n)
+    return out
+
+
+def log_prior(theta: np.ndarray, what: list[str], sd_scale: float, centre: np.ndarray) -> tuple[float, np.ndarray]:
+    """Value and gradient: half-normal standard deviations, uniform correlations, normal loadings and log ranges, with the
+    Jacobians of their transformations."""
+    value, grad = 0.0, np.zeros(len(theta))
+    for k, (kind, x) in enumerate(zip(what, theta)):
+        if kind == "sd":
+            s = math.exp(2 * x) / sd_scale**2
+            value, grad[k] = value - 0.5 * s + x, 1 - s
+        elif kind == "cor":
+            value, grad[k] = value - 2 * (abs(x) + math.log1p(math.exp(-2 * abs(x))) - math.log(2)), -2 * math.tanh(x)
+        else:
+            c, w = (centre[k], 1.0) if kind == "range" else (0.0, sd_scale)
+            value, grad[k] = value - 0.5 * ((x - c) / w) ** 2, -(x - c) / w**2
+    return value, grad
+
+
+def potential(like: Likelihood, sd_scale: float, centre: np.ndarray):
+    """-log posterior and its gradient."""
+    what = kinds(like)
+
+    def f(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        v, g = like.value_and_gradient(theta)
+        lp, lg = log_prior(theta, what, sd_scale, centre)
+        return 0.5 * v - lp, 0.5 * g - lg
+
+    return f
+
+
+def sample(fit: Fit, sd_scale: float | None = None, chains: int = 4, warmup: int = 200, draws: int = 400, leaps: int = 8, seed: int = 1) -> DataFrame:
+    """Draws (chain, iteration, parameter, value, accepted) after warm-up, in which the step is tuned to an acceptance of 0.8.
+
+    sd_scale: scale of the half-normal priors; twice the largest standard deviation of the fit if not given. Chains start
+    at normal noise around the posterior mode, in directions scaled by its curvature.
+    """
+    like = Likelihood(replace(fit.model, source=None, spec={}), fit.likelihood.ml)
+    what = kinds(like)
+    scale = sd_scale or 2 * max(math.exp(x) for x, k in zip(fit.theta, what) if k == "sd")
+    f = potential(like, scale, fit.theta)
+    mode, _, _ = optimise.minimise(f, fit.theta)
+    values, vectors = np.linalg.eigh(optimise.hessian(lambda t: f(t)[1], mode))
+    turn = vectors / np.sqrt(np.maximum(values, 1e-3))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for chain in pdf["id"]:
+                yield _chain(f, mode, turn, int(chain), seed, warmup, draws, leaps)
+
+    spark = fit.spark
+    return spark.range(0, chains, 1, chains).mapInPandas(run, "chain long, iteration int, parameter int, value double, accepted boolean")
+
+
+def _chain(f, mode: np.ndarray, turn: np.ndarray, chain: int, seed: int, warmup: int, draws: int, leaps: int) -> pd.DataFrame:
+    rng, k = np.random.default_rng([seed, chain]), len(mode)
+
+    def u(z: np.ndarray) -> tuple[float, np.ndarray]:
+        try:
+            v, g = f(mode + turn @ z)
+        except (np.linalg.LinAlgError, OverflowError):
+            return math.inf, np.zeros(k)
+        return (v, turn.T @ g) if math.isfinite(v) else (math.inf, np.zeros(k))
+
+    z = rng.normal(size=k)
+    now, grad = u(z)
+    if not math.isfinite(now):
+        z = np.zeros(k)
+        now, grad = u(z)
+    log_step, mean_step, h = math.log(0.3), 0.0, 0.0
+    out = []
+    for it in range(warmup + draws):
+        step = math.exp(log_step if it < warmup else mean_step)
+        p = rng.normal(size=k)
+        zz, g, energy = z.copy(), grad, now + 0.5 * float(p @ p)
+        for _ in range(int(rng.integers(1, leaps + 1))):
+            p = p - 0.5 * step * g
+            zz = zz + step * p
+            v, g = u(zz)
+            if not math.isfinite(v):
+                break
+            p = p - 0.5 * step * g
+        ratio = min(1.0, math.exp(min(0.0, energy - v - 0.5 * float(p @ p)))) if math.isfinite(v) else 0.0
+        taken = bool(rng.random() < ratio)
+        if taken:
+            z, now, grad = zz, v, g
+        if it < warmup:  # dual averaging
+            n = it + 1
+            h = (1 - 1 / (n + 10)) * h + (0.8 - ratio) / (n + 10)
+            log_step = math.log(3.0) - math.sqrt(n) / 0.05 * h
+            mean_step = n**-0.75 * log_step + (1 - n**-0.75) * mean_step
+        else:
+            out += [(chain, it - warmup, j, x, taken) for j, x in enumerate(mode + turn @ z)]
+    return pd.DataFrame(out, columns=["chain", "iteration", "parameter", "value", "accepted"])
+
+
+def summarise(draws: DataFrame) -> DataFrame:
+    """parameter, mean, sd, q025, median, q975, rhat of split chains, accepted."""
+    halves = summaries.split_chains(draws.withColumn("__series", F.struct("parameter", "chain")), "__series", ["iteration"])
+    per = halves.groupBy("parameter", "chain", "half").agg(F.count("*").alias("k"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    s = per.groupBy("parameter").agg(F.avg("k").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("b"))
+    s = s.select("parameter", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w")).alias("rhat"))
+    q = draws.groupBy("parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", p).alias(n) for n, p in (("q025", 0.025), ("median", 0.5), ("q975", 0.975))], F.avg(F.col("accepted").cast("double")).alias("accepted"))
+    return q.join(s, "parameter")

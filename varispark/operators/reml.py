@@ -13,10 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varispark.functions import optimise, structures
+from varispark.functions import optimise, splines, structures
 from varispark.functions.special import chi2_sf, normal_ppf
 from varispark.plans.grammar import Residual, Term, parse_fixed, parse_random, parse_residual
 
@@ -32,7 +32,7 @@ class Effects:
     t: int = 1
     pos: np.ndarray | None = None
     axes: list[int] | None = None
-    k: np.ndarray | None = None
+    k: np.ndarray | str | None = None
 
     @property
     def q(self) -> int:
@@ -56,6 +56,7 @@ class Model:
     source: DataFrame | None = None
     response: str = ""
     spec: dict = field(default_factory=dict)
+    grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
 
 
 def _distinct(df: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
@@ -79,13 +80,38 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     matrices = matrices or {}
     response, intercept, fixed_terms = parse_fixed(fixed)
     terms, res = parse_random(random), parse_residual(residual)
-    used = sorted({c for t in fixed_terms for c in t} | {c for t in terms for c in t.factors} | {c for c in (trait, unit, weights, res.section) if c})
-    rows = df.select(F.expr(response).cast("double").alias("__y"), *used).na.drop()
+    if res.axes and (trait or unit or weights):
+        raise ValueError("a residual on a lattice takes one trait and no weights")
+    if trait and any("parts" in t.options for t in terms):
+        raise ValueError("mm() and str() take one trait")
+    used = sorted({c for t in fixed_terms for c in t} | {c.removeprefix("mm:") for t in terms for c in t.factors} | {c for c in (trait, unit, weights, res.section, *(c for _, c in res.axes)) if c})
+    rows = df.select(F.expr(response).cast("double").alias("__y"), *used)
+    rows = rows.na.drop().where(" and ".join(["true", *[f"`{c}` is not null" for c in used]]))
+    surfaces, plain = {}, []
+    for k, term in enumerate(terms):
+        if term.level != "spl2d":
+            plain.append(term)
+            continue
+        at_ = _distinct(rows, term.factors, max_levels)
+        nseg, deg, pord = (int(term.options.get(o, d)) for o, d in (("nseg", 5), ("deg", 3), ("pord", 2)))
+        lines, blocks = splines.surface(at_.iloc[:, 0].to_numpy(float), at_.iloc[:, 1].to_numpy(float), (nseg, nseg), deg, pord)
+        table = at_.set_axis([f"__s{k}_0", f"__s{k}_1"], axis=1)
+        names = [f"spl{k}_{c}" for c in (*term.factors, "both")]
+        for c, v in zip(names, lines.T):
+            table[c] = v
+        for b, z in blocks.items():
+            table[f"__s{k}_{b}"] = z.tolist()
+            plain.append(Term(f"{term.name}.{b}", [f"arr:__s{k}_{b}"], options={"parts": 1, "size": z.shape[1]}))
+        joined = df.sparkSession.createDataFrame(table)
+        rows = rows.join(F.broadcast(joined), [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(term.factors)])  # at most max_levels rows
+        fixed_terms += [(c,) for c in names]
+        surfaces[term.name] = (term.factors, at_, lines, blocks, names)
+    terms = plain
     kinds = dict(rows.dtypes)
     traits = _distinct(rows, [trait], 100)[trait].tolist() if trait else [None]
     sections = _distinct(rows, [res.section], 1_000)[res.section].tolist() if res.section else [None]
 
-    entries, effects, at = [], [], 0
+    entries, many, at = [], [], 0
     one = lambda col, x: F.struct(col.cast("int").alias("c"), x.cast("double").alias("x"))
 
     def term_entry(columns: list[tuple[str, list]]) -> tuple[list[str], object]:
@@ -118,6 +144,26 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         fixed_effects.append(Effects(":".join(term), at, labels))
         entries.append(entry)
         at += len(labels)
+    grids, empty = {}, None
+    if res.axes:
+        columns = [c for _, c in res.axes]
+        by = [res.section] if res.section else []
+        place = rows.select(*by, *columns).distinct()
+        if rows.count() > place.count():
+            raise ValueError("a cell of the lattice has two records")
+        seen = _distinct(rows, [*by, *columns], 20 * max_levels)
+        holes = []
+        for key, part in seen.groupby(by[0]) if by else [(None, seen)]:
+            g = [_lattice(part[c]) for c in columns]
+            grids[key] = g
+            have = set(zip(part[columns[0]], part[columns[1]]))
+            holes += [(key, *cell) for cell in _product(g) if tuple(cell) not in have]
+        if len(holes) > max_levels:
+            raise ValueError(f"more than {max_levels} empty cells")
+        if holes:
+            empty = Effects("(empty cells)", at, holes)
+            fixed_effects.append(empty)
+            at += len(holes)
     p = at
     trait_code = F.lit(0)
     if trait:
@@ -126,24 +172,46 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     for k, term in enumerate(terms):
         t = len(traits) if trait and term.struct != "iid" else 1
         axes = pos = kin = None
+        if "parts" in term.options:
+            t = int(term.options["parts"])
+            if "size" in term.options:
+                labels = [str(i) for i in range(int(term.options["size"]))]
+            else:
+                found = [rows.select((F.explode(F.transform(F.map_keys(c[3:]), lambda x: x.cast("string"))) if c.startswith("mm:") else F.col(c).cast("string")).alias("l")) for c in term.factors]
+                union = found[0]
+                for f in found[1:]:
+                    union = union.unionByName(f)
+                labels = _distinct(union, ["l"], max_levels)["l"].tolist()
+            if term.level == "fixed":
+                labels, kin = _relationship(term, labels, matrices)
+            q = len(labels)
+            if "size" not in term.options:
+                codes = df.sparkSession.createDataFrame([({v: i for i, v in enumerate(labels)},)], f"__m{k} map<string,int>")
+                rows = rows.join(F.broadcast(codes), how="cross")  # one row, at most max_levels entries
+            for j, c in enumerate(term.factors):
+                base = F.lit(at + j * q)
+                if c.startswith("arr:"):
+                    many.append(_entries(F.transform(c[4:], lambda x, i: F.struct(i.alias("key"), x.alias("value"))), base))
+                elif c.startswith("mm:"):
+                    many.append(_entries(F.map_entries(c[3:]), base, F.col(f"__m{k}")))
+                else:
+                    entries.append(one(base + F.element_at(F.col(f"__m{k}"), F.col(c).cast("string")), F.lit(1.0)))
+            random_effects.append(Effects(term.name, at, labels, term, t, None, None, kin))
+            at += t * q
+            continue
         if term.level in ("id", "fixed"):
             table = _distinct(rows, term.factors, max_levels)
             labels = [v[0] if len(v) == 1 else tuple(v) for v in table.values.tolist()]
             if term.level == "fixed":
-                given = matrices[term.options.get("K") or term.options["Kinv"]]
-                missing = set(labels) - set(given.index)
-                if missing:
-                    raise ValueError(f"{term.name}: no relationship for {sorted(missing)[:5]}")
-                labels = list(given.index) if "Kinv" in term.options else labels
-                kin = np.linalg.inv(given.to_numpy(dtype=float)) if "Kinv" in term.options else given.loc[labels, labels].to_numpy(dtype=float)
-                kin = _positive(kin)
-        elif term.level in ("exp", "gau", "iexp", "igau", "ieuc", "aexp", "agau", "lvr", "sph", "cir", "mtrn"):
+                labels, kin = _relationship(term, labels, matrices)
+        elif term.level in ("exp", "gau", "iexp", "igau", "ieuc", "aexp", "agau", "lvr", "sph", "cir", "mtrn", "own"):
             table = _distinct(rows, term.factors, max_levels)
             labels, pos = [tuple(v) if len(v) > 1 else v[0] for v in table.values.tolist()], table.to_numpy(dtype=float)
+            kin = term.options.get("expr")
         else:
-            grids = [_lattice(_distinct(rows, [c], max_levels)[c]) for c in term.factors]
-            labels = [x if len(grids) > 1 else x[0] for x in _product(grids)]
-            axes, pos = [len(g) for g in grids], grids
+            lines = [_lattice(_distinct(rows, [c], max_levels)[c]) for c in term.factors]
+            labels = [x if len(lines) > 1 else x[0] for x in _product(lines)]
+            axes, pos = [len(g) for g in lines], lines
         q = len(labels)
         lookup = pd.DataFrame([list(x) if isinstance(x, tuple) else [x] for x in labels], columns=[f"__f{k}_{i}" for i in range(len(term.factors))])
         lookup[f"__i{k}"] = range(q)
@@ -157,10 +225,14 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     m = at
     entries.append(one(F.lit(m), F.col("__y")))
     scale = F.sqrt(F.col(weights)) if weights else F.lit(1.0)
-    coo = F.transform(F.filter(F.array(*entries), lambda e: e["x"] != 0), lambda e: F.struct(e["c"].alias("c"), (e["x"] * scale).alias("x")))
+    coo = F.transform(F.filter(F.concat(F.array(*entries), *many), lambda e: e["x"] != 0), lambda e: F.struct(e["c"].alias("c"), (e["x"] * scale).alias("x")))
     section = F.col(res.section) if res.section else F.lit(None).cast("string")
     trait_text = F.col("t").cast("string")
     coded = rows.select(section.alias("section"), trait_code.alias("t"), *([F.col(unit).alias("unit")] if unit else []), coo.alias("coo"), (F.log(F.col(weights)) if weights else F.lit(0.0)).alias("lw"))
+    info = {"fixed": fixed_terms, "intercept": intercept, "levels": levels_of, "surfaces": surfaces}
+    if res.axes:
+        cells, n = _lattice_sums(rows, res, grids, empty, coo, m)
+        return Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, {k: (len(g[0]), len(g[1])) for k, g in grids.items()})
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
@@ -169,6 +241,10 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         pattern = F.array_join(F.transform("recs", lambda r: r["t"].cast("string")), ",")
         flat = F.flatten(F.transform("recs", lambda r: F.transform(r["coo"], lambda e: F.struct(r["t"].alias("t"), e["c"].alias("c"), e["x"].alias("x")))))
         units = units.select("section", pattern.alias("pattern"), flat.alias("e"), F.size("recs").alias("k"), "lw")
+    elif many:
+        tagged = F.transform("coo", lambda e: F.struct(F.col("t").alias("t"), e["c"].alias("c"), e["x"].alias("x")))
+        units = coded.select("section", trait_text.alias("pattern"), tagged.alias("e"), F.lit(1).alias("k"), "lw")
+    if unit or many:
         pairs = F.explode(F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: (b["t"] > a["t"]) | ((b["t"] == a["t"]) & (b["c"] >= a["c"]))), lambda b: F.struct(a["t"].alias("t1"), b["t"].alias("t2"), a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x"))))))
         sums = units.select("section", "pattern", pairs.alias("s")).where("s.x <> 0")
     else:
@@ -189,7 +265,77 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     n = sum(r["n"] for r in counts)
     if not n:
         raise ValueError("no complete rows")
-    return Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, {"fixed": fixed_terms, "intercept": intercept, "levels": levels_of})
+    return Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, info)
+
+
+def _entries(pairs: Column, base: Column, codes: Column | None = None) -> Column:
+    """Entries of the design from an array of keys and values, the keys coded by a map if one is given."""
+    place = lambda e: e["key"] if codes is None else F.element_at(codes, e["key"].cast("string"))
+    return F.transform(pairs, lambda e: F.struct((base + place(e)).cast("int").alias("c"), e["value"].cast("double").alias("x")))
+
+
+def _relationship(term: Term, labels: list, matrices: dict) -> tuple[list, np.ndarray]:
+    """Levels and their relationship: those of the data for K, all of the matrix for an inverse."""
+    given = matrices[term.options.get("K") or term.options["Kinv"]]
+    missing = set(labels) - set(given.index)
+    if missing:
+        raise ValueError(f"{term.name}: no relationship for {sorted(missing)[:5]}")
+    if "Kinv" in term.options:
+        return list(given.index), _positive(np.linalg.inv(given.to_numpy(dtype=float)))
+    return labels, _positive(given.loc[labels, labels].to_numpy(dtype=float))
+
+
+def _lattice_sums(rows: DataFrame, res: Residual, grids: dict, empty: Effects | None, coo, m: int) -> tuple[dict, int]:
+    """Cross-products of the cells of complete lattices: with themselves, within the inner rows and columns, and with the
+    neighbours in each direction. The inverse of a separable autoregression is a sum of these with coefficients that
+    depend on its parameters only. An empty cell is a cell with a fixed effect of its own."""
+    spark = rows.sparkSession
+    section = F.col(res.section).cast("string") if res.section else F.lit("")
+    steps = {k: [(g[0], g[1] - g[0] if len(g) > 1 else 1, len(g)) for g in v] for k, v in grids.items()}
+    lay = spark.createDataFrame([(str(k) if res.section else "", *[x for s in v for x in s]) for k, v in steps.items()], "s string, r0 long, dr long, nr long, c0 long, dc long, nc long")
+    cells = rows.select(section.alias("s"), F.col(res.axes[0][1]).cast("long").alias("r"), F.col(res.axes[1][1]).cast("long").alias("c"), coo.alias("coo"))
+    n = cells.count()
+    if not n:
+        raise ValueError("no complete rows")
+    if empty:
+        holes = [(str(key) if res.section else "", int(r), int(c), [(empty.offset + k, 1.0)]) for k, (key, r, c) in enumerate(empty.labels)]
+        cells = cells.unionByName(spark.createDataFrame(holes, "s string, r long, c long, coo array<struct<c:int,x:double>>"))
+    cells = cells.join(F.broadcast(lay), "s").select("s", ((F.col("r") - F.col("r0")) / F.col("dr")).cast("long").alias("r"), ((F.col("c") - F.col("c0")) / F.col("dc")).cast("long").alias("c"), "nr", "nc", "coo")
+    inner = [(F.col("r") > 0) & (F.col("r") < F.col("nr") - 1), (F.col("c") > 0) & (F.col("c") < F.col("nc") - 1)]
+    cells = cells.select("s", "r", "c", inner[0].alias("ir"), inner[1].alias("ic"), "coo")
+    kinds = lambda *pairs: F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in pairs]), lambda x: x.isNotNull())
+    yes = F.lit(True)
+    own = cells.select("s", kinds(("II", yes), ("DI", F.col("ir")), ("ID", F.col("ic")), ("DD", F.col("ir") & F.col("ic"))).alias("h"), F.col("coo").alias("a"), F.col("coo").alias("b"))
+    offsets = F.array(*[F.struct(F.lit(x).alias("dr"), F.lit(y).alias("dc")) for x, y in ((1, 0), (0, 1), (1, 1), (1, -1))])
+    left = cells.select("s", F.inline(offsets), "r", "c", F.col("coo").alias("a"), "ir", "ic").select("s", "dr", "dc", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "a", "ir", "ic")
+    near = left.join(cells.select("s", "r", "c", F.col("coo").alias("b")), ["s", "r", "c"])
+    one_way = lambda x, y: (F.col("dr") == x) & (F.col("dc") == y)
+    near = near.select("s", kinds(("TI", one_way(1, 0)), ("TD", one_way(1, 0) & F.col("ic")), ("IT", one_way(0, 1)), ("DT", one_way(0, 1) & F.col("ir")), ("TT", (F.col("dr") == 1) & (F.col("dc") != 0))).alias("h"), "a", "b")
+    pairs = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x")))))
+    sums = own.unionByName(near).select("s", "h", F.inline(pairs)).select("s", F.explode("h").alias("h"), "i", "j", "x").groupBy("s", "h", "i", "j").agg(F.sum("x").alias("x"))
+    names = {str(k) if res.section else "": k for k in grids}
+    out = {(k, "0"): (len(g[0]) * len(g[1]), {}) for k, g in grids.items()}
+    for r in sums.toLocalIterator():  # at most nine squares of the number of effects
+        g = out[(names[r["s"]], "0")][1].setdefault(r["h"], np.zeros((m + 1, m + 1)))
+        if "T" in r["h"]:
+            g[r["i"], r["j"]] += r["x"]
+            g[r["j"], r["i"]] += r["x"]
+        else:
+            g[r["i"], r["j"]] += r["x"]
+    return out, n
+
+
+def _lattice_weights(theta: np.ndarray, axes: list[tuple[str, str]], size: tuple[int, int]) -> tuple[dict[str, float], float]:
+    """Coefficients of a separable residual's inverse over its cross-products, and its log determinant."""
+    var, at, parts, logdet = math.exp(2 * theta[0]), 1, [], 0.0
+    for k, (kind, _) in enumerate(axes):
+        rho = 0.0
+        if kind == "ar1":
+            rho, at = math.tanh(theta[at]), at + 1
+        keep = 1 - rho * rho if size[k] > 1 else 1.0
+        parts.append({"I": 1 / keep, "D": rho * rho / keep, "T": -rho / keep})
+        logdet += size[1 - k] * (size[k] - 1) * math.log(keep)
+    return {a + b: x * y / var for a, x in parts[0].items() for b, y in parts[1].items()}, logdet + size[0] * size[1] * 2 * theta[0]
 
 
 def _product(grids: list[list]) -> list[tuple]:
@@ -214,8 +360,8 @@ def _positive(k: np.ndarray) -> np.ndarray:
 class Likelihood:
     """The restricted likelihood of a model as a function of its parameters."""
 
-    def __init__(self, model: Model):
-        self.model, self.slices, at = model, [], 0
+    def __init__(self, model: Model, ml: bool = False):
+        self.model, self.ml, self.slices, at = model, ml, [], 0
         for e in model.random:
             ns = structures.n_sigma(e.term.struct, e.t, e.term.rank)
             nl = self._n_level(e)
@@ -224,7 +370,7 @@ class Likelihood:
         t = len(model.traits)
         self.residual = []
         for _ in model.sections:
-            ns = structures.n_sigma(model.residual.struct, t, model.residual.rank)
+            ns = 1 + sum(k == "ar1" for k, _ in model.residual.axes) if model.residual.axes else structures.n_sigma(model.residual.struct, t, model.residual.rank)
             self.residual.append(slice(at, at + ns))
             at += ns
         self.size = at
@@ -238,15 +384,16 @@ class Likelihood:
     def start(self) -> np.ndarray:
         m = self.model
         y, n = m.m, m.n
-        yy = sum(g[(t, t)][y, y] for _, g in m.cells.values() for t in {a for a, _ in g})
-        first = sum(g[(t, t)][0, y] for _, g in m.cells.values() for t in {a for a, _ in g}) if m.fixed else 0.0
+        own = [g["II"] for _, g in m.cells.values()] if m.residual.axes else [g[(t, t)] for _, g in m.cells.values() for t in {a for a, _ in g}]
+        yy = sum(g[y, y] for g in own)
+        first = sum(g[0, y] for g in own) if m.fixed else 0.0
         var = max(1e-8, (yy - first**2 / n) / n)
         parts = len(m.random) + 1
         out = []
         for e in m.random:
             out.append(structures.sigma_start(e.term.struct, e.t, e.term.rank, var / parts))
             out += [structures.level_start(e.term.level, q, np.arange(q), int(e.term.options.get("order", 1))) for q in e.axes] if e.axes else [structures.level_start(e.term.level, e.q, e.pos if e.pos is not None else np.zeros(e.q), int(e.term.options.get("order", 1)))]
-        out += [structures.sigma_start(m.residual.struct, len(m.traits), m.residual.rank, var / parts) for _ in m.sections]
+        out += [np.array([0.5 * math.log(var / parts)] + [0.3] * (s.stop - s.start - 1)) if m.residual.axes else structures.sigma_start(m.residual.struct, len(m.traits), m.residual.rank, var / parts) for s in self.residual]
         return np.concatenate(out)
 
     def level(self, e: Effects, theta: np.ndarray) -> np.ndarray:
@@ -265,6 +412,11 @@ class Likelihood:
         m = self.model
         c, logdet = np.zeros((m.m + 1, m.m + 1)), -m.log_weights
         for s, sl in zip(m.sections, self.residual):
+            if m.residual.axes:
+                weights, ld = _lattice_weights(theta[sl], m.residual.axes, m.grids[s])
+                c += sum(weights[h] * g for h, g in m.cells[(s, "0")][1].items())
+                logdet += ld
+                continue
             full = structures.sigma(theta[sl], m.residual.struct, len(m.traits), m.residual.rank)
             for (section, pattern), (units, sums) in m.cells.items():
                 if section != s:
@@ -290,7 +442,12 @@ class Likelihood:
         c, b, yy, logdet = self.equations(theta)
         low = np.linalg.cholesky(c)
         half = np.linalg.solve(low, b)
-        return logdet + 2 * float(np.log(np.diag(low)).sum()) + yy - float(half @ half)
+        return logdet + self._log_c(c, low) + yy - float(half @ half)
+
+    def _log_c(self, c: np.ndarray, low: np.ndarray) -> float:
+        """Log determinant of the equations; that of the random effects' part for maximum likelihood."""
+        p = self.model.p
+        return 2 * float(np.log(np.diag(np.linalg.cholesky(c[p:, p:]) if self.ml else low)).sum())
 
 
     def value_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
@@ -304,12 +461,25 @@ class Likelihood:
         low = np.linalg.cholesky(c)
         inv = np.linalg.inv(c)
         x = inv @ b
-        value = logdet + 2 * float(np.log(np.diag(low)).sum()) + yy - float(b @ x)
+        value = logdet + self._log_c(c, low) + yy - float(b @ x)
         z = np.append(-x, 1.0)
         meet = np.outer(z, z)
-        meet[: m.m, : m.m] += inv  # tr(C^-1 dC) + z'dMz is the sum of this times dM
+        if self.ml:
+            meet[m.p : m.m, m.p : m.m] += np.linalg.inv(c[m.p :, m.p :])
+        else:
+            meet[: m.m, : m.m] += inv  # tr(C^-1 dC) + z'dMz is the sum of this times dM
         step = lambda j: np.eye(self.size)[j] * h
         for s, sl in zip(m.sections, self.residual):
+            if m.residual.axes:
+                dots = {h: float((meet * g).sum()) for h, g in m.cells[(s, "0")][1].items()}
+
+                def lattice(th: np.ndarray) -> float:
+                    weights, ld = _lattice_weights(th[sl], m.residual.axes, m.grids[s])
+                    return ld + sum(weights[k] * d for k, d in dots.items())
+
+                for j in range(sl.start, sl.stop):
+                    grad[j] = (lattice(theta + step(j)) - lattice(theta - step(j))) / (2 * h)
+                continue
             parts = [(units, [int(v) for v in pattern.split(",")], {k: float((meet * g).sum()) for k, g in sums.items()}) for (section, pattern), (units, sums) in m.cells.items() if section == s]
 
             def own(th: np.ndarray) -> float:
@@ -364,8 +534,13 @@ class Fit:
 
     @property
     def loglik(self) -> float:
-        """With the constant (n - p) / 2 log 2 pi."""
-        return -0.5 * (self.neg2 + (self.model.n - self.model.p) * math.log(2 * math.pi))
+        """With the constant (n - p) / 2 log 2 pi, or n / 2 log 2 pi for maximum likelihood; empty cells don't count."""
+        return -0.5 * (self.neg2 + (self.model.n - (0 if self.likelihood.ml else self.rank)) * math.log(2 * math.pi))
+
+    @property
+    def rank(self) -> int:
+        """Number of fixed effects without those of empty cells."""
+        return sum(e.q for e in self.model.fixed if e.name != "(empty cells)")
 
     @property
     def aic(self) -> float:
@@ -373,7 +548,7 @@ class Fit:
 
     @property
     def bic(self) -> float:
-        return -2 * self.loglik + int(self.free.sum()) * math.log(self.model.n - self.model.p)
+        return -2 * self.loglik + int(self.free.sum()) * math.log(self.model.n - self.rank)
 
     @property
     def theta_cov(self) -> np.ndarray:
@@ -387,7 +562,7 @@ class Fit:
         theta, out, m = self.theta if theta is None else theta, {}, self.model
 
         def add(name: str, s: np.ndarray) -> None:
-            names = [str(t) for t in m.traits] if len(s) > 1 else [""]
+            names = [str(t) for t in m.traits] if len(s) == len(m.traits) > 1 else [str(i + 1) for i in range(len(s))]
             for i in range(len(s)):
                 for j in range(i + 1):
                     if i == j or s[i, j] != 0:
@@ -397,8 +572,13 @@ class Fit:
             add(e.name, structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank))
             if sl.stop > sl.start:
                 for k, v in enumerate(theta[sl]):
-                    out[f"{e.name}.{k + 1}"] = float(math.exp(v) if e.term.level in ("lvr", "sph", "cir", "mtrn") else math.tanh(v))
+                    out[f"{e.name}.{k + 1}"] = float(v if e.term.level == "own" else math.exp(v) if e.term.level in ("lvr", "sph", "cir", "mtrn") else math.tanh(v))
         for s, sl in zip(m.sections, self.likelihood.residual):
+            if m.residual.axes:
+                name = "residual" + (f"({s})" if s is not None else "")
+                out[name] = math.exp(2 * theta[sl][0])
+                out |= {f"{name}.{c}": math.tanh(v) for (_, c), v in zip([a for a in m.residual.axes if a[0] == "ar1"], theta[sl][1:])}
+                continue
             add("residual" + (f"({s})" if s is not None else ""), structures.sigma(theta[sl], m.residual.struct, len(m.traits), m.residual.rank))
         return out
 
@@ -441,7 +621,7 @@ class Fit:
         return self.spark.createDataFrame(rows, "name string, component double, se double")
 
     def fixed(self) -> DataFrame:
-        rows = [(e.name, label, float(self.solution[e.offset + k]), math.sqrt(max(0.0, self.cinv[e.offset + k, e.offset + k]))) for e in self.model.fixed for k, label in enumerate(e.labels)]
+        rows = [(e.name, str(label), float(self.solution[e.offset + k]), math.sqrt(max(0.0, self.cinv[e.offset + k, e.offset + k]))) for e in self.model.fixed if e.name != "(empty cells)" for k, label in enumerate(e.labels)]
         return self.spark.createDataFrame(rows, "term string, effect string, estimate double, se double")
 
     def blups(self) -> DataFrame:
@@ -451,13 +631,15 @@ class Fit:
             for c in range(e.t):
                 for k, label in enumerate(e.labels):
                     j = e.offset + c * e.q + k
-                    rows.append((e.name, str(self.model.traits[c]) if e.t > 1 else None, str(label), float(self.solution[j]), float(self.cinv[j, j])))
+                    rows.append((e.name, (str(self.model.traits[c]) if e.t == len(self.model.traits) else str(c + 1)) if e.t > 1 else None, str(label), float(self.solution[j]), float(self.cinv[j, j])))
         return self.spark.createDataFrame(rows, "term string, trait string, level string, blup double, pev double")
 
     def wald(self) -> DataFrame:
         """Conditional Wald test of each fixed term: term, df, chi2, p."""
         rows = []
         for e in self.model.fixed:
+            if e.name == "(empty cells)":
+                continue
             k = slice(e.offset, e.offset + e.q)
             v, b = self.cinv[k, k], self.solution[k]
             chi2, df = float(b @ np.linalg.pinv(v) @ b), int(np.linalg.matrix_rank(v))
@@ -508,23 +690,31 @@ class Fit:
         return v - z * se, v + z * se
 
 
-def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None) -> Fit:
-    """Maximise the restricted likelihood; entries of fixed_theta that are not NaN stay as given."""
-    like = Likelihood(model)
+def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1) -> Fit:
+    """Maximise the restricted likelihood, or with ml the likelihood; entries of fixed_theta that are not NaN stay as given.
+
+    restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
+    """
+    like = Likelihood(model, ml)
     start = like.start() if theta is None else np.where(np.isnan(theta), like.start(), theta)
     free = np.ones(like.size, dtype=bool)
     if fixed_theta is not None:
         free = np.isnan(fixed_theta)
         start = np.where(free, start, fixed_theta)
     best, value, done = optimise.minimise(like.value_and_gradient, start, free)
+    rng = np.random.default_rng(seed)
+    for _ in range(restarts):
+        other = optimise.minimise(like.value_and_gradient, start + np.where(free, rng.normal(0, 0.5, like.size), 0.0), free)
+        if other[1] < value - 1e-9:
+            best, value, done = other
     c, b, _, _ = like.equations(best)
     cinv = np.linalg.inv(c)
     return Fit(model, like, best, value, done, cinv, cinv @ b, optimise.hessian(lambda th: like.value_and_gradient(th)[1], best), free)
 
 
 def reml(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, **options) -> Fit:
-    """Formulas to fit in one call; options are those of build(), and theta and fixed_theta of fit()."""
-    rest = {k: options.pop(k) for k in ("theta", "fixed_theta") if k in options}
+    """Formulas to fit in one call; options are those of build() and of fit()."""
+    rest = {k: options.pop(k) for k in ("theta", "fixed_theta", "ml", "restarts", "seed") if k in options}
     return fit(build(df, fixed, random, residual, **options), **rest)
 
 
@@ -553,6 +743,17 @@ def fitted(result: Fit, df: DataFrame) -> DataFrame:
     return out.withColumn("fitted", value).withColumn("resid", F.expr(m.response) - F.col("fitted")).drop(*drop)
 
 
+def spatial_trend(result: Fit, name: str) -> DataFrame:
+    """The fitted surface of a spl2d term at its positions: its two columns and trend (fixed and random parts)."""
+    factors, at, lines, blocks, names = result.model.spec["surfaces"][name]
+    place = {e.name: e for e in [*result.model.fixed, *result.model.random]}
+    trend = sum(v * result.solution[place[c].offset] for c, v in zip(names, lines.T))
+    for b, z in blocks.items():
+        e = place[f"{name}.{b}"]
+        trend = trend + z @ result.solution[e.offset : e.offset + e.q]
+    return result.spark.createDataFrame(at.assign(trend=trend))
+
+
 def dense_neg2(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> float:
     """The same likelihood from a dense covariance matrix, for small data."""
     low = np.linalg.cholesky(v)

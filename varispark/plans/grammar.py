@@ -1,8 +1,12 @@
 """Formulas: fixed effects, random terms and residuals, as plain descriptions.
 
     fixed:    "y ~ 1 + trt + x + trt:x"        the response may be any SQL expression
-    random:   "~ gid + us(gid) + ar1(col) + vm(gid, K) + fa(gid, rank=2)"
-    residual: "~ units", "~ diag(trait):units", "~ us(trait):units", "~ dsum(~ units | section)"
+    random:   "~ gid + us(gid) + ar1(col) + vm(gid, K) + fa(gid, rank=2) + mm(weights) + str(~ gid + mm(weights), us, K=K)
+               + own(x, 'exp(-p1 * d)', n_par=1) + spl2d(row, col, nseg=5)"
+    residual: "~ units", "~ diag(trait):units", "~ us(trait):units", "~ ar1(row):ar1(col)", "~ dsum(~ units | section)"
+
+mm() takes a column of maps from levels to numbers; str() has one effect per level for each of its parts, and a
+covariance between them.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ class Residual:
     struct: str = "iid"
     rank: int = 1
     section: str | None = None
+    axes: list[tuple[str, str]] = field(default_factory=list)  # kind (id, ar1) and column of each direction of a lattice
 
 
 def split(text: str, sep: str) -> list[str]:
@@ -78,11 +83,20 @@ def parse_random(formula: str | None) -> list[Term]:
         kind, inside = m[1], split(m[2], ",")
         options = dict(re.split(r"\s*=\s*", x, maxsplit=1) for x in inside if "=" in x)
         factors = [x for x in inside if "=" not in x]
-        unknown = set(options) - {"rank", "K", "Kinv", "struct", "order"}
+        unknown = set(options) - {"rank", "K", "Kinv", "struct", "order", "n_par", "nseg", "deg", "pord"}
         if unknown:
             raise ValueError(f"{part!r}: unknown argument {', '.join(sorted(unknown))}")
         rank = int(options.pop("rank", 1))
-        if kind == "vm":
+        if kind == "str":
+            parts = [re.sub(r"^mm\((\w+)\)$", r"mm:\1", x) for x in split(factors[0].lstrip("~ "), "+")]
+            out.append(Term(part, parts, factors[1] if len(factors) > 1 else "us", "fixed" if options.keys() & {"K", "Kinv"} else "id", rank, {"parts": len(parts), **options}))
+        elif kind == "mm":
+            out.append(Term(part, [f"mm:{factors[0]}"], options.get("struct", "iid"), "fixed" if options.keys() & {"K", "Kinv"} else "id", rank, {"parts": 1, **options}))
+        elif kind == "own":
+            out.append(Term(part, factors[:-1], "iid", "own", rank, {"expr": factors[-1].strip("'\""), "order": options.get("n_par", 1)}))
+        elif kind == "spl2d":
+            out.append(Term(part, factors, "iid", "spl2d", rank, options))
+        elif kind == "vm":
             out.append(Term(part, factors[:1], options.get("struct", "iid"), "fixed", rank, {"K": factors[1], **options}))
         elif kind in SIGMA:
             out.append(Term(part, factors, kind, "fixed" if options.keys() & {"K", "Kinv"} else "id", rank, options))
@@ -100,6 +114,13 @@ def parse_residual(formula: str | None) -> Residual:
     m = re.fullmatch(r"dsum\(\s*~(.*)\|\s*(\w+)\s*\)", body)
     if m:
         inner = parse_residual("~" + m[1])
-        return Residual(inner.struct, inner.rank, m[2])
+        return Residual(inner.struct, inner.rank, m[2], inner.axes)
+    axes = [re.fullmatch(r"(ar1|id)\(\s*(\w+)\s*\)", x) for x in split(body, ":")]
+    if len(axes) == 2 and all(axes):
+        return Residual(axes=[(a[1], a[2]) for a in axes])
     m = re.match(r"(\w+)\(\s*\w+\s*(?:,\s*rank\s*=\s*(\d+))?\s*\)\s*:", body)
-    return Residual(m[1], int(m[2] or 1)) if m else Residual()
+    if m and m[1] in ("iid", "diag", "us", "fa"):
+        return Residual(m[1], int(m[2] or 1))
+    if m or not re.fullmatch(r"\w+", body):
+        raise ValueError(f"residual not understood: {body!r}")
+    return Residual()
