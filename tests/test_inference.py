@@ -92,3 +92,28 @@ def test_posterior(blocks):
     dens = np.array([-u(np.array(t))[0] for t in zip(a.ravel(), b.ravel())]).reshape(a.shape)
     dens = np.exp(dens - dens.max())
     assert got[1]["mean"] == pytest.approx(float((dens * b).sum() / dens.sum()), abs=0.05)
+
+
+def test_pruning(spark):
+    from varispark.operators import design
+
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 3, (12, 40)).astype(float)
+    m[3], m[4], m[9], m[11] = m[2], 1.0, 2 - m[0], m[0]  # a copy, one without variation, a turned copy far off, a copy elsewhere
+    rows = [(k, f"i{j}", float(v), int(k > 9)) for k, x in enumerate(m) for j, v in enumerate(x)]
+    markers = spark.createDataFrame(rows, "snp long, gen string, dose double, chr int")
+    z = [(x - x.mean()) / (x.std() or np.nan) / np.sqrt(40) for x in m]
+
+    def brute(limit, window, duplicates):
+        kept = []
+        for c in (0, 1):
+            places = [k for k in range(12) if (k > 9) == c and np.isfinite(z[k]).all()]
+            mine = []
+            for at, k in enumerate(places):
+                if not any((z[k] @ z[j]) ** 2 >= limit - 1e-12 for j in mine if at - places.index(j) <= window):
+                    mine.append(k)
+            kept += mine
+        return [k for i, k in enumerate(kept) if not duplicates or not any(abs(z[k] @ z[j]) > 1 - 1e-9 for j in kept[:i])]
+
+    for args in ((0.8, 3, True), (0.8, 3, False), (0.05, 4, True)):
+        assert sorted(r[0] for r in design.ld_prune(markers, *args).collect()) == brute(*args)
