@@ -22,7 +22,7 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go."""
     release(spark)
-    return languages.keep_known(docs, languages.fit(docs))
+    return languages.keep_known(docs, languages.fit(docs, learn=F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,6 +262,20 @@ def test_no_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_languages_of_short_and_long_texts_are_learned(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(WORDS["en"][i % 9 : i % 9 + 4]), "en") for i in range(40)]
+    rows += [(100 + i, "1" * 9000 + prose("fr", 2500, i), "fr") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.fit(df)
+    assert sorted(sample) == ["en", "fr"] and all(len(x) > 500 for x in sample.values())
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, sample).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    one = df.where(language_id.held_out()).limit(1)  # the only label is held out
+    assert corpus_pipeline.language_id(spark, one, "").count() == 1
+
+
 def test_bit_planes(spark, folder, docs):
     from tokenizers import Tokenizer
 

@@ -32,12 +32,15 @@ from varispark.llm.shared import held, ship, slices
 #: Bounds of the sample: texts per language, and characters taken from all of them together.
 SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 30_000
-#: Texts of fewer or more characters than these are no sample texts, so that no single text makes up the sample.
-SAMPLE_SIZE = (200, 8_000)
+#: Characters taken from one text, so that no single text makes up the sample; texts of fewer than SHORT are taken last.
+TEXT_CHARS = 8_000
+SHORT = 200
 BLOCK = 512
 #: Symbols: 0 is anything not in a sample.
 SYMBOLS = 128
 RUNS = re.compile(r"[\W\d_]+")
+#: What RUNS leaves, as Java's regular expressions have it.
+LETTERS = r"\p{L}\p{Nl}\p{No}"
 UNKNOWN = "und"
 
 
@@ -165,16 +168,18 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, learn=None) -> dict[str, str]:
     """A sample of labelled texts for each language, of at most so many texts and characters.
 
-    The texts are those with the smallest hashes of their ids, so the choice doesn't depend on the
-    order of rows; a limit before the shuffle leaves each task so many rows of a language at most.
+    Texts of any length that have a letter take part, each with its first TEXT_CHARS characters from its
+    first letter on, so every language that labels such a text is in the sample. The texts are those with the
+    smallest hashes of their ids, short ones after all others, so the choice doesn't depend on the order of
+    rows; a limit before the shuffle leaves each task so many rows of a language at most.
     """
-    size = F.length("text")
-    rows = docs.where(F.col("lang").isNotNull() & size.between(*SAMPLE_SIZE))
-    rows = rows.where(~held_out() if learn is None else learn)
-    rows = rows.select("lang", "text", F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")).alias("h"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts)
+    rows = docs.where(F.col("lang").isNotNull() & (~held_out() if learn is None else learn))
+    cut = F.substring(F.regexp_replace("text", rf"^[^{LETTERS}]+", ""), 1, TEXT_CHARS)
+    rows = rows.select("lang", cut.alias("text"), F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")).alias("h"))
+    rows = rows.where(F.length("text") > 0).withColumn("short", F.length("text") < SHORT)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("short", "h"))).where(F.col("k") <= texts)
     out: dict[str, str] = {}
-    for r in rows.orderBy("lang", "h").toLocalIterator():
+    for r in rows.orderBy("lang", "k").toLocalIterator():
         have = out.get(r["lang"], "")
         if len(have) < chars:
             out[r["lang"]] = (have + " " + plain(r["text"])).strip()[:chars]
