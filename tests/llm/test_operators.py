@@ -276,6 +276,38 @@ def test_languages_of_short_and_long_texts_are_learned(spark):
     assert corpus_pipeline.language_id(spark, one, "").count() == 1
 
 
+def test_every_character_of_the_samples_counts():
+    rng = np.random.default_rng(21)
+    scripts = {"a": range(0x4E00, 0x4F80), "b": range(0x4F80, 0x5100), "c": range(0xAC00, 0xAD80)}  # 384 characters each
+    prose_of = lambda s: "".join(map(chr, rng.choice(list(scripts[s]), 3000)))
+    own = language_id.Model({s: prose_of(s) for s in scripts})
+    for s in scripts:
+        assert own.predict([prose_of(s)[:60]])[0] == [s]
+    assert len(set(own.code[[ord(c) for lang in scripts for c in map(chr, scripts[lang])]])) > 1100
+    strange = "".join(map(chr, range(0x10A0, 0x10C0)))  # in no sample: each is a phrase of its own
+    assert (own.phrases([strange]) == len(strange) + 1).all()
+
+
+def test_moves_are_those_of_the_automaton():
+    rng = np.random.default_rng(22)
+    for symbols, n in ((3, 500), (40, 4000), (3000, 4000)):
+        step = language_id.automaton((rng.zipf(1.3, n) % (symbols - 1) + 1).tolist())
+        moves = language_id.Moves(step, symbols)
+        names, stack = {1: int(moves.start)}, [1]
+        while stack:
+            s = stack.pop()
+            for c, t in step[s].items():
+                at = names[s] ^ c
+                assert moves.own[at] == names[s] and names.setdefault(t, int(moves.next[at])) == moves.next[at]
+                if s == 1:
+                    assert moves.begin[c] == names[t]
+            if s not in (seen := names.setdefault("seen", set())):
+                seen.add(s)
+                stack.extend(step[s].values())
+        names.pop("seen")
+        assert len(set(names.values())) == len(step) - 1 and (moves.own >= 0).sum() == sum(map(len, step))
+
+
 def test_bit_planes(spark, folder, docs):
     from tokenizers import Tokenizer
 

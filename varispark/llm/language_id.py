@@ -36,8 +36,6 @@ SAMPLE_CHARS = 30_000
 TEXT_CHARS = 8_000
 SHORT = 200
 BLOCK = 512
-#: Symbols: 0 is anything not in a sample.
-SYMBOLS = 128
 RUNS = re.compile(r"[\W\d_]+")
 #: What RUNS leaves, as Java's regular expressions have it.
 LETTERS = r"\p{L}\p{Nl}\p{No}"
@@ -49,10 +47,8 @@ def plain(text: str) -> str:
     return RUNS.sub(" ", text.lower()).strip()
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence; row 1 is the start, 0 stands for no transition."""
-    n = 2 * len(codes) + 3
-    move = np.zeros((n, symbols), dtype=np.int32)
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence, by state and code; state 1 is the start, 0 none."""
     step, link, length = [{}, {}], [0, 0], [0, 0]
     last = 1
     for c in codes:
@@ -78,10 +74,48 @@ def automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for s, out in enumerate(step):
-        if out:
-            move[s, list(out)] = list(out.values())
-    return move[: len(step)].copy()
+    return step
+
+
+class Moves:
+    """Transitions of an automaton in one table, of which each takes one place.
+
+    A state is renamed to a number of its own such that its transition on code c is at place number ^ c and no
+    two transitions share a place; own has the number of the state that a place belongs to. The numbers are
+    drawn at random until they fit, states with most transitions first; the table is at least twice as long as
+    there are transitions. Number 0 is a state without transitions.
+    """
+
+    def __init__(self, step: list[dict[int, int]], symbols: int):
+        degree = np.array([len(x) for x in step], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(degree)])
+        code = np.fromiter((c for x in step for c in x), dtype=np.int64, count=first[-1])
+        target = np.fromiter((t for x in step for t in x.values()), dtype=np.int64, count=first[-1])
+        size = 1 << int(max(2 * first[-1], 2 * len(step), symbols)).bit_length()
+        self.own = np.full(size, -1, dtype=np.int32)
+        self.next = np.zeros(size, dtype=np.int32)
+        number = np.zeros(len(step), dtype=np.int64)
+        taken = np.zeros(size, dtype=bool)
+        taken[0] = True
+        claim = np.zeros(size, dtype=np.int64)
+        rng = np.random.default_rng(1)
+        for d in np.unique(degree[1:])[::-1]:
+            left = np.nonzero(degree[1:] == d)[0] + 1
+            while len(left):
+                draw = rng.integers(1, size, len(left))
+                place = draw[:, None] ^ code[first[left][:, None] + np.arange(d)[None, :]]
+                claim[draw] = np.arange(len(left))
+                fits = ~taken[draw] & (claim[draw] == np.arange(len(left)))
+                claim[place.ravel()] = np.repeat(np.arange(len(left)), d)
+                fits &= ((self.own[place] == -1) & (claim[place] == np.arange(len(left))[:, None])).all(axis=1)
+                number[left[fits]] = draw[fits]
+                taken[draw[fits]] = True
+                self.own[place[fits]] = draw[fits][:, None]
+                left = left[~fits]
+        self.next[number[np.repeat(np.arange(len(step)), degree)] ^ code] = number[target]
+        self.start = np.int32(number[1])
+        self.begin = np.zeros(symbols, dtype=np.int32)  # the start's transitions
+        self.begin[list(step[1])] = number[list(step[1].values())]
 
 
 class Model:
@@ -89,16 +123,12 @@ class Model:
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
-        seen: dict[str, int] = {}
-        for lang in self.langs:
-            for c in sample[lang]:
-                seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 1]
+        letters = sorted(set().union(*sample.values()))
         self.symbols = len(letters) + 1
-        self.code = np.zeros(0x110000, dtype=np.uint8)
+        self.code = np.zeros(0x110000, dtype=np.int32)  # 0 is any character that is in no sample
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 1
-        self.moves = [automaton(self.code[_points(sample[x])].tolist(), self.symbols).ravel() for x in self.langs]
+        self.moves = [Moves(automaton(self.code[_points(sample[x])].tolist()), self.symbols) for x in self.langs]
         self.weights = np.array([math.log2(max(2, len(sample[x]))) for x in self.langs])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -119,19 +149,19 @@ class Model:
             grid[: size[b], k] = blocks[b]
         alive = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")  # blocks longer than each position
         who = np.array(owner)[order]
-        width = np.int32(self.symbols)
         for k, move in enumerate(self.moves):
-            state = np.ones(len(blocks), dtype=np.int32)
+            state = np.full(len(blocks), move.start)
             count = np.ones(len(blocks), dtype=np.int32)
             for i in range(int(size.max())):
                 n = alive[i]
                 c = grid[i, :n]
-                s = move[state[:n] * width + c]
-                end = s == 0
+                at = state[:n] ^ c
+                s = move.next[at]
+                end = move.own[at] != state[:n]
                 if end.any():
                     (j,) = np.nonzero(end)
                     count[j] += 1
-                    s[j] = move[width + c[j]]  # a character that no phrase begins with is a phrase of its own
+                    s[j] = move.begin[c[j]]  # a character that no phrase begins with is a phrase of its own
                 state[:n] = s
             out[:, k] = np.bincount(who, weights=count, minlength=len(texts))
         return out
