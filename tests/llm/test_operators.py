@@ -308,6 +308,11 @@ def test_moves_are_those_of_the_automaton():
         assert len(set(names.values())) == len(step) - 1 and (moves.own >= 0).sum() == sum(map(len, step))
 
 
+def test_sample_is_of_60000_characters(spark):
+    df = spark.createDataFrame([(4 * i, prose("en", 1500, i), "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(df, learn=df["lang"].isNotNull())["en"]) == 60_000
+
+
 def test_bit_planes(spark, folder, docs):
     from tokenizers import Tokenizer
 
