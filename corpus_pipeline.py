@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varispark.llm import language_id as languages
 from varispark.llm import line_dedup as lines
-from varispark.llm import mixing, packing, simhash
+from varispark.llm import mixing, near_copies, packing
 from varispark.llm.shared import materialize, release, table
 from varispark.llm.tokens import tokenizer_path
 
@@ -34,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
     release(spark)
-    return simhash.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from varispark.llm import bit_planes, digests, language_id, line_dedup, mixing, packing, queries, secrets, shared, simhash, token_counts, top_k
+from varispark.llm import bit_planes, digests, language_id, line_dedup, mixing, near_copies, packing, queries, secrets, shared, simhash, token_counts, top_k
 from varispark.llm.tokens import encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string, `__x y` int"
@@ -460,6 +460,70 @@ def test_keep_first(spark, docs):
     assert sorted(ids) == sorted({every[r] for r in roots})
 
 
+def near_closure(every):
+    """Smallest index of each text's component, by Jaccard similarities of all pairs."""
+    sets = []
+    for t in every:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block, columns", [(1024, 2048), (5, 30)])
+def test_near_copies_from_a_similarity_of_08(spark, monkeypatch, block, columns):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "COLUMNS", columns)
+    rng = np.random.default_rng(31)
+    rows = []
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        for k in range(8):
+            copy = list(base)
+            for at in rng.choice(150, k // 2, replace=False):  # scattered edits: similarities about 0.75 to 1
+                copy[at] = f"e{rng.integers(0, 4000)}"
+            rows.append((" ".join(copy),))
+    rows += [(None,), ("",), (" x ",), ("X",), ("one two three",), ("one two four",)]
+    rows = [(i, t) for i, (t,) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = near_closure([t for _, t in rows])
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert len(set(want)) < 40
+
+
+def test_bucket_links_are_all_similar_pairs(monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    monkeypatch.setattr(near_copies, "COLUMNS", 9)
+    rng = np.random.default_rng(32)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 92, replace=False), rng.integers(100, 200, 5).astype(np.uint64)])) for _ in range(30)]
+    a, b = near_copies.bucket_links(np.arange(30), sets)
+    found = list(range(30))
+    for x, y in zip(a, b):
+        found[y] = x
+    root = list(range(30))
+    for i in range(30):
+        for j in range(i):
+            if near_copies.similar(sets[i], sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    assert found == root and 1 < len(set(root)) < 30
+
+
 def test_packing(spark, folder, docs):
     from tokenizers import Tokenizer
 
