@@ -524,6 +524,14 @@ def test_bucket_links_are_all_similar_pairs(monkeypatch):
     assert found == root and 1 < len(set(root)) < 30
 
 
+@pytest.mark.parametrize("module", [simhash, near_copies])
+def test_one_row_of_each_component_with_repeated_and_null_ids(spark, module):
+    a, b, c, d = (prose("en", 60, 40 + i) for i in range(4))
+    rows = [(3, a), (7, a), (7, b), (7, c), (9, c), (None, a), (None, d), (None, d), (None, "")]
+    kept = module.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (7, b), (7, c), (None, d), (None, "")], key=repr)
+
+
 def test_packing(spark, folder, docs):
     from tokenizers import Tokenizer
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import materialize, ship, slices
+from varispark.llm.shared import first_row, materialize, rows_at, ship, slices
 from varispark.llm.simhash import SEED, _roots, components
 
 WORDS = 5
@@ -83,19 +83,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, set long, n long, bands array<long>")
 
 
-def first_row():
-    """Of grouped rows the one with the smallest doc_id, nulls last, and text_key."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key"))
-
-
-def rows_at(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """One row of docs for each of at's doc_id and text_key, with at's other columns."""
-    keys = at.withColumnsRenamed({"doc_id": "__near_id", "text_key": "__near_key"})
-    found = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.xxhash64("text") == F.col("__near_key")))
-    one = F.row_number().over(Window.partitionBy("__near_id", "__near_key").orderBy(F.lit(0)))
-    return found.withColumn("__near_one", one).where("__near_one = 1").drop("__near_id", "__near_key", "__near_one")
-
-
 def contents(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
     """set and h, the bytes of its shingles' hashes, of the sets in need's column set."""
 

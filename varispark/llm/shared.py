@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -108,3 +108,16 @@ def slices(batch, rows: int = 512):
     """Sub-batches, so that Python holds the strings of a few documents only."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def first_row():
+    """Of grouped rows the one with the smallest doc_id, nulls last, and text_key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key"))
+
+
+def rows_at(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """One row of docs for each of at's doc_id and text_key, with at's other columns."""
+    keys = at.withColumnsRenamed({"doc_id": "__row_id", "text_key": "__row_key"})
+    found = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__row_id")) & (F.xxhash64("text") == F.col("__row_key")))
+    one = F.row_number().over(Window.partitionBy("__row_id", "__row_key").orderBy(F.lit(0)))
+    return found.withColumn("__row_one", one).where("__row_one = 1").drop("__row_id", "__row_key", "__row_one")

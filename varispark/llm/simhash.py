@@ -26,10 +26,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import materialize, ship, slices
+from varispark.llm.shared import first_row, materialize, rows_at, ship, slices
 
 BITS = 64
 SEED = 42
@@ -65,17 +65,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keyed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; text_key, a hash of the text, where it is asked for."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 fp = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                keys = [part.column(2)] if keyed else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *keys], ["doc_id", "fp", "text_key"][: 2 + keyed])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *[F.xxhash64("text")] * keyed)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def flips(bits: int, most: int, shift: int = 0) -> np.ndarray:
@@ -217,14 +219,19 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    rows = materialize(fingerprints(docs, words), "fingerprints")
+def rooted(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """f, root and component_id of every fingerprint of the rows (doc_id, fp)."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(links(distinct, distinct.count(), distance // 2))
     known = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.select(F.col("fp").alias("f"), "root").join(least, "root").select("f", "component_id")
+    return known.select(F.col("fp").alias("f"), "root").join(least, "root").select("f", "root", "component_id")
+
+
+def groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    rows = materialize(fingerprints(docs, words), "fingerprints")
+    known = rooted(rows, distance).select("f", "component_id")
     return rows.join(known, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
@@ -233,14 +240,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with the columns of docs.
-
-    Of rows that share that doc_id the one whose text hashes lowest stays; components whose ids are all null keep such rows.
-    """
-    found = groups(docs, words, distance)
-    stay = found.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("__sim_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__sim_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("__sim_k", first).where("__sim_k = 1").drop("__sim_k")
-    lost = docs.where("doc_id is null")
-    return kept.unionByName(lost)
+    """One row of each component, that of the smallest doc_id and then text hash, null ids last, with the columns of docs."""
+    rows = materialize(fingerprints(docs, words, keyed=True), "fingerprints")
+    first = rows.join(rooted(rows, distance), F.col("fp") == F.col("f")).groupBy("root").agg(first_row().alias("row"))
+    return rows_at(docs, first.select("row.doc_id", "row.text_key"))
