@@ -225,6 +225,14 @@ def test_stream_repeats_whole_rows(spark, docs):
     assert rows and {tuple(r) for r in rows} <= {tuple(d) for d in docs}
 
 
+def test_stream_has_every_source_that_the_target_reaches(spark):
+    rows = [(2, prose("en", 900, 2), "a"), (1, prose("en", 3000, 1), "b"), (4, prose("en", 9000, 4), "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(df, weights=(5, 900, 1)).collect()}
+    assert 0 < 2 * taken[4][0] < taken[4][1]
+    assert {r["doc_id"] for r in mixing.stream(df, weights=(5, 900, 1)).collect()} == {d for d, (n, _) in taken.items() if n}
+
+
 def test_language(spark, folder, docs):
     got = by_id(collect(spark, "op4", folder))
     right = n = 0

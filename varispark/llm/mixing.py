@@ -125,13 +125,14 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 
 def stream(docs: DataFrame, **options) -> DataFrame:
-    """The documents in training order, each once per pass in which at least half of it is taken.
+    """The documents in training order, each once for its first pass and for every other in which at least half of it is taken.
 
+    So every document that its source's target reaches is there, whole; a source's words differ from its target by less than one document.
     The columns are those of docs. A document's row is found again by doc_id and size; rows that agree
     in both come up equally often, as the one of them that comes first does.
     """
     mixed = mix(docs, **options)
-    times = F.transform(F.filter("passes", lambda x: 2 * x["words"] >= F.col("size")), lambda x: x["time"])
+    times = F.transform(F.filter("passes", lambda x: (x["pass"] == 0) | (2 * x["words"] >= F.col("size"))), lambda x: x["time"])
     mine = mixed.groupBy(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.min(times).alias("__mix_times"))
     found = docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (word_count(F.col("text")) == F.col("__mix_size")))
     found = found.withColumn("__mix_time", F.explode("__mix_times"))
