@@ -612,6 +612,19 @@ def test_small_blocks_and_few_rows(spark):
     assert len(top_k.search(few, "vec_id = 0").collect()) == 2
 
 
+def test_top_k_of_repeated_and_null_ids_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(15)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in [0, 0, 0, 50, 50, 7, 7, 8, 9, 10, 11, None, None]]
+    rows[1] = rows[0]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op9_top_k"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op9_top_k(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_fingerprints(spark, folder, docs):
     rows = by_id(collect(spark, "op10", folder))
     order = sorted(docs, key=lambda d: d[0])

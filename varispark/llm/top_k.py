@@ -181,11 +181,14 @@ def index(rows: DataFrame, blocks: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
-    """The k best rows of each query: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows."""
+    """The k best rows of each query: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows.
+
+    Query rows that share an id are ranked together, each with its own matches, as in the query's SQL.
+    """
     rows = materialize(quantised(vectors), "vectors")
     blocks = max(1, -(-rows.count() // block))
     built = materialize(index(rows, blocks), "slices")
-    asked = rows.where(F.expr(queries)).distinct()
+    asked = rows.where(F.expr(queries))
     groups = max(1, -(-asked.count() // group))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v"), F.xxhash64("vec_id", "v").alias("q"))
     # Tiles: each group of queries meets each block once.
@@ -203,5 +206,5 @@ def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK, g
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "q", "vec_id", "score"])
 
     met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, q long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
