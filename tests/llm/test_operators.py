@@ -679,6 +679,71 @@ def test_pipeline(spark, folder, docs):
     assert out and {r["doc_id"] for r in out} <= {d[0] for d in docs}
 
 
+def plain_pipeline(docs):
+    """Texts and repeats of the five stages by doc_id; ids must not be shared by different texts."""
+    rows = [(d[0], d[1], d[3]) for d in docs if any(c.isalpha() for c in d[1] or "")]
+    strip = lambda x: x.strip(" \t\r\x0b\x0c")
+    pages, count = {}, {}
+    for _, t, s in rows:
+        pages[s] = pages.get(s, 0) + 1
+        for line in {strip(x) for x in t.split("\n")}:
+            count[s, line] = count.get((s, line), 0) + 1
+    gone = lambda s, x: len(x) >= 3 and count[s, x] >= 5 and count[s, x] > 0.1 * pages[s]
+    rows = [(d, "\n".join(x for x in t.split("\n") if not gone(s, strip(x))), s) for d, t, s in rows]
+    rows.sort(key=lambda r: r[0])
+    rows = [rows[i] for i in sorted(set(near_closure([t for _, t, _ in rows])))]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size_of(t)
+    order = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
+    share, full, left = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}, {}, float(sum(sizes.values()))
+    while over := [k for k in share if share[k] * left / sum(share.values()) > 3 * sizes[k]]:
+        for k in over:
+            full[k] = 3.0 * sizes[k]
+        left -= sum(full[k] for k in over)
+        share = {k: w for k, w in share.items() if k not in over}
+    target = full | {k: left * w / sum(share.values()) for k, w in share.items()}
+    start, repeats = {}, {}
+    for d, t, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        n, at = size_of(t), start.get(s, 0)
+        words = [min(n, int(target[s] + 1e-9) - p * sizes[s] - at) for p in range(4)]
+        repeats[d] = sum(w > 0 and (p == 0 or 2 * w >= n) for p, w in enumerate(words))
+        start[s] = at + n
+    return {d: t for d, t, _ in rows}, repeats
+
+
+def test_pipeline_equals_plain_stages(spark, folder, docs):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    library = Tokenizer.from_file(tokenizer_path(queries.BYTE_BPE))
+    kept, repeats = plain_pipeline(docs)
+    want, got, where = [], [], {}
+    for d, t in kept.items():
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want += [(d, zlib.crc32(ids.tobytes()))] * repeats[d] if len(ids) <= 1024 else [(d, len(ids))] * repeats[d]
+    long = {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        where.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        ids = library.encode(kept[r["doc_id"]], add_special_tokens=False).ids + [2]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        if len(ids) <= 1024:
+            got.append((r["doc_id"], r["ids_crc32"]))
+        else:
+            long[r["doc_id"]] = long.get(r["doc_id"], 0) + r["length"]
+            got += [(r["doc_id"], len(ids))] if r["start"] == 0 else []
+    assert sorted(got) == sorted(want) and len(want) > len(kept) > 30
+    for d, n in long.items():
+        assert n == repeats[d] * (len(library.encode(kept[d], add_special_tokens=False).ids) + 1)
+    for parts in where.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def test_scratch_is_released(spark):
     df = shared.materialize(spark.range(3), "x")
     assert df.count() == 3
