@@ -442,6 +442,45 @@ def test_ball_links_lose_nothing(spark, group):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_heavy_leads_are_told_apart(spark):
+    rng = np.random.default_rng(12)
+    top = 0b1011 << 60
+    fps = {top | int(x) for x in rng.integers(0, 1 << 24, 300)} | {int(x) for x in rng.integers(0, 1 << 62, 40)}
+    for x in list(fps)[:120]:
+        for b in rng.choice(64, int(rng.integers(1, 6)), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    bits, heavy = simhash.heavy_leads(df, len(fps), 8)
+    assert bits and len(heavy) > 3
+    found = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in simhash.components(simhash.links(df, len(fps), group=8)).collect()}
+    want, mine = {}, {}
+    for x, r in zip(fps, closure(fps)):
+        want.setdefault(r, set()).add(x)
+        mine.setdefault(found.get(x, x), set()).add(x)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("group", [1 << 20, 40])
+def test_candidates_at_a_similarity_of_08(spark, group):
+    rng = np.random.default_rng(13)
+    rows, pairs = [], []
+    for g in range(200):
+        base = np.unique(rng.integers(0, 1 << 62, 130, dtype=np.uint64))
+        a, b = base[:100], np.concatenate([base[:89], base[100:111]])  # 89 of 111
+        for k, h in enumerate((a, b)):
+            rows.append((2 * g + k, len(h), bytearray(near_copies.signature(np.sort(h)).tobytes())))
+        pairs.append((2 * g, 2 * g + 1))
+    shared.ship(spark)
+    met = near_copies.candidates(spark.createDataFrame(rows, "set long, n long, signature binary"), len(rows), group).collect()
+    cells = {}
+    for r in met:
+        cells.setdefault((r["cell"], r["low"]), set()).add(r["set"])
+    found = sum(any(a in c and b in c for c in cells.values()) for a, b in pairs)
+    assert found >= 198 and all(len(c) < 10 for c in cells.values())
+
+
 def test_group_links_in_parts(monkeypatch):
     rng = np.random.default_rng(10)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
@@ -491,6 +530,7 @@ def near_closure(every):
 
 @pytest.mark.parametrize("block, columns", [(1024, 2048), (5, 30)])
 def test_near_copies_from_a_similarity_of_08(spark, monkeypatch, block, columns):
+    """Ball hashing over several fingerprints, against the closure of all pairs."""
     import corpus_pipeline
 
     monkeypatch.setattr(near_copies, "BLOCK", block)

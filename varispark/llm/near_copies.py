@@ -1,13 +1,19 @@
-"""Near copies by the Jaccard similarity of their shingles, found by MinHash bands and verified exactly.
+"""Near copies by several SimHash fingerprints of a text's shingles, verified by their Jaccard similarity.
 
 A text is the set of its runs of WORDS words; ASCII letters are lower-cased, a shorter text is one
 run. Two texts are near copies if their sets' Jaccard similarity is SIMILAR or more, and near copies
-of near copies are of one component. Candidates are sets that agree in one of BANDS bands of ROWS
-minima each: a pair of similarity s agrees in some band with probability 1 - (1 - s^ROWS)^BANDS,
-which is 0.99998 at 0.8. Every candidate pair that can still join two components is verified on
-the shingles: first each member of a bucket against the bucket's smallest, then, in buckets that
-these links leave in different components, all pairs at once by products of incidence matrices. A
-bucket gives back at most one link for each of its members.
+of near copies are of one component.
+
+Sets with a similarity of 0.8 differ in 15 % of their SimHash bits, 10 of 64, and a ball of that radius
+has too many variants to emit. So a set has TABLES independent fingerprints of WIDTH bits: two sets
+are candidates if any of them differ in 2 * RADIUS bits or fewer, which at 0.8 one of them does with
+probability 0.25, and some of 24 with 0.9991. Candidates come from meet-in-the-middle ball hashing as
+in simhash.py: all variants within RADIUS bits are made and those of one value linked, here only if
+GUARD further bits of the two differ in GUARD_BITS or fewer (0.99999 of pairs at 0.8; 1 in 170 of unlike
+ones). Each group of variants gives back its components, and these are verified on the shingles:
+first each member against the component's smallest, then, in components that these links leave in
+several parts, all pairs at once by products of incidence matrices. A component gives back at most one
+link for each of its members.
 
 Equal sets are one from the start, so groups of copies are candidates once. Null texts and texts
 without a word have the empty set.
@@ -17,23 +23,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import first_row, materialize, rows_at, ship, slices
-from varispark.llm.simhash import SEED, _roots, components
+from varispark.llm.shared import first_row, grouped, materialize, rows_at, ship, slices
+from varispark.llm.simhash import SEED, _roots, components, flips, joined
 
 WORDS = 5
 #: Similarity from which texts are near copies, in hundredths.
 SIMILAR = 80
-BANDS = 60
-ROWS = 8
-#: Shingles whose minima are taken at once.
-STEP = 512
-#: Sets of a bucket whose pairs are counted at once, and shingles of them.
+#: Fingerprints of a set, bits of each, and half the number of bits in which linked ones may differ.
+TABLES, WIDTH, RADIUS = 24, 40, 2
+#: Further bits of a set, and in how many of them linked sets may differ.
+GUARD, GUARD_BITS = 64, 22
+#: Sets of one fingerprint that meet in a task, about, by their own leading bits.
+GROUP = 1 << 20
+#: Sets of a component whose pairs are counted at once, and shingles of them.
 BLOCK = 1_024
 COLUMNS = 2_048
-FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LONGS = (TABLES * WIDTH + GUARD) // 64
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, LONGS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A byte's bits as bytes of a long, so that up to 255 of them are counted by one addition.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -47,17 +58,16 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], dtype=np.uint64))
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """One key for each band, of its number and minima; none for the empty set."""
-    import xxhash
-
-    if not len(h):
-        return []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), STEP):
-        least = np.minimum(least, (h[None, at : at + STEP] * FACTORS[:, None]).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+def signature(h: np.ndarray) -> np.ndarray:
+    """All fingerprints of a set, one after the other: a bit is 1 if more than half of the shingles' mixed hashes have it."""
+    total = np.zeros(LONGS * 64, dtype=np.int64)
+    for at in range(0, len(h), 255):
+        x = h[at : at + 255, None] * FACTORS[None, :]
+        x ^= x >> np.uint64(32)
+        x *= FACTORS[::-1][None, :]
+        x ^= x >> np.uint64(29)
+        total += SPREAD[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -66,7 +76,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_key, set (a hash of the shingles), n (their number) and bands."""
+    """Per row: doc_id, text_key, set (a hash of the shingles), n (their number) and signature."""
     import xxhash
 
     ship(docs.sparkSession)
@@ -76,11 +86,52 @@ def sketches(docs: DataFrame) -> DataFrame:
             for part in slices(batch, 128):
                 sets = [shingles(t) for t in part.column(2).to_pylist()]
                 name = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
-                columns = [part.column(0), part.column(1), pa.array(name), pa.array([len(h) for h in sets], pa.int64()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set", "n", "bands"])
+                columns = [part.column(0), part.column(1), pa.array(name), pa.array([len(h) for h in sets], pa.int64()), pa.array([signature(h).tobytes() for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set", "n", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, set long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, set long, n long, signature binary")
+
+
+def candidates(sets: DataFrame, count: int, group: int | None = None) -> DataFrame:
+    """Components of two sets or more under candidate links within one group of variants.
+
+    sets: set, n and signature of each non-empty set. A row per member: set, n, cell (table and leading bits), and low
+    and low_n, the component's smallest set and that one's n. A group holds about (1 + b + b * b / 2) * 24 * GROUP
+    bytes, where b, the number of leading bits, grows with the logarithm of count.
+    """
+    bits = max(0, (max(1, count) // (group or GROUP)).bit_length())
+    around, low, size = flips(bits, RADIUS), np.uint64(WIDTH - bits), WIDTH // 8
+
+    def send(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                name, n = (part.column(i).to_numpy().repeat(len(around)) for i in (0, 1))
+                every = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                guard = np.ascontiguousarray(every[:, TABLES * size :]).view("<i8")[:, 0].repeat(len(around))
+                for t in range(TABLES):
+                    fp = np.zeros((part.num_rows, 8), dtype=np.uint8)
+                    fp[:, :size] = every[:, t * size : (t + 1) * size]
+                    fp = fp.view("<u8")[:, 0]
+                    top = (fp >> low) if bits else np.zeros(len(fp), dtype=np.uint64)
+                    cell = (top[:, None] ^ around[None, :]).ravel().astype(np.int64) + (t << WIDTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cell, fp.repeat(len(around)).view(np.int64), guard, name, n)], ["cell", "fp", "guard", "set", "n"])
+
+    def meet(batches):
+        for (cell,), (fp, guard, name, n) in grouped(batches, 1):
+            if len(fp) < 2:
+                continue
+            order = np.lexsort((name, n))
+            fp, guard, name, n = fp[order].view(np.uint64), guard[order].view(np.uint64), name[order], n[order]
+            root = joined(fp, cell & (1 << WIDTH) - 1, bits, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, WIDTH)
+            (k,) = np.nonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            low = root[k]
+            for at in range(0, len(k), 65_536):
+                i, j = k[at : at + 65_536], low[at : at + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name[i], n[i], np.full(len(i), cell), name[j], n[j])], ["set", "n", "cell", "low", "low_n"])
+
+    sent = sets.select("set", "n", "signature").mapInArrow(send, "cell long, fp long, guard long, set long, n long")
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "set long, n long, cell long, low long, low_n long")
 
 
 def contents(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
@@ -109,7 +160,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def bucket_links(names: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the similar ones of all pairs of a bucket's sets."""
+    """Links that join the similar ones of all pairs of these sets."""
     n = np.array([len(h) for h in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), n)[count[column] > 1]
@@ -135,7 +186,7 @@ def bucket_links(names: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def bucketed(members: DataFrame) -> DataFrame:
-    """Links of all buckets: members has key, set and h."""
+    """Links of all components of candidates: members has key, set and h."""
 
     def run(batches):
         key, names, held = None, [], []
@@ -161,27 +212,23 @@ def bucketed(members: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and root of every row: rows of one root are one component."""
     rows = materialize(sketches(docs), "sketches")
-    sets = materialize(rows.groupBy("set").agg(first_row().alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-    keyed = sets.select("set", "n", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    met = keyed.withColumn("low", F.min("set").over(bucket)).withColumn("high", F.max("set").over(bucket)).withColumn("low_n", F.min_by("n", "set").over(bucket))
-    met = materialize(met.where("low < high").select("set", "n", "key", "low", "low_n"), "buckets")
+    sets = materialize(rows.groupBy("set").agg(first_row().alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
+    met = materialize(candidates(sets.where("n > 0"), sets.count()), "candidates")
 
     def near(n, m):
         return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR  # sets of other sizes can't be similar
 
     star = met.where((F.col("set") != F.col("low")) & near(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
     links = materialize(verified(docs, sets, materialize(star, "pairs")), "verified")
-    joined = components(links)
-    placed = met.join(joined, F.col("set") == F.col("node"), "left").select("set", "key", F.coalesce("root", "set").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    # A bucket whose two sets were compared already has nothing left to compare.
-    more = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 2").select("key")
-    placed = materialize(placed.join(split, "key", "left_semi").join(more, "key", "left_semi").select("set", "key"), "split")
+    placed = met.join(components(links), F.col("set") == F.col("node"), "left").select("set", F.xxhash64("cell", "low").alias("key"), F.coalesce("root", "set").alias("root"))
+    # A component of two sets has been compared already; those with the same members are compared once.
+    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("names"))
+    split = split.where("x < y and members > 2").groupBy("members", "names").agg(F.min("key").alias("key")).select("key")
+    placed = materialize(placed.join(split, "key", "left_semi").select("set", "key"), "split")
     held = contents(docs, sets, placed.select("set"))
     links = links.unionByName(bucketed(placed.join(held, "set")))
-    joined = components(links)
-    known = sets.join(joined, F.col("set") == F.col("node"), "left").select(F.col("set").alias("s"), F.coalesce("root", "set").alias("root"))
+    joined_up = components(links)
+    known = sets.join(joined_up, F.col("set") == F.col("node"), "left").select(F.col("set").alias("s"), F.coalesce("root", "set").alias("root"))
     return rows.join(known, F.col("set") == F.col("s")).select("doc_id", "text_key", "root")
 
 

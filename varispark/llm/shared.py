@@ -110,6 +110,28 @@ def slices(batch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+def grouped(batches, keys: int):
+    """Keys and arrays of the other columns of each run of rows that agree in their first columns, whole numbers all."""
+    import numpy as np
+
+    now, parts = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        new = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+        cut = [0, *(np.nonzero(new)[0] + 1).tolist(), batch.num_rows]
+        for x, y in zip(cut, cut[1:]):
+            key = tuple(int(c[x]) for c in columns[:keys])
+            if key != now and parts:
+                yield now, [np.concatenate(p) for p in zip(*parts)]
+                parts = []
+            now = key
+            parts.append([c[x:y] for c in columns[keys:]])
+    if parts:
+        yield now, [np.concatenate(p) for p in zip(*parts)]
+
+
 def first_row():
     """Of grouped rows the one with the smallest doc_id, nulls last, and text_key."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key"))

@@ -8,8 +8,9 @@ one of them to the rest says as much as all pairs.
 The shuffle on variants is by their leading bits: a fingerprint is sent once to each leading part
 that one of its variants has (its own, and those with up to r of these bits flipped), and the
 variants' other bits are flipped where they arrive. The number of leading bits follows the number
-of fingerprints, so that a group holds about GROUP of their variants' sources; within a group the
-variants are sorted as plain arrays, block by block. Each group gives back links that join what it
+of fingerprints, so that a group holds about GROUP of their variants' sources, and a leading part that
+far more fingerprints have is told apart by further bits; within a group the variants are sorted as
+plain arrays, block by block. Each group gives back links that join what it
 joined, at most one for each fingerprint that reached it, each verified by its bits.
 
 Links are joined to components by rounds of taking the smallest neighbour, as tables in the shared
@@ -22,6 +23,7 @@ smallest doc_id reachable; null ids are not counted, and a component of null ids
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import first_row, materialize, rows_at, ship, slices
+from varispark.llm.shared import first_row, grouped, materialize, rows_at, ship, slices
 
 BITS = 64
 SEED = 42
@@ -37,6 +39,8 @@ WORDS = 4
 DISTANCE = 4
 #: Fingerprints of one group, about, by their own leading bits.
 GROUP = 2_000
+#: A leading part with more than HEAVY groups' fingerprints is told apart by DEEPER more bits.
+HEAVY, DEEPER = 4, 4
 #: Shingles whose bits are counted at once.
 STEP = 16_384
 #: Rows of variants that are sorted at once, about.
@@ -80,6 +84,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keyed: bool = False) -> Da
     return rows.mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
+@functools.cache
 def flips(bits: int, most: int, shift: int = 0) -> np.ndarray:
     """Masks of up to so many flipped bits, by their number and then in order."""
     out = [0]
@@ -105,92 +110,146 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a[x != y], b[x != y]
 
 
-def group_links(lead: int, fps: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the fingerprints with a common variant whose leading bits are lead.
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components of root with the links a-b added; root has the smallest member of each node's component."""
+    a, b = root[a], root[b]
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return root
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = root.copy()
+    root[nodes] = nodes[_roots(len(nodes), place[: len(a)], place[len(a) :])]
+    return root[root]
+
+
+def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners that stand next to each other among those of one key, for all keys of so many bits."""
+    places = int(owner.max()).bit_length()
+    if bits + places <= 64:
+        shift = np.uint64(places)
+        both = np.sort((key << shift) | owner.astype(np.uint64))
+        key, owner = both >> shift, (both & np.uint64((1 << places) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+    (same,) = np.nonzero(key[1:] == key[:-1])
+    return owner[same], owner[same + 1]
 
-    fps: the distinct fingerprints sent here; bits: the number of leading bits.
+
+def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int = BITS) -> np.ndarray:
+    """Smallest index of each fingerprint's component, where those with a common variant are linked if near(i, j).
+
+    The variants are those whose first so many bits are lead. They are made and sorted by parts of their values, a
+    part at a time.
     """
-    low = BITS - bits
+    low = width - bits
     used = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(lead)) if bits else np.zeros(len(fps), dtype=np.uint8)
     rest = fps & np.uint64((1 << low) - 1)
-    masks = [flips(low, m) for m in range(radius + 1)]
-    # The variants are made and sorted by parts of their values, a part at a time.
-    total = sum(int((used == u).sum()) * len(masks[radius - u]) for u in range(radius + 1))
-    split = max(0, (total // SORTED).bit_length())
+    masks = [flips(low, radius - u) for u in range(radius + 1)]
+    total = sum(int((used == u).sum()) * len(masks[u]) for u in range(radius + 1))
+    split = min(low, max(0, (total // SORTED).bit_length()))
     shift = np.uint64(low - split)
+    kinds = []  # fingerprints in order, where each part of their values begins, and masks by their leading part
+    for u, mask in enumerate(masks):
+        (who,) = np.nonzero(used == u)
+        if len(who):
+            who = who[np.argsort(rest[who])]
+            begin = np.searchsorted(rest[who] >> shift, np.arange((1 << split) + 1).astype(np.uint64)) if split else np.array([0, len(who)])
+            top = mask >> shift if split else np.zeros(len(mask), dtype=np.uint64)
+            kinds.append((who, begin, [(int(t), mask[top == t]) for t in np.unique(top)]))
     root = np.arange(len(fps))
     for part in range(1 << split):
         keys, owners = [], []
-        for u in range(radius + 1):
-            (who,) = np.nonzero(used == u)
-            if not len(who):
-                continue
-            mask = masks[radius - u]
-            if split:
-                # a mask's leading part decides which fingerprints it brings into this part
-                top, mine = mask >> shift, rest[who] >> shift
-                for t in np.unique(top):
-                    sel = who[mine ^ t == np.uint64(part)]
-                    m = mask[top == t]
-                    if len(sel):
-                        keys.append((rest[sel][:, None] ^ m[None, :]).ravel())
-                        owners.append(np.repeat(sel, len(m)))
-            else:
-                keys.append((rest[who][:, None] ^ mask[None, :]).ravel())
-                owners.append(np.repeat(who, len(mask)))
+        for who, begin, by_top in kinds:
+            for t, mask in by_top:
+                mine = who[begin[part ^ t] : begin[(part ^ t) + 1]]
+                if len(mine):
+                    keys.append((rest[mine][:, None] ^ mask[None, :]).ravel())
+                    owners.append(np.repeat(mine, len(mask)))
         if not keys:
             continue
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        (same,) = np.nonzero(key[1:] == key[:-1])
-        if len(same):
-            a, b = owner[same], owner[same + 1]
-            pair = np.unique(np.minimum(a, b).astype(np.int64) * len(fps) + np.maximum(a, b))
+        key = np.concatenate(keys)
+        if split:
+            key &= np.uint64((1 << (low - split)) - 1)  # all keys of a part agree in the rest
+        a, b = _neighbours(key, np.concatenate(owners), low - split)
+        if len(a):
+            pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
             a, b = pair // len(fps), pair % len(fps)
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius
-            a, b = a[near], b[near]
-            root = _roots(len(fps), np.concatenate([a, np.arange(len(fps))]), np.concatenate([b, root]))
+            linked = near(a, b)
+            root = merge(root, a[linked], b[linked])
+    return root
+
+
+def group_links(lead: int, fps: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the fingerprints with a common variant whose leading bits are lead.
+
+    fps: the distinct fingerprints sent here; bits: the number of leading bits.
+    """
+    root = joined(fps, lead, bits, radius, lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius)
     (k,) = np.nonzero(root != np.arange(len(fps)))
     return fps[root[k]], fps[k]
 
 
+def heavy_leads(distinct: DataFrame, count: int, group: int) -> tuple[int, list[np.ndarray]]:
+    """Number of leading bits, and for each further step of DEEPER bits the leads that are still too heavy.
+
+    A lead is heavy if more than HEAVY * group fingerprints begin with it; it is then taken DEEPER bits longer. The
+    driver holds heavy leads only, at most count / (HEAVY * group) for each step.
+    """
+    bits = max(0, (max(1, count) // group).bit_length())
+    found: list[np.ndarray] = []
+    at = bits
+    while at <= BITS - DEEPER and count > HEAVY * group:
+        lead = F.shiftrightunsigned("fp", BITS - at) if at else F.lit(0).cast("long")
+        rows = distinct.select(lead.alias("lead")).groupBy("lead").count().where(F.col("count") > HEAVY * group).collect()
+        if not rows:
+            break
+        found.append(np.array(sorted(r["lead"] for r in rows), dtype=np.uint64))
+        at += DEEPER
+    return bits, found
+
+
+def leads(fp: np.ndarray, bits: int, heavy: list[np.ndarray], radius: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of leading bits, lead, and the fingerprint's place, for each part of the variants that has one of its variants."""
+    start = flips(bits, radius)
+    top = (fp >> np.uint64(BITS - bits)) if bits else np.zeros(len(fp), dtype=np.uint64)
+    who, lead = np.repeat(np.arange(len(fp)), len(start)), (top[:, None] ^ start[None, :]).ravel()
+    used = np.tile(np.bitwise_count(start), len(fp))
+    out = []
+    for step, names in enumerate([*heavy, np.zeros(0, dtype=np.uint64)]):
+        deeper = np.isin(lead, names)
+        out.append((bits + step * DEEPER, lead[~deeper], who[~deeper]))
+        if not deeper.any():
+            break
+        who, lead, used = who[deeper], lead[deeper], used[deeper]
+        more = flips(DEEPER, radius)
+        low = np.uint64(BITS - bits - (step + 1) * DEEPER)
+        following = (fp[who] >> low) & np.uint64((1 << DEEPER) - 1)
+        total = used[:, None] + np.bitwise_count(more)[None, :]
+        fits = (total <= radius).ravel()
+        lead = ((lead << np.uint64(DEEPER))[:, None] | (following[:, None] ^ more[None, :])).ravel()[fits]
+        who, used = np.repeat(who, len(more))[fits], total.ravel()[fits]
+    return out
+
+
 def links(distinct: DataFrame, count: int, radius: int = DISTANCE // 2, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all within 2 * radius bits."""
     ship(distinct.sparkSession)
-    bits = max(0, (max(1, count) // group).bit_length())
-    masks = flips(bits, radius)
-    low = np.uint64(BITS - bits)
+    bits, heavy = heavy_leads(distinct, count, group)
 
     def send(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            lead = (fp >> low) if bits else np.zeros(len(fp), dtype=np.uint64)
-            lead = (lead[:, None] ^ masks[None, :]).ravel().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["lead", "fp"])
+            for size, lead, who in leads(fp, bits, heavy, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), size, dtype=np.int32)), pa.array(lead.view(np.int64)), pa.array(fp[who].view(np.int64))], ["bits", "lead", "fp"])
 
     def meet(batches):
-        lead, held = None, []
-
-        def end():
-            a, b = group_links(lead, np.concatenate(held), bits, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for (size, lead), (fp,) in grouped(batches, 2):
+            a, b = group_links(lead & (1 << 64) - 1, fp.view(np.uint64), size, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            leads, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            cut = [0, *(np.nonzero(leads[1:] != leads[:-1])[0] + 1).tolist(), len(leads)]
-            for x, y in zip(cut, cut[1:]):
-                if y > x:
-                    if lead is not None and leads[x] != lead:
-                        yield end()
-                        held = []
-                    lead = int(leads[x])
-                    held.append(fp[x:y])
-        if held:
-            yield end()
-
-    sent = distinct.select("fp").mapInArrow(send, "lead long, fp long")
-    met = sent.repartition("lead").sortWithinPartitions("lead").mapInArrow(meet, "a long, b long")
+    sent = distinct.select("fp").mapInArrow(send, "bits int, lead long, fp long")
+    met = sent.repartition("bits", "lead").sortWithinPartitions("bits", "lead").mapInArrow(meet, "a long, b long")
     return met.distinct()
 
 
