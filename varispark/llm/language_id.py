@@ -3,13 +3,15 @@
 A bounded sample of labelled texts per language is turned into a suffix automaton, the smallest
 automaton that knows every substring of the sample. A text is parsed against each automaton from
 left to right into longest matches: when no match can be extended a phrase ends and the next
-begins. Phrases per character times the log of the sample's length estimate the cross entropy of
-the text under the language; the language that needs fewest normalised phrases wins, ties go to
-the smaller language name.
-
-Letters are lower-cased, runs of other characters are one space. A text's parse begins anew every
-BLOCK characters, so that blocks of many texts are parsed together by array operations; every
-character of a text is parsed. The automata are built in each Python process from the sample,
+begins; a character that the sample does not have counts as two phrases. Phrases per character
+times the log of the sample's length estimate the cross entropy of the text under the language; the
+language that needs fewest normalised phrases wins, ties go to the smaller language name.
+
+Letters are lower-cased, runs of other characters are one space. Texts are cut into blocks of BLOCK
+characters, and blocks of many texts are parsed together by array operations: first as if a phrase
+began with each block, then once more those that the block before leaves within a phrase, from the
+state it leaves, until no block's first state changes. So the phrases are those of one parse from the
+text's first character to its last. The automata are built in each Python process from the sample,
 which is all that is sent to executors.
 
 Null texts and texts without a letter are ``und`` with score 0. Null labels are not learned from;
@@ -36,13 +38,14 @@ SAMPLE_CHARS = 60_000
 TEXT_CHARS = 8_000
 SHORT = 200
 BLOCK = 512
-RUNS = re.compile(r"[\W\d_]+")
+#: Numbers that are neither letters nor decimal digits: \w has them.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+RUNS = re.compile(rf"[\W\d_{NUMBERS}]+")
 #: What RUNS leaves, as Java's regular expressions have it.
-LETTERS = r"\p{L}\p{Nl}\p{No}"
+LETTERS = r"\p{L}"
 UNKNOWN = "und"
 
 
-
 def plain(text: str) -> str:
     return RUNS.sub(" ", text.lower()).strip()
 
@@ -133,12 +136,13 @@ class Model:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each plain text under each language."""
-        blocks, owner = [], []
+        blocks, owner, first = [], [], []
         for i, t in enumerate(texts):
             codes = self.code[_points(t)]
             for at in range(0, len(codes), BLOCK):
                 blocks.append(codes[at : at + BLOCK])
                 owner.append(i)
+                first.append(not at)
         out = np.zeros((len(texts), len(self.langs)))
         if not blocks:
             return out
@@ -147,25 +151,42 @@ class Model:
         grid = np.zeros((BLOCK, len(blocks)), dtype=np.int32)
         for k, b in enumerate(order):
             grid[: size[b], k] = blocks[b]
-        alive = np.searchsorted(-size[order], -np.arange(BLOCK), side="left")  # blocks longer than each position
-        who = np.array(owner)[order]
+        size, who = size[order], np.array(owner)[order]
+        place = np.empty(len(blocks), dtype=np.int64)
+        place[order] = np.arange(len(blocks))
+        (later,) = np.nonzero(~np.array(first))
+        block, before = place[later], place[later - 1]
         for k, move in enumerate(self.moves):
-            state = np.full(len(blocks), move.start)
-            count = np.ones(len(blocks), dtype=np.int32)
-            for i in range(int(size.max())):
-                n = alive[i]
-                c = grid[i, :n]
-                at = state[:n] ^ c
-                s = move.next[at]
-                end = move.own[at] != state[:n]
-                if end.any():
-                    (j,) = np.nonzero(end)
-                    count[j] += 1
-                    s[j] = move.begin[c[j]]  # a character that no phrase begins with is a phrase of its own
-                state[:n] = s
+            # State 0 is that of a finished phrase: any character begins the next one.
+            begin = np.zeros(len(blocks), dtype=np.int32)
+            count, end = self._parse(move, grid, size, begin)
+            while True:
+                changed = end[before] != begin[block]
+                todo = np.sort(block[changed])  # longer blocks come first
+                if not len(todo):
+                    break
+                begin[block] = end[before]
+                count[todo], end[todo] = self._parse(move, grid[:, todo], size[todo], begin[todo])
             out[:, k] = np.bincount(who, weights=count, minlength=len(texts))
         return out
 
+    @staticmethod
+    def _parse(move: Moves, grid: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block (a column of grid, longer ones first), and the state at its end."""
+        alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # blocks longer than each position
+        state, count = begin.copy(), np.zeros(len(size), dtype=np.int32)
+        for i, n in enumerate(alive.tolist()):
+            c = grid[i, :n]
+            at = state[:n] ^ c
+            s = move.next[at]
+            ended = move.own[at] != state[:n]
+            if ended.any():
+                (j,) = np.nonzero(ended)
+                s[j] = move.begin[c[j]]
+                count[j] += 1 + (s[j] == 0)  # a character that the sample doesn't have takes two: an escape and itself
+            state[:n] = s
+        return count, state
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         clean = [plain(t) if t else "" for t in texts]
         if not self.langs:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import BROADCAST_BYTES, materialize
+from varispark.llm.shared import BROADCAST_BYTES, materialize, unused
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -46,26 +46,28 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return found.where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("drop"))
 
 
-def clean(pages: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text") -> DataFrame:
-    """The pages with the columns they had, their boilerplate lines dropped from the text, and __line_n and __line_dropped."""
+def clean(pages: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", counts: tuple[str, str] = ("__line_n", "__line_dropped")) -> DataFrame:
+    """The pages with the columns they had, their boilerplate lines dropped from the text, and the numbers of lines and of
+    dropped ones under the names of counts, in place of any such columns of the pages."""
+    p = unused("__line", pages)
     drop = materialize(boilerplate(pages, host, F.col(text_col), ratio, min_pages), "boilerplate")
-    drop = drop.select(F.col("host").alias("__line_host"), F.col("drop").alias("__line_drop"))
-    size = drop.agg(F.coalesce(F.sum(F.size("__line_drop") * 32 + 200), F.lit(0))).first()[0]
+    drop = drop.select(F.col("host").alias(f"{p}_host"), F.col("drop").alias(f"{p}_drop"))
+    size = drop.agg(F.coalesce(F.sum(F.size(f"{p}_drop") * 32 + 200), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
-        found = pages.join(F.broadcast(drop), host.eqNullSafe(F.col("__line_host")), "left")
+        found = pages.join(F.broadcast(drop), host.eqNullSafe(F.col(f"{p}_host")), "left")
     else:
-        salted = drop.withColumn("__line_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = drop.withColumn(f"{p}_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int")
-        found = pages.join(salted, host.eqNullSafe(F.col("__line_host")) & (salt == F.col("__line_salt")), "left")
+        found = pages.join(salted, host.eqNullSafe(F.col(f"{p}_host")) & (salt == F.col(f"{p}_salt")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     pairs = F.arrays_zip(lines.alias("line"), _keys(F.col(text_col)).alias("key"))
-    kept = F.filter(pairs, lambda p: p["key"].isNull() | ~F.array_contains(F.col("__line_drop"), p["key"]))
-    found = found.withColumn("__line_kept", F.when(F.col("__line_drop").isNull(), F.lit(None)).otherwise(F.transform(kept, lambda p: p["line"])))
+    kept = F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col(f"{p}_drop"), x["key"]))
+    found = found.withColumn(f"{p}_kept", F.when(F.col(f"{p}_drop").isNull(), F.lit(None)).otherwise(F.transform(kept, lambda x: x["line"])))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    dropped = F.when(F.col("__line_kept").isNull(), 0).otherwise(n - F.size("__line_kept")).cast("long")
-    text = F.when(dropped > 0, F.array_join("__line_kept", "\n")).otherwise(F.col(text_col))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
-    return found.select(*columns, n.alias("__line_n"), dropped.alias("__line_dropped"))
+    dropped = F.when(F.col(f"{p}_kept").isNull(), 0).otherwise(n - F.size(f"{p}_kept")).cast("long")
+    text = F.when(dropped > 0, F.array_join(f"{p}_kept", "\n")).otherwise(F.col(text_col))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns if c.lower() not in counts]
+    return found.select(*columns, n.alias(counts[0]), dropped.alias(counts[1]))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import materialize, word_count
+from varispark.llm.shared import materialize, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -35,9 +35,13 @@ BUCKET_ROWS = 20_000
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, size and the document's pseudo-random key, and other columns."""
-    # A null id has a key of its own; copies of a row have equal keys and stand together.
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *more)
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(docs).alias("key"), *more)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text: rows that share an id, or have none, are spread by their texts; copies of a row stand together."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.md5(F.concat_ws(":", part(docs["doc_id"].cast("string")), part(F.md5(docs["text"]))))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -128,12 +132,13 @@ def stream(docs: DataFrame, **options) -> DataFrame:
     """The documents in training order, each once for its first pass and for every other in which at least half of it is taken.
 
     So every document that its source's target reaches is there, whole; a source's words differ from its target by less than one document.
-    The columns are those of docs. A document's row is found again by doc_id and size; rows that agree
-    in both come up equally often, as the one of them that comes first does.
+    The columns are those of docs. A document's row is found again by a hash of doc_id and text; copies of a
+    row come up equally often, as the one of them that comes first does.
     """
+    p = unused("__mix", docs)
     mixed = mix(docs, **options)
     times = F.transform(F.filter("passes", lambda x: (x["pass"] == 0) | (2 * x["words"] >= F.col("size"))), lambda x: x["time"])
-    mine = mixed.groupBy(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.min(times).alias("__mix_times"))
-    found = docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (word_count(F.col("text")) == F.col("__mix_size")))
-    found = found.withColumn("__mix_time", F.explode("__mix_times"))
-    return found.repartitionByRange("__mix_time").sortWithinPartitions("__mix_time").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = mixed.groupBy(F.col("key").alias(f"{p}_key")).agg(F.min(times).alias(f"{p}_times")).where(F.size(f"{p}_times") > 0)
+    found = docs.join(mine, row_key(docs) == F.col(f"{p}_key"))
+    found = found.withColumn(f"{p}_time", F.explode(f"{p}_times"))
+    return found.repartitionByRange(f"{p}_time").sortWithinPartitions(f"{p}_time").select(*[F.col(f"`{c}`") for c in docs.columns])

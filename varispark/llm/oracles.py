@@ -58,7 +58,7 @@ def op3() -> str:
         cases.append(f"WHEN tier = {k} THEN CASE WHEN {r0} <= {area0}e0 THEN {seg(k0, a, b, k1 - k0, r0)} ELSE {seg(k1, b, c, k2 - k1, r1)} END")
     taken = " + ".join(f"greatest(least(size, floor(target) - ({p} * source_size + start)), 0)" for p in range(mixing.REPEATS + 1))
     return f"""
-    WITH d AS (SELECT doc_id, source, {_SIZE} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+    WITH d AS (SELECT doc_id, source, {_SIZE} AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(md5(text), ''))) AS key FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} AS tier FROM d GROUP BY source),
     w AS (SELECT *, CAST(({weights})[tier + 1] AS DOUBLE) AS weight, CAST({mixing.REPEATS} * source_size AS DOUBLE) AS most FROM s),
     o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER b, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weight_left FROM w WINDOW b AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
+_kept: set[str] = set()
 _shipped: set[str] = set()
 _held: dict = {}
 _local: dict[str, tempfile.TemporaryDirectory] = {}
@@ -41,19 +42,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one intermediate table; release() deletes it."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one intermediate table. The application's end deletes it, if its Scope doesn't before."""
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if top not in _kept:
+        where = spark._jvm.org.apache.hadoop.fs.Path(top)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _kept.add(top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path
 
 
-def release(spark: SparkSession, path: str | None = None) -> None:
-    """Delete the intermediate tables written so far (or one), once nothing reads them any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for entry in [e for e in _scratch if path in (None, e[1])]:
-        where = jvm.org.apache.hadoop.fs.Path(entry[1])
-        where.getFileSystem(conf).delete(where, True)
-        _scratch.remove(entry)
+class Scope:
+    """The intermediate tables written while it is open (with), whose folders end() deletes once nothing reads them any
+    more. Tables of others, written before or after, stay."""
+
+    def __init__(self):
+        self.own: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> "Scope":
+        self.first = len(_scratch)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.own += _scratch[self.first :]
+        del _scratch[self.first :]
+
+    def end(self) -> None:
+        for spark, path in self.own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.own = []
+
+
+def unused(prefix: str, *tables: DataFrame) -> str:
+    """The prefix, made longer until no column of the tables begins with it."""
+    names = [c.lower() for t in tables for c in t.columns]
+    while any(c.startswith(prefix.lower()) for c in names):
+        prefix += "_"
+    return prefix
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -139,7 +166,8 @@ def first_row():
 
 def rows_at(docs: DataFrame, at: DataFrame) -> DataFrame:
     """One row of docs for each of at's doc_id and text_key, with at's other columns."""
-    keys = at.withColumnsRenamed({"doc_id": "__row_id", "text_key": "__row_key"})
-    found = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__row_id")) & (F.xxhash64("text") == F.col("__row_key")))
-    one = F.row_number().over(Window.partitionBy("__row_id", "__row_key").orderBy(F.lit(0)))
-    return found.withColumn("__row_one", one).where("__row_one = 1").drop("__row_id", "__row_key", "__row_one")
+    p = unused("__row", docs, at)
+    keys = at.withColumnsRenamed({"doc_id": f"{p}_id", "text_key": f"{p}_key"})
+    found = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}_id")) & (F.xxhash64("text") == F.col(f"{p}_key")))
+    one = F.row_number().over(Window.partitionBy(f"{p}_id", f"{p}_key").orderBy(F.lit(0)))
+    return found.withColumn(f"{p}_one", one).where(f"{p}_one = 1").drop(f"{p}_id", f"{p}_key", f"{p}_one")

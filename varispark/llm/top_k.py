@@ -10,8 +10,9 @@ together while no more than k are, else they alone stay in play. Rows still in p
 have equal scores, and those with the smallest ids are taken: the boundary is exact. Scores are
 read off the bitmaps.
 
-Blocks are made of rows dealt out by hash and written as a table; groups of queries and blocks of
-rows then meet in tiles of bounded size, and each tile returns k rows per query at most.
+Blocks are made of rows dealt out by hash and written as a table. The queries, which are fewer and
+smaller, are copied to every block; a task reads a block's index once and then its queries as they
+come, and returns k rows per query at most.
 
 Vectors that are null or hold null or non-finite components take no part; shorter ones count as
 padded with zeros. A query's candidates are all rows with another id. Equal query rows are answered once; queries of
@@ -29,9 +30,8 @@ from varispark.llm.shared import materialize, ship
 
 SCALE = 256
 TOP = 5
-#: Rows of a block and queries of a group.
+#: Rows of a block.
 BLOCK = 1 << 15
-QUERIES = 256
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -180,7 +180,7 @@ def index(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(build, "block long, ids binary, least binary, bits binary, slices binary")
 
 
-def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK) -> DataFrame:
     """The k best rows of each query: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows.
 
     Query rows that share an id are ranked together, each with its own matches, as in the query's SQL.
@@ -188,23 +188,30 @@ def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK, g
     rows = materialize(quantised(vectors), "vectors")
     blocks = max(1, -(-rows.count() // block))
     built = materialize(index(rows, blocks), "slices")
-    asked = rows.where(F.expr(queries))
-    groups = max(1, -(-asked.count() // group))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v"), F.xxhash64("vec_id", "v").alias("q"))
-    # Tiles: each group of queries meets each block once.
-    left = built.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("group", F.pmod("q", F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def meet(mine: pa.Table, asking: pa.Table) -> pa.Table:
-        out = ([], [], [], [])
-        if mine.num_rows and asking.num_rows:
-            own = Block.unpack(*[mine.column(c)[0].as_py() for c in ("ids", "least", "bits", "slices")])
-            for query_id, q, v in zip(asking.column("query_id").to_pylist(), asking.column("q").to_pylist(), _matrix(asking.column("v"))):
-                ids, scores = own.top(query_id, v, k)
-                for store, x in zip(out, ([query_id] * len(ids), [q] * len(ids), ids.tolist(), scores)):
-                    store.extend(x)
-        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "q", "vec_id", "score"])
-
-    met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, q long, vec_id long, score long")
+    asked = rows.where(F.expr(queries)).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "v").alias("q"), "v")
+    # A block's index comes first in its task, then a copy of each query.
+    names = ["block", "asks", "ids", "least", "bits", "slices", "query_id", "q", "v"]
+    left = built.withColumns({"asks": F.lit(0), "query_id": F.lit(None).cast("long"), "q": F.lit(None).cast("long"), "v": F.lit(None).cast("array<bigint>")})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    right = asked.withColumns({"block": every, "asks": F.lit(1), **{c: F.lit(None).cast("binary") for c in names[2:6]}})
+
+    def meet(batches):
+        own = None
+        for batch in batches:
+            asks = batch.column(1).to_numpy()
+            bounds = [0, *np.nonzero(asks == 0)[0].tolist(), batch.num_rows]
+            for x, y in zip(bounds, bounds[1:]):
+                if y > x and not asks[x]:
+                    own = Block.unpack(*[batch.column(c)[x].as_py() for c in names[2:6]])
+                    x += 1
+                asking, out = batch.slice(x, y - x), ([], [], [], [])
+                for query_id, q, v in zip(asking.column("query_id").to_pylist(), asking.column("q").to_pylist(), _matrix(asking.column("v"))):
+                    ids, scores = own.top(query_id, v, k)
+                    for store, found in zip(out, ([query_id] * len(ids), [q] * len(ids), ids.tolist(), scores)):
+                        store.extend(found)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()) for found in out], ["query_id", "q", "vec_id", "score"])
+
+    placed = left.select(*names).unionByName(right.select(*names)).repartition("block").sortWithinPartitions("block", "asks")
+    met = placed.mapInArrow(meet, "query_id long, q long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
