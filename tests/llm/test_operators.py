@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from varispark.llm import bit_planes, digests, language_id, line_dedup, mixing, near_copies, packing, queries, secrets, shared, simhash, token_counts, top_k
 from varispark.llm.tokens import encoder, tokenizer_path
 
@@ -690,6 +692,68 @@ def test_fingerprints(spark, folder, docs):
     assert np.median([r["near_edited"] for r in long]) > 0.5 > np.median([r["near_next"] for r in long])
 
 
+def plain_digest(text, rank):
+    """The chain of filters of one text, window by window."""
+    w, span = digests.WINDOW, digests.SPAN
+    data = text if len(text) >= w or not text else text + bytes(w - len(text))
+    keys = []
+    for i in range(len(data) - w + 1 if data else 0):
+        counts = np.bincount(np.frombuffer(data[i : i + w], np.uint8))
+        keys.append((int(rank[int(digests._SUMS[counts].sum()) // digests.STEP]), i))
+    points = [0] * len(keys)
+    for i in range(len(keys)):
+        points[min(keys[i : i + span])[1]] += 1
+    chosen = [i for i, n in enumerate(points) if n >= digests.POINTS] or [min(keys)[1] for _ in keys[:1]]
+    filters = []
+    for k, i in enumerate(chosen):
+        if k % digests.FILTER_FEATURES == 0:
+            filters.append(set())
+        h = 0x9E3779B97F4A7C15
+        for at in (0, 8):
+            h = ((h ^ int.from_bytes(data[i + at : i + at + 8], "little")) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            h = ((h ^ (h >> 29)) * 0x94D049BB133111EB) % (1 << 64)
+            h ^= h >> 32
+        filters[-1] |= {(h >> (11 * j)) % digests.FILTER_BITS for j in range(5)}
+    return filters
+
+
+def plain_likeness(f, g):
+    if not f or not g:
+        return float(len(f) == len(g))
+    if (len(f), sum(map(len, f))) > (len(g), sum(map(len, g))):
+        f, g = g, f
+    total = 0.0
+    for a in f:
+        best = 0.0
+        for b in g:
+            most, chance = min(len(a), len(b)), len(a) * len(b) / digests.FILTER_BITS
+            share = (len(a & b) - chance) / (most - chance) if most > chance else float(len(a & b) == most)
+            best = max(best, min(1.0, max(0.0, share)))
+        total += len(a) * best
+    return total / sum(map(len, f))
+
+
+@pytest.mark.parametrize("bucket_rows", [2_000, 7])
+def test_fingerprints_equal_plain_ones(spark, folder, docs, monkeypatch, bucket_rows):
+    """Selection, filters and likeness of the whole query, with ids that rows share and null ids."""
+    monkeypatch.setattr(digests, "BUCKET_ROWS", bucket_rows)
+    rows = [(d[0], d[1]) for d in docs] + [(None, prose("en", 50, 71)), (None, None)] + [(9, prose("fr", 30, 80 + i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    rank = digests.rarity(df)
+    tie = {t: k for t, k in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text)").collect()}
+    order = sorted(((-math.inf if d is None else d, tie[t or ""], t or "") for d, t in rows))
+    want = []
+    for i, (d, _, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][2]
+        n = len(t) // 4
+        new = t[: len(t) - n] + after[:n]
+        own, other, following = (plain_digest(x.encode(), rank) for x in (t, new, after))
+        text = lambda f: b"".join(sum(1 << b for b in s).to_bytes(digests.FILTER_BITS // 8, "little") for s in f).hex()
+        want.append((None if d == -math.inf else d, len(t), hashlib.sha256(new.encode()).hexdigest(), text(own), text(other), round(plain_likeness(own, other), 9), round(plain_likeness(own, following), 9)))
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, digests.with_next(df, rank).collect())]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_entropies_are_exact():
     rng = np.random.default_rng(13)
     data = [bytes(rng.integers(97, 105, 90).astype(np.uint8)), b"", b"short", bytes(200)]
@@ -805,3 +869,71 @@ def test_scratch_is_released(spark):
     assert not os.path.exists(path) and before.count() == 3 and after.count() == 5
 
 
+
+
+CLASHES = "__row_id __row_key __row_one __mix_key __mix_time __line_host __line_n __line_dropped __stage_n id key bucket block lead set n start fp text_key tie tail size piece length q v".split()
+
+
+@pytest.fixture(scope="module")
+def hostile(spark, docs, tmp_path_factory):
+    """Null ids, ids shared by different texts, texts beyond 35,000 bytes, and columns with the operators' own names."""
+    rows = [tuple(d[:5]) for d in docs] + [(None, prose("en", 60, 200 + i), "en", "hot", 1) for i in range(9)] + [(None, None, None, None, None)] * 2
+    rows += [(4, prose("fr", 50, 300 + i), "fr", f"s{i}", 1) for i in range(5)] + [(4, None, "fr", "s0", 1), (900, "längé " * 9_000, "de", "s1", 1), (901, "x" * 40_000, "de", "s1", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(CLASHES):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(i % 3))
+    path = tmp_path_factory.mktemp("hostile")
+    df.write.parquet(f"{path}/documents.parquet")
+    clean = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    other = tmp_path_factory.mktemp("clean")
+    clean.write.parquet(f"{other}/documents.parquet")
+    return rows, str(path), str(other)
+
+
+@pytest.mark.parametrize("name, columns", [
+    ("op1", ("n_assign", "n_hex", "base_sha256", "spans")), ("op2", ("n_bytes", "n_tokens", "over_limit")), ("op3", ("size", "source_size", "target")), ("op5", ("n_tokens", "ids_crc32")),
+    ("op6", ("n_lines", "n_dropped", "kept_sha256")), ("op7", ("fingerprint",)), ("op8", ("piece", "start", "length", "ids_crc32")), ("op10", ("n_chars", "fingerprint")),
+])
+def test_hostile_rows_are_as_those_with_ids_of_their_own(spark, hostile, name, columns):
+    rows, path, clean = hostile
+    got = [(r["doc_id"], *[r[c] for c in columns]) for r in collect(spark, name, path)]
+    want = [(rows[r["doc_id"]][0], *[r[c] for c in columns]) for r in collect(spark, name, clean)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_hostile_rows_in_order(spark, hostile):
+    rows, path, _ = hostile
+    at = 0
+    for r in sorted(collect(spark, "op5", path), key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(collect(spark, "op5", path), key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: (d is not None, d)) and len(order) == len(rows)
+    sizes, taken = {}, {}
+    for r in collect(spark, "op3", path):
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
+    assert all(n in (int(t), int(t + 1e-6)) or n % int(t) == 0 for t, n in taken.items() if t >= 1)
+    assert len(collect(spark, "op4", path)) == len(rows)
+    groups = {}
+    for r in collect(spark, "op7", path):
+        groups.setdefault(r["fingerprint"], set()).add(r["component_id"])
+    assert all(len(c) == 1 for c in groups.values())
+
+
+def test_hostile_rows_through_the_stages(spark, hostile):
+    import corpus_pipeline
+
+    rows, path, _ = hostile
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = docs.columns
+    have = {(r[0], r[1]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.materialize(stage(spark, docs, path), name)
+        assert docs.columns == names
+        assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= have or name != "language_id"
+        assert {tuple(r[c] for c in CLASHES) for r in docs.collect()} == {tuple(r[c] for c in CLASHES) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert None in ids and 900 in ids and 4 in ids
+    assert corpus_pipeline.run(spark, path).count() > 50

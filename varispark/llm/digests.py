@@ -40,6 +40,8 @@ STEP = 256
 BYTES = 1 << 17
 #: Documents of a bucket of ids, about, and most buckets.
 BUCKET_ROWS, BUCKETS = 2_000, 20_000
+#: Rows for each bucket in the sample that finds its bounds.
+SAMPLE = 20
 
 _SUMS = np.array([round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 2)], dtype=np.int64)
 _UP = (_SUMS[1:] - _SUMS[:-1]).astype(np.int32)
@@ -215,43 +217,56 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness and that to the next document's.
 
-    Documents are dealt out to buckets of consecutive ids, about equal in number; the first document of
-    each bucket goes to the bucket before as well, at its end, and that of the first to the last, so
-    every document meets the next one in one shuffle of the texts. Only bucket bounds and first ids,
-    of which there are BUCKETS at most, are held on the driver. Equal ids stand in order of their texts' hashes.
+    Documents are dealt out to buckets of consecutive ids, and of their texts' hashes within an id that many
+    rows share, about equal in number; the first document of each bucket goes to the bucket before as well, at
+    its end, and that of the first to the last, so every document meets the next one in one shuffle of the
+    texts. Only bucket bounds, a sample for them and first ids, of which there are SAMPLE * BUCKETS at most, are
+    held on the driver. Equal ids stand in order of their texts' hashes; null ids come first.
     """
     ship(docs.sparkSession)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"))
-    buckets = max(1, min(BUCKETS, -(-ids.count() // BUCKET_ROWS)))
-    at = [k / buckets for k in range(1, buckets)]
-    bounds = np.array(sorted(set(ids.agg(F.percentile_approx("id", at, max(10_000, 20 * buckets))).first()[0] or []) if at else []), dtype=np.int64)
+    id_, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+    count = docs.count()
+    buckets = max(1, min(BUCKETS, -(-count // BUCKET_ROWS)))
+    some = F.pmod(F.xxhash64("id", "tie"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE * buckets / max(1, count)) * (1 << 20))
+    sample = sorted((r["id"], r["tie"]) for r in docs.select(id_, tie).where(some).collect()) if buckets > 1 else []
+    cuts = sorted({sample[k * len(sample) // buckets] for k in range(1, buckets)}) if sample else []
+    ids, ties = (np.array(c, dtype=np.int64) for c in zip(*cuts)) if cuts else (np.zeros(0, dtype=np.int64),) * 2
+
+    def bucket(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The number of cuts that are not above each pair of id and tie."""
+        out, end = np.searchsorted(ids, x, side="left"), np.searchsorted(ids, x, side="right")
+        for v in np.unique(x[end > out]):
+            k = x == v
+            lo, hi = np.searchsorted(ids, [v, v + 1])
+            out[k] = lo + np.searchsorted(ties[lo:hi], t[k], side="right")
+        return out.astype(np.int64)
 
     def bucket_of(batches):
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            k = np.searchsorted(bounds, x, side="right")
-            found, inverse = np.unique(k, return_inverse=True)
-            first = np.full(len(found), np.iinfo(np.int64).max)
-            np.minimum.at(first, inverse, x)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(first)], ["bucket", "first"])
-
-    firsts = sorted((r["bucket"], r["first"]) for r in ids.mapInArrow(bucket_of, "bucket long, first long").groupBy("bucket").agg(F.min("first").alias("first")).collect())
+            x, t = (c.to_numpy() for c in batch.columns)
+            k = bucket(x, t)
+            order = np.lexsort((t, x, k))
+            first = order[np.concatenate([[True], k[order][1:] != k[order][:-1]])[: len(k)]]
+            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(x[first]), pa.array(t[first])], ["bucket", "id", "tie"])
+
+    firsts = docs.select(id_, tie).mapInArrow(bucket_of, "bucket long, id long, tie long").groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first")).collect()
+    firsts = sorted((r["bucket"], tuple(r["first"])) for r in firsts)
     follows = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    starts = np.array(sorted(follows), dtype=np.int64)
+    starts = np.array(sorted({x for x, _ in follows}), dtype=np.int64)
 
     def deal(batches):
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            table = pa.table([pa.array(np.searchsorted(bounds, x, side="right").astype(np.int64)), pa.array(np.zeros(len(x), dtype=np.int32)), *batch.columns], names=["bucket", "tail", "id", "text"])
-            (k,) = np.nonzero(np.isin(x, starts))
-            if len(k):
+            x, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            table = pa.table([pa.array(bucket(x, t)), pa.array(np.zeros(len(x), dtype=np.int32)), *batch.columns], names=["bucket", "tail", "id", "tie", "text"])
+            k = [i for i in np.nonzero(np.isin(x, starts))[0].tolist() if (int(x[i]), int(t[i])) in follows]
+            if k:
                 again = table.take(pa.array(k))
-                again = again.set_column(0, "bucket", pa.array([follows[v] for v in x[k].tolist()], pa.int64())).set_column(1, "tail", pa.array(np.ones(len(k), dtype=np.int32)))
+                again = again.set_column(0, "bucket", pa.array([follows[int(x[i]), int(t[i])] for i in k], pa.int64())).set_column(1, "tail", pa.array(np.ones(len(k), dtype=np.int32)))
                 table = pa.concat_tables([table, again])
             yield from table.combine_chunks().to_batches()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "bucket long, tail int, id long, text string")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", F.xxhash64("text"))
+    rows = docs.select(id_, tie, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "bucket long, tail int, id long, tie long, text string")
+    rows = rows.repartition(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "tail", "id", "tie").drop("tie")
 
     def work(batches):
         held: list[tuple[int, int, int, str]] = []
