@@ -11,7 +11,8 @@ probability 0.25, and some of 24 with 0.9991. Candidates come from meet-in-the-m
 in simhash.py: all variants within RADIUS bits are made and those of one value linked, here only if
 GUARD further bits of the two differ in GUARD_BITS or fewer (0.99999 of pairs at 0.8; 1 in 170 of unlike
 ones). Each group of variants gives back its components, and these are verified on the shingles:
-first each member against the component's smallest, then, in components that these links leave in
+first each set against the smallest one that it met in any component, then, where these links leave
+it apart from another component's smallest, against that, and then, in components that are still in
 several parts, all pairs at once by products of incidence matrices. A component gives back at most one
 link for each of its members.
 
@@ -121,7 +122,7 @@ def candidates(sets: DataFrame, count: int, group: int | None = None) -> DataFra
         for (cell,), (fp, guard, name, n) in grouped(batches, 1):
             if len(fp) < 2:
                 continue
-            order = np.lexsort((name, n))
+            order = np.argsort(name)
             fp, guard, name, n = fp[order].view(np.uint64), guard[order].view(np.uint64), name[order], n[order]
             root = joined(fp, cell & (1 << WIDTH) - 1, bits, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, WIDTH)
             (k,) = np.nonzero(np.bincount(root, minlength=len(root))[root] > 1)
@@ -142,13 +143,12 @@ def contents(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
             for part in slices(batch, 128):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["set", "h"])
 
-    at = sets.join(need.distinct(), "set", "left_semi").select(F.col("set").alias("__near_set"), "row.doc_id", "row.text_key")
-    return materialize(rows_at(docs.select("doc_id", "text"), at).select("__near_set", "text").mapInArrow(run, "set long, h binary"), "contents")
+    at = sets.join(need.distinct(), "set", "left_semi").select(F.col("set").alias("name"), "row.doc_id", "row.text_key")
+    return materialize(rows_at(docs.select("doc_id", "text"), at).select("name", "text").mapInArrow(run, "set long, h binary"), "contents")
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar."""
-    held = contents(docs, sets, pairs.select(F.col("a").alias("set")).union(pairs.select("b")))
+def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar, by the contents held."""
 
     def run(batches):
         for batch in batches:
@@ -218,14 +218,20 @@ def groups(docs: DataFrame) -> DataFrame:
     def near(n, m):
         return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR  # sets of other sizes can't be similar
 
-    star = met.where((F.col("set") != F.col("low")) & near(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
-    links = materialize(verified(docs, sets, materialize(star, "pairs")), "verified")
+    held = contents(docs, sets, met.select("set"))
+    star = met.where((F.col("set") != F.col("low")) & near(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("set").alias("b"))
+    links = materialize(verified(held, materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")), "verified")
+    found = components(links)
+    x, y = found.select(F.col("node").alias("a"), F.col("root").alias("x")), found.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    apart = star.distinct().join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    # Those verified already were found unlike, or they would not be apart.
+    apart = apart.join(star.groupBy("b").agg(F.min("a").alias("first")), "b").where("a <> first").select("a", "b")
+    links = links.unionByName(materialize(verified(held, materialize(apart, "pairs")), "verified"))
     placed = met.join(components(links), F.col("set") == F.col("node"), "left").select("set", F.xxhash64("cell", "low").alias("key"), F.coalesce("root", "set").alias("root"))
     # A component of two sets has been compared already; those with the same members are compared once.
     split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("names"))
     split = split.where("x < y and members > 2").groupBy("members", "names").agg(F.min("key").alias("key")).select("key")
     placed = materialize(placed.join(split, "key", "left_semi").select("set", "key"), "split")
-    held = contents(docs, sets, placed.select("set"))
     links = links.unionByName(bucketed(placed.join(held, "set")))
     joined_up = components(links)
     known = sets.join(joined_up, F.col("set") == F.col("node"), "left").select(F.col("set").alias("s"), F.coalesce("root", "set").alias("root"))
