@@ -10,7 +10,7 @@ language that needs fewest normalised phrases wins, ties go to the smaller langu
 Letters are lower-cased, runs of other characters are one space. Texts are cut into blocks of BLOCK
 characters, and blocks of many texts are parsed together by array operations: first as if a phrase
 began with each block, then once more those that the block before leaves within a phrase, from the
-state it leaves, until no block's first state changes. So the phrases are those of one parse from the
+state it leaves, and one by one those that are even then not begun with the state left. So the phrases are those of one parse from the
 text's first character to its last. The automata are built in each Python process from the sample,
 which is all that is sent to executors.
 
@@ -39,15 +39,18 @@ TEXT_CHARS = 8_000
 SHORT = 200
 BLOCK = 512
 #: Numbers that are neither letters nor decimal digits: \w has them.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-RUNS = re.compile(rf"[\W\d_{NUMBERS}]+")
-#: What RUNS leaves, as Java's regular expressions have it.
+NUMBERS = {c: " " for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()}
+RUNS = re.compile(r"[\W\d_]+")
+#: What is left, as Java's regular expressions have it.
 LETTERS = r"\p{L}"
 UNKNOWN = "und"
 
 
 def plain(text: str) -> str:
-    return RUNS.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii() and not NUMBERS.keys().isdisjoint(text):
+        text = text.translate(str.maketrans(NUMBERS))
+    return RUNS.sub(" ", text).strip()
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -120,6 +123,18 @@ class Moves:
         self.begin = np.zeros(symbols, dtype=np.int32)  # the start's transitions
         self.begin[list(step[1])] = number[list(step[1].values())]
 
+    def parse(self, codes: list[int], state: int) -> tuple[int, int]:
+        """Phrases that begin among the codes, and the state at their end."""
+        following, own, begin, count = memoryview(self.next), memoryview(self.own), memoryview(self.begin), 0
+        for c in codes:
+            at = state ^ c
+            if own[at] == state:
+                state = following[at]
+            else:
+                state = begin[c]
+                count += 1 if state else 2
+        return count, state
+
 
 class Model:
     """Automata of all languages over one alphabet."""
@@ -160,13 +175,14 @@ class Model:
             # State 0 is that of a finished phrase: any character begins the next one.
             begin = np.zeros(len(blocks), dtype=np.int32)
             count, end = self._parse(move, grid, size, begin)
-            while True:
-                changed = end[before] != begin[block]
-                todo = np.sort(block[changed])  # longer blocks come first
-                if not len(todo):
-                    break
+            todo = np.sort(block[end[before] != begin[block]])  # longer blocks come first
+            if len(todo):
                 begin[block] = end[before]
                 count[todo], end[todo] = self._parse(move, grid[:, todo], size[todo], begin[todo])
+                for b, p in zip(block.tolist(), before.tolist()):  # in the order of the texts
+                    if end[p] != begin[b]:
+                        begin[b] = end[p]
+                        count[b], end[b] = move.parse(grid[: size[b], b].tolist(), int(begin[b]))
             out[:, k] = np.bincount(who, weights=count, minlength=len(texts))
         return out
 
