@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import first_row, grouped, materialize, rows_at, ship, slices
+from varispark.llm.shared import distinct_rows, first_row, grouped, materialize, rows_at, ship, slices, small
 from varispark.llm.simhash import SEED, _roots, components, flips, joined
 
 WORDS = 5
@@ -143,7 +143,7 @@ def contents(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
             for part in slices(batch, 128):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["set", "h"])
 
-    at = sets.join(need.distinct(), "set", "left_semi").select(F.col("set").alias("name"), "row.doc_id", "row.text_key")
+    at = materialize(sets.join(need.distinct(), "set", "left_semi").select(F.col("set").alias("name"), "row.doc_id", "row.text_key", "row.copies"), "needed")
     return materialize(rows_at(docs.select("doc_id", "text"), at).select("name", "text").mapInArrow(run, "set long, h binary"), "contents")
 
 
@@ -155,7 +155,7 @@ def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
             same = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    both = pairs.join(held.select(F.col("set").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("h").alias("y")), "b")
+    both = small(pairs).join(held.select(F.col("set").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("h").alias("y")), "b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -212,7 +212,8 @@ def bucketed(members: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and root of every row: rows of one root are one component."""
     rows = materialize(sketches(docs), "sketches")
-    sets = materialize(rows.groupBy("set").agg(first_row().alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
+    kept = distinct_rows(rows, "set", "n", "signature")
+    sets = materialize(kept.groupBy("set").agg(first_row().alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     met = materialize(candidates(sets.where("n > 0"), sets.count()), "candidates")
 
     def near(n, m):
@@ -232,7 +233,7 @@ def groups(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("names"))
     split = split.where("x < y and members > 2").groupBy("members", "names").agg(F.min("key").alias("key")).select("key")
     placed = materialize(placed.join(split, "key", "left_semi").select("set", "key"), "split")
-    links = links.unionByName(bucketed(placed.join(held, "set")))
+    links = links.unionByName(bucketed(held.join(small(placed), "set")))
     joined_up = components(links)
     known = sets.join(joined_up, F.col("set") == F.col("node"), "left").select(F.col("set").alias("s"), F.coalesce("root", "set").alias("root"))
     return rows.join(known, F.col("set") == F.col("s")).select("doc_id", "text_key", "root")
@@ -240,5 +241,5 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest doc_id and then text hash, null ids last, with the columns of docs."""
-    first = groups(docs).groupBy("root").agg(first_row().alias("row"))
-    return rows_at(docs, first.select("row.doc_id", "row.text_key"))
+    first = distinct_rows(groups(docs), "root").groupBy("root").agg(first_row().alias("row"))
+    return rows_at(docs, materialize(first.select("row.doc_id", "row.text_key", "row.copies"), "first"))

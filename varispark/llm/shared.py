@@ -159,15 +159,31 @@ def grouped(batches, keys: int):
         yield now, [np.concatenate(p) for p in zip(*parts)]
 
 
+def small(df: DataFrame, row_bytes: int = 100) -> DataFrame:
+    """A written table, to be broadcast if its rows take no more than BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def first_row():
-    """Of grouped rows the one with the smallest doc_id, nulls last, and text_key."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key"))
+    """Of grouped rows the one with the smallest doc_id, nulls last, and text_key; and copies, how many rows agree in both."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key", "copies"))
+
+
+def distinct_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text_key and the other columns of rows, each once, and copies, their number."""
+    return rows.groupBy("doc_id", "text_key", *more).agg(F.count("*").alias("copies"))
 
 
 def rows_at(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """One row of docs for each of at's doc_id and text_key, with at's other columns."""
+    """One row of docs for each of the doc_id and text_key of at, a written table, with at's other columns but copies,
+    which says how many rows of docs agree in both: only rows with copies are shuffled to choose one, if at is small."""
     p = unused("__row", docs, at)
-    keys = at.withColumnsRenamed({"doc_id": f"{p}_id", "text_key": f"{p}_key"})
-    found = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}_id")) & (F.xxhash64("text") == F.col(f"{p}_key")))
+    keys = at.withColumnsRenamed({"doc_id": f"{p}_id", "text_key": f"{p}_key", "copies": f"{p}_copies"})
+
+    def found(which: str) -> DataFrame:
+        some = small(keys.where(f"{p}_copies {which} 1"))
+        return docs.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}_id")) & (F.xxhash64("text") == F.col(f"{p}_key")))
+
     one = F.row_number().over(Window.partitionBy(f"{p}_id", f"{p}_key").orderBy(F.lit(0)))
-    return found.withColumn(f"{p}_one", one).where(f"{p}_one = 1").drop(f"{p}_id", f"{p}_key", f"{p}_one")
+    copies = found(">").withColumn(f"{p}_one", one).where(f"{p}_one = 1").drop(f"{p}_one")
+    return found("=").unionByName(copies).drop(f"{p}_id", f"{p}_key", f"{p}_copies")

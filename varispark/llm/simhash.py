@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.llm.shared import first_row, grouped, materialize, rows_at, ship, slices
+from varispark.llm.shared import distinct_rows, first_row, grouped, materialize, rows_at, ship, slices
 
 BITS = 64
 SEED = 42
@@ -301,5 +301,5 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row of each component, that of the smallest doc_id and then text hash, null ids last, with the columns of docs."""
     rows = materialize(fingerprints(docs, words, keyed=True), "fingerprints")
-    first = rows.join(rooted(rows, distance), F.col("fp") == F.col("f")).groupBy("root").agg(first_row().alias("row"))
-    return rows_at(docs, first.select("row.doc_id", "row.text_key"))
+    first = distinct_rows(rows, "fp").join(rooted(rows, distance), F.col("fp") == F.col("f")).groupBy("root").agg(first_row().alias("row"))
+    return rows_at(docs, materialize(first.select("row.doc_id", "row.text_key", "row.copies"), "first"))
