@@ -62,9 +62,9 @@ def test_splines():
     x = np.linspace(0, 9, 40)
     b = splines.basis(x, 5)
     assert b.shape == (40, 8) and np.allclose(b.sum(axis=1), 1) and (b >= -1e-12).all()
-    v, root = splines.decompose(8)
+    v, size = splines.decompose(8)
     d = np.diff(np.eye(8), n=2, axis=0)
-    assert np.allclose(v.T @ (d.T @ d) @ v, np.diag(root**2)) and v.shape == (8, 6)
+    assert np.allclose(v.T @ (d.T @ d) @ v, np.diag(size)) and v.shape == (8, 6)
     r, c = map(np.ravel, np.meshgrid(np.arange(8.0), np.arange(6.0)))
     fixed, blocks = splines.surface(r, c, (4, 3))
     assert fixed.shape == (48, 3) and blocks["row_col"].shape == (48, 5 * 4) and np.allclose(fixed.mean(axis=0), 0)

@@ -6,19 +6,43 @@ copied to the cells around its own, so no join compares all pairs.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varispark.shipping import ship
+
+#: Individuals and loci of a tile of a relationship matrix; loci of a block of correlations.
+TILE, CHUNK, RUN = 512, 4_096, 256
+
 
 def complete_cases(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with a value in each column; NaN counts as missing."""
     return df.na.drop(subset=list(columns))
 
 
-def level_table(df: DataFrame, factor: str) -> DataFrame:
-    """level and its 0-based index in sorted order."""
+def level_table(df: DataFrame, factor: str, rows: int = 200_000) -> DataFrame:
+    """level and its 0-based index in sorted order.
+
+    Levels are numbered within ranges of about so many, whose bounds come from a sample of the levels by their hashes (20
+    for each range, held on the driver), and ranges are numbered by their counts, so no task sorts all levels.
+    """
     levels = df.select(F.col(factor).alias("level")).where("level is not null").distinct()
-    return levels.withColumn("idx", F.row_number().over(Window.orderBy("level")) - 1)
+    ranges = max(1, -(-df.agg(F.approx_count_distinct(factor)).first()[0] // rows))
+    cuts = []
+    if ranges > 1:
+        one_in = max(1, rows // 20)
+        sample = sorted(r[0] for r in levels.where(F.pmod(F.xxhash64("level"), F.lit(one_in)) == 0).collect())
+        cuts = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("level"))) if cuts else F.lit(0)
+    placed = levels.withColumn("range", place)
+    if not cuts:
+        return placed.select("level", (F.row_number().over(Window.partitionBy("range").orderBy("level")) - 1).cast("int").alias("idx"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    base = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("level")) - 1
+    return placed.withColumn("own", own).join(F.broadcast(base), "range").select("level", (F.col("base") + F.col("own")).cast("int").alias("idx"))
 
 
 def incidence(df: DataFrame, row_id: str, factor: str, comp: Column | None = None, x: Column | None = None) -> DataFrame:
@@ -107,17 +131,51 @@ def neighbourhood(units: DataFrame, rank: int, reach: float = 0.0, dilution: flo
     return out
 
 
-def exposure(z: DataFrame, row: str = "src") -> DataFrame:
-    """Means over rows of an incidence's sums and sums of squares, and the effective number of sources."""
-    rows = z.groupBy(row).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    return rows.agg(F.count("*").alias("rows"), F.avg("s").alias("d"), F.avg("ss").alias("k_identity"), F.avg(F.col("s") * F.col("s") / F.col("ss")).alias("n_eff"))
+def exposure(z: DataFrame, row: str = "src", direct: DataFrame | None = None, kinship: DataFrame | None = None) -> DataFrame:
+    """Exposure functionals of an indirect incidence (row, level, x): rows, d, k, k_identity, c, s and n_eff.
 
+    k is the mean over rows of (Z K Z')_ii and k_identity the same with K = I; s the mean of row sums. With a direct
+    incidence of the same levels, d is the mean of its own (Z_d K Z_d')_ii, c that of (Z_d K Z')_ii, and means are over its
+    rows; without, d is 1 by convention of one entry of one for each row. n_eff = s^2 d / k. kinship: i, j, k over both
+    halves and the diagonal.
+    """
 
-def border(edges: DataFrame, order: int = 1) -> DataFrame:
-    """W^order 1 for every receiving unit of the edges (src, dst, w): id, x."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("x")).select(F.col("src").alias("id"), "x")
+    def form(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Row sums of a K b: row, v."""
+        left, right = a.select(row, F.col("level").alias("i"), F.col("x").alias("xa")), b.select(row, F.col("level").alias("j"), F.col("x").alias("xb"))
+        if kinship is None:
+            both = left.join(right, (left[row] == right[row]) & (F.col("i") == F.col("j"))).select(left[row], (F.col("xa") * F.col("xb")).alias("v"))
+        else:
+            both = left.join(kinship.select("i", "j", F.col("k").alias("kin")), "i").join(right, [row, "j"]).select(row, (F.col("xa") * F.col("kin") * F.col("xb")).alias("v"))
+        return both.groupBy(row).agg(F.sum("v").alias("v"))
+
+    sums = z.groupBy(row).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    if kinship is None:
+        rows = sums.withColumn("kk", F.col("ss"))
+    else:
+        rows = sums.join(form(z, z).withColumnRenamed("v", "kk"), row)
+    if direct is None:
+        rows = rows.withColumns({"dd": F.lit(1.0), "cc": F.lit(None).cast("double")})
+    else:
+        rows = form(direct, direct).withColumnRenamed("v", "dd").join(rows, row, "left").join(form(direct, z).withColumnRenamed("v", "cc"), row, "left")
+    mean = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0.0)))
+    cross = F.lit(None).cast("double") if direct is None else mean("cc")
+    return rows.agg(F.count("*").alias("rows"), mean("dd").alias("d"), mean("kk").alias("k"), mean("ss").alias("k_identity"), cross.alias("c"), mean("s").alias("s"), (mean("s") * mean("s") * mean("dd") / mean("kk")).alias("n_eff"))
+
+
+def border(edges: DataFrame, order: int = 1, scale: bool = False, by: str | None = None) -> DataFrame:
+    """W^order 1 for every receiving unit of the edges (src, dst, w): id, x; each step over the mean row sum of |w| if scale.
+
+    by: the column of edges with the receiving trait, where traits have edges of their own; the result then has it too.
+    """
+    keys = [by] if by else []
+    out = edges.groupBy(*keys, "src").agg(F.sum("w").alias("x")).select(*keys, F.col("src").alias("id"), "x")
     for _ in range(order - 1):
-        out = edges.join(out, F.col("dst") == F.col("id")).groupBy("src").agg(F.sum(F.col("w") * F.col("x")).alias("x")).select(F.col("src").alias("id"), "x")
+        out = edges.join(out.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, "src").agg(F.sum(F.col("w") * F.col("x")).alias("x")).select(*keys, F.col("src").alias("id"), "x")
+    if scale:
+        size = edges.groupBy(*keys, "src").agg(F.sum(F.abs("w")).alias("a")).groupBy(*keys).agg(F.avg("a").alias("a"))  # one row for each trait
+        out = out.join(F.broadcast(size), by) if by else out.join(F.broadcast(size), how="cross")
+        out = out.select(*keys, "id", (F.col("x") / F.pow("a", F.lit(order))).alias("x"))
     return out
 
 
@@ -127,40 +185,114 @@ def lagged(values: DataFrame, edges: DataFrame, psi: float) -> DataFrame:
     return values.join(wy, "id", "left").select("id", (F.col("y") - psi * F.coalesce("wy", F.lit(0.0))).alias("ystar"))
 
 
-def allele_frequency(markers: DataFrame, ploidy: int = 2) -> DataFrame:
-    """snp, n, f, maf from long markers (snp, gen, dose); missing doses are left out."""
-    f = F.avg(F.col("dose") / F.lit(float(ploidy)))
-    s = markers.where("dose is not null").groupBy("snp").agg(F.count("*").alias("n"), f.alias("f"))
+def allele_frequency(markers: DataFrame, ploidy: int = 2, coding: str = "count") -> DataFrame:
+    """snp, n, f, maf from long markers (snp, gen, dose); missing doses are left out.
+
+    coding: doses are counts of 0 to ploidy, fractions of 0 to 1, or signs of -1 to 1.
+    """
+    share = {"count": F.col("dose") / F.lit(float(ploidy)), "fraction": F.col("dose"), "sign": (F.col("dose") + 1) / 2}[coding]
+    s = markers.where("dose is not null").groupBy("snp").agg(F.count("*").alias("n"), F.avg(share).alias("f"))
     return s.withColumn("maf", F.least(F.col("f"), 1 - F.col("f")))
 
 
-def maf_filter(markers: DataFrame, maf: float, ploidy: int = 2) -> DataFrame:
+def maf_filter(markers: DataFrame, maf: float, ploidy: int = 2, coding: str = "count") -> DataFrame:
     """Loci that vary and whose minor allele is at least so frequent."""
-    return allele_frequency(markers, ploidy).where((F.col("maf") >= maf) & (F.col("maf") > 0))
+    return allele_frequency(markers, ploidy, coding).where((F.col("maf") >= maf) & (F.col("maf") > 0))
 
 
-def grm(markers: DataFrame, ploidy: int = 2, blend: float = 0.0) -> DataFrame:
-    """Relationships i, j, k from long markers (snp, gen, dose): centred doses' products over ploidy * sum f (1 - f).
+def grm(markers: DataFrame, ploidy: int = 2, blend: float = 0.0, coding: str = "count") -> DataFrame:
+    """Relationships i, j, k (i <= j) from long markers (snp, gen, dose): centred doses' products over ploidy * sum f (1 - f).
 
-    A self-join by locus; pairs are added up before the shuffle.
+    Individuals are dealt into blocks of about TILE and loci into chunks of about CHUNK; an individual's doses of a chunk are
+    packed and sent to the tiles of its block with every other, and each tile is a product of two matrices. Tiles of
+    several chunks are added up. A missing dose counts as its locus's mean. One coding, as in allele_frequency.
     """
-    f = allele_frequency(markers, ploidy)
+    ship(markers.sparkSession)
+    f = allele_frequency(markers, ploidy, coding)
+    dose = {"count": F.col("dose"), "fraction": F.col("dose") * ploidy, "sign": (F.col("dose") + 1) * ploidy / 2}[coding]
     scale = f.agg(F.sum(ploidy * F.col("f") * (1 - F.col("f"))).alias("scale"))
-    z = markers.join(f, "snp").select("snp", "gen", (F.col("dose") - ploidy * F.col("f")).alias("z"))
-    a, b = z.select("snp", F.col("gen").alias("i"), F.col("z").alias("zi")), z.select("snp", F.col("gen").alias("j"), F.col("z").alias("zj"))
-    k = a.join(b, "snp").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s"))
-    k = k.join(F.broadcast(scale), how="cross")
+    size = markers.agg(F.approx_count_distinct("gen"), F.approx_count_distinct("snp")).first()
+    blocks, chunks = max(1, -(-size[0] // TILE)), max(1, -(-size[1] // CHUNK))
+    z = markers.where("dose is not null").join(f.select("snp", "f"), "snp").select("gen", F.xxhash64("snp").alias("s"), (dose - ploidy * F.col("f")).alias("z"))
+    z = z.withColumn("chunk", F.pmod(F.col("s"), F.lit(chunks)).cast("int"))
+    packed = z.groupBy("gen", "chunk").agg(F.collect_list(F.struct("s", "z")).alias("z")).withColumn("block", F.pmod(F.xxhash64("gen"), F.lit(blocks)).cast("int"))  # about CHUNK entries
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = packed.withColumn("other", other).select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "chunk", "block", "gen", "z")
+
+    def tile(key, table):
+        lists = table.column("z").combine_chunks()
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        loci, place = np.unique(flat.field("s").to_numpy(), return_inverse=True)
+        dense = np.zeros((len(lists), len(loci)))
+        dense[np.repeat(np.arange(len(lists)), np.diff(offsets)), place] = flat.field("z").to_numpy()
+        block, names = table.column("block").to_numpy(), table.column("gen").combine_chunks()
+        a, b = key[0].as_py(), key[1].as_py()
+        left, right = np.nonzero(block == a)[0], np.nonzero(block == b)[0]
+        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+        s = (dense[left] @ dense[right].T).ravel()
+        x, y = names.take(pa.array(i)), names.take(pa.array(j))
+        order = pa.compute.less_equal(x, y) if a == b else None  # a tile on the diagonal has each pair twice
+        out = pa.table({"i": x, "j": y, "s": s})
+        return out.filter(order) if order is not None else out
+
+    kind = markers.schema["gen"].dataType.simpleString()
+    k = sent.groupBy("a", "b", "chunk").applyInArrow(tile, f"i {kind}, j {kind}, s double")
+    k = k.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "s")
+    if chunks > 1:
+        k = k.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    k = k.join(F.broadcast(scale), how="cross")  # one row
     own = F.when(F.col("i") == F.col("j"), F.lit(blend)).otherwise(F.lit(0.0))
     return k.select("i", "j", ((1 - blend) * F.col("s") / F.col("scale") + own).alias("k"))
 
 
+def _near_loci(packed: DataFrame, window: int, least: float) -> DataFrame:
+    """chr, a, b and r2 of loci at most window places apart with a squared correlation of least or more.
+
+    packed: chr, place, snp, d (array of gen, dose). Loci go to runs of RUN places, and the window before a run's first
+    place goes to it as well; a run's correlations are products of matrices, over the genotypes that both loci have.
+    """
+    run = F.floor(F.col("place") / F.lit(RUN))
+    reach = -(-window // RUN)
+    sent = packed.withColumn("own", run).withColumn("run", F.explode(F.sequence(F.col("own"), F.col("own") + reach))).where((F.col("run") == F.col("own")) | (F.col("place") >= F.col("run") * RUN - window))
+
+    def correlate(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("place").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        lists = table.column("d").combine_chunks()
+        flat, rows = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        gens, place = np.unique(flat.field("gen").to_numpy(zero_copy_only=False), return_inverse=True)
+        x, has = np.zeros((len(lists), len(gens))), np.zeros((len(lists), len(gens)))
+        dose = flat.field("dose").to_numpy(zero_copy_only=False)
+        ok = np.isfinite(dose)
+        x[rows[ok], place[ok]], has[rows[ok], place[ok]] = dose[ok], 1.0
+        at, own, key = (table.column(c).to_numpy() for c in ("place", "own", "run"))
+        mean = x.sum(axis=1) / np.maximum(has.sum(axis=1), 1)
+        x = (x - mean[:, None]) * has  # any shift leaves the correlation as it is
+        a, b = [], []
+        for step in range(1, window + 1):  # pairs whose later locus is the run's own
+            j = np.nonzero(own == key[0])[0] if len(key) else np.zeros(0, dtype=int)
+            i = np.searchsorted(at, at[j] - step)
+            good = (i < len(at)) & (at[np.minimum(i, len(at) - 1)] == at[j] - step)
+            a.append(i[good])
+            b.append(j[good])
+        i, j = np.concatenate(a), np.concatenate(b)
+        n, xy = (has[i] * has[j]).sum(axis=1), (x[i] * x[j]).sum(axis=1)
+        sx, sy, xx, yy = (x[i] * has[j]).sum(axis=1), (has[i] * x[j]).sum(axis=1), (x[i] ** 2 * has[j]).sum(axis=1), (has[i] * x[j] ** 2).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r2 = (xy - sx * sy / n) ** 2 / ((xx - sx * sx / n) * (yy - sy * sy / n))
+        keep = np.nonzero((r2 >= least) if least > 0 else np.isfinite(r2))[0]
+        names = table.column("snp").combine_chunks()
+        return pa.table({"chr": table.column("chr").combine_chunks().take(pa.array(i[keep])), "a": names.take(pa.array(i[keep])), "b": names.take(pa.array(j[keep])), "r2": r2[keep]})
+
+    kinds = {c: packed.schema[c].dataType.simpleString() for c in ("chr", "snp")}
+    return sent.groupBy("chr", "run").applyInArrow(correlate, f"chr {kinds['chr']}, a {kinds['snp']}, b {kinds['snp']}, r2 double")
+
+
 def ld_pairs(markers: DataFrame, window: int) -> DataFrame:
     """Squared correlations of loci at most so many positions apart: a, b, r2. markers: snp (integer order), gen, dose."""
-    far = F.explode(F.sequence(F.col("snp") + 1, F.col("snp") + window))
-    a = markers.select(F.col("snp").alias("a"), "gen", F.col("dose").cast("double").alias("x"), far.alias("b"))
-    b = markers.select(F.col("snp").alias("b"), "gen", F.col("dose").cast("double").alias("z"))
-    r = F.corr("x", "z")
-    return a.join(b, ["b", "gen"]).groupBy("a", "b").agg((r * r).alias("r2"))
+    ship(markers.sparkSession)
+    packed = markers.groupBy("snp").agg(F.collect_list(F.struct("gen", F.col("dose").cast("double").alias("dose"))).alias("d"))  # as many as there are genotypes
+    return _near_loci(packed.select(F.lit(0).alias("chr"), F.col("snp").alias("place"), "snp", "d"), window, 0.0).select("a", "b", "r2")
 
 
 def ld_prune(markers: DataFrame, r2: float, window: int, duplicates: bool = True) -> DataFrame:
@@ -173,28 +305,26 @@ def ld_prune(markers: DataFrame, r2: float, window: int, duplicates: bool = True
     """
     import pandas as pd
 
+    ship(markers.sparkSession)
     rows = markers.select("snp", "gen", F.col("dose").cast("double").alias("dose"), *(["chr"] if "chr" in markers.columns else [F.lit(0).alias("chr")]))
-    varies = rows.groupBy("snp", "chr").agg(F.min("dose").alias("lo"), F.max("dose").alias("hi")).where("hi > lo").select("snp", "chr")
-    rank = F.row_number().over(Window.partitionBy("chr").orderBy("snp"))
-    loci = varies.withColumn("place", rank)
-    one = rows.join(loci, ["snp", "chr"])
-    a = one.select("chr", "gen", F.col("snp").alias("a"), F.col("dose").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
-    b = one.select("chr", "gen", F.col("snp").alias("b"), F.col("dose").alias("z"), "place")
-    r = F.corr("x", "z")
-    high = a.join(b, ["chr", "place", "gen"]).groupBy("chr", "a", "b").agg((r * r).alias("r2")).where(F.col("r2") >= r2 - 1e-12)
+    profile = F.array_sort(F.collect_list(F.struct("gen", "dose")))  # as many as there are genotypes
+    loci = rows.groupBy("snp", "chr").agg(F.min("dose").alias("lo"), F.max("dose").alias("hi"), F.avg("dose").alias("m"), F.stddev_pop("dose").alias("s"), profile.alias("d")).where("hi > lo")
+    loci = loci.withColumn("place", F.row_number().over(Window.partitionBy("chr").orderBy("snp")))
+    high = _near_loci(loci.select("chr", "place", "snp", "d"), window, r2 - 1e-12)
 
     def decide(pairs: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()
         for x, y in sorted(zip(pairs["a"], pairs["b"])):
             if x not in gone:
                 gone.add(y)
-        return pd.DataFrame({"snp": sorted(gone)}, dtype="int64")
+        return pd.DataFrame({"chr": pairs["chr"].iloc[0], "snp": sorted(gone)})
 
-    kept = loci.join(high.groupBy("chr").applyInPandas(decide, "snp long"), "snp", "left_anti").select("snp", "chr")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("chr", "snp")}
+    gone = high.groupBy("chr").applyInPandas(decide, f"chr {kinds['chr']}, snp {kinds['snp']}")
+    kept = loci.join(gone, ["chr", "snp"], "left_anti")
     if not duplicates:
-        return kept
-    moments = rows.join(kept, ["snp", "chr"]).groupBy("snp", "chr").agg(F.avg("dose").alias("m"), F.stddev_pop("dose").alias("s"), F.array_sort(F.collect_list(F.struct("gen", "dose"))).alias("d"))  # a list as long as there are genotypes
+        return kept.select("snp", "chr")
     z = F.transform("d", lambda e: F.round((e["dose"] - F.col("m")) / F.col("s"), 9) + 0.0)
-    moments = moments.withColumn("z", z).withColumn("first", F.element_at(F.filter("z", lambda v: v != 0), 1))
+    moments = kept.withColumn("z", z).withColumn("first", F.element_at(F.filter("z", lambda v: v != 0), 1))
     key = F.sha2(F.concat_ws(",", F.transform("z", lambda v: F.when(F.col("first") < 0, -v).otherwise(v) + 0.0)), 256)
     return moments.groupBy(key.alias("key")).agg(F.min_by(F.struct("snp", "chr"), F.struct("chr", "snp")).alias("k")).select("k.snp", "k.chr")

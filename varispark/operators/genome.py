@@ -2,56 +2,73 @@
 
 With P the projection of the fit, a term's incidence Z gives c = Z'Py and C = Z'PZ once, on the driver, from the mixed-model
 equations. A locus with doses s then has score s'c and information s'Cs; several terms (own genotype, neighbours) are
-tested one by one and jointly. Markers are tested in batches where they lie.
+tested one by one and jointly, and by trait. Products of two terms' doses need sums over pairs of levels, which one more
+pass over the rows gives. Markers are tested in batches where they lie, and exact refits take their columns from the sums.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varispark.functions import optimise
 from varispark.functions.special import chi2_sf
-from varispark.operators.reml import Fit
+from varispark.operators import reml
+from varispark.operators.reml import Effects, Fit, Model, Sums
+from varispark.shipping import ship
+
+FAMILIES = ("dir", "ind", "sim")
+PAIR_TESTS = ("pair", "pair|dir", "pair|ind", "pair|dir+ind")
+
+
+def blocks(model: Model, term: str) -> list[slice]:
+    """The columns of a term, for each trait."""
+    e = next((e for e in model.random if e.name == term), None)
+    if e is None or e.absorbed is not None:
+        raise ValueError(f"no term {term!r} in the equations (terms: {', '.join(e.name for e in model.random)})")
+    if e.t not in (1, len(model.traits)) or e.t == 1 and len(model.traits) > 1:
+        raise ValueError(f"{term!r} has no column for each trait")
+    return [slice(e.offset + k * e.q, e.offset + (k + 1) * e.q) for k in range(e.t)]
 
 
 def project(fit: Fit, terms: list[str]) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
-    """c of each term and C of each pair of terms, for models of one trait."""
+    """c of each column block (term by term, traits within) and C of each pair of blocks."""
     m = fit.model
-    if len(m.traits) > 1:
-        raise ValueError("scans take models of one trait")
-    full = np.zeros((m.m + 1, m.m + 1))
-    for s, sl in zip(m.sections, fit.likelihood.residual):
-        for (section, _), (_, sums) in m.cells.items():
-            if section == s:
-                full += np.exp(-2 * fit.theta[sl][0]) * sums.get((0, 0), 0.0)
-    by_name = {e.name: e for e in m.random}
-    at = [slice(by_name[t].offset, by_name[t].offset + by_name[t].q) for t in terms]
+    full, _ = fit.likelihood.reduced(fit.theta)
+    at = [k for t in terms for k in blocks(m, t)]
     c = [full[k, m.m] - full[k, : m.m] @ fit.solution for k in at]
     big = [[full[k, j] - full[k, : m.m] @ fit.cinv @ full[: m.m, j] for j in at] for k in at]
     return c, big
 
 
 def scan(fit: Fit, markers: DataFrame, terms: list[str], dose: str = "dose", snp: str = "snp") -> DataFrame:
-    """snp, and for each term beta_k, se_k, chi2_k; with several terms also chi2_joint and p_joint.
+    """snp, and for each term beta_k, se_k, chi2_k; with several terms also chi2_joint and p_joint, for models of one trait.
 
     markers: one row per locus, with an array of doses in the order of the terms' levels. Loci without variation have nulls.
     """
+    if len(fit.model.traits) > 1:
+        raise ValueError("models of several traits take scan_tests()")
+    ship(markers.sparkSession)
     c, big = project(fit, terms)
     q = len(c[0])
     if any(len(x) != q for x in c):
         raise ValueError("the terms of one scan have the same levels")
     k = len(terms)
     names = [f"{x}_{t + 1}" for t in range(k) for x in ("beta", "se", "chi2")] + (["chi2_joint", "p_joint"] if k > 1 else [])
+    held = markers.sparkSession.sparkContext.broadcast((c, big))  # as large as the terms' part of the equations
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, big = held.value
         for pdf in frames:
             s = np.stack(pdf[dose].to_numpy()).astype(float) if len(pdf) else np.zeros((0, q))
             num = np.stack([s @ x for x in c], axis=1)
-            den = np.stack([np.stack([np.einsum("ij,ij->i", s @ big[a][b], s) for b in range(k)], axis=1) for a in range(k)], axis=1)
+            den = np.stack([np.stack([((s @ big[a][b]) * s).sum(axis=1) for b in range(k)], axis=1) for a in range(k)], axis=1)
             out = {snp: pdf[snp]}
             for t in range(k):
                 d = np.where(den[:, t, t] > 1e-10, den[:, t, t], np.nan)
@@ -68,6 +85,205 @@ def scan(fit: Fit, markers: DataFrame, terms: list[str], dose: str = "dose", snp
     return found.select(snp, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
+def parse_test(spec: str, traits: list[str]) -> tuple[list[dict], np.ndarray, list[str]]:
+    """A test "family[traits]@common|@het + ... | conditioning": the model's columns as weights of (family, trait), the
+    hypothesis matrix over these columns, and a label for each of its rows.
+
+    A family stands for one column per trait, or with @common for their sum; @het tests that its traits' effects are
+    equal. What follows the bar is in the model and not tested.
+    """
+    left, _, right = spec.partition("|")
+
+    def items(text: str) -> list[tuple[str, list[str] | None, str | None]]:
+        out = []
+        for part in filter(str.strip, re.split(r"\+(?![^\[]*\])", text)):
+            got = re.fullmatch(r"\s*([A-Za-z]+)\s*(?:\[([^\]]*)\])?\s*(?:@\s*([A-Za-z]+))?\s*", part)
+            if not got:
+                raise ValueError(f"{spec!r}: cannot read {part!r}")
+            names = [t.strip() for t in got[2].split(",") if t.strip()] if got[2] is not None else None
+            if got[1] not in FAMILIES:
+                raise ValueError(f"{spec!r}: unknown family {got[1]!r}")
+            if got[3] not in (None, "common", "het") or got[3] and names is not None:
+                raise ValueError(f"{spec!r}: {part!r} takes traits, @common or @het")
+            out.append((got[1], names, got[3]))
+        return out
+
+    tested, given = items(left), items(right)
+    if not tested:
+        raise ValueError(f"{spec!r}: nothing is tested")
+    columns: list[dict] = []
+    where: dict[tuple[str, bool], list[int]] = {}
+    for family, _, how in tested + given:
+        common = how == "common"
+        if (family, not common) in where:
+            raise ValueError(f"{spec!r}: {family} is there both with and without @common")
+        if (family, common) not in where:
+            new = [{(family, k): 1.0 for k in range(len(traits))}] if common else [{(family, k): 1.0} for k in range(len(traits))]
+            where[family, common] = list(range(len(columns), len(columns) + len(new)))
+            columns += new
+    rows, labels = [], []
+
+    def row(plus: int, minus: int | None = None) -> None:
+        r = np.zeros(len(columns))
+        r[plus] = 1.0
+        if minus is not None:
+            r[minus] = -1.0
+        rows.append(r)
+
+    for family, names, how in tested:
+        at = where[family, how == "common"]
+        if how == "common":
+            row(at[0])
+            labels.append(f"{family}@common")
+        elif how == "het":
+            if len(traits) < 2:
+                raise ValueError(f"{spec!r}: @het takes two traits or more")
+            for k in range(1, len(traits)):
+                row(at[k], at[0])
+                labels.append(f"{family}[{traits[k]}-{traits[0]}]")
+        else:
+            for name in names if names is not None else traits:
+                k = traits.index(name) if name in traits else int(name) - 1 if name.isdigit() and 1 <= int(name) <= len(traits) else -1
+                if k < 0:
+                    raise ValueError(f"{spec!r}: unknown trait {name!r}")
+                row(at[k])
+                labels.append(family if len(traits) == 1 else f"{family}[{traits[k]}]")
+    once = [i for i, r in enumerate(rows) if not any((r == x).all() for x in rows[:i])]
+    return columns, np.array([rows[i] for i in once]), [labels[i] for i in once]
+
+
+def solved(num: np.ndarray, den: np.ndarray, hypothesis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each locus L b, its standard errors, chi-square and degrees of freedom, from scores and information; not a
+    number where a column has no information of its own."""
+    n, r = len(num), len(hypothesis)
+    value, se, chi2 = np.full((n, r), np.nan), np.full((n, r), np.nan), np.full(n, np.nan)
+    diagonal = np.einsum("nii->ni", den)
+    ok = (diagonal > 1e-10).all(axis=1) & np.isfinite(den).all(axis=(1, 2))
+    if ok.any():
+        scale = np.sqrt(diagonal[ok])
+        ok[ok] = np.linalg.cond(den[ok] / (scale[:, :, None] * scale[:, None, :])) < 1e10
+    if ok.any():
+        inv = np.linalg.inv(den[ok])
+        b = np.einsum("nij,nj->ni", inv, num[ok])
+        lb, v = b @ hypothesis.T, np.einsum("ri,nij,sj->nrs", hypothesis, inv, hypothesis)
+        value[ok], se[ok] = lb, np.sqrt(np.einsum("nrr->nr", v))
+        chi2[ok] = np.einsum("nr,nr->n", lb, np.linalg.solve(v, lb[:, :, None])[:, :, 0])
+    return value, se, chi2, np.full(n, r)
+
+
+def scan_tests(fit: Fit, markers: DataFrame, families: dict[str, str], tests: list[str], maf: float | None = None, keep: str | None = None, coding: str = "count", ploidy: int = 2, limit: int = 200_000) -> DataFrame:
+    """A scan with the test grammar of parse_test: snp and maf; for each test k chi2_k, df_k and p_k, and for each of its
+    rows j beta_k_j and se_k_j.
+
+    families: the terms of dir (own doses) and ind (others' doses). The family sim is the product of a row's own dose and
+    the sum of its neighbours'; it takes models of one trait and one plain residual with at most limit rows, whose design
+    is broadcast, and doses that are centred. markers: snp, dose (array in the order of the levels), and keep, a boolean
+    column, if named: loci that it leaves out, rare and constant ones are there with nulls.
+    """
+    m = fit.model
+    ship(markers.sparkSession)
+    traits = [str(t) for t in m.traits] if len(m.traits) > 1 else [""]
+    parsed = [parse_test(t, traits) for t in tests]
+    used = sorted({key for columns, _, _ in parsed for c in columns for key in c}, key=lambda f: (FAMILIES.index(f[0]), f[1]))
+    needs_sim = any(f == "sim" for f, _ in used)
+    linear = [f for f in ("dir", "ind") if any(u[0] == f for u in used) or needs_sim]
+    missing = [f for f in linear if f not in families]
+    if missing:
+        raise ValueError(f"no term for {', '.join(missing)}")
+    c, big = project(fit, [families[f] for f in linear])
+    place = {(f, k): i * len(traits) + k for i, f in enumerate(linear) for k in range(len(traits))}
+    q = {len(x) for x in c}
+    if len(q) > 1:
+        raise ValueError("the families of one scan have the same levels")
+    design = _rows(fit, families, limit) if needs_sim else None
+    if needs_sim and coding == "count":
+        raise ValueError("sim takes centred doses: coding is 'sign' or 'centred'")
+    held = markers.sparkSession.sparkContext.broadcast((c, big, design, fit.cinv if needs_sim else None))  # as large as the equations, and at most limit rows
+    names = [n for k, (_, _, labels) in enumerate(parsed) for n in (f"chi2_{k + 1}", f"df_{k + 1}", f"p_{k + 1}", *[f"{x}_{k + 1}_{j + 1}" for j in range(len(labels)) for x in ("beta", "se")])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, big, design, cinv = held.value
+        for pdf in frames:
+            s = np.stack(pdf["dose"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, len(c[0])))
+            share = {"count": s / ploidy, "fraction": s, "sign": (s + 1) / 2, "centred": s - s.min(axis=1, keepdims=True)}[coding].mean(axis=1) if len(s) else np.zeros(0)
+            rare = np.minimum(share, 1 - share) if coding != "centred" else np.full(len(s), np.nan)
+            live = (s.max(axis=1) > s.min(axis=1)) if len(s) else np.zeros(0, dtype=bool)
+            if maf is not None and coding != "centred":
+                live &= rare >= maf
+            if keep:
+                live &= pdf["keep"].fillna(False).to_numpy(dtype=bool)
+            x = s[live]
+            num = {key: x @ c[place[key]] for key in used if key[0] != "sim"}
+            den = {(a, b): ((x @ big[place[a]][place[b]]) * x).sum(axis=1) for a in used for b in used if "sim" not in (a[0], b[0])}
+            if design is not None and ("sim", 0) in used:
+                extra = _products(x, design, cinv)
+                num["sim", 0], den[("sim", 0), ("sim", 0)] = extra["num"], extra["den"]
+                for f in ("dir", "ind"):
+                    den[("sim", 0), (f, 0)] = den[(f, 0), ("sim", 0)] = extra[f]
+            out = {"snp": pdf["snp"], "maf": rare}
+            for k, (columns, hypothesis, labels) in enumerate(parsed):
+                score = np.stack([sum(w * num[key] for key, w in col.items()) for col in columns], axis=1)
+                information = np.stack([np.stack([sum(w * v * den[a, b] for a, w in left.items() for b, v in right.items()) for right in columns], axis=1) for left in columns], axis=1)
+                value, se, chi2, df = solved(score, information, hypothesis)
+                whole = np.full((len(s), 2 + 2 * len(labels)), np.nan)
+                whole[live, 0] = chi2
+                whole[live, 1] = [chi2_sf(v, len(hypothesis)) if np.isfinite(v) else np.nan for v in chi2]
+                whole[live, 2::2], whole[live, 3::2] = value, se
+                out |= {f"chi2_{k + 1}": whole[:, 0], f"df_{k + 1}": float(len(hypothesis)), f"p_{k + 1}": whole[:, 1]}
+                for j in range(len(labels)):
+                    out |= {f"beta_{k + 1}_{j + 1}": whole[:, 2 + 2 * j], f"se_{k + 1}_{j + 1}": whole[:, 3 + 2 * j]}
+            yield pd.DataFrame(out)
+
+    kind = markers.schema["snp"].dataType.simpleString()
+    rows = markers.select("snp", "dose", *([F.col(keep).alias("keep")] if keep else []))
+    found = rows.mapInPandas(run, f"snp {kind}, maf double, " + ", ".join(f"{n} double" for n in names))
+    return found.select("snp", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in ["maf", *names]])
+
+
+def _rows(fit: Fit, families: dict[str, str], limit: int) -> dict:
+    """The design of a model of one trait and one plain residual, by rows."""
+    m = fit.model
+    if len(m.traits) > 1 or len(m.sections) > 1 or m.residual.axes or m.absorbed or m.design is None:
+        raise ValueError("products of doses take models of one trait and one plain residual, built in this session")
+    if m.n > limit:
+        raise ValueError(f"the model has more than {limit} rows")
+    table = m.design.select(F.col("coo.c").alias("c"), F.col("coo.x").alias("x")).toPandas()
+    size = np.array([len(v) for v in table["c"]])
+    row, col = np.repeat(np.arange(len(table)), size), np.concatenate(table["c"].to_numpy())
+    x = np.concatenate(table["x"].to_numpy()).astype(float)
+    y, own = np.zeros(len(table)), col == m.m
+    y[row[own]] = x[own]
+    order = np.argsort(col[~own], kind="stable")
+    out = {"n": len(table), "row": row[~own][order], "col": col[~own][order], "x": x[~own][order], "se2": float(np.exp(2 * fit.theta[fit.likelihood.residual[0]][0])), "m": m.m}
+    e = y - np.bincount(out["row"], weights=out["x"] * fit.solution[out["col"]], minlength=len(table))
+    return out | {"e": e, "at": {f: blocks(m, t)[0] for f, t in families.items()}, "gram": fit.likelihood.reduced(fit.theta)[0][: m.m, : m.m]}
+
+
+def _products(s: np.ndarray, d: dict, cinv: np.ndarray, step: int = 32) -> dict[str, np.ndarray]:
+    """Scores and information of the products of own and neighbours' doses, and their information with each of the two."""
+    out = {k: np.zeros(len(s)) for k in ("num", "den", "dir", "ind")}
+    cut = np.searchsorted(d["col"], np.arange(d["m"] + 1))
+    filled = np.nonzero(cut[1:] > cut[:-1])[0]
+    for at in range(0, len(s), step):
+        part = s[at : at + step]
+        sums = {}
+        for f in ("dir", "ind"):
+            k = slice(cut[d["at"][f].start], cut[d["at"][f].stop])
+            sums[f] = np.zeros((d["n"], len(part)))
+            np.add.at(sums[f], d["row"][k], d["x"][k, None] * part[:, d["col"][k] - d["at"][f].start].T)
+        u = sums["dir"] * sums["ind"]
+        w = np.zeros((d["m"], len(part)))
+        w[filled] = np.add.reduceat(d["x"][:, None] * u[d["row"]], cut[filled], axis=0)
+        w /= d["se2"]
+        solved_w = cinv @ w
+        out["num"][at : at + step] = d["e"] @ u / d["se2"]
+        out["den"][at : at + step] = (u * u).sum(axis=0) / d["se2"] - (w * solved_w).sum(axis=0)
+        for f in ("dir", "ind"):
+            k = d["at"][f]
+            out[f][at : at + step] = ((w[k] - d["gram"][k] @ solved_w) * part.T).sum(axis=0)
+    return out
+
+
 def scan_loco(null_without: Callable[[object], Fit], markers: DataFrame, terms: list[str], chrom: str = "chr", **options) -> DataFrame:
     """A scan in which each chromosome's loci are tested on the null fit made without it; chromosomes are few."""
     parts = [scan(null_without(r[0]), markers.where(F.col(chrom) == F.lit(r[0])), terms, **options) for r in markers.select(chrom).distinct().orderBy(chrom).collect()]
@@ -77,28 +293,367 @@ def scan_loco(null_without: Callable[[object], Fit], markers: DataFrame, terms:
     return out
 
 
-def pair_scan(fit: Fit, focal: DataFrame, neighbour: DataFrame, terms: tuple[str, str], block: int = 256, top: int = 100) -> DataFrame:
-    """Joint tests of a focal and a neighbour locus: the top pairs by chi2 of the two together.
+def with_columns(model: Model, columns: np.ndarray, names: list[str]) -> Model:
+    """The model with further fixed effects that are combinations of its columns (one column of weights each): a locus is
+    one of its term's, so its sums follow from those that are there."""
+    k, p = columns.shape[1], model.p
+    turn = np.zeros((model.m + 1, model.m + 1 + k))
+    turn[:p, :p] = np.eye(p)
+    turn[: model.m, p : p + k] = columns
+    turn[p:, p + k :] = np.eye(model.m + 1 - p)
+
+    def turned(g: Sums) -> Sums:
+        new = turn.T @ (g.dense() @ turn)
+        i, j = np.nonzero(new)
+        return Sums(i, j, new[i, j], model.m + 1 + k)
+
+    cells = {key: (units, {t: turned(g) for t, g in sums.items()}) for key, (units, sums) in model.cells.items()}
+    fixed = [*model.fixed, *[Effects(n, p + i, [n]) for i, n in enumerate(names)]]
+    return replace(model, fixed=fixed, random=[replace(e, offset=e.offset + k) for e in model.random], cells=cells, p=p + k, m=model.m + k, design=None)
+
 
-    Focal loci meet blocks of neighbour loci in tiles; each tile keeps its best pairs, and the best of all are ranked.
+def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) -> DataFrame:
+    """Exact refits: variances estimated anew with each locus as a fixed effect, and its Wald test: snp, chi2, df, p, neg2,
+    converged, and theta; labels' beta_j and se_j.
+
+    A locus is a row and is refitted where it lies, from the sums of the null fit. markers: the loci to refit, as for
+    scan_tests; families are dir and ind.
     """
-    c, big = project(fit, list(terms))
-    blocks = neighbour.withColumn("tile", F.pmod(F.xxhash64("snp"), F.lit(block))).groupBy("tile").agg(F.collect_list(F.struct("snp", "dose")).alias("others"))
-    spread = focal.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))))
+    m = fit.model
+    if m.absorbed:
+        raise ValueError("refits take models without an absorbed factor")
+    ship(markers.sparkSession)
+    traits = [str(t) for t in m.traits] if len(m.traits) > 1 else [""]
+    columns, hypothesis, labels = parse_test(test, traits)
+    if any(f == "sim" for c in columns for f, _ in c):
+        raise ValueError("refits take dir and ind")
+    at = {(f, k): b for f, t in families.items() for k, b in enumerate(blocks(m, t))}
+    held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple] = []
+        null, theta, free, ml = held.value
         for pdf in frames:
-            for a, dose, others in zip(pdf["snp"], pdf["dose"], pdf["others"]):
+            out = []
+            for snp, dose in zip(pdf["snp"], pdf["dose"]):
                 s = np.asarray(dose, dtype=float)
-                z = np.array([list(o["dose"]) for o in others], dtype=float)
-                num = np.stack([np.full(len(z), s @ c[0]), z @ c[1]], axis=1)
-                daa, dab, dbb = float(s @ big[0][0] @ s), z @ (big[1][0] @ s), np.einsum("ij,ij->i", z @ big[1][1], z)
-                det = daa * dbb - dab**2
-                chi2 = np.where(det > 1e-10, (dbb * num[:, 0] ** 2 - 2 * dab * num[:, 0] * num[:, 1] + daa * num[:, 1] ** 2) / np.where(det > 1e-10, det, 1.0), np.nan)
-                best += [(a, o["snp"], float(x)) for o, x in zip(others, chi2) if np.isfinite(x)]
-            best = sorted(best, key=lambda r: (-r[2], r[0], r[1]))[:top]
-        yield pd.DataFrame(best, columns=["focal", "neighbour", "chi2"])
-
-    pairs = spread.join(blocks, "tile").select("snp", "dose", "others").mapInPandas(run, "focal long, neighbour long, chi2 double")
+                weights = np.zeros((null.m, len(columns)))
+                for j, col in enumerate(columns):
+                    for key, w in col.items():
+                        weights[at[key], j] += w * s
+                try:
+                    model = reml._checked(with_columns(null, weights, [f"__locus{j}" for j in range(len(columns))]))
+                except ValueError:
+                    out.append((snp, *[float("nan")] * 2, float(len(hypothesis)), float("nan"), False, theta.tolist(), *[float("nan")] * (2 * len(labels))))
+                    continue
+                like = reml.Likelihood(model, ml)
+                informed = not (model.residual.axes or ml)
+                best, value, done = optimise.newton(like.value_and_gradient, like.average_information, theta, free) if informed else (theta, np.inf, False)
+                if not done:
+                    best, value, done = optimise.minimise(like.value_and_gradient, best, free)
+                    slope = like.value_and_gradient(best)[1]
+                    done = done or np.abs(slope[optimise.live(best, slope, free, -12.0, 12.0)]).max(initial=0.0) < 1e-4 * max(1.0, abs(value))
+                c, b, _, _ = like.equations(best)
+                place = slice(null.p, null.p + len(columns))
+                v = np.linalg.inv(c)[place, place]
+                lb = hypothesis @ np.linalg.solve(c, b)[place]
+                lv = hypothesis @ v @ hypothesis.T
+                chi2 = float(lb @ np.linalg.solve(lv, lb))
+                out.append((snp, chi2, chi2_sf(chi2, len(hypothesis)), float(len(hypothesis)), value, bool(done), best.tolist(), *[x for pair in zip(lb, np.sqrt(np.diag(lv))) for x in pair]))
+            yield pd.DataFrame(out, columns=["snp", "chi2", "p", "df", "neg2", "converged", "theta", *[f"{x}_{j + 1}" for j in range(len(labels)) for x in ("beta", "se")]])
+
+    kind = markers.schema["snp"].dataType.simpleString()
+    more = "".join(f", {x}_{j + 1} double" for j in range(len(labels)) for x in ("beta", "se"))
+    return markers.select("snp", "dose").mapInPandas(run, f"snp {kind}, chi2 double, p double, df double, neg2 double, converged boolean, theta array<double>{more}")
+
+
+def pair_sums(fit: Fit, terms: tuple[str, str], limit: int = 4_000) -> dict[str, np.ndarray]:
+    """What tests of a product of two terms' doses need, from one pass over the rows: for pairs of levels (g of the first,
+    f of the second) the sums n = R'Py, R'PZ with each term, and R'PR, where R has a column for each pair.
+
+    The pairs number limit at most, as R'PR is held on the driver.
+    """
+    m = fit.model
+    if len(m.traits) > 1 or len(m.sections) > 1 or m.residual.axes or m.absorbed or m.design is None:
+        raise ValueError("pairs take models of one trait and one plain residual, built in this session")
+    (a,), (b,) = (blocks(m, t) for t in terms)
+    qa, qb = a.stop - a.start, b.stop - b.start
+    if qa * qb > limit:
+        raise ValueError(f"{qa * qb} pairs of levels are more than {limit}")
+    inside = lambda k: F.filter("coo", lambda e: (e["c"] >= k.start) & (e["c"] < k.stop))
+    pairs = F.flatten(F.transform(inside(a), lambda x: F.transform(inside(b), lambda y: F.struct(((x["c"] - a.start) * qb + y["c"] - b.start + m.m + 1).alias("c"), (x["x"] * y["x"]).alias("x")))))
+    rows = m.design.select("coo", pairs.alias("r"))
+    every = F.flatten(F.transform("r", lambda x: F.transform(F.concat("coo", "r"), lambda y: F.struct(x["c"].alias("i"), y["c"].alias("j"), (x["x"] * y["x"]).alias("x")))))
+    sums = rows.select(F.inline(every)).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    full = np.zeros((qa * qb, m.m + 1 + qa * qb))
+    got = sums.toPandas()
+    full[got["i"].to_numpy() - m.m - 1, got["j"].to_numpy()] = got["x"].to_numpy()
+    full /= np.exp(2 * fit.theta[fit.likelihood.residual[0]][0])
+    rw, ry, rr = full[:, : m.m], full[:, m.m], full[:, m.m + 1 :]
+    c, big = project(fit, list(terms))
+    base, _ = fit.likelihood.reduced(fit.theta)
+    through = rw @ fit.cinv
+    return {
+        "num": ry - rw @ fit.solution, "dir": rw[:, a] - through @ base[: m.m, a], "ind": rw[:, b] - through @ base[: m.m, b], "own": rr - through @ rw.T,
+        "c_dir": c[0], "c_ind": c[1], "dd": big[0][0], "nn": big[1][1], "dn": big[0][1],
+    }
+
+
+def _pair_tests(k: dict, left: np.ndarray, right: np.ndarray, tests: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """chi2, beta and standard error of the product's effect for each left and right locus, given the effects named."""
+    na, nb, qa, qb = len(left), len(right), left.shape[1], right.shape[1]
+    products = (left[:, None, :, None] * right[None, :, None, :]).reshape(na * nb, qa * qb)
+    num, den = (products @ k["num"]).reshape(na, nb), ((products @ k["own"]) * products).sum(axis=1).reshape(na, nb)
+    with_dir = ((products @ k["dir"]).reshape(na, nb, qa) * left[:, None, :]).sum(axis=2)
+    with_ind = ((products @ k["ind"]).reshape(na, nb, qb) * right[None, :, :]).sum(axis=2)
+    own = {"dir": (left @ k["c_dir"])[:, None] + np.zeros((1, nb)), "ind": (right @ k["c_ind"])[None, :] + np.zeros((na, 1))}
+    info = {("dir", "dir"): ((left @ k["dd"]) * left).sum(axis=1)[:, None] + np.zeros((1, nb)), ("ind", "ind"): ((right @ k["nn"]) * right).sum(axis=1)[None, :] + np.zeros((na, 1)), ("dir", "ind"): left @ k["dn"] @ right.T}
+    info["ind", "dir"] = info["dir", "ind"]
+    cross = {"dir": with_dir, "ind": with_ind}
+    out = {}
+    for test in tests:
+        given = test.split("|")[1].split("+") if "|" in test else []
+        r_num, r_den = num, den
+        if given:  # what the product has beyond them
+            small = np.stack([np.stack([info[x, y] for y in given], axis=-1) for x in given], axis=-2)
+            v = np.stack([cross[x] for x in given], axis=-1)
+            ok = np.abs(np.linalg.det(small)) > 1e-12
+            weights = np.full(v.shape, np.nan)
+            weights[ok] = np.linalg.solve(small[ok], v[ok][..., None])[..., 0]
+            r_num = num - (weights * np.stack([own[x] for x in given], axis=-1)).sum(axis=-1)
+            r_den = den - (weights * v).sum(axis=-1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            good = r_den > 1e-9 * np.maximum(den, 1e-300)
+            out[test] = tuple(np.where(good, x, np.nan) for x in (r_num**2 / r_den, r_num / r_den, 1 / np.sqrt(np.maximum(r_den, 1e-300))))
+    return out
+
+
+def cogwas(fit: Fit, focal: DataFrame, neighbour: DataFrame, terms: tuple[str, str], tests: list[str] = list(PAIR_TESTS), block: int = 64, top: int = 100, width: float = 0.5) -> dict[str, DataFrame]:
+    """Tests of every focal locus with every neighbour locus: top (test, focal, neighbour, chi2, beta, se), best (per test
+    and locus of each side: side, snp, other, chi2), histogram (test, bin, n) and meta (test, n, lambda of the histogram).
+
+    Loci of both sides are dealt into blocks of about so many, and each pair of blocks is a tile of matrix products that
+    keeps its best pairs only; what tiles return grows with loci, not with pairs. Ties go to the smaller loci.
+    """
+    unknown = set(tests) - set(PAIR_TESTS)
+    if unknown:
+        raise ValueError(f"unknown tests {sorted(unknown)} (known: {', '.join(PAIR_TESTS)})")
+    spark = fit.spark
+    ship(spark)
+    held = spark.sparkContext.broadcast(pair_sums(fit, terms))  # at most the square of pair_sums' limit
+    deal = lambda df, n, name: df.select(F.col("snp").cast("long").alias("snp"), "dose", F.pmod(F.xxhash64("snp"), F.lit(n)).alias(name))
+    n_a, n_b = (max(1, -(-df.count() // block)) for df in (focal, neighbour))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a, b = deal(focal, n_a, "a").withColumn("b", every(n_b)), deal(neighbour, n_b, "b").withColumn("a", every(n_a))
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(left) and len(right):
+            left, right = left.sort_values("snp"), right.sort_values("snp")
+            sides = left["snp"].to_numpy(), right["snp"].to_numpy()
+            found = _pair_tests(held.value, *(np.stack(x["dose"].to_numpy()).astype(float) for x in (left, right)), tests)
+            for test, (chi2, beta, se) in found.items():
+                flat = np.where(np.isfinite(chi2), chi2, -1.0).ravel()
+                for k in np.argsort(-flat, kind="stable")[:top]:
+                    if flat[k] >= 0:
+                        i, j = divmod(int(k), len(right))
+                        rows.append(("top", test, int(sides[0][i]), int(sides[1][j]), float(flat[k]), float(beta[i, j]), float(se[i, j]), 1))
+                for side, axis in (("focal", 1), ("neighbour", 0)):
+                    grid = flat.reshape(chi2.shape)
+                    for i, j in enumerate(grid.argmax(axis=axis)):
+                        value = grid[i, j] if axis else grid[j, i]
+                        if value >= 0:
+                            rows.append((side, test, int(sides[1 - axis][i]), int(sides[axis][j]), float(value), 0.0, 0.0, 1))
+                bins, n = np.unique(np.floor(flat[flat >= 0] / width), return_counts=True)
+                rows += [("bin", test, int(x), 0, 0.0, 0.0, 0.0, int(c)) for x, c in zip(bins, n)]
+        return pd.DataFrame(rows, columns=["kind", "test", "x", "y", "chi2", "beta", "se", "n"])
+
+    schema = "kind string, test string, x long, y long, chi2 double, beta double, se double, n long"
+    from pyspark.sql import Window
+
+    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(tile, schema)
+    place = F.row_number().over(Window.partitionBy("test").orderBy(F.desc("chi2"), "x", "y"))
+    best = F.max(F.struct("chi2", (-F.col("y")).alias("y")))
+    histogram = found.where("kind = 'bin'").groupBy("test", F.col("x").alias("bin")).agg(F.sum("n").alias("n"))
+    return {
+        "top": found.where("kind = 'top'").withColumn("place", place).where(F.col("place") <= top).select("test", F.col("x").alias("focal"), F.col("y").alias("neighbour"), "chi2", "beta", "se"),
+        "best": found.where("kind in ('focal', 'neighbour')").groupBy("test", F.col("kind").alias("side"), F.col("x").alias("snp")).agg(best.alias("k")).select("test", "side", "snp", (-F.col("k.y")).alias("other"), "k.chi2"),
+        "histogram": histogram,
+        "meta": _histogram_lambda(histogram, width),
+    }
+
+
+def _histogram_lambda(histogram: DataFrame, width: float) -> DataFrame:
+    """test, n and lambda: the median by interpolation within its bin, over that of chi-square with one degree."""
+    from pyspark.sql import Window
+
+    from varispark.operators.scans import MEDIAN_CHI2
+
+    w = Window.partitionBy("test")
+    rows = histogram.withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n"))
+    middle = rows.where((F.col("before") < F.col("total") / 2) & (F.col("before") + F.col("n") >= F.col("total") / 2))
+    at = (F.col("bin") + (F.col("total") / 2 - F.col("before")) / F.col("n")) * width
+    return middle.select("test", F.col("total").alias("n"), (at / MEDIAN_CHI2).alias("lambda"))
+
+
+def pair_scan(fit: Fit, focal: DataFrame, neighbour: DataFrame, terms: tuple[str, str], block: int = 256, top: int = 100) -> DataFrame:
+    """Joint tests of a focal and a neighbour locus: the top pairs by chi2 of the two together: focal, neighbour, chi2.
+
+    Loci of both sides are dealt into blocks; each pair of blocks is a tile of matrix products that keeps its best pairs.
+    """
+    ship(fit.spark)
+    c, big = project(fit, list(terms))
+    held = fit.spark.sparkContext.broadcast((c, big))  # as large as the terms' part of the equations
+    n_a, n_b = (max(1, -(-df.count() // block)) for df in (focal, neighbour))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    deal = lambda df, n, name: df.select(F.col("snp").cast("long").alias("snp"), "dose", F.pmod(F.xxhash64("snp"), F.lit(n)).alias(name))
+    a, b = deal(focal, n_a, "a").withColumn("b", every(n_b)), deal(neighbour, n_b, "b").withColumn("a", every(n_a))
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            (c0, c1), big = held.value
+            left, right = left.sort_values("snp"), right.sort_values("snp")
+            s, z = (np.stack(x["dose"].to_numpy()).astype(float) for x in (left, right))
+            na, nb = (s @ c0)[:, None], (z @ c1)[None, :]
+            daa, dbb = ((s @ big[0][0]) * s).sum(axis=1)[:, None], ((z @ big[1][1]) * z).sum(axis=1)[None, :]
+            dab = s @ big[0][1] @ z.T
+            det = daa * dbb - dab**2
+            with np.errstate(invalid="ignore", divide="ignore"):
+                chi2 = np.where(det > 1e-10, (dbb * na**2 - 2 * dab * na * nb + daa * nb**2) / det, -1.0).ravel()
+            for k in np.argsort(-chi2, kind="stable")[:top]:
+                if chi2[k] >= 0:
+                    rows.append((int(left["snp"].iloc[k // len(right)]), int(right["snp"].iloc[k % len(right)]), float(chi2[k])))
+        return pd.DataFrame(rows, columns=["focal", "neighbour", "chi2"])
+
+    pairs = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(tile, "focal long, neighbour long, chi2 double")
     return pairs.orderBy(F.desc("chi2"), "focal", "neighbour").limit(top)
+
+
+def write_scan(result: DataFrame, path: str, tests: list[str]) -> None:
+    """A scan as CSV, one row per locus, and beside it a JSON of its tests, loci, thresholds and genomic control."""
+    import json
+
+    from varispark.operators import scans
+
+    result.write.mode("overwrite").option("header", True).csv(f"{path}/scan")
+    meta = {"tests": tests, "n_snp": result.count()}
+    for k in range(len(tests)):
+        one = result.select("snp", F.col(f"chi2_{k + 1}").alias("chi2")).where("chi2 is not null")
+        n = one.count()
+        meta[tests[k]] = {"n": n, "bonferroni": 0.05 / n if n else None, "lambda": scans.lambda_gc(one).first()[0] if n else None}
+    spark = result.sparkSession
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def neighbour_kinship(markers: np.ndarray, weights: np.ndarray, near_pd: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Self and neighbour kinships of plants, and the neighbour covariates, from doses of -1 to 1 (plants x loci) and the
+    plants' neighbour weights; with near_pd each is the nearest positive definite matrix. Sizes are those of relationship
+    matrices that the equations take."""
+    doses = np.nan_to_num(np.asarray(markers, dtype=float))
+    q = doses.shape[1]
+    covariates = doses * (weights @ doses)
+    own = ((q - 1) / 2 + doses @ doses.T / 2) / (q - 1)
+    other = covariates @ covariates.T / (q - 1)
+    return (nearest_pd(own), nearest_pd(other), covariates) if near_pd else (own, other, covariates)
+
+
+def nearest_pd(a: np.ndarray, rounds: int = 1_000, tol: float = 1e-9, floor: float = 1e-8) -> np.ndarray:
+    """The nearest positive definite matrix in the Frobenius norm, by alternating projections with Dykstra's correction
+    (Higham 2002): onto matrices without negative eigenvalues, then onto symmetric ones."""
+    x, correction = (a + a.T) / 2, np.zeros_like(a, dtype=float)
+    for _ in range(rounds):
+        r = x - correction
+        values, vectors = np.linalg.eigh(r)
+        new = (vectors * np.maximum(values, floor * max(values[-1], 1e-300))) @ vectors.T
+        correction = new - r
+        new = (new + new.T) / 2
+        if np.linalg.norm(new - x) <= tol * max(1.0, np.linalg.norm(x)):
+            return new
+        x = new
+    return x
+
+
+def neighbour_gwas(df: DataFrame, traits: list[str], plant: str, markers: DataFrame, edges: DataFrame, fixed: str = "1", tests: list[str] | None = None, struct: str = "us", max_plants: int = 5_000, **options) -> dict:
+    """Scan of plants with their own and their neighbours' doses: scan, fit (self and neighbour kinship), fit_self, shares.
+
+    df: one row per plant; markers: snp and dose, an array of -1 to 1 in the order of sorted plants; edges: src, dst, w.
+    The null of tests with dir alone has the self kinship only, that of others both. Several traits have a column each
+    and effects per trait. Relationship matrices are held on the driver, so plants number max_plants at most.
+    """
+    from varispark.operators.design import to_long
+
+    spark = df.sparkSession
+    ids = [r[0] for r in df.select(plant).distinct().orderBy(plant).limit(max_plants + 1).collect()]
+    if len(ids) > max_plants:
+        raise ValueError(f"more than {max_plants} plants")
+    place = {v: i for i, v in enumerate(ids)}
+    w = np.zeros((len(ids), len(ids)))
+    for r in edges.where(F.col("src").isin(ids) & F.col("dst").isin(ids)).select("src", "dst", "w").toLocalIterator() if len(ids) <= 200 else edges.join(F.broadcast(spark.createDataFrame([(v,) for v in ids], f"src {df.schema[plant].dataType.simpleString()}")), "src").select("src", "dst", "w").toLocalIterator():
+        w[place[r["src"]], place[r["dst"]]] = r["w"]
+    size = len(ids)
+    ship(spark)
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, other, n = np.zeros((size, size)), np.zeros((size, size)), 0
+        weights = shipped.value
+        for pdf in frames:
+            s = np.nan_to_num(np.stack(pdf["dose"].to_numpy()).astype(float)) if len(pdf) else np.zeros((0, size))
+            x = s * (s @ weights.T)
+            own, other, n = own + s.T @ s, other + x.T @ x, n + len(s)
+        yield pd.DataFrame({"own": [own.ravel().tolist()], "other": [other.ravel().tolist()], "n": [n]})
+
+    shipped = spark.sparkContext.broadcast(w)  # at most max_plants squared
+    sums = markers.select("dose").mapInPandas(products, "own array<double>, other array<double>, n long")
+    own, other, q = np.zeros((size, size)), np.zeros((size, size)), 0
+    for r in sums.toLocalIterator():
+        own, other, q = own + np.reshape(r["own"], (size, size)), other + np.reshape(r["other"], (size, size)), q + r["n"]
+    k1, k2 = nearest_pd(((q - 1) / 2 + own / 2) / (q - 1)), nearest_pd(other / (q - 1))
+    matrices = {"K1": pd.DataFrame(k1, index=ids, columns=ids), "K2": pd.DataFrame(k2, index=ids, columns=ids)}
+    many = len(traits) > 1
+    neighbours = edges.where(F.col("w") != 0).groupBy(F.col("src").alias("__src")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dst").cast("string"), "w"))).alias("__near"))  # a plant's neighbours
+    rows = df.withColumn("__other", F.col(plant)).join(neighbours, F.col(plant) == F.col("__src"), "left").withColumn("__near", F.coalesce("__near", F.create_map().cast("map<string,double>")))
+    rows = to_long(rows.drop("__src"), [c for c in rows.columns if c not in {*traits, "__src"}], traits).where("y is not null") if many else rows.withColumn("y", F.col(traits[0]))
+    term = (lambda c, k: f"{struct}({c}, K={k})") if many else (lambda c, k: f"vm({c}, {k})")
+    right = fixed if not many else "trait" if fixed == "1" else f"trait + trait:({fixed})"
+    build = dict(matrices=matrices, max_levels=max_plants) | (dict(trait="trait", unit=plant) if many else {}) | options
+    full_random = f"~ {term(plant, 'K1')} + {term('__other', 'K2')}"
+    residual = f"~ {struct}(trait):units" if many else None
+    both = reml.reml(rows, f"y ~ {right}", full_random, residual, **build)
+    alone = reml.reml(rows, f"y ~ {right}", f"~ {term(plant, 'K1')}", residual, **build)
+    tests = tests or (["dir"] if many else ["dir", "sim|dir"])
+    own_tests = [t for t in tests if set(re.findall(r"[A-Za-z]+(?=\s*[\[@+|]|\s*$)", re.sub(r"@\w+|\[[^\]]*\]", "", t))) <= {"dir"}]
+    out: dict = {"fit": both, "fit_self": alone, "K1": k1, "K2": k2}
+    if own_tests:
+        out["scan_self"] = scan_tests(alone, markers, {"dir": term(plant, "K1")}, own_tests, coding="sign")
+    others = [t for t in tests if t not in own_tests]
+    if others and not many:
+        exposed = reml.build(rows, f"y ~ {right}", f"~ {term(plant, 'K1')} + {term('__other', 'K2')} + mm(__near)", residual, **build)
+        theta = np.append(np.insert(both.theta, 2, -12.0)[:-1], both.theta[-1])  # the neighbours' own term only lends its columns
+        out["scan"] = scan_tests(reml.fit(exposed, fixed_theta=theta), markers, {"dir": term(plant, "K1"), "ind": "mm(__near)"}, others, coding="sign")
+    parts = both.components()
+    share = []
+    for i, t in enumerate(traits):
+        name = f"[{t},{t}]" if many else ""
+        v = [next(x for k, x in parts.items() if k == f"{p}{name}") for p in (term(plant, "K1"), term("__other", "K2"), "residual")]
+        scaled = [v[0] * k1.trace() / size, v[1] * k2.trace() / size, v[2]]
+        share.append((t, *[float(x / sum(v)) for x in v], *[float(x / sum(scaled)) for x in scaled]))
+    out["shares"] = spark.createDataFrame(share, "trait string, self double, neighbour double, residual double, share_self double, share_neighbour double, share_residual double")
+    return out
+
+
+def neighbour_scale(df: DataFrame, traits: list[str], plant: str, markers: DataFrame, units: DataFrame, scales: list[float], **options) -> DataFrame:
+    """The null with neighbours within each radius against that with the self kinship only: scale, trait, shares, loglik,
+    loglik_self, lrt, p (one trait: half a chi-square on the boundary). units: block, id, r, c."""
+    from varispark.operators.design import neighbours
+    from varispark.operators.inference import likelihood_ratio
+
+    rows, kind = [], None
+    for s in sorted(scales):
+        near = neighbours(units, 1, "euclidean", (1.0 / s, 1.0 / s)).select("src", "dst")
+        count = near.groupBy("src").agg((1 / F.count("*")).alias("w"))
+        found = neighbour_gwas(df, traits, plant, markers, near.join(count, "src"), tests=["dir"], **options)
+        lrt, p = likelihood_ratio(found["fit"], found["fit_self"])
+        kind = found["shares"].schema
+        rows += [(float(s), *r, float(found["fit"].loglik), float(found["fit_self"].loglik), lrt, p if len(traits) == 1 else None) for r in found["shares"].collect()]
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
+    return df.sparkSession.createDataFrame(rows, f"scale double, {columns}, loglik double, loglik_self double, lrt double, p double")

@@ -18,19 +18,15 @@ from varispark.operators.reml import Fit
 def _parts(fit: Fit) -> tuple[np.ndarray, float, list]:
     """Cross-products W'W of the design W = [X Z], the residual variance, and each term's place and relationship."""
     m = fit.model
-    if len(m.traits) > 1 or len(m.sections) > 1 or m.residual.axes or any(e.t > 1 or sl.stop > sl.start for e, (_, sl) in zip(m.random, fit.likelihood.slices)):
+    if len(m.traits) > 1 or len(m.sections) > 1 or m.residual.axes or m.absorbed or any(e.t > 1 or sl.stop > sl.start for e, (_, sl) in zip(m.random, fit.likelihood.slices)):
         raise ValueError("takes variance components of one trait, one section and fixed relationships")
     ((_, sums),) = m.cells.values()
     terms = [(slice(e.offset, e.offset + e.q), np.eye(e.q) if e.k is None else e.k) for e in m.random]
-    return sums[(0, 0)][: m.m, : m.m], float(np.exp(2 * fit.theta[-1])), terms
+    return sums[(0, 0)].dense()[: m.m, : m.m], float(np.exp(2 * fit.theta[-1])), terms
 
 
-def kenward_roger(fit: Fit) -> DataFrame:
-    """F test of each fixed term with an adjusted covariance and denominator degrees of freedom, after Kenward and Roger
-    (1997): term, df1, df2, f, p. Columns of the design must be independent.
-
-    V^-1 W = W L and P W = W N hold for small matrices L and N, so that all traces are of the size of the equations.
-    """
+def _adjusted(fit: Fit) -> tuple:
+    """Adjusted covariance of the fixed effects, the unadjusted one, its derivatives by component, and the components' covariance."""
     m = fit.model
     d, s, terms = _parts(fit)
     size, p = m.m, m.p
@@ -65,7 +61,23 @@ def kenward_roger(fit: Fit) -> DataFrame:
                 info[i, j] = 0.5 * (m.n - 2 * np.trace(fd) + np.trace(fd @ fd)) / s**2
     w = np.linalg.inv(info)
     lam = sum(w[i, j] * (second[i, j] - first[i] @ phi @ first[j]) for i in range(parts) for j in range(parts))
-    adjusted = phi + 2 * phi @ lam @ phi
+    return phi + 2 * phi @ lam @ phi, phi, first, w, parts
+
+
+def kenward_roger_covariance(fit: Fit) -> np.ndarray:
+    """Covariance of the fixed effects, adjusted for the estimation of the variances."""
+    return _adjusted(fit)[0]
+
+
+def kenward_roger(fit: Fit) -> DataFrame:
+    """F test of each fixed term with an adjusted covariance and denominator degrees of freedom, after Kenward and Roger
+    (1997): term, df1, df2, f, p. Columns of the design must be independent.
+
+    V^-1 W = W L and P W = W N hold for small matrices L and N, so that all traces are of the size of the equations.
+    """
+    m = fit.model
+    adjusted, phi, first, w, parts = _adjusted(fit)
+    p = m.p
     rows = []
     for e in m.fixed:
         pick = np.eye(p)[:, e.offset : e.offset + e.q]
@@ -74,7 +86,7 @@ def kenward_roger(fit: Fit) -> DataFrame:
         turned = [theta @ phi @ g @ phi for g in first]
         a1 = sum(w[i, j] * np.trace(turned[i]) * np.trace(turned[j]) for i in range(parts) for j in range(parts))
         a2 = sum(w[i, j] * np.trace(turned[i] @ turned[j]) for i in range(parts) for j in range(parts))
-        b = fit.solution[e.offset : e.offset + e.q]
+        b = fit.estimates[e.offset : e.offset + e.q]
         f_raw = float(b @ np.linalg.solve(pick.T @ adjusted @ pick, b)) / k
         if abs(a2) < 1e-14:
             rows.append((e.name, k, float("inf"), float(f_raw), chi2_sf(f_raw * k, k)))
@@ -141,14 +153,14 @@ def differences(fit: Fit, rows: dict[str, np.ndarray]) -> DataFrame:
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             d = rows[a] - rows[b]
-            out.append((a, b, float(d @ fit.solution), math.sqrt(max(0.0, float(d @ fit.cinv @ d)))))
+            out.append((a, b, float(d @ fit.estimates), math.sqrt(max(0.0, float(d @ fit.cinv @ d)))))
     return fit.spark.createDataFrame(out, "a string, b string, difference double, sed double")
 
 
 def estimable(fit: Fit, row: np.ndarray, tol: float = 1e-8) -> bool:
     """Whether a function of the fixed effects lies in the row space of their design."""
     m = fit.model
-    x = sum(g[: m.p, : m.p] for _, sums in m.cells.values() for k, g in sums.items() if k == "II" or k[0] == k[1])
+    x = sum(g.dense()[: m.p, : m.p] for _, sums in m.cells.values() for k, g in sums.items() if k == "II" or k[0] == k[1] and not isinstance(k, str))
     return bool(np.abs(row[: m.p] - np.linalg.pinv(x, rcond=1e-10) @ (x @ row[: m.p])).max(initial=0) < tol)
 
 

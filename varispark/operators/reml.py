@@ -2,13 +2,20 @@
 
 One distributed pass turns the data into cross-products: every unit's non-zero design entries and responses are paired
 within the unit and summed by pattern of observed traits and pair of traits. These sums do not depend on the variance
-parameters. The driver then iterates on mixed-model equations as large as the number of effects, without touching the
-data again; that number of effects, and not the number of rows, is what has to fit.
+parameters, and only their non-zero entries are kept. The driver then iterates on mixed-model equations as large as the
+number of effects, without touching the data again; that number of effects, and not the number of rows, has to fit.
+
+One factor of independent levels may be absorbed: its part of the equations is diagonal, so its levels can be eliminated
+one by one where they lie. A level with n rows enters the others' equations through the outer product of its sums, times
+a weight that depends on n and the variances only. So these products are summed over the levels of each n, once, and
+neither the driver's memory nor its time depends on the number of levels, whose solutions stay in a table.
 """
 
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +26,7 @@ from pyspark.sql import functions as F
 from varispark.functions import optimise, splines, structures
 from varispark.functions.special import chi2_sf, normal_ppf
 from varispark.plans.grammar import Residual, Term, parse_fixed, parse_random, parse_residual
+from varispark.shipping import ship
 
 
 @dataclass
@@ -30,15 +38,59 @@ class Effects:
     labels: list
     term: Term | None = None
     t: int = 1
+    columns: list | None = None  # of a fixed term: its columns, each with its levels, none for a number
+    absorbed: int | None = None  # number of levels of a factor that has no place in the equations
     pos: np.ndarray | None = None
     axes: list[int] | None = None
     k: np.ndarray | str | None = None
 
     @property
     def q(self) -> int:
-        return len(self.labels)
+        return len(self.labels) if self.absorbed is None else self.absorbed
+
+
+class Sums:
+    """A matrix of cross-products by its non-zero entries."""
+
+    def __init__(self, i, j, x, size: int, mirror: bool = False):
+        i, j, x = np.asarray(i, dtype=np.int64), np.asarray(j, dtype=np.int64), np.asarray(x, dtype=float)
+        if mirror:
+            off = i != j
+            i, j, x = np.concatenate([i, j[off]]), np.concatenate([j, i[off]]), np.concatenate([x, x[off]])
+        key, where = np.unique(i * size + j, return_inverse=True)
+        self.i, self.j, self.x, self.size = key // size, key % size, np.bincount(where, weights=x, minlength=len(key)), size
+
+    def add_to(self, out: np.ndarray, weight: float, both: bool = False) -> None:
+        """Adds a multiple; with both, of the sum with its transpose."""
+        out[self.i, self.j] += weight * self.x
+        if both:
+            out[self.j, self.i] += weight * self.x
+
+    def dot(self, other: np.ndarray) -> float:
+        """Sum of the products with the entries of a matrix."""
+        return float((other[self.i, self.j] * self.x).sum())
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.size, self.size))
+        self.add_to(out, 1.0)
+        return out
+
+    def at(self, i: int, j: int) -> float:
+        return float(self.x[(self.i == i) & (self.j == j)].sum())
+
+    def diagonal(self) -> np.ndarray:
+        out, own = np.zeros(self.size), self.i == self.j
+        out[self.i[own]] = self.x[own]
+        return out
 
 
+@dataclass
+class Absorbed:
+    """Sums of the levels of an absorbed factor, by their number of rows, and the levels' own sums as a table."""
+
+    by_n: dict[int, tuple[int, Sums]]  # number of levels with so many rows, and the sum of their outer products
+    levels: DataFrame | None = None  # level, n, e: the sums of the other columns, by column
+
 @dataclass
 class Model:
     """What the driver needs of the data: cross-products by (section, pattern), and the layout of effects."""
@@ -48,7 +100,7 @@ class Model:
     residual: Residual
     traits: list
     sections: list
-    cells: dict  # (section, pattern) -> (units, {(t1, t2): (m + 1) x (m + 1) sums})
+    cells: dict  # (section, pattern) -> (units, {(t1, t2): Sums of size m + 1})
     p: int
     m: int
     n: int
@@ -56,6 +108,14 @@ class Model:
     source: DataFrame | None = None
     response: str = ""
     spec: dict = field(default_factory=dict)
+    absorbed: Absorbed | None = None
+    def structure(self, section) -> Residual:
+        """The residual of a section."""
+        if not self.residual.bodies:
+            return self.residual
+        return self.residual.bodies[self.residual.names().index(section)]
+
+    design: DataFrame | None = None  # coo: the entries of each row of [W y], for models of one plain residual
     grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
 
 
@@ -68,15 +128,26 @@ def _distinct(df: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
 
 
 def _lattice(values: pd.Series) -> list[int]:
+    """All positions of the lattice that holds the values: whole numbers have the largest step that they allow, others the
+    smallest of their gaps, of which all gaps have to be multiples."""
     v = np.unique(values.to_numpy(dtype=float))
-    if (v != np.rint(v)).any():
-        raise ValueError("positions of a lattice are whole numbers")
-    step = math.gcd(*np.diff(v).astype(int).tolist()) if len(v) > 1 else 1
-    return list(range(int(v[0]), int(v[-1]) + 1, step))
-
-
-def build(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, trait: str | None = None, unit: str | None = None, weights: str | None = None, matrices: dict | None = None, max_levels: int = 5_000) -> Model:
-    """Parse the formulas, drop incomplete rows, lay out effects, and run the cross-product pass."""
+    if (v == np.rint(v)).all():
+        step = math.gcd(*np.diff(v).astype(int).tolist()) if len(v) > 1 else 1
+        return list(range(int(v[0]), int(v[-1]) + 1, step))
+    places = (v - v[0]) / np.diff(v).min()
+    if (np.abs(places - np.rint(places)) > 1e-6).any():
+        raise ValueError("positions are on no lattice: their gaps aren't multiples of the smallest one")
+    out = v[0] + np.diff(v).min() * np.arange(int(round(places[-1])) + 1)
+    out[np.rint(places).astype(int)] = v  # as they were observed
+    return out.tolist()
+
+
+def build(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, trait: str | None = None, unit: str | None = None, weights: str | None = None, matrices: dict | None = None, max_levels: int = 5_000, absorb: str | None = "auto") -> Model:
+    """Parse the formulas, drop incomplete rows, lay out effects, and run the cross-product pass.
+
+    absorb: the factor to absorb, None, or "auto" for the first plain factor with more than max_levels levels, if any. It
+    takes one trait, one section and no weights.
+    """
     matrices = matrices or {}
     response, intercept, fixed_terms = parse_fixed(fixed)
     terms, res = parse_random(random), parse_residual(residual)
@@ -84,31 +155,56 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         raise ValueError("a residual on a lattice takes one trait and no weights")
     if trait and any("parts" in t.options for t in terms):
         raise ValueError("mm() and str() take one trait")
-    used = sorted({c for t in fixed_terms for c in t} | {c.removeprefix("mm:") for t in terms for c in t.factors} | {c for c in (trait, unit, weights, res.section, *(c for _, c in res.axes)) if c})
+    used = sorted({c for t in fixed_terms for c in t} | {c.removeprefix("mm:") for t in terms for c in [*t.factors, *([t.options["at"]] if "at" in t.options else [])]} | {c for c in (trait, unit, weights, res.section, *(c for _, c in res.axes)) if c})
     rows = df.select(F.expr(response).cast("double").alias("__y"), *used)
     rows = rows.na.drop().where(" and ".join(["true", *[f"`{c}` is not null" for c in used]]))
-    surfaces, plain = {}, []
+    surfaces, plain, made_for = {}, [], {}
     for k, term in enumerate(terms):
         if term.level != "spl2d":
             plain.append(term)
             continue
-        at_ = _distinct(rows, term.factors, max_levels)
-        nseg, deg, pord = (int(term.options.get(o, d)) for o, d in (("nseg", 5), ("deg", 3), ("pord", 2)))
-        lines, blocks = splines.surface(at_.iloc[:, 0].to_numpy(float), at_.iloc[:, 1].to_numpy(float), (nseg, nseg), deg, pord)
-        table = at_.set_axis([f"__s{k}_0", f"__s{k}_1"], axis=1)
-        names = [f"spl{k}_{c}" for c in (*term.factors, "both")]
-        for c, v in zip(names, lines.T):
-            table[c] = v
-        for b, z in blocks.items():
-            table[f"__s{k}_{b}"] = z.tolist()
-            plain.append(Term(f"{term.name}.{b}", [f"arr:__s{k}_{b}"], options={"parts": 1, "size": z.shape[1]}))
-        joined = df.sparkSession.createDataFrame(table)
-        rows = rows.join(F.broadcast(joined), [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(term.factors)])  # at most max_levels rows
-        fixed_terms += [(c,) for c in names]
-        surfaces[term.name] = (term.factors, at_, lines, blocks, names)
+        by = term.options.get("at")
+        at_ = _distinct(rows, [*term.factors, *([by] if by else [])], max_levels)
+        two = lambda text: (lambda v: (v * 2)[:2])([int(x) for x in str(text).strip("[]() ").split(",")])
+        deg, pord = (int(term.options.get(o, d)) for o, d in (("deg", 3), ("pord", 2)))
+        table = at_.set_axis([f"__s{k}_{i}" for i in range(at_.shape[1])], axis=1)
+        for n, (level, part) in enumerate(at_.groupby(by, sort=True) if by else [(None, at_)]):
+            x, y = part[term.factors[0]].to_numpy(float), part[term.factors[1]].to_numpy(float)
+            made = splines.Surface(x, y, two(term.options.get("nseg", 5)), deg, pord, two(term.options.get("nest", 1)))
+            lines, blocks = made.at(x, y)
+            tag = f"{k}" if by is None else f"{k}_{n}"
+            names = [f"spl{tag}_{c}" for c in (*term.factors, "both")]
+            own = f"{term.name}" if by is None else f"{term.name}[{level}]"
+            for c, v in zip(names, lines.T):
+                table[c] = 0.0
+                table.loc[part.index, c] = v
+            for b, z in blocks.items():
+                column = f"__s{tag}_{b}"
+                table[column] = [[]] * len(table)
+                for i, v in zip(part.index, z.tolist()):
+                    table.at[i, column] = v
+                plain.append(Term(f"{own}.{b}", [f"arr:{column}"], options={"parts": 1, "size": z.shape[1]}))
+            fixed_terms += [(c,) for c in names]
+            surfaces[own] = (term.factors, part[term.factors], lines, blocks, names)
+            made_for[own] = made
+        kinds_of = {c: "double" if not c.startswith("__s") else None for c in table.columns}
+        schema = ", ".join(f"`{c}` " + (dict(rows.dtypes)[at_.columns[i]] if i < at_.shape[1] else "array<double>" if kinds_of[c] is None else "double") for i, c in enumerate(table.columns))
+        joined = df.sparkSession.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in table.itertuples(index=False)], schema)
+        rows = rows.join(F.broadcast(joined), [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(at_.columns)])  # at most max_levels rows
     terms = plain
+    centre = 0.0
+    if intercept:  # the likelihood is that of any y + c, and sums of squares of large numbers lose what is small beside them
+        centre = float(rows.select(F.avg("__y")).first()[0] or 0.0)
+        rows = rows.withColumn("__y", F.col("__y") - F.lit(centre))
     kinds = dict(rows.dtypes)
     traits = _distinct(rows, [trait], 100)[trait].tolist() if trait else [None]
+    if res.bodies:  # levels of the section column in groups, a residual for each
+        known = [(v, n) for group, n in zip(res.groups, res.names()) for v in group]
+        name = F.element_at(F.create_map(*[F.lit(x) for pair in known for x in pair]), F.col(res.section).cast("string"))
+        rows = rows.withColumn("__section", name)
+        if rows.where("__section is null").limit(1).count():
+            raise ValueError(f"levels of {res.section} are in no group")
+        res = Residual(section="__section", groups=res.groups, bodies=res.bodies)
     sections = _distinct(rows, [res.section], 1_000)[res.section].tolist() if res.section else [None]
 
     entries, many, at = [], [], 0
@@ -141,7 +237,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
             dropped = (intercept or k > 0) if not margin else margin in names or all((x,) in names for x in margin)
             columns.append((c, levels_of[c][1:] if c in levels_of and dropped else levels_of.get(c, [])))
         labels, entry = term_entry(columns)
-        fixed_effects.append(Effects(":".join(term), at, labels))
+        fixed_effects.append(Effects(":".join(term), at, labels, columns=columns))
         entries.append(entry)
         at += len(labels)
     grids, empty = {}, None
@@ -155,6 +251,8 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         holes = []
         for key, part in seen.groupby(by[0]) if by else [(None, seen)]:
             g = [_lattice(part[c]) for c in columns]
+            if any(isinstance(x, float) for line in g for x in line):
+                raise ValueError("rows and columns of a residual are whole numbers")
             grids[key] = g
             have = set(zip(part[columns[0]], part[columns[1]]))
             holes += [(key, *cell) for cell in _product(g) if tuple(cell) not in have]
@@ -168,7 +266,8 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     trait_code = F.lit(0)
     if trait:
         trait_code = F.element_at(F.create_map(*[v for i, x in enumerate(traits) for v in (F.lit(x), F.lit(i))]), F.col(trait))
-    random_effects = []
+    random_effects: list[Effects] = []
+    absorbed: Effects | None = None
     for k, term in enumerate(terms):
         t = len(traits) if trait and term.struct != "iid" else 1
         axes = pos = kin = None
@@ -196,9 +295,17 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
                     many.append(_entries(F.map_entries(c[3:]), base, F.col(f"__m{k}")))
                 else:
                     entries.append(one(base + F.element_at(F.col(f"__m{k}"), F.col(c).cast("string")), F.lit(1.0)))
-            random_effects.append(Effects(term.name, at, labels, term, t, None, None, kin))
+            random_effects.append(Effects(term.name, at, labels, term, t, k=kin))
             at += t * q
             continue
+        if term.level == "id" and term.struct == "iid" and len(term.factors) == 1 and absorbed is None and not (trait or unit or weights or res.section or res.axes or any("parts" in x.options for x in terms)):
+            count = 0
+            if absorb == "auto":
+                count = rows.select(F.approx_count_distinct(term.factors[0], 0.02)).first()[0]
+            if absorb == term.factors[0] or count > 0.95 * max_levels and rows.select(*term.factors).na.drop().distinct().limit(max_levels + 1).count() > max_levels:
+                absorbed = Effects(term.name, -1, [], term, 1, absorbed=0)
+                random_effects.append(absorbed)
+                continue
         if term.level in ("id", "fixed"):
             table = _distinct(rows, term.factors, max_levels)
             labels = [v[0] if len(v) == 1 else tuple(v) for v in table.values.tolist()]
@@ -207,7 +314,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         elif term.level in ("exp", "gau", "iexp", "igau", "ieuc", "aexp", "agau", "lvr", "sph", "cir", "mtrn", "own"):
             table = _distinct(rows, term.factors, max_levels)
             labels, pos = [tuple(v) if len(v) > 1 else v[0] for v in table.values.tolist()], table.to_numpy(dtype=float)
-            kin = term.options.get("expr")
+            kin = term.options.get("expr") or term.options.get("matern")
         else:
             lines = [_lattice(_distinct(rows, [c], max_levels)[c]) for c in term.factors]
             labels = [x if len(lines) > 1 else x[0] for x in _product(lines)]
@@ -220,7 +327,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         rows = rows.join(F.broadcast(table), match, "left")  # at most max_levels rows
         comp = trait_code if t > 1 else F.lit(0)
         entries.append(one(F.lit(at) + comp * q + F.col(f"__i{k}"), F.lit(1.0)))
-        random_effects.append(Effects(term.name, at, labels, term, t, pos, axes, kin))
+        random_effects.append(Effects(term.name, at, labels, term, t, pos=pos, axes=axes, k=kin))
         at += t * q
     m = at
     entries.append(one(F.lit(m), F.col("__y")))
@@ -229,10 +336,10 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     section = F.col(res.section) if res.section else F.lit(None).cast("string")
     trait_text = F.col("t").cast("string")
     coded = rows.select(section.alias("section"), trait_code.alias("t"), *([F.col(unit).alias("unit")] if unit else []), coo.alias("coo"), (F.log(F.col(weights)) if weights else F.lit(0.0)).alias("lw"))
-    info = {"fixed": fixed_terms, "intercept": intercept, "levels": levels_of, "surfaces": surfaces}
+    info = {"centre": centre, "fixed": fixed_terms, "intercept": intercept, "levels": levels_of, "surfaces": surfaces, "made": made_for}
     if res.axes:
         cells, n = _lattice_sums(rows, res, grids, empty, coo, m)
-        return Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, {k: (len(g[0]), len(g[1])) for k, g in grids.items()})
+        return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, None, {k: (len(g[0]), len(g[1])) for k, g in grids.items()}))
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
@@ -256,16 +363,60 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     sums = sums.groupBy("section", "pattern", "s.t1", "s.t2", "s.i", "s.j").agg(F.sum("s.x").alias("x"))
     counts = units.groupBy("section", "pattern").agg(F.count("*").alias("units"), F.sum("k").alias("n"), F.sum("lw").alias("lw")).collect()
     cells = {(r["section"], r["pattern"]): (r["units"], {}) for r in counts}
-    for r in sums.toLocalIterator():  # at most the square of the number of effects, for each pair of traits
-        store = cells[(r["section"], r["pattern"])][1]
-        g = store.setdefault((r["t1"], r["t2"]), np.zeros((m + 1, m + 1)))
-        g[r["i"], r["j"]] = r["x"]
-        if r["t1"] == r["t2"]:
-            g[r["j"], r["i"]] = r["x"]
+    for (s, pattern, t1, t2), (i, j, x) in _blocks(sums, ["section", "pattern", "t1", "t2"]):  # at most the square of the number of effects, for each pair of traits
+        cells[(s, pattern)][1][(t1, t2)] = Sums(i, j, x, m + 1, mirror=t1 == t2)
     n = sum(r["n"] for r in counts)
     if not n:
         raise ValueError("no complete rows")
-    return Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, info)
+    model = Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, info)
+    if not (trait or unit or weights):
+        model.design = coded.select("coo")
+    if absorbed:
+        model.absorbed = _absorb(rows, absorbed, coo, m)
+        absorbed.absorbed = sum(q for q, _ in model.absorbed.by_n.values())
+    return _checked(model)
+
+
+def _blocks(sums: DataFrame, by: list[str]):
+    """Keys and triplets of each group of a table with columns i, j and x."""
+    table = sums.select(*by, F.col("i").cast("long"), F.col("j").cast("long"), "x").toPandas()
+    for key, part in table.groupby(by, dropna=False, sort=True):
+        key = tuple(None if v is None or isinstance(v, float) and math.isnan(v) else v.item() if hasattr(v, "item") else v for v in key)
+        yield key, (part["i"].to_numpy(), part["j"].to_numpy(), part["x"].to_numpy())
+
+
+def _absorb(rows: DataFrame, effects: Effects, coo: Column, m: int) -> Absorbed:
+    """Sums of each level's columns, and of their outer products over the levels with equal numbers of rows."""
+    entry = rows.select(F.col(effects.term.factors[0]).alias("level"), F.explode(F.concat(coo, F.array(F.struct(F.lit(-1).alias("c"), F.lit(1.0).alias("x"))))).alias("s"))
+    per = entry.groupBy("level", F.col("s.c").alias("c")).agg(F.sum("s.x").alias("x"))  # column -1 counts rows
+    own = F.max(F.when(F.col("c") < 0, F.col("x"))).cast("long")
+    listed = F.collect_list(F.when(F.col("c") >= 0, F.struct("c", "x")))  # at most m + 1
+    levels = per.groupBy("level").agg(own.alias("n"), listed.alias("e"))
+    pairs = F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x")))))
+    products = levels.select("n", F.inline(pairs)).groupBy("n", "i", "j").agg(F.sum("x").alias("x"))
+    counts = {r["n"]: r["q"] for r in levels.groupBy("n").agg(F.count("*").alias("q")).collect()}  # numbers of rows add up to their total, so they are at most the root of twice that
+    return Absorbed({n: (counts[n], Sums(i, j, x, m + 1)) for (n,), (i, j, x) in _blocks(products, ["n"])}, levels)
+
+
+def _checked(model: Model) -> Model:
+    """Refuses random terms without an entry and fixed effects that depend on each other."""
+    own = [g for _, sums in model.cells.values() for k, g in sums.items() if k == "II" or k[0] == k[1] and not isinstance(k, str)]
+    size = sum((g.diagonal() for g in own), np.zeros(model.m + 1))
+    if not np.isfinite(size).all():
+        raise ValueError("the response or a fixed effect has values that aren't finite")
+    for e in model.random:
+        if e.absorbed is None and not size[e.offset : e.offset + e.t * e.q].any():
+            raise ValueError(f"{e.name}: its incidence is zero everywhere")
+    cut = sum(e.q for e in model.fixed if e.name != "(empty cells)")
+    if cut:
+        x = np.zeros((model.m + 1, model.m + 1))
+        for g in own:
+            g.add_to(x, 1.0)
+        x, scale = x[:cut, :cut], np.sqrt(np.maximum(size[:cut], 1e-300))
+        rank = int((np.linalg.eigvalsh(x / np.outer(scale, scale)) > 1e-10).sum())
+        if rank < cut:
+            raise ValueError(f"the fixed effects have rank {rank} for {cut} columns")
+    return model
 
 
 def _entries(pairs: Column, base: Column, codes: Column | None = None) -> Column:
@@ -315,13 +466,9 @@ def _lattice_sums(rows: DataFrame, res: Residual, grids: dict, empty: Effects |
     sums = own.unionByName(near).select("s", "h", F.inline(pairs)).select("s", F.explode("h").alias("h"), "i", "j", "x").groupBy("s", "h", "i", "j").agg(F.sum("x").alias("x"))
     names = {str(k) if res.section else "": k for k in grids}
     out = {(k, "0"): (len(g[0]) * len(g[1]), {}) for k, g in grids.items()}
-    for r in sums.toLocalIterator():  # at most nine squares of the number of effects
-        g = out[(names[r["s"]], "0")][1].setdefault(r["h"], np.zeros((m + 1, m + 1)))
-        if "T" in r["h"]:
-            g[r["i"], r["j"]] += r["x"]
-            g[r["j"], r["i"]] += r["x"]
-        else:
-            g[r["i"], r["j"]] += r["x"]
+    for (s, h), (i, j, x) in _blocks(sums, ["s", "h"]):  # at most nine squares of the number of effects
+        both = "T" in h
+        out[(names[s], "0")][1][h] = Sums(np.concatenate([i, j]) if both else i, np.concatenate([j, i]) if both else j, np.concatenate([x, x]) if both else x, m + 1)
     return out, n
 
 
@@ -369,14 +516,16 @@ class Likelihood:
             at += ns + nl
         t = len(model.traits)
         self.residual = []
-        for _ in model.sections:
-            ns = 1 + sum(k == "ar1" for k, _ in model.residual.axes) if model.residual.axes else structures.n_sigma(model.residual.struct, t, model.residual.rank)
+        for s in model.sections:
+            ns = 1 + sum(k == "ar1" for k, _ in model.residual.axes) if model.residual.axes else structures.n_sigma(model.structure(s).struct, t, model.structure(s).rank)
             self.residual.append(slice(at, at + ns))
             at += ns
         self.size = at
 
     @staticmethod
     def _n_level(e: Effects) -> int:
+        if e.absorbed is not None:
+            return 0
         if e.axes:
             return sum(structures.n_level(e.term.level, q, int(e.term.options.get("order", 1))) for q in e.axes)
         return structures.n_level(e.term.level, e.q, int(e.term.options.get("order", 1)))
@@ -384,16 +533,16 @@ class Likelihood:
     def start(self) -> np.ndarray:
         m = self.model
         y, n = m.m, m.n
-        own = [g["II"] for _, g in m.cells.values()] if m.residual.axes else [g[(t, t)] for _, g in m.cells.values() for t in {a for a, _ in g}]
-        yy = sum(g[y, y] for g in own)
-        first = sum(g[0, y] for g in own) if m.fixed else 0.0
+        own = [g for _, sums in m.cells.values() for k, g in sums.items() if k == "II" or k[0] == k[1] and not isinstance(k, str)]
+        yy = sum(g.at(y, y) for g in own)
+        first = sum(g.at(0, y) for g in own) if m.fixed else 0.0
         var = max(1e-8, (yy - first**2 / n) / n)
         parts = len(m.random) + 1
         out = []
         for e in m.random:
             out.append(structures.sigma_start(e.term.struct, e.t, e.term.rank, var / parts))
-            out += [structures.level_start(e.term.level, q, np.arange(q), int(e.term.options.get("order", 1))) for q in e.axes] if e.axes else [structures.level_start(e.term.level, e.q, e.pos if e.pos is not None else np.zeros(e.q), int(e.term.options.get("order", 1)))]
-        out += [np.array([0.5 * math.log(var / parts)] + [0.3] * (s.stop - s.start - 1)) if m.residual.axes else structures.sigma_start(m.residual.struct, len(m.traits), m.residual.rank, var / parts) for s in self.residual]
+            out += [structures.level_start(e.term.level, q, np.arange(q), int(e.term.options.get("order", 1))) for q in e.axes] if e.axes else [structures.level_start(e.term.level, e.q, e.pos if e.pos is not None else np.zeros(1), int(e.term.options.get("order", 1)), e.term.options.get("matern"))]
+        out += [np.array([0.5 * math.log(var / parts)] + [0.3] * (s.stop - s.start - 1)) if m.residual.axes else structures.sigma_start(m.structure(k).struct, len(m.traits), m.structure(k).rank, var / parts) for k, s in zip(m.sections, self.residual)]
         return np.concatenate(out)
 
     def level(self, e: Effects, theta: np.ndarray) -> np.ndarray:
@@ -407,17 +556,18 @@ class Likelihood:
             return structures.separable(parts)
         return structures.correlation(theta, e.term.level, e.pos if e.pos is not None else np.zeros((e.q, 1)), order, e.k)
 
-    def equations(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Coefficients and right side of the mixed-model equations, y'R^-1 y, and log determinants of R and G."""
+    def weighted(self, theta: np.ndarray) -> tuple[np.ndarray, float]:
+        """[W y]'R^-1 [W y] and log |R|, where W = [X Z]."""
         m = self.model
         c, logdet = np.zeros((m.m + 1, m.m + 1)), -m.log_weights
         for s, sl in zip(m.sections, self.residual):
             if m.residual.axes:
                 weights, ld = _lattice_weights(theta[sl], m.residual.axes, m.grids[s])
-                c += sum(weights[h] * g for h, g in m.cells[(s, "0")][1].items())
+                for h, g in m.cells[(s, "0")][1].items():
+                    g.add_to(c, weights[h])
                 logdet += ld
                 continue
-            full = structures.sigma(theta[sl], m.residual.struct, len(m.traits), m.residual.rank)
+            full = structures.sigma(theta[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank)
             for (section, pattern), (units, sums) in m.cells.items():
                 if section != s:
                     continue
@@ -426,9 +576,28 @@ class Likelihood:
                 inv = np.linalg.inv(r)
                 logdet += units * np.linalg.slogdet(r)[1]
                 for (a, b), g in sums.items():
-                    w = inv[ts.index(a), ts.index(b)]
-                    c += w * g if a == b else w * (g + g.T)
+                    g.add_to(c, inv[ts.index(a), ts.index(b)], both=a != b)
+        return c, logdet
+
+    def absorbed_at(self, theta: np.ndarray) -> tuple[float, float]:
+        """Variances of the absorbed factor and of the residual."""
+        at = next(ss for e, (ss, _) in zip(self.model.random, self.slices) if e.absorbed is not None)
+        return math.exp(2 * theta[at][0]), math.exp(2 * theta[self.residual[0]][0])
+
+    @staticmethod
+    def _level_weights(n: np.ndarray, su: float, se: float) -> tuple[np.ndarray, np.ndarray]:
+        """By number of rows: what outer products of a level's sums are subtracted with, and what it adds to log |C| and log |G|."""
+        d = n / se + 1 / su
+        return 1 / (se * se * d), np.log(d * su)
+
+    def equations(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Coefficients and right side of the mixed-model equations, y'R^-1 y, and log determinants of R and G (and of the
+        absorbed part of the coefficients)."""
+        m = self.model
+        c, logdet = self.reduced(theta)
         for e, (ss, sl) in zip(m.random, self.slices):
+            if e.absorbed is not None:
+                continue
             sig, kin = structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank), self.level(e, theta[sl])
             jitter = 0.0 if e.term.level in ("id", "fixed") else 1e-10
             ls, lk = np.linalg.cholesky(sig), np.linalg.cholesky(kin + jitter * np.eye(e.q)) if e.term.level != "id" else np.eye(e.q)
@@ -437,6 +606,78 @@ class Likelihood:
             c[sl, sl] += np.kron(np.linalg.inv(sig), np.eye(e.q) if e.term.level == "id" else np.linalg.inv(kin + jitter * np.eye(e.q)))
         return c[: m.m, : m.m], c[: m.m, m.m], float(c[m.m, m.m]), logdet
 
+    def reduced(self, theta: np.ndarray) -> tuple[np.ndarray, float]:
+        """weighted() without what the absorbed factor explains, so with its covariance as a part of R."""
+        m = self.model
+        c, logdet = self.weighted(theta)
+        if m.absorbed:
+            n = np.array(list(m.absorbed.by_n), dtype=float)
+            weights, logs = self._level_weights(n, *self.absorbed_at(theta))
+            for (q, g), w, log in zip(m.absorbed.by_n.values(), weights.tolist(), logs.tolist()):
+                g.add_to(c, -w)
+                logdet += q * log
+        return c, logdet
+
+    def average_information(self, theta: np.ndarray) -> np.ndarray:
+        """The mean of observed and expected second derivatives, from working columns q_j = dV_j P y: q_i'P q_j.
+
+        A random term's working column is its design times (dG G^-1) u, and the residual's R^-1 dR of the residuals, so that
+        all products are those of the sums with changed weights. Takes models without a lattice or an absorbed factor.
+        """
+        m, h = self.model, 1e-5
+        if m.residual.axes or m.absorbed or self.ml:
+            raise ValueError("takes restricted likelihoods without a lattice or an absorbed factor")
+        full, _ = self.weighted(theta)
+        c, b, _, _ = self.equations(theta)
+        x = np.linalg.solve(c, b)
+        z = np.append(-x, 1.0)
+        step = lambda j: np.eye(self.size)[j] * h
+        effects = np.zeros((m.m, self.size))  # working columns of random terms, as combinations of the design's
+        for e, (ss, sl) in zip(m.random, self.slices):
+            u = x[e.offset : e.offset + e.t * e.q].reshape(e.t, e.q)
+            sig = lambda th, e=e, ss=ss: structures.sigma(th[ss], e.term.struct, e.t, e.term.rank)
+            back = np.linalg.solve(sig(theta), u)
+            for j in range(ss.start, ss.stop):
+                effects[e.offset : e.offset + e.t * e.q, j] = ((sig(theta + step(j)) - sig(theta - step(j))) / (2 * h) @ back).ravel()
+            if sl.stop > sl.start:
+                kin = self.level(e, theta[sl]) + 1e-10 * np.eye(e.q)
+                back = np.linalg.solve(kin, u.T)
+                for j in range(sl.start, sl.stop):
+                    d = (self.level(e, (theta + step(j))[sl]) - self.level(e, (theta - step(j))[sl])) / (2 * h)
+                    effects[e.offset : e.offset + e.t * e.q, j] = (d @ back).T.ravel()
+        design = full[: m.m, : m.m] @ effects  # W'R^-1 q
+        products = effects.T @ design
+        for s, sl in zip(m.sections, self.residual):
+            matrix = lambda th, sl=sl, s=s: structures.sigma(th[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank)
+            change = [(matrix(theta + step(j)) - matrix(theta - step(j))) / (2 * h) for j in range(sl.start, sl.stop)]
+            whole = matrix(theta)
+            first = [np.zeros(m.m + 1) for _ in change]
+            second = np.zeros((len(change), len(change)))
+            for (section, pattern), (_, sums) in m.cells.items():
+                if section != s:
+                    continue
+                ts = [int(v) for v in pattern.split(",")]
+                inv = np.linalg.inv(whole[np.ix_(ts, ts)])
+                parts = [d[np.ix_(ts, ts)] for d in change]
+                for (p1, p2), g in sums.items():
+                    a, b_ = ts.index(p1), ts.index(p2)
+                    left = np.bincount(g.j, weights=g.x * z[g.i], minlength=m.m + 1)  # z'G
+                    right = np.bincount(g.i, weights=g.x * z[g.j], minlength=m.m + 1) if p1 != p2 else left
+                    quad = float(left @ z)
+                    for i, di in enumerate(parts):
+                        w = inv @ di @ inv
+                        first[i] += w[a, b_] * left + (w[b_, a] * right if p1 != p2 else 0.0)
+                        for j, dj in enumerate(parts):
+                            v = inv @ di @ inv @ dj @ inv
+                            second[i, j] += quad * (v[a, b_] + (v[b_, a] if p1 != p2 else 0.0))
+            for i, row in enumerate(first):
+                j = sl.start + i
+                design[:, j] = row[: m.m]
+                products[j, : self.residual[0].start] = products[: self.residual[0].start, j] = row[: m.m] @ effects[:, : self.residual[0].start]
+            products[sl, sl] = second
+        out = products - design.T @ np.linalg.solve(c, design)
+        return (out + out.T) / 2
+
     def __call__(self, theta: np.ndarray) -> float:
         """-2 log restricted likelihood without its constant."""
         c, b, yy, logdet = self.equations(theta)
@@ -471,7 +712,7 @@ class Likelihood:
         step = lambda j: np.eye(self.size)[j] * h
         for s, sl in zip(m.sections, self.residual):
             if m.residual.axes:
-                dots = {h: float((meet * g).sum()) for h, g in m.cells[(s, "0")][1].items()}
+                dots = {h: g.dot(meet) for h, g in m.cells[(s, "0")][1].items()}
 
                 def lattice(th: np.ndarray) -> float:
                     weights, ld = _lattice_weights(th[sl], m.residual.axes, m.grids[s])
@@ -480,10 +721,10 @@ class Likelihood:
                 for j in range(sl.start, sl.stop):
                     grad[j] = (lattice(theta + step(j)) - lattice(theta - step(j))) / (2 * h)
                 continue
-            parts = [(units, [int(v) for v in pattern.split(",")], {k: float((meet * g).sum()) for k, g in sums.items()}) for (section, pattern), (units, sums) in m.cells.items() if section == s]
+            parts = [(units, [int(v) for v in pattern.split(",")], {k: g.dot(meet) for k, g in sums.items()}) for (section, pattern), (units, sums) in m.cells.items() if section == s]
 
             def own(th: np.ndarray) -> float:
-                full, out = structures.sigma(th[sl], m.residual.struct, len(m.traits), m.residual.rank), 0.0
+                full, out = structures.sigma(th[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank), 0.0
                 for units, ts, dots in parts:
                     r = full[np.ix_(ts, ts)]
                     ri = np.linalg.inv(r)
@@ -492,7 +733,20 @@ class Likelihood:
 
             for j in range(sl.start, sl.stop):
                 grad[j] = (own(theta + step(j)) - own(theta - step(j))) / (2 * h)
+        if m.absorbed:
+            rows = np.array(list(m.absorbed.by_n), dtype=float)
+            many, dots_n = np.array([q for q, _ in m.absorbed.by_n.values()], dtype=float), np.array([g.dot(meet) for _, g in m.absorbed.by_n.values()])
+
+            def levels_of(th: np.ndarray) -> float:
+                weights, logs = self._level_weights(rows, *self.absorbed_at(th))
+                return float(many @ logs - weights @ dots_n)
+
+            for j in range(self.size):
+                if any(s.start <= j < s.stop for s in (self.residual[0], *(ss for e, (ss, _) in zip(m.random, self.slices) if e.absorbed is not None))):
+                    grad[j] += (levels_of(theta + step(j)) - levels_of(theta - step(j))) / (2 * h)
         for e, (ss, sl) in zip(m.random, self.slices):
+            if e.absorbed is not None:
+                continue
             k = slice(e.offset, e.offset + e.t * e.q)
             block = meet[k, k].reshape(e.t, e.q, e.t, e.q)
             kin = None if e.term.level == "id" else self.level(e, theta[sl])
@@ -527,11 +781,22 @@ class Fit:
     solution: np.ndarray
     hessian: np.ndarray
     free: np.ndarray
+    box: tuple = (-12.0, 12.0)
+    diagnostics: dict = field(default_factory=dict)
+    timings: dict = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
         return self.model.source.sparkSession
 
+    @property
+    def estimates(self) -> np.ndarray:
+        """The solution, its intercept with what was taken off the response."""
+        out = self.solution.copy()
+        if self.model.fixed and self.model.fixed[0].name == "(Intercept)":
+            out[0] += self.model.spec.get("centre", 0.0)
+        return out
+
     @property
     def loglik(self) -> float:
         """With the constant (n - p) / 2 log 2 pi, or n / 2 log 2 pi for maximum likelihood; empty cells don't count."""
@@ -550,12 +815,26 @@ class Fit:
     def bic(self) -> float:
         return -2 * self.loglik + int(self.free.sum()) * math.log(self.model.n - self.rank)
 
+    @property
+    def at_bound(self) -> np.ndarray:
+        return (self.theta <= np.asarray(self.box[0]) + 1e-7) | (self.theta >= np.asarray(self.box[1]) - 1e-7)
+
+    def curvature(self) -> tuple[np.ndarray, np.ndarray]:
+        """Covariance of theta over the directions of positive curvature of the free parameters off the box's faces, and
+        the flat directions, as columns."""
+        out, k = np.zeros_like(self.hessian), np.nonzero(self.free & ~self.at_bound)[0]
+        flat = np.zeros((len(self.theta), 0))
+        if len(k):
+            values, vectors = np.linalg.eigh(self.hessian[np.ix_(k, k)])
+            keep = values > 1e-8 * max(1.0, float(np.abs(values).max()))
+            out[np.ix_(k, k)] = 2 * (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
+            flat = np.zeros((len(self.theta), int((~keep).sum())))
+            flat[k] = vectors[:, ~keep]
+        return out, flat
+
     @property
     def theta_cov(self) -> np.ndarray:
-        out = np.zeros_like(self.hessian)
-        k = np.nonzero(self.free)[0]
-        out[np.ix_(k, k)] = np.linalg.pinv(self.hessian[np.ix_(k, k)]) * 2
-        return out
+        return self.curvature()[0]
 
     def components(self, theta: np.ndarray | None = None) -> dict[str, float]:
         """Variances and covariances on their natural scale, by name, in the order V1, V2, ..."""
@@ -570,16 +849,19 @@ class Fit:
 
         for e, (ss, sl) in zip(m.random, self.likelihood.slices):
             add(e.name, structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank))
-            if sl.stop > sl.start:
-                for k, v in enumerate(theta[sl]):
-                    out[f"{e.name}.{k + 1}"] = float(v if e.term.level == "own" else math.exp(v) if e.term.level in ("lvr", "sph", "cir", "mtrn") else math.tanh(v))
+            at = sl.start
+            for axis, q in enumerate(e.axes or [e.q]):
+                n = structures.n_level(e.term.level, q, int(e.term.options.get("order", 1))) if e.axes else sl.stop - sl.start
+                for k, v in structures.reported(theta[at : at + n], e.term.level, q, int(e.term.options.get("order", 1)), e.term.options.get("matern")).items():
+                    out[f"{e.name}.{k}" + (f"({e.term.factors[axis]})" if e.axes and len(e.axes) > 1 else "")] = v
+                at += n
         for s, sl in zip(m.sections, self.likelihood.residual):
             if m.residual.axes:
                 name = "residual" + (f"({s})" if s is not None else "")
                 out[name] = math.exp(2 * theta[sl][0])
                 out |= {f"{name}.{c}": math.tanh(v) for (_, c), v in zip([a for a in m.residual.axes if a[0] == "ar1"], theta[sl][1:])}
                 continue
-            add("residual" + (f"({s})" if s is not None else ""), structures.sigma(theta[sl], m.residual.struct, len(m.traits), m.residual.rank))
+            add("residual" + (f"({s})" if s is not None else ""), structures.sigma(theta[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank))
         return out
 
     def vpredict(self, expression: str) -> tuple[float, float]:
@@ -621,18 +903,47 @@ class Fit:
         return self.spark.createDataFrame(rows, "name string, component double, se double")
 
     def fixed(self) -> DataFrame:
-        rows = [(e.name, str(label), float(self.solution[e.offset + k]), math.sqrt(max(0.0, self.cinv[e.offset + k, e.offset + k]))) for e in self.model.fixed if e.name != "(empty cells)" for k, label in enumerate(e.labels)]
+        b = self.estimates
+        rows = [(e.name, str(label), float(b[e.offset + k]), math.sqrt(max(0.0, self.cinv[e.offset + k, e.offset + k]))) for e in self.model.fixed if e.name != "(empty cells)" for k, label in enumerate(e.labels)]
         return self.spark.createDataFrame(rows, "term string, effect string, estimate double, se double")
 
     def blups(self) -> DataFrame:
         """term, trait, level, blup, pev."""
         rows = []
         for e in self.model.random:
+            if e.absorbed is not None:
+                continue
             for c in range(e.t):
                 for k, label in enumerate(e.labels):
                     j = e.offset + c * e.q + k
                     rows.append((e.name, (str(self.model.traits[c]) if e.t == len(self.model.traits) else str(c + 1)) if e.t > 1 else None, str(label), float(self.solution[j]), float(self.cinv[j, j])))
-        return self.spark.createDataFrame(rows, "term string, trait string, level string, blup double, pev double")
+        schema = "term string, trait string, level string, blup double, pev double"
+        out = self.spark.createDataFrame(rows, schema)
+        if self.model.absorbed:
+            name = next(e.name for e in self.model.random if e.absorbed is not None)
+            out = out.unionByName(self.absorbed_blups().select(F.lit(name).alias("term"), F.lit(None).cast("string").alias("trait"), F.col("level").cast("string"), "blup", "pev"))
+        return out
+
+    def absorbed_blups(self) -> DataFrame:
+        """level, n, blup and pev of each level of the absorbed factor, computed where its sums lie."""
+        m = self.model
+        su, se = self.likelihood.absorbed_at(self.theta)
+        ship(self.spark)
+        known, size = self.spark.sparkContext.broadcast((self.solution, self.cinv)), m.m  # as large as the equations
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            solution, cinv = known.value
+            for pdf in frames:
+                blup, pev = np.zeros(len(pdf)), np.zeros(len(pdf))
+                for k, (n, e) in enumerate(zip(pdf["n"], pdf["e"])):
+                    c, x = np.array([v["c"] for v in e], dtype=int), np.array([v["x"] for v in e])
+                    own, d = c < size, n / se + 1 / su
+                    blup[k] = (x[~own].sum() - x[own] @ solution[c[own]]) / se / d
+                    pev[k] = 1 / d + x[own] @ cinv[np.ix_(c[own], c[own])] @ x[own] / (se * d) ** 2
+                yield pd.DataFrame({"level": pdf["level"], "n": pdf["n"], "blup": blup, "pev": pev})
+
+        kind = m.absorbed.levels.schema["level"].dataType.simpleString()
+        return m.absorbed.levels.mapInPandas(run, f"level {kind}, n long, blup double, pev double")
 
     def wald(self) -> DataFrame:
         """Conditional Wald test of each fixed term: term, df, chi2, p."""
@@ -641,7 +952,7 @@ class Fit:
             if e.name == "(empty cells)":
                 continue
             k = slice(e.offset, e.offset + e.q)
-            v, b = self.cinv[k, k], self.solution[k]
+            v, b = self.cinv[k, k], self.estimates[k]
             chi2, df = float(b @ np.linalg.pinv(v) @ b), int(np.linalg.matrix_rank(v))
             rows.append((e.name, df, chi2, chi2_sf(chi2, df)))
         return self.spark.createDataFrame(rows, "term string, df int, chi2 double, p double")
@@ -652,6 +963,11 @@ class Fit:
         for e, (_, sl) in zip(self.model.random, self.likelihood.slices):
             if e.t > 1:
                 continue
+            if e.absorbed is not None:
+                trace = self.absorbed_blups().agg(F.sum("pev")).first()[0]
+                ed = e.q - trace / parts[e.name]
+                rows.append((e.name, e.q, ed, ed / max(1, e.q - 1)))
+                continue
             kin = self.likelihood.level(e, self.theta[sl])
             k = slice(e.offset, e.offset + e.q)
             ed = e.q - float(np.trace(np.linalg.solve(kin, self.cinv[k, k]))) / parts[e.name]
@@ -681,7 +997,7 @@ class Fit:
                         else:
                             x *= freq[name][next(v for v in spec["levels"][name] if part == f"{name}{v}")] / sum(freq[name].values()) if freq else 1.0 / len(spec["levels"][name])
                     row[e.offset + k] = x
-            rows.append((str(level), float(row @ self.solution), math.sqrt(max(0.0, float(row @ self.cinv @ row)))))
+            rows.append((str(level), float(row @ self.estimates), math.sqrt(max(0.0, float(row @ self.cinv @ row)))))
         return self.spark.createDataFrame(rows, "level string, predicted double, se double")
 
     def interval(self, expression: str, level: float = 0.95) -> tuple[float, float]:
@@ -690,31 +1006,95 @@ class Fit:
         return v - z * se, v + z * se
 
 
-def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1) -> Fit:
+def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0) -> Fit:
     """Maximise the restricted likelihood, or with ml the likelihood; entries of fixed_theta that are not NaN stay as given.
 
-    restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
+    optimizer: "ai" for average information steps and then quasi-Newton ones, "bfgs" for the latter alone, "auto" for ai
+    where it is defined. The point found is polished with Newton steps; a variance at its floor is moved up and the descent
+    taken again if the likelihood rises there, and so is a point with a direction of negative curvature. low and high: the
+    parameters' box. restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
     """
+    began, timings = time.perf_counter(), {}
     like = Likelihood(model, ml)
     start = like.start() if theta is None else np.where(np.isnan(theta), like.start(), theta)
     free = np.ones(like.size, dtype=bool)
     if fixed_theta is not None:
         free = np.isnan(fixed_theta)
         start = np.where(free, start, fixed_theta)
-    best, value, done = optimise.minimise(like.value_and_gradient, start, free)
+    if optimizer not in ("auto", "ai", "bfgs"):
+        raise ValueError(f"unknown optimizer {optimizer!r}")
+    informed = optimizer == "ai" or optimizer == "auto" and not (model.residual.axes or model.absorbed or ml)
+    f = like.value_and_gradient
+    slope = lambda th: f(th)[1]
+
+    def descend(at: np.ndarray) -> tuple[np.ndarray, float, bool]:
+        if informed:
+            try:
+                at, _, _ = optimise.newton(f, like.average_information, at, free, low, high)
+            except np.linalg.LinAlgError:
+                pass
+        return optimise.minimise(f, at, free, low, high)
+
+    best, value, done = descend(start)
+    timings["descent"] = time.perf_counter() - began
     rng = np.random.default_rng(seed)
     for _ in range(restarts):
-        other = optimise.minimise(like.value_and_gradient, start + np.where(free, rng.normal(0, 0.5, like.size), 0.0), free)
+        other = descend(start + np.where(free, rng.normal(0, 0.5, like.size), 0.0))
         if other[1] < value - 1e-9:
             best, value, done = other
+    timings["restarts"] = time.perf_counter() - began - timings["descent"]
+    for _ in range(3):
+        away = _escape(like, best, value, free, low, high, slope)
+        if away is None:
+            break
+        other = descend(away)
+        if other[1] >= value - 1e-9:
+            break
+        best, value, done = other
+    hess = optimise.hessian(slope, best, low=low, high=high)
+    if not done:
+        best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high), best, free, low, high, rounds=5)
+        hess = optimise.hessian(slope, best, low=low, high=high)
+    timings["hessian"] = time.perf_counter() - began - sum(timings.values())
     c, b, _, _ = like.equations(best)
     cinv = np.linalg.inv(c)
-    return Fit(model, like, best, value, done, cinv, cinv @ b, optimise.hessian(lambda th: like.value_and_gradient(th)[1], best), free)
+    checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
+    timings["total"] = time.perf_counter() - began
+    return Fit(model, like, best, value, bool(done or checks["converged"]), cinv, cinv @ b, hess, free, (low, high), checks, timings)
+
+
+def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray, low, high, slope) -> np.ndarray | None:
+    """A better point than a stationary one: with a variance off its floor, or along a direction of negative curvature."""
+    floor = np.broadcast_to(low, len(theta))
+    for k in np.nonzero(free & (theta <= floor + 6.0))[0]:
+        top = float(np.max(theta[free]))
+        for raised in (top - 1.0, top - 2.5, top - 4.0):
+            new = theta.copy()
+            new[k] = raised
+            try:
+                if raised > theta[k] and like(new) < value - 1e-6:
+                    return new
+            except np.linalg.LinAlgError:
+                continue
+    k = np.nonzero(optimise.live(theta, slope(theta), free, low, high))[0]
+    if len(k):
+        values, vectors = np.linalg.eigh(optimise.hessian(slope, theta, low=low, high=high)[np.ix_(k, k)])
+        if values[0] < -1e-4 * max(1.0, float(np.abs(values).max())):
+            for length in (0.5, -0.5, 0.1, -0.1):
+                new = theta.copy()
+                new[k] = new[k] + length * vectors[:, 0]
+                new = np.clip(new, low, high)
+                try:
+                    if like(new) < value - 1e-6:
+                        return new
+                except np.linalg.LinAlgError:
+                    continue
+    return None
 
 
 def reml(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, **options) -> Fit:
     """Formulas to fit in one call; options are those of build() and of fit()."""
-    rest = {k: options.pop(k) for k in ("theta", "fixed_theta", "ml", "restarts", "seed") if k in options}
+    rest = {k: options.pop(k) for k in ("theta", "fixed_theta", "ml", "restarts", "seed", "optimizer", "low", "high") if k in options}
     return fit(build(df, fixed, random, residual, **options), **rest)
 
 
@@ -725,7 +1105,7 @@ def fitted(result: Fit, df: DataFrame) -> DataFrame:
     value = F.lit(0.0)
     for e in m.fixed:
         for k, label in enumerate(e.labels):
-            b = F.lit(float(result.solution[e.offset + k]))
+            b = F.lit(float(result.estimates[e.offset + k]))
             if e.name == "(Intercept)":
                 value = value + b
             elif e.name in m.spec["levels"]:
@@ -735,6 +1115,11 @@ def fitted(result: Fit, df: DataFrame) -> DataFrame:
             else:
                 raise ValueError("fitted() takes no interactions")
     for k, e in enumerate(m.random):
+        if e.absorbed is not None:
+            table = result.absorbed_blups().select(F.col("level").alias(f"__l{k}"), F.col("blup").alias(f"__u{k}"))
+            out = out.join(table, F.col(e.term.factors[0]) == F.col(f"__l{k}"), "left").drop(f"__l{k}")
+            value = value + F.coalesce(F.col(f"__u{k}"), F.lit(0.0))
+            continue
         table = pd.DataFrame({f"__l{k}": ["|".join(map(str, x)) if isinstance(x, tuple) else str(x) for x in e.labels], f"__u{k}": result.solution[e.offset : e.offset + e.q]})
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in e.term.factors])
         out = out.join(F.broadcast(df.sparkSession.createDataFrame(table)), key == F.col(f"__l{k}"), "left").drop(f"__l{k}")
@@ -743,9 +1128,15 @@ def fitted(result: Fit, df: DataFrame) -> DataFrame:
     return out.withColumn("fitted", value).withColumn("resid", F.expr(m.response) - F.col("fitted")).drop(*drop)
 
 
-def spatial_trend(result: Fit, name: str) -> DataFrame:
-    """The fitted surface of a spl2d term at its positions: its two columns and trend (fixed and random parts)."""
+def spatial_trend(result: Fit, name: str, grid: tuple[int, int] | None = None) -> DataFrame:
+    """The fitted surface of a spl2d term (with at: "term[level]") at its positions, or on a grid of so many rows and columns
+    over its domain: its two columns and trend (fixed and random parts)."""
     factors, at, lines, blocks, names = result.model.spec["surfaces"][name]
+    if grid:
+        made = result.model.spec["made"][name]
+        line = [np.linspace(a.low, a.high, n) for a, n in zip(made.axes, grid)]
+        x, y = (v.ravel() for v in np.meshgrid(*line, indexing="ij"))
+        at, (lines, blocks) = pd.DataFrame({factors[0]: x, factors[1]: y}), made.at(x, y)
     place = {e.name: e for e in [*result.model.fixed, *result.model.random]}
     trend = sum(v * result.solution[place[c].offset] for c, v in zip(names, lines.T))
     for b, z in blocks.items():

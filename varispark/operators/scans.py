@@ -19,8 +19,21 @@ def scan_ols(markers: DataFrame, phenotype: DataFrame, se2: float) -> DataFrame:
     return s.select("snp", num.alias("num"), den.alias("den")).where("den > 0").select("snp", (F.col("num") / F.col("den")).alias("beta"), (F.col("num") * F.col("num") / F.col("den") / se2).alias("chi2"))
 
 
+def exact_median(values: DataFrame, column: str) -> DataFrame:
+    """One row with the median of a column: only the values near it, about two in a thousand, are sorted."""
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    some = v.agg(F.percentile_approx("v", F.array(F.lit(0.499), F.lit(0.501)), F.lit(20_000)).alias("at"), F.count("*").alias("n"))  # one row
+    near = v.join(F.broadcast(some), how="cross")
+    below = near.agg(F.count(F.when(F.col("v") < F.element_at("at", 1), 1)).alias("below"))
+    inner = near.where((F.col("v") >= F.element_at("at", 1)) & (F.col("v") <= F.element_at("at", 2))).join(F.broadcast(below), how="cross")
+    place = F.row_number().over(Window.orderBy("v")) + F.col("below")
+    ranked = inner.select("v", "n", place.alias("place"))
+    return ranked.where((F.col("place") == F.floor((F.col("n") + 1) / 2)) | (F.col("place") == F.floor(F.col("n") / 2) + 1)).agg(F.avg("v").alias("median"))
+
+
 def lambda_gc(tests: DataFrame) -> DataFrame:
-    return tests.agg((F.median("chi2") / MEDIAN_CHI2).alias("lambda_gc"))
+    """Median of the tests over that of chi-square with one degree of freedom."""
+    return exact_median(tests, "chi2").select((F.col("median") / MEDIAN_CHI2).alias("lambda_gc"))
 
 
 def threshold(tests: DataFrame, alpha: float) -> DataFrame:
@@ -65,9 +78,3 @@ def marginal_means(df: DataFrame, factor: str, over: str, y: str, weights: str =
         return cells.groupBy("level").agg(F.avg("m").alias("mean"))
     share = df.groupBy(F.col(over).alias("other")).agg(F.count("*").alias("w"))
     return cells.join(share, "other").groupBy("level").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
-
-
-def sed_pairs(means: DataFrame) -> DataFrame:
-    """Standard errors of differences of independent estimates (level, v): a, b, sed. A table of levels, not of rows."""
-    a, b = means.select(F.col("level").alias("a"), F.col("v").alias("va")), means.select(F.col("level").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.sqrt(F.col("va") + F.col("vb")).alias("sed"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.operators import design, oneway, scans, summaries
+from varispark.plans import engine_queries
 
 SU2, SE2 = 0.05, 0.6
 GRID = [(0.01, 0.5), (0.01, 0.7), (0.05, 0.5), (0.05, 0.6), (0.05, 0.7), (0.2, 0.6)]
@@ -106,7 +107,9 @@ def neighbourhood_level_incidence(spark, sf):
 
 
 def exposure_functionals(spark, sf):
-    return _rounded(design.exposure(design.neighbourhood(_field(spark, sf), 2, reach=1.0)), 6)
+    units = _field(spark, sf)
+    own = units.select(F.col("id").alias("src"), "level", F.lit(1.0).alias("x"))
+    return _rounded(design.exposure(design.neighbourhood(units, 2, reach=1.0), direct=own), 6)
 
 
 def border_covariate(spark, sf):
@@ -118,7 +121,7 @@ def lag_ystar(spark, sf):
     return _rounded(design.lagged(units.select("id", F.log("y").alias("y")), design.neighbour_weights(units), PSI), 6)
 
 
-def _markers(spark, sf, loci: int = 64):
+def _markers(spark, sf):
     e = _t(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("gen"), "label", F.posexplode("embedding").alias("snp", "v")).select("gen", "label", "snp", F.when(F.col("v") > 0.05, 2.0).when(F.col("v") > -0.05, 1.0).otherwise(0.0).alias("dose"))
 
@@ -185,15 +188,6 @@ def predict_marginal_means_prop(spark, sf):
     return _rounded(scans.marginal_means(_t(spark, sf, "lineitem"), "l_returnflag", "l_linenumber", "l_extendedprice", "proportional"), 4)
 
 
-def sed_pairs(spark, sf):
-    means = _t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("level")).agg((F.var_samp("c_acctbal") / F.count("*")).alias("v"))
-    return _rounded(scans.sed_pairs(means), 4)
-
-
-def wald_df2_pvalue(spark, sf):
-    return _rounded(_tests(spark, sf).select("snp", F.exp(-F.col("chi2") / 2).alias("p")), 8)
-
-
 def fisher_z_ci(spark, sf):
     r = _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.corr("l_quantity", "l_extendedprice").alias("r"), F.count("*").alias("n"))
     return _rounded(summaries.cor_interval(r, "r", n="n"))
@@ -227,8 +221,8 @@ def fitted_residuals(spark, sf):
 
 
 def posterior_rhat(spark, sf):
-    draws = _t(spark, sf, "events").withColumn("chain", F.col("user_id") % 8)
-    return _rounded(summaries.rhat(summaries.split_chains(draws, "chain", ["event_id"]), ["chain", "half"], "value"))
+    halves = summaries.split_chains(_t(spark, sf, "events").withColumnRenamed("user_id", "chain"), "chain", ["event_id"])
+    return _rounded(summaries.rhat(halves, ["chain", "half"], "value"))
 
 
 def spline_linear_basis(spark, sf):
@@ -300,7 +294,8 @@ _ORACLES = {
         "SELECT src, level, round(sum(dist ** -1 / sqrt(n)), 6) AS x, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM nb WHERE from_grp = 'O' AND to_grp = 'F') GROUP BY src, level", _FIELD, _NEAR.format(k=2)
     ),
     "exposure_functionals": _sql(
-        "SELECT count(*) AS rows, round(avg(s), 6) AS d, round(avg(ss), 6) AS k_identity, round(avg(s * s / ss), 6) AS n_eff FROM (SELECT src, sum(x) AS s, sum(x * x) AS ss FROM (SELECT src, level, sum(1 / dist) AS x FROM nb GROUP BY src, level) GROUP BY src)", _FIELD, _NEAR.format(k=2)
+        "SELECT count(*) AS rows, round(1e0, 6) AS d, round(avg(coalesce(ss, 0)), 6) AS k, round(avg(coalesce(ss, 0)), 6) AS k_identity, round(avg(coalesce(own, 0)), 6) AS c, round(avg(coalesce(s, 0)), 6) AS s, round(avg(coalesce(s, 0)) ** 2 / avg(coalesce(ss, 0)), 6) AS n_eff FROM u LEFT JOIN (SELECT src, sum(x) AS s, sum(x * x) AS ss, sum(CASE WHEN z.level = u.level THEN x ELSE 0 END) AS own FROM (SELECT src, level, sum(1 / dist) AS x FROM nb GROUP BY src, level) z JOIN u ON u.id = z.src GROUP BY src) k ON k.src = u.id",
+        _FIELD, _NEAR.format(k=2),
     ),
     "border_covariate": _sql("SELECT nb.src AS id, round(sum(0.125e0 * x), 6) AS x FROM nb JOIN (SELECT src, sum(0.125e0) AS x FROM nb GROUP BY 1) o ON nb.dst = o.src GROUP BY 1", _FIELD, _NEAR.format(k=1)),
     "lag_ystar": _sql(f"SELECT u.id, round(ln(u.y) - {PSI}e0 * coalesce(wy, 0), 6) AS ystar FROM u LEFT JOIN (SELECT src, sum(w * ln(v.y)) AS wy FROM w JOIN u v ON w.dst = v.id GROUP BY 1) k ON u.id = k.src", _FIELD, _NEAR.format(k=1), _W),
@@ -322,8 +317,6 @@ _ORACLES = {
     ),
     "predict_marginal_means_equal": "SELECT level, round(avg(m), 4) AS mean FROM (SELECT l_returnflag AS level, l_linenumber, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "predict_marginal_means_prop": "SELECT level, round(sum(m * w) / sum(w), 4) AS mean FROM (SELECT l_returnflag AS level, l_linenumber AS o, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) JOIN (SELECT l_linenumber AS o, count(*) AS w FROM lineitem GROUP BY 1) USING (o) GROUP BY 1",
-    "sed_pairs": _sql("SELECT a.level AS a, b.level AS b, round(sqrt(a.v + b.v), 4) AS sed FROM m a JOIN m b ON a.level < b.level", "m AS (SELECT c_nationkey AS level, var_samp(c_acctbal) / count(*) AS v FROM customer GROUP BY 1)"),
-    "wald_df2_pvalue": _sql("SELECT snp, round(exp(-chi2 / 2), 8) AS p FROM t", _TEST),
 }
 _TANH = "(exp(2 * ({0})) - 1) / (exp(2 * ({0})) + 1)"
 _Z95 = "1.959963984540054e0"
@@ -347,12 +340,19 @@ _ORACLES |= {
     ),
     "posterior_rhat": _sql(
         "SELECT chains, round(n, 6) AS n, round(within, 6) AS within, round(between_, 6) AS between, round(sqrt(((n - 1) / n * within + between_) / within), 6) AS rhat FROM (SELECT count(*) AS chains, avg(k) AS n, avg(v) AS within, var_samp(m) AS between_ FROM (SELECT count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM h GROUP BY chain, half))",
-        "h AS (SELECT user_id % 8 AS chain, value, CASE WHEN row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) <= count(*) OVER (PARTITION BY user_id % 8) // 2 THEN 0 ELSE 1 END AS half FROM events)",
+        "h AS (SELECT user_id AS chain, value, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= count(*) OVER (PARTITION BY user_id) // 2 THEN 0 ELSE 1 END AS half FROM events)",
     ),
     "spline_linear_basis": "SELECT knot, round(sum(v), 4) AS s, round(sum(v * v), 4) AS ss FROM (SELECT k AS knot, greatest(0, 1 - abs(l_quantity * 8 / 6e1 - k)) AS v FROM lineitem, range(9) r(k)) WHERE v <> 0 GROUP BY 1",
     "matern_half_pairs": _sql("SELECT src, dst, round(exp(-dist / 15e-1), 6) AS r FROM nb", _FIELD, _NEAR.format(k=1)),
     "spherical_corr_pairs": _sql("SELECT src, dst, round(CASE WHEN dist < 25e-1 THEN 1 - 15e-1 * dist / 25e-1 + 5e-1 * (dist / 25e-1) ** 3 ELSE 0 END, 6) AS r FROM nb", _FIELD, _NEAR.format(k=2)),
     "separable_cov_pairs": _sql(f"SELECT src, dst, round({RHO}e0 ** abs(a.r - b.r) * {PSI}e0 ** abs(a.c - b.c), 6) AS r FROM nb JOIN u a ON nb.src = a.id JOIN u b ON nb.dst = b.id", _FIELD, _NEAR.format(k=1)),
 }
-QUERIES = {k: globals()[k] for k in _ORACLES} | {"ld_prune": ld_prune}
-ORACLE_SQL = _ORACLES
+_ORACLES["ld_prune"] = "WITH RECURSIVE " + ", ".join([
+    _MARK, "pl AS (SELECT snp, row_number() OVER (ORDER BY snp) AS place FROM m GROUP BY snp HAVING max(dose) > min(dose))",
+    "r AS (SELECT a.snp AS a, b.snp AS b, corr(a.dose, b.dose) ** 2 AS r2 FROM m a JOIN m b ON a.gen = b.gen AND a.snp < b.snp GROUP BY 1, 2)",
+    "nb AS (SELECT p.place, p.snp, coalesce(list(q.snp) FILTER (q.snp IS NOT NULL), []) AS near FROM pl p LEFT JOIN (SELECT q.snp, q.place, r.b FROM r JOIN pl q ON q.snp = r.a WHERE r2 >= 5e-2 - 1e-12) q ON q.b = p.snp AND p.place - q.place <= 5 GROUP BY 1, 2)",
+    "st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS kept UNION ALL SELECT k + 1, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, snp) ELSE kept END FROM st JOIN nb ON place = k + 1)",
+    "ke AS (SELECT unnest(kept) AS snp FROM (SELECT kept FROM st ORDER BY k DESC LIMIT 1))",
+]) + " SELECT snp FROM ke WHERE snp NOT IN (SELECT b FROM r WHERE r2 > 1 - 1e-9 AND a IN (SELECT snp FROM ke) AND b IN (SELECT snp FROM ke))"
+QUERIES = {k: globals()[k] for k in _ORACLES} | engine_queries.QUERIES
+ORACLE_SQL = _ORACLES | engine_queries.ORACLE_SQL
