@@ -505,3 +505,31 @@ def test_scan_files_and_thresholds(spark, two, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/scan").count() == 9
     assert '"n_snp": 9' in spark.read.text(f"{tmp_path}/meta").first()[0]
     assert F and inference
+
+
+def test_likelihoods_from_the_covariance_of_rows(two, spark):
+    pdf, _, _, fit = two
+    whole = reml.fit(fit.model, engine="dense")
+    assert whole.neg2 == pytest.approx(fit.neg2, abs=1e-5) and whole.solution == pytest.approx(fit.solution, abs=1e-3)
+    theta = fit.theta + 0.1
+    a, b = (reml.fit(fit.model, fixed_theta=theta, engine=k) for k in ("mme", "dense"))
+    assert a.neg2 == pytest.approx(b.neg2, abs=1e-6) and a.solution == pytest.approx(b.solution, abs=1e-6) and a.cinv == pytest.approx(b.cinv, abs=1e-7)
+    assert b.likelihood.value_and_gradient(theta)[1] == pytest.approx(a.likelihood.value_and_gradient(theta)[1], abs=1e-4)
+    assert b.likelihood.average_information(theta) == pytest.approx(a.likelihood.average_information(theta), rel=1e-4, abs=1e-5)
+    df = spark.createDataFrame(pdf)
+    reduced = reml.reml(df, "y ~ trait", "~ rr(g)", "~ diag(trait):units", trait="trait", unit="u")
+    s = structures.sigma(reduced.theta[:2], "rr", 2)
+    assert np.linalg.matrix_rank(s) == 1 and reduced.converged
+    with pytest.raises(ValueError):
+        reml.fit(reduced.model, engine="mme")
+
+
+def test_models_without_a_residual(spark):
+    rng = np.random.default_rng(30)
+    pos = np.sort(rng.random(25) * 10)
+    y = np.linalg.cholesky(np.exp(-np.abs(pos[:, None] - pos[None, :])) + 1e-9 * np.eye(25)) @ rng.normal(size=25)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "p": pos}))
+    fit = reml.reml(df, "y ~ 1", "~ exp(p)", "~ none")
+    v = np.exp(2 * fit.theta[0]) * structures.correlation(fit.theta[1:], "exp", pos[:, None])
+    assert fit.converged and len(fit.theta) == 2 and fit.neg2 == pytest.approx(reml.dense_neg2(y, np.ones((25, 1)), v), abs=1e-6)
+    assert fit.blups().count() == 25 and "residual" not in fit.components()

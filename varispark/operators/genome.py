@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varispark.functions import optimise
 from varispark.functions.special import chi2_sf
 from varispark.operators import reml
 from varispark.operators.reml import Effects, Fit, Model, Sums
@@ -309,7 +308,7 @@ def with_columns(model: Model, columns: np.ndarray, names: list[str]) -> Model:
 
     cells = {key: (units, {t: turned(g) for t, g in sums.items()}) for key, (units, sums) in model.cells.items()}
     fixed = [*model.fixed, *[Effects(n, p + i, [n]) for i, n in enumerate(names)]]
-    return replace(model, fixed=fixed, random=[replace(e, offset=e.offset + k) for e in model.random], cells=cells, p=p + k, m=model.m + k, design=None)
+    return replace(model, fixed=fixed, random=[replace(e, offset=e.offset + k) for e in model.random], cells=cells, p=p + k, m=model.m + k, design=None, rows=None)
 
 
 def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) -> DataFrame:
@@ -328,7 +327,7 @@ def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) ->
     if any(f == "sim" for c in columns for f, _ in c):
         raise ValueError("refits take dir and ind")
     at = {(f, k): b for f, t in families.items() for k, b in enumerate(blocks(m, t))}
-    held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
+    held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, rows=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         null, theta, free, ml = held.value
@@ -345,17 +344,11 @@ def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) ->
                 except ValueError:
                     out.append((snp, *[float("nan")] * 2, float(len(hypothesis)), float("nan"), False, theta.tolist(), *[float("nan")] * (2 * len(labels))))
                     continue
-                like = reml.Likelihood(model, ml)
-                informed = not (model.residual.axes or ml)
-                best, value, done = optimise.newton(like.value_and_gradient, like.average_information, theta, free) if informed else (theta, np.inf, False)
-                if not done:
-                    best, value, done = optimise.minimise(like.value_and_gradient, best, free)
-                    slope = like.value_and_gradient(best)[1]
-                    done = done or np.abs(slope[optimise.live(best, slope, free, -12.0, 12.0)]).max(initial=0.0) < 1e-4 * max(1.0, abs(value))
-                c, b, _, _ = like.equations(best)
+                one = reml.fit(model, theta=theta, fixed_theta=np.where(free, np.nan, theta), ml=ml)
+                best, value, done = one.theta, one.neg2, one.converged
                 place = slice(null.p, null.p + len(columns))
-                v = np.linalg.inv(c)[place, place]
-                lb = hypothesis @ np.linalg.solve(c, b)[place]
+                v = one.cinv[place, place]
+                lb = hypothesis @ one.solution[place]
                 lv = hypothesis @ v @ hypothesis.T
                 chi2 = float(lb @ np.linalg.solve(lv, lb))
                 out.append((snp, chi2, chi2_sf(chi2, len(hypothesis)), float(len(hypothesis)), value, bool(done), best.tolist(), *[x for pair in zip(lb, np.sqrt(np.diag(lv))) for x in pair]))

@@ -144,7 +144,7 @@ def at(model: reml.Model, psi) -> reml.Model:
 
     cells = {k: (u, {t: turned(g) for t, g in sums.items()}) for k, (u, sums) in model.cells.items()}
     k = len(places)
-    return replace(model, fixed=[move(e) for e in model.fixed if e not in lags], random=[move(e) for e in model.random], cells=cells, p=model.p - k, m=model.m - k, design=None)
+    return replace(model, fixed=[move(e) for e in model.fixed if e not in lags], random=[move(e) for e in model.random], cells=cells, p=model.p - k, m=model.m - k, design=None, rows=None)
 
 
 def fit(model: reml.Model, edges: DataFrame, low: float = -0.9, high: float = 0.9, steps: int = 19, rounds: int = 3, jacobian: bool = True, **options) -> tuple[float, reml.Fit, list[tuple[float, float]]]:

@@ -115,6 +115,7 @@ class Model:
             return self.residual
         return self.residual.bodies[self.residual.names().index(section)]
 
+    rows: DataFrame | None = None  # section, t, unit and coo of each row, for likelihoods from V
     design: DataFrame | None = None  # coo: the entries of each row of [W y], for models of one plain residual
     grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
 
@@ -339,7 +340,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     info = {"centre": centre, "fixed": fixed_terms, "intercept": intercept, "levels": levels_of, "surfaces": surfaces, "made": made_for}
     if res.axes:
         cells, n = _lattice_sums(rows, res, grids, empty, coo, m)
-        return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, None, {k: (len(g[0]), len(g[1])) for k, g in grids.items()}))
+        return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, grids={k: (len(g[0]), len(g[1])) for k, g in grids.items()}))
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
@@ -369,6 +370,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     if not n:
         raise ValueError("no complete rows")
     model = Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, info)
+    model.rows = coded.drop("lw")
     if not (trait or unit or weights):
         model.design = coded.select("coo")
     if absorbed:
@@ -861,6 +863,8 @@ class Fit:
                 out[name] = math.exp(2 * theta[sl][0])
                 out |= {f"{name}.{c}": math.tanh(v) for (_, c), v in zip([a for a in m.residual.axes if a[0] == "ar1"], theta[sl][1:])}
                 continue
+            if m.structure(s).struct == "none":
+                continue
             add("residual" + (f"({s})" if s is not None else ""), structures.sigma(theta[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank))
         return out
 
@@ -1006,16 +1010,25 @@ class Fit:
         return v - z * se, v + z * se
 
 
-def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0) -> Fit:
+def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", engine: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0) -> Fit:
     """Maximise the restricted likelihood, or with ml the likelihood; entries of fixed_theta that are not NaN stay as given.
 
     optimizer: "ai" for average information steps and then quasi-Newton ones, "bfgs" for the latter alone, "auto" for ai
     where it is defined. The point found is polished with Newton steps; a variance at its floor is moved up and the descent
-    taken again if the likelihood rises there, and so is a point with a direction of negative curvature. low and high: the
-    parameters' box. restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
+    taken again if the likelihood rises there, and so is a point with a direction of negative curvature. engine: "mme" for
+    mixed-model equations, "dense" for the covariance matrix of all rows, "auto" for the latter where the former is not
+    defined. Ranges of correlations by distance begin where short descents from several of them come out best. low and
+    high: the parameters' box. restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
     """
     began, timings = time.perf_counter(), {}
-    like = Likelihood(model, ml)
+    from varispark.operators import dense
+
+    if engine not in ("auto", "mme", "dense"):
+        raise ValueError(f"unknown engine {engine!r}")
+    reason = dense.out_of_scope(model)
+    if engine == "mme" and reason:
+        raise ValueError(f"the equations don't take {reason}")
+    like = dense.DenseLikelihood(model, ml) if engine == "dense" or reason else Likelihood(model, ml)
     start = like.start() if theta is None else np.where(np.isnan(theta), like.start(), theta)
     free = np.ones(like.size, dtype=bool)
     if fixed_theta is not None:
@@ -1035,6 +1048,8 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
                 pass
         return optimise.minimise(f, at, free, low, high)
 
+    if theta is None:
+        start = _range_sweep(like, start, free, low, high)
     best, value, done = descend(start)
     timings["descent"] = time.perf_counter() - began
     rng = np.random.default_rng(seed)
@@ -1056,11 +1071,43 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high), best, free, low, high, rounds=5)
         hess = optimise.hessian(slope, best, low=low, high=high)
     timings["hessian"] = time.perf_counter() - began - sum(timings.values())
-    c, b, _, _ = like.equations(best)
-    cinv = np.linalg.inv(c)
+    if isinstance(like, dense.DenseLikelihood):
+        cinv, solution = like.solved(best)
+    else:
+        c, b, _, _ = like.equations(best)
+        cinv = np.linalg.inv(c)
+        solution = cinv @ b
     checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
     timings["total"] = time.perf_counter() - began
-    return Fit(model, like, best, value, bool(done or checks["converged"]), cinv, cinv @ b, hess, free, (low, high), checks, timings)
+    return Fit(model, like, best, value, bool(done or checks["converged"]), cinv, solution, hess, free, (low, high), checks, timings)
+
+
+def _range_sweep(like: Likelihood, start: np.ndarray, free: np.ndarray, low, high) -> np.ndarray:
+    """The best of the starts with a range of each correlation by distance at the deciles of its positions' distances,
+    after three steps of descent each."""
+    starts = [start]
+    for e, (_, sl) in zip(like.model.random, like.slices):
+        if e.term.level not in ("exp", "gau", "iexp", "igau", "ieuc", "aexp", "agau", "lvr", "sph", "cir", "mtrn") or not free[sl].any() or e.pos is None:
+            continue
+        pos = np.asarray(e.pos, dtype=float).reshape(e.q, -1)[:: max(1, e.q // 200)]
+        d = np.sqrt(((pos[:, None] - pos[None, :]) ** 2).sum(axis=2))
+        d = d[d > 0]
+        if not len(d):
+            continue
+        for share in (0.1, 0.5, 0.9):
+            reach = float(np.quantile(d, share))
+            new = start.copy()
+            for k in range(sl.start, sl.stop):
+                if e.term.level in ("lvr", "sph", "cir") or e.term.level == "mtrn" and k == sl.start and (e.k or {"phi": (1.0, True, False)})["phi"][1]:
+                    new[k] = math.log(reach)
+                elif e.term.level != "mtrn":  # a correlation of one half at that distance
+                    power = 2 if e.term.level in ("gau", "igau", "agau") else 1
+                    new[k] = math.atanh(min(0.999999, 0.5 ** (1 / reach**power)))
+            starts.append(np.where(free, new, start))
+    if len(starts) == 1:
+        return start
+    tried = [optimise.minimise(like.value_and_gradient, x, free, low, high, rounds=3) for x in starts]
+    return min(tried, key=lambda r: r[1])[0]
 
 
 def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray, low, high, slope) -> np.ndarray | None:
@@ -1094,7 +1141,7 @@ def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray,
 
 def reml(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, **options) -> Fit:
     """Formulas to fit in one call; options are those of build() and of fit()."""
-    rest = {k: options.pop(k) for k in ("theta", "fixed_theta", "ml", "restarts", "seed", "optimizer", "low", "high") if k in options}
+    rest = {k: options.pop(k) for k in ("theta", "fixed_theta", "ml", "restarts", "seed", "optimizer", "engine", "low", "high") if k in options}
     return fit(build(df, fixed, random, residual, **options), **rest)
 
 

@@ -126,6 +126,8 @@ def _matrices(fit: Fit, theta: np.ndarray) -> dict[str, np.ndarray]:
     m, like = fit.model, fit.likelihood
     out = {e.name: structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank) for e, (ss, _) in zip(m.random, like.slices)}
     for s, sl in zip(m.sections, like.residual):
+        if m.structure(s).struct == "none":
+            continue
         name = "residual" + (f"({s})" if s is not None else "")
         out[name] = np.array([[math.exp(2 * theta[sl][0])]]) if m.residual.axes else structures.sigma(theta[sl], m.structure(s).struct, len(m.traits), m.structure(s).rank)
     return out

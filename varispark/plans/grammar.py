@@ -151,6 +151,8 @@ def parse_residual(formula: str | None) -> Residual:
     m = re.match(r"(\w+)\(\s*\w+\s*(?:,\s*rank\s*=\s*(\d+))?\s*\)\s*:", body)
     if m and m[1] in ("iid", "diag", "us", "fa"):
         return Residual(m[1], int(m[2] or 1))
+    if body == "none":
+        return Residual("none")
     if m or not re.fullmatch(r"\w+", body):
         raise ValueError(f"residual not understood: {body!r}")
     return Residual()
