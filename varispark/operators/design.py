@@ -326,5 +326,6 @@ def ld_prune(markers: DataFrame, r2: float, window: int, duplicates: bool = True
         return kept.select("snp", "chr")
     z = F.transform("d", lambda e: F.round((e["dose"] - F.col("m")) / F.col("s"), 9) + 0.0)
     moments = kept.withColumn("z", z).withColumn("first", F.element_at(F.filter("z", lambda v: v != 0), 1))
-    key = F.sha2(F.concat_ws(",", F.transform("z", lambda v: F.when(F.col("first") < 0, -v).otherwise(v) + 0.0)), 256)
+    text = lambda sign: F.sha2(F.concat_ws(",", F.transform("z", lambda v: sign * v + 0.0)), 256)
+    key = F.when(F.col("first") < 0, text(-1.0)).otherwise(text(1.0))  # outside the function of each entry, which would find the first one anew
     return moments.groupBy(key.alias("key")).agg(F.min_by(F.struct("snp", "chr"), F.struct("chr", "snp")).alias("k")).select("k.snp", "k.chr")

@@ -91,6 +91,22 @@ class Absorbed:
     by_n: dict[int, tuple[int, Sums]]  # number of levels with so many rows, and the sum of their outer products
     levels: DataFrame | None = None  # level, n, e: the sums of the other columns, by column
 
+    def __post_init__(self):
+        """All products on one pattern of entries, a row for each number of rows."""
+        size = next(iter(self.by_n.values()))[1].size
+        keys = [g.i * size + g.j for _, g in self.by_n.values()]
+        self.keys = np.unique(np.concatenate(keys))
+        self.table = np.zeros((len(keys), len(self.keys)))
+        for k, (key, (_, g)) in enumerate(zip(keys, self.by_n.values())):
+            self.table[k, np.searchsorted(self.keys, key)] = g.x
+
+    def subtract(self, out: np.ndarray, weights: np.ndarray) -> None:
+        out.ravel()[self.keys] -= weights @ self.table
+
+    def dots(self, other: np.ndarray) -> np.ndarray:
+        """For each number of rows the sum of the products with the entries of a matrix."""
+        return self.table @ other.ravel()[self.keys]
+
 @dataclass
 class Model:
     """What the driver needs of the data: cross-products by (section, pattern), and the layout of effects."""
@@ -120,8 +136,22 @@ class Model:
     grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
 
 
-def _distinct(df: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
+def _levels(rows: DataFrame, columns: list[str], most: int) -> tuple[float, dict[str, list], dict[str, int]]:
+    """The response's mean, the levels of each column that has no more than about so many, and about how many they are: a
+    job that counts, and one that gathers what is small."""
+    first = rows.agg(F.avg("__y"), *[F.approx_count_distinct(c, 0.02) for c in columns]).first()
+    counts = dict(zip(columns, first[1:]))
+    few = [c for c in columns if counts[c] <= 1.1 * most + 10]
+    sets = rows.agg(*[F.collect_set(c) for c in few]).first() if few else []
+    return float(first[0] or 0.0), {c: sorted(s) for c, s in zip(few, sets)}, counts
+
+
+def _distinct(df: DataFrame, columns: list[str], most: int, known: dict[str, list] | None = None) -> pd.DataFrame:
     """Levels of a factor; more than most is an error, since effects are held on the driver."""
+    if known and len(columns) == 1 and columns[0] in known:
+        if len(known[columns[0]]) > most:
+            raise ValueError(f"{columns} has more than {most} levels")
+        return pd.DataFrame({columns[0]: known[columns[0]]})
     out = df.select(*columns).na.drop().distinct().orderBy(*columns).limit(most + 1).toPandas()
     if len(out) > most:
         raise ValueError(f"{columns} has more than {most} levels")
@@ -193,12 +223,15 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         joined = df.sparkSession.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in table.itertuples(index=False)], schema)
         rows = rows.join(F.broadcast(joined), [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(at_.columns)])  # at most max_levels rows
     terms = plain
+    types = dict(rows.dtypes)
+    single = {c for t in fixed_terms for c in t if types.get(c) in ("string", "boolean")} | {c for t in terms if "parts" not in t.options and (len(t.factors) == 1 or t.level not in ("id", "fixed")) for c in t.factors}
+    mean, known, counts = _levels(rows, sorted({c for c in single | {trait, res.section} if c in types}), max_levels)
     centre = 0.0
     if intercept:  # the likelihood is that of any y + c, and sums of squares of large numbers lose what is small beside them
-        centre = float(rows.select(F.avg("__y")).first()[0] or 0.0)
+        centre = mean
         rows = rows.withColumn("__y", F.col("__y") - F.lit(centre))
     kinds = dict(rows.dtypes)
-    traits = _distinct(rows, [trait], 100)[trait].tolist() if trait else [None]
+    traits = _distinct(rows, [trait], 100, known)[trait].tolist() if trait else [None]
     if res.bodies:  # levels of the section column in groups, a residual for each
         known = [(v, n) for group, n in zip(res.groups, res.names()) for v in group]
         name = F.element_at(F.create_map(*[F.lit(x) for pair in known for x in pair]), F.col(res.section).cast("string"))
@@ -206,7 +239,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         if rows.where("__section is null").limit(1).count():
             raise ValueError(f"levels of {res.section} are in no group")
         res = Residual(section="__section", groups=res.groups, bodies=res.bodies)
-    sections = _distinct(rows, [res.section], 1_000)[res.section].tolist() if res.section else [None]
+    sections = _distinct(rows, [res.section], 1_000, known)[res.section].tolist() if res.section else [None]
 
     entries, many, at = [], [], 0
     one = lambda col, x: F.struct(col.cast("int").alias("c"), x.cast("double").alias("x"))
@@ -223,7 +256,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
                 x = x * F.col(name).cast("double")
         return labels, one(code, F.when(code.isNotNull(), x).otherwise(0.0))
 
-    levels_of = {c: _distinct(rows, [c], 1_000)[c].tolist() for t in fixed_terms for c in t if kinds[c] in ("string", "boolean") or c == trait}
+    levels_of = {c: _distinct(rows, [c], 1_000, known)[c].tolist() for t in fixed_terms for c in t if kinds[c] in ("string", "boolean") or c == trait}
     fixed_effects = []
     if intercept:
         fixed_effects.append(Effects("(Intercept)", at, ["(Intercept)"]))
@@ -300,24 +333,22 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
             at += t * q
             continue
         if term.level == "id" and term.struct == "iid" and len(term.factors) == 1 and absorbed is None and not (trait or unit or weights or res.section or res.axes or any("parts" in x.options for x in terms)):
-            count = 0
-            if absorb == "auto":
-                count = rows.select(F.approx_count_distinct(term.factors[0], 0.02)).first()[0]
-            if absorb == term.factors[0] or count > 0.95 * max_levels and rows.select(*term.factors).na.drop().distinct().limit(max_levels + 1).count() > max_levels:
+            count = len(known[term.factors[0]]) if term.factors[0] in known else counts[term.factors[0]]
+            if absorb == term.factors[0] or absorb == "auto" and count > max_levels and rows.select(*term.factors).na.drop().distinct().limit(max_levels + 1).count() > max_levels:
                 absorbed = Effects(term.name, -1, [], term, 1, absorbed=0)
                 random_effects.append(absorbed)
                 continue
         if term.level in ("id", "fixed"):
-            table = _distinct(rows, term.factors, max_levels)
+            table = _distinct(rows, term.factors, max_levels, known)
             labels = [v[0] if len(v) == 1 else tuple(v) for v in table.values.tolist()]
             if term.level == "fixed":
                 labels, kin = _relationship(term, labels, matrices)
         elif term.level in ("exp", "gau", "iexp", "igau", "ieuc", "aexp", "agau", "lvr", "sph", "cir", "mtrn", "own"):
-            table = _distinct(rows, term.factors, max_levels)
+            table = _distinct(rows, term.factors, max_levels, known)
             labels, pos = [tuple(v) if len(v) > 1 else v[0] for v in table.values.tolist()], table.to_numpy(dtype=float)
             kin = term.options.get("expr") or term.options.get("matern")
         else:
-            lines = [_lattice(_distinct(rows, [c], max_levels)[c]) for c in term.factors]
+            lines = [_lattice(_distinct(rows, [c], max_levels, known)[c]) for c in term.factors]
             labels = [x if len(lines) > 1 else x[0] for x in _product(lines)]
             axes, pos = [len(g) for g in lines], lines
         q = len(labels)
@@ -397,6 +428,8 @@ def _absorb(rows: DataFrame, effects: Effects, coo: Column, m: int) -> Absorbed:
     pairs = F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x")))))
     products = levels.select("n", F.inline(pairs)).groupBy("n", "i", "j").agg(F.sum("x").alias("x"))
     counts = {r["n"]: r["q"] for r in levels.groupBy("n").agg(F.count("*").alias("q")).collect()}  # numbers of rows add up to their total, so they are at most the root of twice that
+    if len(counts) * (m + 1) ** 2 > 500_000_000:
+        raise ValueError(f"{len(counts)} different numbers of rows by {m} other effects are too many sums: absorb another factor")
     return Absorbed({n: (counts[n], Sums(i, j, x, m + 1)) for (n,), (i, j, x) in _blocks(products, ["n"])}, levels)
 
 
@@ -615,9 +648,8 @@ class Likelihood:
         if m.absorbed:
             n = np.array(list(m.absorbed.by_n), dtype=float)
             weights, logs = self._level_weights(n, *self.absorbed_at(theta))
-            for (q, g), w, log in zip(m.absorbed.by_n.values(), weights.tolist(), logs.tolist()):
-                g.add_to(c, -w)
-                logdet += q * log
+            m.absorbed.subtract(c, weights)
+            logdet += float(sum(q * log for (q, _), log in zip(m.absorbed.by_n.values(), logs.tolist())))
         return c, logdet
 
     def average_information(self, theta: np.ndarray) -> np.ndarray:
@@ -737,7 +769,7 @@ class Likelihood:
                 grad[j] = (own(theta + step(j)) - own(theta - step(j))) / (2 * h)
         if m.absorbed:
             rows = np.array(list(m.absorbed.by_n), dtype=float)
-            many, dots_n = np.array([q for q, _ in m.absorbed.by_n.values()], dtype=float), np.array([g.dot(meet) for _, g in m.absorbed.by_n.values()])
+            many, dots_n = np.array([q for q, _ in m.absorbed.by_n.values()], dtype=float), m.absorbed.dots(meet)
 
             def levels_of(th: np.ndarray) -> float:
                 weights, logs = self._level_weights(rows, *self.absorbed_at(th))
@@ -1058,15 +1090,16 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         if other[1] < value - 1e-9:
             best, value, done = other
     timings["restarts"] = time.perf_counter() - began - timings["descent"]
+    hess = optimise.hessian(slope, best, low=low, high=high)
     for _ in range(3):
-        away = _escape(like, best, value, free, low, high, slope)
+        away = _escape(like, best, value, free, low, high, slope, hess)
         if away is None:
             break
         other = descend(away)
         if other[1] >= value - 1e-9:
             break
         best, value, done = other
-    hess = optimise.hessian(slope, best, low=low, high=high)
+        hess = optimise.hessian(slope, best, low=low, high=high)
     if not done:
         best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high), best, free, low, high, rounds=5)
         hess = optimise.hessian(slope, best, low=low, high=high)
@@ -1110,7 +1143,7 @@ def _range_sweep(like: Likelihood, start: np.ndarray, free: np.ndarray, low, hig
     return min(tried, key=lambda r: r[1])[0]
 
 
-def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray, low, high, slope) -> np.ndarray | None:
+def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray, low, high, slope, hess: np.ndarray) -> np.ndarray | None:
     """A better point than a stationary one: with a variance off its floor, or along a direction of negative curvature."""
     floor = np.broadcast_to(low, len(theta))
     for k in np.nonzero(free & (theta <= floor + 6.0))[0]:
@@ -1125,7 +1158,7 @@ def _escape(like: Likelihood, theta: np.ndarray, value: float, free: np.ndarray,
                 continue
     k = np.nonzero(optimise.live(theta, slope(theta), free, low, high))[0]
     if len(k):
-        values, vectors = np.linalg.eigh(optimise.hessian(slope, theta, low=low, high=high)[np.ix_(k, k)])
+        values, vectors = np.linalg.eigh(hess[np.ix_(k, k)])
         if values[0] < -1e-4 * max(1.0, float(np.abs(values).max())):
             for length in (0.5, -0.5, 0.1, -0.1):
                 new = theta.copy()
