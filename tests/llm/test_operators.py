@@ -472,8 +472,8 @@ def test_heavy_leads_are_told_apart(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("group", [1 << 20, 40])
-def test_candidates_at_a_similarity_of_08(spark, group):
+@pytest.mark.parametrize("group, times", [(1 << 20, 1), (40, 1), (40, 100)])
+def test_candidates_at_a_similarity_of_08(spark, group, times):
     rng = np.random.default_rng(13)
     rows, pairs = [], []
     for g in range(200):
@@ -482,8 +482,9 @@ def test_candidates_at_a_similarity_of_08(spark, group):
         for k, h in enumerate((a, b)):
             rows.append((2 * g + k, len(h), bytearray(near_copies.signature(np.sort(h)).tobytes())))
         pairs.append((2 * g, 2 * g + 1))
+    assert len(near_copies.cells(times * len(rows), group)[1]) == {(1 << 20, 1): 1, (40, 1): 5, (40, 100): 15}[group, times]
     shared.ship(spark)
-    met = near_copies.candidates(spark.createDataFrame(rows, "set long, n long, signature binary"), len(rows), group).collect()
+    met = near_copies.candidates(spark.createDataFrame(rows, "set long, n long, signature binary"), times * len(rows), group).collect()
     cells = {}
     for r in met:
         cells.setdefault((r["cell"], r["low"]), set()).add(r["set"])

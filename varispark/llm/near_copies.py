@@ -10,11 +10,13 @@ are candidates if any of them differ in 2 * RADIUS bits or fewer, which at 0.8 o
 probability 0.25, and some of 24 with 0.9991. Candidates come from meet-in-the-middle ball hashing as
 in simhash.py: all variants within RADIUS bits are made and those of one value linked, here only if
 GUARD further bits of the two differ in GUARD_BITS or fewer (0.99999 of pairs at 0.8; 1 in 170 of unlike
-ones). Each group of variants gives back its components, and these are verified on the shingles:
-first each set against the smallest one that it met in any component, then, where these links leave
-it apart from another component's smallest, against that, and then, in components that are still in
-several parts, all pairs at once by products of incidence matrices. A component gives back at most one
-link for each of its members.
+ones). Where there are many sets, those meet that agree in some whole segments of a fingerprint, as
+all pairs within reach do for some choice of segments, and the variants are of the other segments.
+Each cell gives back its components, and these are verified on the shingles: first each set against
+the smallest one that it met in any component, then, where these links leave it apart from another
+component's smallest, against that, and then, in components that are still in several parts, all pairs
+at once by products of incidence matrices. A component gives back at most one link for each of its
+members.
 
 Equal sets are one from the start, so groups of copies are candidates once. Null texts and texts
 without a word have the empty set.
@@ -22,13 +24,15 @@ without a word have the empty set.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.llm.shared import distinct_rows, first_row, grouped, materialize, rows_at, ship, slices, small
-from varispark.llm.simhash import SEED, _roots, components, flips, joined
+from varispark.llm.simhash import SEED, _roots, components, joined
 
 WORDS = 5
 #: Similarity from which texts are near copies, in hundredths.
@@ -37,7 +41,7 @@ SIMILAR = 80
 TABLES, WIDTH, RADIUS = 24, 40, 2
 #: Further bits of a set, and in how many of them linked sets may differ.
 GUARD, GUARD_BITS = 64, 22
-#: Sets of one fingerprint that meet in a task, about, by their own leading bits.
+#: Sets of one fingerprint that meet in a cell, about.
 GROUP = 1 << 20
 #: Sets of a component whose pairs are counted at once, and shingles of them.
 BLOCK = 1_024
@@ -94,29 +98,52 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, set long, n long, signature binary")
 
 
+def cells(count: int, group: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Segments of a fingerprint (first bit and length), and the choices of segments that sets meet by.
+
+    Fingerprints that differ in 2 * RADIUS bits agree in c whole segments of 2 * RADIUS + c, so they meet if each goes to a
+    cell for each choice of c segments, by its bits there. c is the smallest with no more than about group fingerprints to
+    a cell: none for few, and a fingerprint goes to 1, 5, 15, 35, ... cells.
+    """
+    c = 0
+    while count >> (WIDTH * c // (2 * RADIUS + c)) > group and c < 6:
+        c += 1
+    n = 2 * RADIUS + c
+    cut = [WIDTH * k // n for k in range(n + 1)]
+    return [(x, y - x) for x, y in zip(cut, cut[1:])], list(itertools.combinations(range(n), c))
+
+
+def _bits(fp: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of these segments, side by side."""
+    out, at = np.zeros(len(fp), dtype=np.uint64), 0
+    for first, size in segments:
+        out |= ((fp >> np.uint64(first)) & np.uint64((1 << size) - 1)) << np.uint64(at)
+        at += size
+    return out
+
+
 def candidates(sets: DataFrame, count: int, group: int | None = None) -> DataFrame:
-    """Components of two sets or more under candidate links within one group of variants.
+    """Components of two sets or more under candidate links within one cell.
 
-    sets: set, n and signature of each non-empty set. A row per member: set, n, cell (table and leading bits), and low
-    and low_n, the component's smallest set and that one's n. A group holds about (1 + b + b * b / 2) * 24 * GROUP
-    bytes, where b, the number of leading bits, grows with the logarithm of count.
+    sets: set, n and signature of each non-empty set. A row per member: set, n, cell, and low and low_n, the component's
+    smallest set and that one's n. A cell holds about 32 * GROUP bytes.
     """
-    bits = max(0, (max(1, count) // (group or GROUP)).bit_length())
-    around, low, size = flips(bits, RADIUS), np.uint64(WIDTH - bits), WIDTH // 8
+    segments, choices = cells(count, group or GROUP)
+    size = WIDTH // 8
 
     def send(batches):
         for batch in batches:
             for part in slices(batch, 4096):
-                name, n = (part.column(i).to_numpy().repeat(len(around)) for i in (0, 1))
+                name, n = (part.column(i) for i in (0, 1))
                 every = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                guard = np.ascontiguousarray(every[:, TABLES * size :]).view("<i8")[:, 0].repeat(len(around))
+                guard = pa.array(np.ascontiguousarray(every[:, TABLES * size :]).view("<i8")[:, 0])
                 for t in range(TABLES):
                     fp = np.zeros((part.num_rows, 8), dtype=np.uint8)
                     fp[:, :size] = every[:, t * size : (t + 1) * size]
                     fp = fp.view("<u8")[:, 0]
-                    top = (fp >> low) if bits else np.zeros(len(fp), dtype=np.uint64)
-                    cell = (top[:, None] ^ around[None, :]).ravel().astype(np.int64) + (t << WIDTH)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cell, fp.repeat(len(around)).view(np.int64), guard, name, n)], ["cell", "fp", "guard", "set", "n"])
+                    for k, chosen in enumerate(choices):
+                        cell = _bits(fp, [segments[i] for i in chosen]).astype(np.int64) + ((t * len(choices) + k) << WIDTH)
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp.view(np.int64)), guard, name, n], ["cell", "fp", "guard", "set", "n"])
 
     def meet(batches):
         for (cell,), (fp, guard, name, n) in grouped(batches, 1):
@@ -124,7 +151,9 @@ def candidates(sets: DataFrame, count: int, group: int | None = None) -> DataFra
                 continue
             order = np.argsort(name)
             fp, guard, name, n = fp[order].view(np.uint64), guard[order].view(np.uint64), name[order], n[order]
-            root = joined(fp, cell & (1 << WIDTH) - 1, bits, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, WIDTH)
+            chosen = choices[(cell >> WIDTH) % len(choices)]
+            free = [s for i, s in enumerate(segments) if i not in chosen]  # all that members of the cell can differ in
+            root = joined(_bits(fp, free), 0, 0, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, sum(s for _, s in free))
             (k,) = np.nonzero(np.bincount(root, minlength=len(root))[root] > 1)
             low = root[k]
             for at in range(0, len(k), 65_536):

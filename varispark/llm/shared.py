@@ -10,11 +10,12 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varispark import shipping
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if its rows take no more than this many bytes.
@@ -22,10 +23,8 @@ BROADCAST_BYTES = 32 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 _kept: set[str] = set()
-_shipped: set[str] = set()
 _held: dict = {}
 _local: dict[str, tempfile.TemporaryDirectory] = {}
-_own: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,22 +95,7 @@ def ship(spark: SparkSession) -> None:
     # Bounds of what a Python worker and the JVM's buffers for it hold at once, whatever the texts' lengths.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.TemporaryDirectory(prefix="varispark-")  # on the driver, which serves it as long as it runs
-    _own.append(folder)
-    atexit.register(folder.cleanup)
-    path = os.path.join(folder.name, f"{os.path.basename(top)}-{uuid.uuid4().hex}.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for at, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
+    shipping.ship(spark)
 
 
 def held(key: tuple, make):
