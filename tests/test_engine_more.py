@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from varispark.functions import optimise, splines, structures
+from varispark.functions import bordered, optimise, splines, structures
 from varispark.functions.special import matern
 from varispark.operators import bayes, design, genome, inference, lag, predictions, reml, scans, tables
 from varispark.plans.grammar import parse_random, parse_residual
@@ -533,3 +533,37 @@ def test_models_without_a_residual(spark):
     v = np.exp(2 * fit.theta[0]) * structures.correlation(fit.theta[1:], "exp", pos[:, None])
     assert fit.converged and len(fit.theta) == 2 and fit.neg2 == pytest.approx(reml.dense_neg2(y, np.ones((25, 1)), v), abs=1e-6)
     assert fit.blups().count() == 25 and "residual" not in fit.components()
+
+
+def test_inverses_by_blocks_equal_plain_ones(spark):
+    rng = np.random.default_rng(33)
+    n = 500
+    a, b = rng.integers(0, 30, n), rng.integers(0, 200, n)
+    w = np.zeros((n, 233))
+    w[:, :3] = rng.normal(size=(n, 3))
+    w[np.arange(n), 3 + a], w[np.arange(n), 33 + b] = 1, 1
+    c = w.T @ w + 0.5 * np.eye(233)
+    i, j = np.nonzero(c - np.diag(np.diag(c)))
+    split = bordered.search(233, [np.arange(3), np.arange(3, 33), np.arange(33, 233)], i, j)
+    assert len(split.border) == 33 and split.blocks == 200
+    inv, logdet = bordered.inverse(c, split)
+    assert inv == pytest.approx(np.linalg.inv(c), abs=1e-10) and logdet == pytest.approx(np.linalg.slogdet(c)[1])
+    with pytest.raises(np.linalg.LinAlgError):
+        bordered.inverse(c - 3 * np.eye(233), split)
+    nested = rng.integers(0, 20, n)
+    pdf = pd.DataFrame({"y": rng.normal(size=20)[nested] + rng.normal(size=n), "s": nested, "g": [f"{s}-{k}" for s, k in zip(nested, rng.integers(0, 6, n))]})
+    fit = reml.reml(spark.createDataFrame(pdf), "y ~ 1", "~ s + g", fixed_theta=np.array([0.1, -0.5, 0.2]))
+    assert fit.likelihood.split().blocks >= 20
+    c, _, _, _ = fit.likelihood.equations(fit.theta)
+    assert fit.cinv == pytest.approx(np.linalg.inv(c), abs=1e-9)
+    plain = reml.Likelihood(fit.model)
+    plain._split = None
+    assert plain.value_and_gradient(fit.theta)[1] == pytest.approx(fit.likelihood.value_and_gradient(fit.theta)[1], abs=1e-6)
+
+
+def test_saved_projections_scan_alike(two, spark, tmp_path):
+    _, _, markers, fit = two
+    genome.save_projection(fit, {"dir": "us(g)"}, str(tmp_path))
+    tests = ["dir", "dir@het"]
+    one, other = ([tuple(r) for r in genome.scan_tests(x, markers, {"dir": "us(g)"}, tests).orderBy("snp").collect()] for x in (fit, genome.load_projection(spark, str(tmp_path))))
+    assert one == other

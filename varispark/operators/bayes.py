@@ -246,7 +246,8 @@ def _chees(f, mode: np.ndarray, turn: np.ndarray, chains: int, seed: int, warmup
         centre_old, centre_new = z.mean(axis=0), (weight[:, None] * new).sum(axis=0) / weight.sum()
         change = ((new - centre_new) ** 2).sum(axis=1) - ((z - centre_old) ** 2).sum(axis=1)
         slope = np.array([(new[i] - centre_new) @ m[3] if math.isfinite(m[1]) else 0.0 for i, m in enumerate(moved)])
-        gradient = float((weight * change * slope).sum() / weight.sum()) * jitter * length
+        sums = np.where(accept > 0, weight * change * slope, 0.0)  # a trajectory that diverged says nothing of lengths
+        gradient = float(np.clip(np.nan_to_num(sums.sum() / weight.sum() * jitter * length), -1e6, 1e6))
         first, second = 0.9 * first + 0.1 * gradient, 0.95 * second + 0.05 * gradient**2  # one step of Adam on the logarithm
         log_length += 0.05 * (first / (1 - 0.9**it)) / (math.sqrt(second / (1 - 0.95**it)) + 1e-8)
         log_length = min(max(log_length, log_step), math.log(1000) + log_step)

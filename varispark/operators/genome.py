@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -170,27 +170,68 @@ def solved(num: np.ndarray, den: np.ndarray, hypothesis: np.ndarray) -> tuple[np
     return value, se, chi2, np.full(n, r)
 
 
-def scan_tests(fit: Fit, markers: DataFrame, families: dict[str, str], tests: list[str], maf: float | None = None, keep: str | None = None, coding: str = "count", ploidy: int = 2, limit: int = 200_000) -> DataFrame:
+@dataclass
+class Projection:
+    """What tests of linear families need of a fit: c and C of each family and trait, in this order."""
+
+    families: list[str]
+    traits: list[str]
+    c: list[np.ndarray]
+    big: list[list[np.ndarray]]
+
+
+def projection(fit: Fit, families: dict[str, str]) -> Projection:
+    linear = [f for f in ("dir", "ind") if f in families]
+    return Projection(linear, [str(t) for t in fit.model.traits] if len(fit.model.traits) > 1 else [""], *project(fit, [families[f] for f in linear]))
+
+
+def save_projection(fit: Fit, families: dict[str, str], path: str) -> None:
+    """The projection as tables, so that markers are scanned without the fit: arrays by place, and a description in JSON."""
+    import json
+
+    spark, p = fit.spark, projection(fit, families)
+    rows = [(a, -1, i, 0, float(x)) for a, v in enumerate(p.c) for i, x in enumerate(v)]
+    rows += [(a, b, int(i), int(j), float(m[i, j])) for a, line in enumerate(p.big) for b, m in enumerate(line) for i, j in zip(*np.nonzero(m))]
+    spark.createDataFrame(rows, "a int, b int, i int, j int, x double").write.mode("overwrite").parquet(f"{path}/projection")
+    meta = {"families": p.families, "traits": p.traits, "q": len(p.c[0]), "theta": fit.theta.tolist()}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_projection(spark, path: str) -> Projection:
+    import json
+
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    table, q, k = spark.read.parquet(f"{path}/projection").toPandas(), meta["q"], len(meta["families"]) * len(meta["traits"])
+    c, big = [np.zeros(q) for _ in range(k)], [[np.zeros((q, q)) for _ in range(k)] for _ in range(k)]
+    for (a, b), part in table.groupby(["a", "b"]):
+        if b < 0:
+            c[a][part["i"].to_numpy()] = part["x"].to_numpy()
+        else:
+            big[a][b][part["i"].to_numpy(), part["j"].to_numpy()] = part["x"].to_numpy()
+    return Projection(meta["families"], meta["traits"], c, big)
+
+
+def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, str], tests: list[str], maf: float | None = None, keep: str | None = None, coding: str = "count", ploidy: int = 2, limit: int = 200_000) -> DataFrame:
     """A scan with the test grammar of parse_test: snp and maf; for each test k chi2_k, df_k and p_k, and for each of its
     rows j beta_k_j and se_k_j.
 
-    families: the terms of dir (own doses) and ind (others' doses). The family sim is the product of a row's own dose and
+    fit: a fit, or a projection that was saved. families: the terms of dir (own doses) and ind (others' doses). The family sim is the product of a row's own dose and
     the sum of its neighbours'; it takes models of one trait and one plain residual with at most limit rows, whose design
     is broadcast, and doses that are centred. markers: snp, dose (array in the order of the levels), and keep, a boolean
     column, if named: loci that it leaves out, rare and constant ones are there with nulls.
     """
-    m = fit.model
     ship(markers.sparkSession)
-    traits = [str(t) for t in m.traits] if len(m.traits) > 1 else [""]
+    traits = fit.traits if isinstance(fit, Projection) else [str(t) for t in fit.model.traits] if len(fit.model.traits) > 1 else [""]
     parsed = [parse_test(t, traits) for t in tests]
     used = sorted({key for columns, _, _ in parsed for c in columns for key in c}, key=lambda f: (FAMILIES.index(f[0]), f[1]))
     needs_sim = any(f == "sim" for f, _ in used)
     linear = [f for f in ("dir", "ind") if any(u[0] == f for u in used) or needs_sim]
-    missing = [f for f in linear if f not in families]
-    if missing:
-        raise ValueError(f"no term for {', '.join(missing)}")
-    c, big = project(fit, [families[f] for f in linear])
-    place = {(f, k): i * len(traits) + k for i, f in enumerate(linear) for k in range(len(traits))}
+    own = fit if isinstance(fit, Projection) else projection(fit, {f: families[f] for f in linear if f in families})
+    missing = [f for f in linear if f not in own.families]
+    if missing or needs_sim and isinstance(fit, Projection):
+        raise ValueError(f"no term for {', '.join(missing) or 'sim'}")
+    c, big = own.c, own.big
+    place = {(f, k): i * len(traits) + k for i, f in enumerate(own.families) for k in range(len(traits))}
     q = {len(x) for x in c}
     if len(q) > 1:
         raise ValueError("the families of one scan have the same levels")

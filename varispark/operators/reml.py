@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varispark.functions import optimise, splines, structures
+from varispark.functions import bordered, optimise, splines, structures
 from varispark.functions.special import chi2_sf, normal_ppf
 from varispark.plans.grammar import Residual, Term, parse_fixed, parse_random, parse_residual
 from varispark.shipping import ship
@@ -556,6 +556,47 @@ class Likelihood:
             self.residual.append(slice(at, at + ns))
             at += ns
         self.size = at
+        self._split: bordered.Split | None | bool = False
+        self._last: tuple | None = None
+
+    def split(self) -> "bordered.Split | None":
+        """How the equations fall into blocks, from the pattern of their sums; found once."""
+        if self._split is False:
+            m = self.model
+            i, j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            every = [g for _, sums in m.cells.values() for g in sums.values()] + ([g for _, g in m.absorbed.by_n.values()] if m.absorbed else [])
+            for g in every:
+                inner = (g.i < m.m) & (g.j < m.m) & (g.i != g.j)
+                i.append(g.i[inner])
+                j.append(g.j[inner])
+            groups = [np.arange(m.p)] if m.p else []
+            for e in m.random:
+                if e.absorbed is not None:
+                    continue
+                own = np.arange(e.offset, e.offset + e.t * e.q)
+                groups.append(own)
+                if e.term.level == "id":  # columns of one level are linked, else all are
+                    if e.t > 1:
+                        for k in range(1, e.t):
+                            i.append(own[: e.q])
+                            j.append(own[k * e.q : (k + 1) * e.q])
+                else:
+                    i.append(own[:-1])
+                    j.append(own[1:])
+            links = np.unique(np.concatenate(i) * (m.m + 1) + np.concatenate(j))
+            self._split = bordered.search(m.m, groups, links // (m.m + 1), links % (m.m + 1)) if m.m > 60 else None
+        return self._split
+
+    def inverted(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray, float]:
+        """equations(), their inverse and its log determinant; the last ones asked for are kept."""
+        key = np.asarray(theta, dtype=float).tobytes()
+        if self._last is None or self._last[0] != key:
+            c, b, yy, logdet = self.equations(theta)
+            self._last = (key, (c, b, yy, logdet, *bordered.inverse(c, self.split())))
+        return self._last[1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_last": None}
 
     @staticmethod
     def _n_level(e: Effects) -> int:
@@ -662,8 +703,8 @@ class Likelihood:
         if m.residual.axes or m.absorbed or self.ml:
             raise ValueError("takes restricted likelihoods without a lattice or an absorbed factor")
         full, _ = self.weighted(theta)
-        c, b, _, _ = self.equations(theta)
-        x = np.linalg.solve(c, b)
+        c, b, _, _, cinv, _ = self.inverted(theta)
+        x = cinv @ b
         z = np.append(-x, 1.0)
         step = lambda j: np.eye(self.size)[j] * h
         effects = np.zeros((m.m, self.size))  # working columns of random terms, as combinations of the design's
@@ -709,20 +750,18 @@ class Likelihood:
                 design[:, j] = row[: m.m]
                 products[j, : self.residual[0].start] = products[: self.residual[0].start, j] = row[: m.m] @ effects[:, : self.residual[0].start]
             products[sl, sl] = second
-        out = products - design.T @ np.linalg.solve(c, design)
+        out = products - design.T @ (cinv @ design)
         return (out + out.T) / 2
 
     def __call__(self, theta: np.ndarray) -> float:
         """-2 log restricted likelihood without its constant."""
-        c, b, yy, logdet = self.equations(theta)
-        low = np.linalg.cholesky(c)
-        half = np.linalg.solve(low, b)
-        return logdet + self._log_c(c, low) + yy - float(half @ half)
+        c, b, yy, logdet, inv, log_c = self.inverted(theta)
+        return logdet + self._log_c(c, log_c) + yy - float(b @ inv @ b)
 
-    def _log_c(self, c: np.ndarray, low: np.ndarray) -> float:
+    def _log_c(self, c: np.ndarray, whole: float) -> float:
         """Log determinant of the equations; that of the random effects' part for maximum likelihood."""
         p = self.model.p
-        return 2 * float(np.log(np.diag(np.linalg.cholesky(c[p:, p:]) if self.ml else low)).sum())
+        return 2 * float(np.log(np.diag(np.linalg.cholesky(c[p:, p:]))).sum()) if self.ml else whole
 
 
     def value_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
@@ -732,11 +771,9 @@ class Likelihood:
         closed forms; what they meet are traces with the inverse and the solution.
         """
         m, h, grad = self.model, 1e-6, np.zeros(self.size)
-        c, b, yy, logdet = self.equations(theta)
-        low = np.linalg.cholesky(c)
-        inv = np.linalg.inv(c)
+        c, b, yy, logdet, inv, log_c = self.inverted(theta)
         x = inv @ b
-        value = logdet + self._log_c(c, low) + yy - float(b @ x)
+        value = logdet + self._log_c(c, log_c) + yy - float(b @ x)
         z = np.append(-x, 1.0)
         meet = np.outer(z, z)
         if self.ml:
@@ -1107,8 +1144,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     if isinstance(like, dense.DenseLikelihood):
         cinv, solution = like.solved(best)
     else:
-        c, b, _, _ = like.equations(best)
-        cinv = np.linalg.inv(c)
+        _, b, _, _, cinv, _ = like.inverted(best)
         solution = cinv @ b
     checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
     timings["total"] = time.perf_counter() - began
