@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from varispark.llm import line_dedup, mixing, secrets
+from varispark.llm import importance, line_dedup, mixing, secrets, warc
 
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -91,4 +91,40 @@ def op9() -> str:
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
-ORACLE_SQL = {"op1_secret_scan": op1(), "op3_source_mixing": op3(), "op6_line_dedup": op6(), "op9_top_k": op9()}
+def op12() -> str:
+    """crc32 is spelt out by halves of bytes, the lower one first, over each different feature once."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (upper, upper.lower())
+    run = lambda k: " || ' ' || ".join(["x", *[f"lead(x, {j}) OVER (PARTITION BY rid ORDER BY i)" for j in range(1, k + 1)]])
+    runs = lambda rows: " UNION ALL ".join(f"SELECT * FROM (SELECT rid, {run(k)} AS f FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM {rows})) WHERE f IS NOT NULL" for k in range(importance.RUNS))
+    b, nibbles = importance.BUCKETS, list(range(16))
+    for _ in range(4):
+        nibbles = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in nibbles]
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+    e AS (SELECT row_number() OVER () AS rid, {words} AS w FROM benchmark),
+    df AS MATERIALIZED ({runs('d')}),
+    ef AS MATERIALIZED ({runs('e')}),
+    u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM ef)),
+    n AS (SELECT f, list_transform(range(1, CAST(length(h) AS BIGINT) + 1), lambda i: instr('0123456789ABCDEF', h[i + 1 - 2 * ((i + 1) % 2)]) - 1) AS halves FROM u),
+    c AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_concat([4294967295], halves), lambda a, x: xor(a >> 4, ({nibbles})[(xor(a, x) & 15) + 1]))) % {b} AS bucket FROM n),
+    s AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS s FROM df JOIN c USING (f) GROUP BY 1),
+    g AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS t FROM ef JOIN c USING (f) GROUP BY 1),
+    gains AS (SELECT s.bucket, floor(1000e0 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM df) + {b}e0) / ((s.s + 1) * ((SELECT count(*) FROM ef) + {b}e0)))) AS gain FROM s LEFT JOIN g USING (bucket)),
+    p AS (SELECT rid, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM df JOIN c USING (f) JOIN gains USING (bucket) GROUP BY 1),
+    v AS (SELECT doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+      CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN p USING (rid)),
+    x AS (SELECT *, weight + CAST(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY words >= {importance.MIN_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM x)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= {importance.MIN_WORDS} AND place <= {importance.SHARE} * (SELECT count(*) FROM x WHERE words >= {importance.MIN_WORDS}) // 100 THEN place END AS rank FROM r"""
+
+
+def op13() -> str:
+    return f"""
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, encode(coalesce(html, '')) AS payload FROM pages),
+    r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST)),
+    s AS (SELECT *, place > 1 AND octet_length(payload) >= {warc.LEAST} AS revisit FROM r)
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to FROM s"""
+
+
+ORACLE_SQL = {"op1_secret_scan": op1(), "op3_source_mixing": op3(), "op6_line_dedup": op6(), "op9_top_k": op9(), "op12_importance_resampling": op12(), "op13_warc": op13()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varispark.llm import bit_planes, digests, language_id, line_dedup, mixing, packing, secrets, simhash, token_counts, top_k
+from varispark.llm import bit_planes, digests, importance, language_id, line_dedup, mixing, packing, secrets, simhash, token_counts, top_k, warc, whitening
 from varispark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from varispark.llm.shared import table
 from varispark.llm.tokens import tokenizer_path
@@ -55,5 +55,17 @@ def op10_fingerprints(spark, sf_dir):
     return digests.with_next(docs, digests.rarity(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_source_mixing, op4_language_id, op5_bit_planes, op6_line_dedup, op7_simhash, op8_packing, op9_top_k, op10_fingerprints)}
+def op11_whitening(spark, sf_dir):
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.digest(importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_source_mixing, op4_language_id, op5_bit_planes, op6_line_dedup, op7_simhash, op8_packing, op9_top_k, op10_fingerprints, op11_whitening, op12_importance_resampling, op13_warc)}
 
