@@ -176,7 +176,7 @@ def sample(fit: Fit, sd_scale: float | None = None, chains: int = 4, warmup: int
     change of the squared distance from their mean per unit of trajectory (Hoffman, Radul and Sountsov 2021), before the
     chains part.
     """
-    like = Likelihood(replace(fit.model, source=None, design=None, rows=None, spec={}), fit.likelihood.ml)
+    like = Likelihood(replace(fit.model, source=None, design=None, rows=None, coder=None, spec={}), fit.likelihood.ml)
     scale = sd_scale or _scale(fit)
     f = potential(like, scale, fit.theta, prior)
     mode, _, _ = optimise.minimise(f, fit.theta)
@@ -370,7 +370,7 @@ def effect_moments(fit: Fit, draws: DataFrame, most: int = 200) -> DataFrame:
     every = max(1, -(-count // most))
     place = F.col("chain") * F.lit(1_000_003) + F.col("iteration")
     picked = draws.where(F.pmod(F.col("iteration"), F.lit(every)) == 0).groupBy(place.alias("draw")).agg(F.array_sort(F.collect_list(F.struct("parameter", "value"))).alias("theta"))
-    model, ml = replace(fit.model, source=None, design=None, rows=None, spec={}), fit.likelihood.ml
+    model, ml = replace(fit.model, source=None, design=None, rows=None, coder=None, spec={}), fit.likelihood.ml
     size = model.m
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

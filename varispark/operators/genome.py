@@ -8,7 +8,6 @@ pass over the rows gives. Markers are tested in batches where they lie, and exac
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -20,9 +19,9 @@ from pyspark.sql import functions as F
 from varispark.functions.special import chi2_sf
 from varispark.operators import reml
 from varispark.operators.reml import Effects, Fit, Model, Sums
+from varispark.plans.hypotheses import FAMILIES, parse_test, parts as parts_of
 from varispark.shipping import ship
 
-FAMILIES = ("dir", "ind", "sim")
 PAIR_TESTS = ("pair", "pair|dir", "pair|ind", "pair|dir+ind")
 
 
@@ -84,73 +83,6 @@ def scan(fit: Fit, markers: DataFrame, terms: list[str], dose: str = "dose", snp
     return found.select(snp, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
 
 
-def parse_test(spec: str, traits: list[str]) -> tuple[list[dict], np.ndarray, list[str]]:
-    """A test "family[traits]@common|@het + ... | conditioning": the model's columns as weights of (family, trait), the
-    hypothesis matrix over these columns, and a label for each of its rows.
-
-    A family stands for one column per trait, or with @common for their sum; @het tests that its traits' effects are
-    equal. What follows the bar is in the model and not tested.
-    """
-    left, _, right = spec.partition("|")
-
-    def items(text: str) -> list[tuple[str, list[str] | None, str | None]]:
-        out = []
-        for part in filter(str.strip, re.split(r"\+(?![^\[]*\])", text)):
-            got = re.fullmatch(r"\s*([A-Za-z]+)\s*(?:\[([^\]]*)\])?\s*(?:@\s*([A-Za-z]+))?\s*", part)
-            if not got:
-                raise ValueError(f"{spec!r}: cannot read {part!r}")
-            names = [t.strip() for t in got[2].split(",") if t.strip()] if got[2] is not None else None
-            if got[1] not in FAMILIES:
-                raise ValueError(f"{spec!r}: unknown family {got[1]!r}")
-            if got[3] not in (None, "common", "het") or got[3] and names is not None:
-                raise ValueError(f"{spec!r}: {part!r} takes traits, @common or @het")
-            out.append((got[1], names, got[3]))
-        return out
-
-    tested, given = items(left), items(right)
-    if not tested:
-        raise ValueError(f"{spec!r}: nothing is tested")
-    columns: list[dict] = []
-    where: dict[tuple[str, bool], list[int]] = {}
-    for family, _, how in tested + given:
-        common = how == "common"
-        if (family, not common) in where:
-            raise ValueError(f"{spec!r}: {family} is there both with and without @common")
-        if (family, common) not in where:
-            new = [{(family, k): 1.0 for k in range(len(traits))}] if common else [{(family, k): 1.0} for k in range(len(traits))]
-            where[family, common] = list(range(len(columns), len(columns) + len(new)))
-            columns += new
-    rows, labels = [], []
-
-    def row(plus: int, minus: int | None = None) -> None:
-        r = np.zeros(len(columns))
-        r[plus] = 1.0
-        if minus is not None:
-            r[minus] = -1.0
-        rows.append(r)
-
-    for family, names, how in tested:
-        at = where[family, how == "common"]
-        if how == "common":
-            row(at[0])
-            labels.append(f"{family}@common")
-        elif how == "het":
-            if len(traits) < 2:
-                raise ValueError(f"{spec!r}: @het takes two traits or more")
-            for k in range(1, len(traits)):
-                row(at[k], at[0])
-                labels.append(f"{family}[{traits[k]}-{traits[0]}]")
-        else:
-            for name in names if names is not None else traits:
-                k = traits.index(name) if name in traits else int(name) - 1 if name.isdigit() and 1 <= int(name) <= len(traits) else -1
-                if k < 0:
-                    raise ValueError(f"{spec!r}: unknown trait {name!r}")
-                row(at[k])
-                labels.append(family if len(traits) == 1 else f"{family}[{traits[k]}]")
-    once = [i for i, r in enumerate(rows) if not any((r == x).all() for x in rows[:i])]
-    return columns, np.array([rows[i] for i in once]), [labels[i] for i in once]
-
-
 def solved(num: np.ndarray, den: np.ndarray, hypothesis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each locus L b, its standard errors, chi-square and degrees of freedom, from scores and information; not a
     number where a column has no information of its own."""
@@ -368,7 +300,7 @@ def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) ->
     if any(f == "sim" for c in columns for f, _ in c):
         raise ValueError("refits take dir and ind")
     at = {(f, k): b for f, t in families.items() for k, b in enumerate(blocks(m, t))}
-    held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, rows=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
+    held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, rows=None, coder=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         null, theta, free, ml = held.value
@@ -644,6 +576,10 @@ def neighbour_gwas(df: DataFrame, traits: list[str], plant: str, markers: DataFr
     k1, k2 = nearest_pd(((q - 1) / 2 + own / 2) / (q - 1)), nearest_pd(other / (q - 1))
     matrices = {"K1": pd.DataFrame(k1, index=ids, columns=ids), "K2": pd.DataFrame(k2, index=ids, columns=ids)}
     many = len(traits) > 1
+    tests = tests or (["dir"] if many else ["dir", "sim|dir"])
+    own_tests = [t for t in tests if {p.family for side in t.split("|") for p in parts_of(side, t)} <= {"dir"}]
+    if many and len(own_tests) < len(tests):
+        raise ValueError("with several traits only tests of dir are made: neighbours' incidences take one trait")
     neighbours = edges.where(F.col("w") != 0).groupBy(F.col("src").alias("__src")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dst").cast("string"), "w"))).alias("__near"))  # a plant's neighbours
     rows = df.withColumn("__other", F.col(plant)).join(neighbours, F.col(plant) == F.col("__src"), "left").withColumn("__near", F.coalesce("__near", F.create_map().cast("map<string,double>")))
     rows = to_long(rows.drop("__src"), [c for c in rows.columns if c not in {*traits, "__src"}], traits).where("y is not null") if many else rows.withColumn("y", F.col(traits[0]))
@@ -654,8 +590,6 @@ def neighbour_gwas(df: DataFrame, traits: list[str], plant: str, markers: DataFr
     residual = f"~ {struct}(trait):units" if many else None
     both = reml.reml(rows, f"y ~ {right}", full_random, residual, **build)
     alone = reml.reml(rows, f"y ~ {right}", f"~ {term(plant, 'K1')}", residual, **build)
-    tests = tests or (["dir"] if many else ["dir", "sim|dir"])
-    own_tests = [t for t in tests if set(re.findall(r"[A-Za-z]+(?=\s*[\[@+|]|\s*$)", re.sub(r"@\w+|\[[^\]]*\]", "", t))) <= {"dir"}]
     out: dict = {"fit": both, "fit_self": alone, "K1": k1, "K2": k2}
     if own_tests:
         out["scan_self"] = scan_tests(alone, markers, {"dir": term(plant, "K1")}, own_tests, coding="sign")

@@ -61,7 +61,8 @@ def spec(traits: list, struct: str = "full", mask: np.ndarray | None = None, emi
 def log_jacobian(edges: DataFrame, psis: list, max_units: int = 5_000, traits: list | None = None) -> dict:
     """log |det(I - M)| for each psi, a number or a matrix between traits; edges: block, src, dst, w (and trait, the
     receiver, where traits have edges of their own). A block has at most max_units units times traits, since its matrix is
-    dense; more are an error. A Psi beyond the region around zero in which the determinant stays positive gives -inf."""
+    dense; more are an error. Psi is in the region where each real eigenvalue of M is below one, so that 1 - s M is regular
+    for every s between zero and one; beyond it the result is -inf."""
     points = [np.atleast_2d(np.asarray(p, dtype=float)) for p in psis]
     q, own = len(points[0]), "trait" in edges.columns
     names = list(traits) if traits is not None else list(range(q))
@@ -79,12 +80,12 @@ def log_jacobian(edges: DataFrame, psis: list, max_units: int = 5_000, traits: l
         out = []
         for p in points:
             if own:
-                big = np.eye(q * n) - np.einsum("tu,tij->tiuj", p, w).reshape(q * n, q * n)
-                sign, x = np.linalg.slogdet(big)
-                inside = sign > 0
+                each = np.linalg.eigvals(np.einsum("tu,tij->tiuj", p, w).reshape(q * n, q * n))
             else:  # the eigenvalues of M are products of those of Psi and W
-                each = 1 - np.multiply.outer(np.linalg.eigvals(p), values).ravel()
-                x, inside = float(np.log(np.abs(each)).sum()), bool((each.real > 0).all())
+                each = np.multiply.outer(np.linalg.eigvals(p), values).ravel()
+            real = np.abs(each.imag) <= 1e-8 * np.maximum(1.0, np.abs(each))
+            inside = bool((each[real].real < 1).all())
+            x = float(np.log(np.abs(1 - each)).sum()) if inside else -math.inf
             out.append(x if inside else -math.inf)
         return pd.DataFrame({"k": range(len(points)), "x": out})
 

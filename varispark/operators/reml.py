@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,6 +107,7 @@ class Absorbed:
         """For each number of rows the sum of the products with the entries of a matrix."""
         return self.table @ other.ravel()[self.keys]
 
+
 @dataclass
 class Model:
     """What the driver needs of the data: cross-products by (section, pattern), and the layout of effects."""
@@ -125,16 +126,17 @@ class Model:
     response: str = ""
     spec: dict = field(default_factory=dict)
     absorbed: Absorbed | None = None
+    rows: DataFrame | None = None  # section, t, unit and coo of each row, for likelihoods from V
+    design: DataFrame | None = None  # coo: the entries of each row of [W y], for models of one plain residual
+    grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
+    coder: Callable[[DataFrame, str], DataFrame] | None = None  # adds a column with the entries of each row of W
+
     def structure(self, section) -> Residual:
         """The residual of a section."""
         if not self.residual.bodies:
             return self.residual
         return self.residual.bodies[self.residual.names().index(section)]
 
-    rows: DataFrame | None = None  # section, t, unit and coo of each row, for likelihoods from V
-    design: DataFrame | None = None  # coo: the entries of each row of [W y], for models of one plain residual
-    grids: dict = field(default_factory=dict)  # section -> cells in each direction, for residuals on a lattice
-
 
 def _levels(rows: DataFrame, columns: list[str], most: int) -> tuple[float, dict[str, list], dict[str, int]]:
     """The response's mean, the levels of each column that has no more than about so many, and about how many they are: a
@@ -173,11 +175,11 @@ def _lattice(values: pd.Series) -> list[int]:
     return out.tolist()
 
 
-def build(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, trait: str | None = None, unit: str | None = None, weights: str | None = None, matrices: dict | None = None, max_levels: int = 5_000, absorb: str | None = "auto") -> Model:
+def build(df: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, trait: str | None = None, unit: str | None = None, weights: str | None = None, matrices: dict | None = None, max_levels: int = 5_000, absorb: str | None = "auto", keep: tuple[str, ...] = ()) -> Model:
     """Parse the formulas, drop incomplete rows, lay out effects, and run the cross-product pass.
 
     absorb: the factor to absorb, None, or "auto" for the first plain factor with more than max_levels levels, if any. It
-    takes one trait, one section and no weights.
+    takes one trait, one section and no weights. keep: columns that the coded rows have beside their entries, none of them null.
     """
     matrices = matrices or {}
     response, intercept, fixed_terms = parse_fixed(fixed)
@@ -186,10 +188,11 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         raise ValueError("a residual on a lattice takes one trait and no weights")
     if trait and any("parts" in t.options for t in terms):
         raise ValueError("mm() and str() take one trait")
-    used = sorted({c for t in fixed_terms for c in t} | {c.removeprefix("mm:") for t in terms for c in [*t.factors, *([t.options["at"]] if "at" in t.options else [])]} | {c for c in (trait, unit, weights, res.section, *(c for _, c in res.axes)) if c})
+    used = sorted({c for t in fixed_terms for c in t} | {c.removeprefix("mm:") for t in terms for c in [*t.factors, *([t.options["at"]] if "at" in t.options else [])]} | {c for c in (trait, unit, weights, res.section, *(c for _, c in res.axes), *keep) if c})
     rows = df.select(F.expr(response).cast("double").alias("__y"), *used)
     rows = rows.na.drop().where(" and ".join(["true", *[f"`{c}` is not null" for c in used]]))
     surfaces, plain, made_for = {}, [], {}
+    steps: list[Callable[[DataFrame], DataFrame]] = []  # what gives a row the codes of its levels
     for k, term in enumerate(terms):
         if term.level != "spl2d":
             plain.append(term)
@@ -221,7 +224,9 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         kinds_of = {c: "double" if not c.startswith("__s") else None for c in table.columns}
         schema = ", ".join(f"`{c}` " + (dict(rows.dtypes)[at_.columns[i]] if i < at_.shape[1] else "array<double>" if kinds_of[c] is None else "double") for i, c in enumerate(table.columns))
         joined = df.sparkSession.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in table.itertuples(index=False)], schema)
-        rows = rows.join(F.broadcast(joined), [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(at_.columns)])  # at most max_levels rows
+        same = [F.col(c) == F.col(f"__s{k}_{i}") for i, c in enumerate(at_.columns)]
+        steps.append(lambda r, joined=joined, same=same: r.join(F.broadcast(joined), same, "left"))  # at most max_levels rows
+        rows = steps[-1](rows)
     terms = plain
     types = dict(rows.dtypes)
     single = {c for t in fixed_terms for c in t if types.get(c) in ("string", "boolean")} | {c for t in terms if "parts" not in t.options and (len(t.factors) == 1 or t.level not in ("id", "fixed")) for c in t.factors}
@@ -320,7 +325,8 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
             q = len(labels)
             if "size" not in term.options:
                 codes = df.sparkSession.createDataFrame([({v: i for i, v in enumerate(labels)},)], f"__m{k} map<string,int>")
-                rows = rows.join(F.broadcast(codes), how="cross")  # one row, at most max_levels entries
+                steps.append(lambda r, codes=codes: r.join(F.broadcast(codes), how="cross"))  # one row, at most max_levels entries
+                rows = steps[-1](rows)
             for j, c in enumerate(term.factors):
                 base = F.lit(at + j * q)
                 if c.startswith("arr:"):
@@ -356,22 +362,33 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
         lookup[f"__i{k}"] = range(q)
         table = df.sparkSession.createDataFrame(lookup)
         match = [F.col(c).cast(table.schema[f"__f{k}_{i}"].dataType) == F.col(f"__f{k}_{i}") for i, c in enumerate(term.factors)]
-        rows = rows.join(F.broadcast(table), match, "left")  # at most max_levels rows
+        steps.append(lambda r, table=table, match=match: r.join(F.broadcast(table), match, "left"))  # at most max_levels rows
+        rows = steps[-1](rows)
         comp = trait_code if t > 1 else F.lit(0)
         entries.append(one(F.lit(at) + comp * q + F.col(f"__i{k}"), F.lit(1.0)))
         random_effects.append(Effects(term.name, at, labels, term, t, pos=pos, axes=axes, k=kin))
         at += t * q
     m = at
+    plain_entries = F.filter(F.concat(F.array(*entries), *many), lambda e: e["x"] != 0)
+
+    def coder(data: DataFrame, name: str) -> DataFrame:
+        for step in steps:
+            data = step(data)
+        whole = F.lit(True)
+        for c in used:
+            whole = whole & F.col(c).isNotNull()
+        return data.withColumn(name, F.when(whole, plain_entries))
+
     entries.append(one(F.lit(m), F.col("__y")))
     scale = F.sqrt(F.col(weights)) if weights else F.lit(1.0)
     coo = F.transform(F.filter(F.concat(F.array(*entries), *many), lambda e: e["x"] != 0), lambda e: F.struct(e["c"].alias("c"), (e["x"] * scale).alias("x")))
     section = F.col(res.section) if res.section else F.lit(None).cast("string")
     trait_text = F.col("t").cast("string")
-    coded = rows.select(section.alias("section"), trait_code.alias("t"), *([F.col(unit).alias("unit")] if unit else []), coo.alias("coo"), (F.log(F.col(weights)) if weights else F.lit(0.0)).alias("lw"))
+    coded = rows.select(section.alias("section"), trait_code.alias("t"), *([F.col(unit).alias("unit")] if unit else []), coo.alias("coo"), (F.log(F.col(weights)) if weights else F.lit(0.0)).alias("lw"), *([scale.alias("scale")] if keep else []), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     info = {"centre": centre, "fixed": fixed_terms, "intercept": intercept, "levels": levels_of, "surfaces": surfaces, "made": made_for}
     if res.axes:
         cells, n = _lattice_sums(rows, res, grids, empty, coo, m)
-        return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, grids={k: (len(g[0]), len(g[1])) for k, g in grids.items()}))
+        return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, grids={k: (len(g[0]), len(g[1])) for k, g in grids.items()}, coder=coder))
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
@@ -401,7 +418,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     if not n:
         raise ValueError("no complete rows")
     model = Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, sum(r["lw"] for r in counts), df, response, info)
-    model.rows = coded.drop("lw")
+    model.rows, model.coder = coded.drop("lw"), coder
     if not (trait or unit or weights):
         model.design = coded.select("coo")
     if absorbed:
@@ -542,6 +559,11 @@ def _positive(k: np.ndarray) -> np.ndarray:
 class Likelihood:
     """The restricted likelihood of a model as a function of its parameters."""
 
+    @property
+    def result(self) -> type:
+        """What a fit with it returns."""
+        return Fit
+
     def __init__(self, model: Model, ml: bool = False):
         self.model, self.ml, self.slices, at = model, ml, [], 0
         for e in model.random:
@@ -815,7 +837,13 @@ class Likelihood:
             for j in range(self.size):
                 if any(s.start <= j < s.stop for s in (self.residual[0], *(ss for e, (ss, _) in zip(m.random, self.slices) if e.absorbed is not None))):
                     grad[j] += (levels_of(theta + step(j)) - levels_of(theta - step(j))) / (2 * h)
-        for e, (ss, sl) in zip(m.random, self.slices):
+        self._random_gradient(theta, meet, grad, h)
+        return value, grad
+
+    def _random_gradient(self, theta: np.ndarray, meet: np.ndarray, grad: np.ndarray, h: float) -> None:
+        """The entries of the random terms that the equations hold; meet: the inverse and the outer product of the solution."""
+        step = lambda j: np.eye(self.size)[j] * h
+        for e, (ss, sl) in zip(self.model.random, self.slices):
             if e.absorbed is not None:
                 continue
             k = slice(e.offset, e.offset + e.t * e.q)
@@ -838,7 +866,6 @@ class Likelihood:
 
                 for j in range(sl.start, sl.stop):
                     grad[j] = (levels(theta + step(j)) - levels(theta - step(j))) / (2 * h)
-        return value, grad
 
 
 @dataclass
@@ -1079,7 +1106,7 @@ class Fit:
         return v - z * se, v + z * se
 
 
-def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", engine: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0) -> Fit:
+def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", engine: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0, like: Likelihood | None = None) -> Fit:
     """Maximise the restricted likelihood, or with ml the likelihood; entries of fixed_theta that are not NaN stay as given.
 
     optimizer: "ai" for average information steps and then quasi-Newton ones, "bfgs" for the latter alone, "auto" for ai
@@ -1087,17 +1114,18 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     taken again if the likelihood rises there, and so is a point with a direction of negative curvature. engine: "mme" for
     mixed-model equations, "dense" for the covariance matrix of all rows, "auto" for the latter where the former is not
     defined. Ranges of correlations by distance begin where short descents from several of them come out best. low and
-    high: the parameters' box. restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept.
+    high: the parameters' box. restarts: so many further descents from starts moved by normal noise of 0.5; the best is kept. like: the likelihood itself, if it
+    isn't one of these.
     """
     began, timings = time.perf_counter(), {}
     from varispark.operators import dense
 
     if engine not in ("auto", "mme", "dense"):
         raise ValueError(f"unknown engine {engine!r}")
-    reason = dense.out_of_scope(model)
+    reason = dense.out_of_scope(model) if like is None else None
     if engine == "mme" and reason:
         raise ValueError(f"the equations don't take {reason}")
-    like = dense.DenseLikelihood(model, ml) if engine == "dense" or reason else Likelihood(model, ml)
+    like = like or (dense.DenseLikelihood(model, ml) if engine == "dense" or reason else Likelihood(model, ml))
     start = like.start() if theta is None else np.where(np.isnan(theta), like.start(), theta)
     free = np.ones(like.size, dtype=bool)
     if fixed_theta is not None:
@@ -1148,7 +1176,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         solution = cinv @ b
     checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
     timings["total"] = time.perf_counter() - began
-    return Fit(model, like, best, value, bool(done or checks["converged"]), cinv, solution, hess, free, (low, high), checks, timings)
+    return like.result(model, like, best, value, bool(done or checks["converged"]), cinv, solution, hess, free, (low, high), checks, timings)
 
 
 def _range_sweep(like: Likelihood, start: np.ndarray, free: np.ndarray, low, high) -> np.ndarray:
@@ -1215,33 +1243,24 @@ def reml(df: DataFrame, fixed: str, random: str | None = None, residual: str | N
 
 
 def fitted(result: Fit, df: DataFrame) -> DataFrame:
-    """df with fitted values and residuals, by joins of effects to rows; for models without traits and interactions."""
+    """df with fitted values (fixed effects and predictions of random ones) and residuals, null where a column that the model
+    uses is. Levels that the model doesn't know add nothing. The rows are coded as those of the model were, and their entries
+    weighed with the solution; so any terms will do, of any number of traits."""
     m = result.model
-    out = df
-    value = F.lit(0.0)
-    for e in m.fixed:
-        for k, label in enumerate(e.labels):
-            b = F.lit(float(result.estimates[e.offset + k]))
-            if e.name == "(Intercept)":
-                value = value + b
-            elif e.name in m.spec["levels"]:
-                value = value + b * F.when(F.col(e.name).cast("string") == label[len(e.name) :], 1.0).otherwise(0.0)
-            elif ":" not in e.name:
-                value = value + b * F.col(e.name)
-            else:
-                raise ValueError("fitted() takes no interactions")
-    for k, e in enumerate(m.random):
+    if m.coder is None:
+        raise ValueError("fitted values take a model built in this session")
+    if m.residual.section == "__section":
+        df = df.withColumn("__section", F.lit(0))  # groups of sections have no part in fitted values
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "__section"]
+    solution = result.spark.createDataFrame([(result.estimates.tolist(),)], "__solution array<double>")  # as large as the equations
+    out = m.coder(df, "__coo").join(F.broadcast(solution), how="cross")
+    value = F.aggregate("__coo", F.lit(0.0), lambda a, e: a + e["x"] * F.coalesce(F.get("__solution", e["c"]), F.lit(0.0)))
+    for e in m.random:
         if e.absorbed is not None:
-            table = result.absorbed_blups().select(F.col("level").alias(f"__l{k}"), F.col("blup").alias(f"__u{k}"))
-            out = out.join(table, F.col(e.term.factors[0]) == F.col(f"__l{k}"), "left").drop(f"__l{k}")
-            value = value + F.coalesce(F.col(f"__u{k}"), F.lit(0.0))
-            continue
-        table = pd.DataFrame({f"__l{k}": ["|".join(map(str, x)) if isinstance(x, tuple) else str(x) for x in e.labels], f"__u{k}": result.solution[e.offset : e.offset + e.q]})
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in e.term.factors])
-        out = out.join(F.broadcast(df.sparkSession.createDataFrame(table)), key == F.col(f"__l{k}"), "left").drop(f"__l{k}")
-        value = value + F.coalesce(F.col(f"__u{k}"), F.lit(0.0))
-    drop = [f"__u{k}" for k in range(len(m.random))]
-    return out.withColumn("fitted", value).withColumn("resid", F.expr(m.response) - F.col("fitted")).drop(*drop)
+            table = result.absorbed_blups().select(F.col("level").alias("__level"), F.col("blup").alias("__own"))
+            out = out.join(table, F.col(e.term.factors[0]) == F.col("__level"), "left")
+            value = value + F.coalesce("__own", F.lit(0.0))
+    return out.withColumn("__value", value).select(*kept, F.col("__value").alias("fitted"), (F.expr(m.response) - F.col("__value")).alias("resid"))
 
 
 def spatial_trend(result: Fit, name: str, grid: tuple[int, int] | None = None) -> DataFrame:
