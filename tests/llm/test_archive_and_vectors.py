@@ -224,3 +224,62 @@ def test_damage_is_found(spark, tmp_path):
     broken = warc.Archive(archive.payloads.withColumn("payload", F.encode(F.replace(F.decode("payload", "UTF-8"), F.lit("z"), F.lit("Z")), "UTF-8")), archive.records)
     with pytest.raises(Exception, match="doesn't have the payload"):
         warc.read(warc.originals(broken)).collect()
+
+
+# --- long runs, sources without a word, shared ids
+
+
+def test_entropy_of_very_long_runs(spark):
+    """Linear in the run: one inlined image doesn't stop the job."""
+    import time
+
+    from varispark.llm import secrets
+
+    rng = np.random.default_rng(4)
+    alphabet = list(secrets.CLASSES[2][1])
+    long = "".join(rng.choice(alphabet, 300_000))
+    rows = [(0, f"data:{long}"), (1, "ab/" * 60_000), (2, "a-" * 50_000 + "1"), (3, "x" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["extra"] for r in secrets.scan(df).collect()}
+    assert time.time() - began < 60
+    kind, _, _, window, bits = secrets.CLASSES[2]
+    at = [s for s in got[0] if s["kind"] == kind]
+    assert len(at) == 1 and at[0]["start"] < 100 and at[0]["end"] > 300_000 - 100
+    assert got[1] == [] and got[3] == []
+
+
+def test_sources_without_a_word(spark, tmp_path):
+    import duckdb
+
+    from varispark.llm import mixing, oracles
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = [(i, "one two three " * (i + 1), "en", "ab"[i % 2], 1) for i in range(8)]
+    hollow = [(20 + i, (None, "", " \n")[i % 3], "en", "c", 0) for i in range(5)]
+    for n, rows in enumerate((full + hollow, hollow, full + hollow + [(40, None, None, None, None)])):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        got = sorted_rows(mixing.digest(mixing.mix(df)).select("doc_id", "size", "source_size", "target", "taken", "time").collect())
+        df.write.parquet(str(tmp_path / f"d{n}"))
+        want = duckdb.sql(oracles.op3().replace("documents", f"read_parquet('{tmp_path}/d{n}/*.parquet')")).fetchall()
+        assert [r[:5] for r in got] == [r[:5] for r in sorted_rows(want)]
+        assert [r[5] for r in got] == pytest.approx([r[5] for r in sorted_rows(want)])
+        assert {r["doc_id"] for r in mixing.stream(df).collect()} == {r[0] for r in want if r[4]}
+
+
+def test_search_with_shared_ids(spark, tmp_path):
+    """Each row is a candidate for every other, whatever its id; huge and null ids, repeated rows, huge components."""
+    import duckdb
+
+    from varispark.llm import oracles, top_k
+
+    rows = [(0, [0.5, 0.1]), (0, [0.9, 0.9]), (7, [0.3, 0.2]), (50, [0.9, 0.9]), (50, [0.9, 0.9]), (None, [0.8, 0.8]), ((1 << 63) - 1, [0.8, 0.8]), (3, None), (4, [float("nan"), 1.0]), (-50, [-0.5, 0.25]), (9, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    df.write.parquet(str(tmp_path / "v"))
+    found = spark.read.parquet(str(tmp_path / "v"))
+    for block in (2, 64):
+        got = sorted_rows(top_k.search(found, "vec_id % 50 = 0", block=block).collect())
+        some = duckdb.sql(oracles.op9().replace("FROM embeddings", f"FROM (SELECT vec_id, CASE WHEN len(embedding) = 0 THEN [0e0, 0e0] ELSE embedding END AS embedding FROM read_parquet('{tmp_path}/v/*.parquet'))")).fetchall()
+        assert got == sorted_rows(some)
+    big = spark.createDataFrame([(0, [1e300, -1e300]), (1, [1e300, 1.0]), (2, [-1e300, 1e300]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in top_k.search(big, "vec_id = 0").orderBy("rank").collect()] == [(1, (1 << 63) - 1), (3, 0), (2, -(1 << 63))]

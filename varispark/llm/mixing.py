@@ -13,7 +13,7 @@ within each bucket, so that no task holds a whole source. The number of buckets
 number of rows. One row per source is the largest table that a single task sorts.
 
 Null text has size 0; a null source is a source of its own, listed last; size-0 documents are
-taken 0 times. Repeated rows stand next to each other and are taken like any others. An empty
+taken 0 times, and a source that has no others has target 0. Repeated rows stand next to each other and are taken like any others. An empty
 table gives an empty result.
 """
 
@@ -70,14 +70,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def _time(demand: Column, target: Column, tier: Column, knots, schedules) -> Column:
-    """The time at which the cumulative demand of a source is reached."""
+    """The time at which the cumulative demand of a source is reached; null for a source without a target, as all its texts are empty."""
     out = F.lit(None).cast("double")
     for k, heights in enumerate(schedules):
         area = [(knots[i + 1] - knots[i]) * (heights[i] + heights[i + 1]) / 2 for i in range(len(knots) - 1)]
         total, below, when = sum(area), 0.0, F.lit(knots[-1]).cast("double")
         for i in reversed(range(len(area))):
             below = sum(area[:i])
-            rest = demand / target * F.lit(total) - F.lit(below)
+            rest = F.try_divide(demand, target) * F.lit(total) - F.lit(below)
             slope = (heights[i + 1] - heights[i]) / (knots[i + 1] - knots[i])
             # slope / 2 * t^2 + height * t = rest, in the form that also holds for slope 0
             root = F.sqrt(F.greatest(F.lit(heights[i] ** 2) + F.lit(2 * slope) * rest, F.lit(0.0)))

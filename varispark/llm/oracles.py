@@ -30,7 +30,7 @@ def op1() -> str:
     for k, (kind, alphabet, pattern, window, bits) in enumerate(secrets.CLASSES):
         sums = "[" + ", ".join(str(round(c * math.log2(c) * secrets.SCALE) if c else 0) for c in range(window + 1)) + "]"
         most = int((math.log2(window) - bits) * window * secrets.SCALE)
-        allowed = " OR ".join(f"regexp_matches(s.text, {_quoted(a)})" for a in secrets.ALLOW)
+        allowed = " OR ".join(f"(regexp_matches(s.text, {_quoted(a)})" + (f" AND NOT regexp_matches(s.text, {_quoted(never)}))" if never else ")") for a, never in secrets.ALLOW)
         runs = f"list_filter({_spans(kind, 3 + k, pattern)}, lambda s: NOT ({allowed}))"
         entropy = f"list_sum(list_transform(string_split({_quoted(alphabet)}, ''), lambda a: ({sums})[{window} - length(replace(substring(s.text, o + 1, {window}), a, '')) + 1]))"
         hot = f"list_filter(range(0, length(s.text) - {window} + 1), lambda o: {entropy} <= {most})"
@@ -84,10 +84,10 @@ def op6() -> str:
 
 def op9() -> str:
     return """
-    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    s AS (SELECT a.row, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score, b.row AS other FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 

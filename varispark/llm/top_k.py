@@ -10,13 +10,15 @@ together while no more than k are, else they alone stay in play. Rows still in p
 have equal scores, and those with the smallest ids are taken: the boundary is exact. Scores are
 read off the bitmaps.
 
-Blocks are made of rows dealt out by hash and written as a table. The queries, which are fewer and
-smaller, are copied to every block; a task reads a block's index once and then its queries as they
-come, and returns k rows per query at most.
+Blocks are made of rows dealt out by hash and written as a table, and several blocks make a group.
+The queries, which are fewer and smaller, are copied to every group; a task reads its blocks' indexes
+once and then its queries as they come, and returns k rows per query at most.
 
 Vectors that are null or hold null or non-finite components take no part; shorter ones count as
-padded with zeros. A query's candidates are all rows with another id. Equal query rows are answered once; queries of
-one id with different vectors are answered each. Ties go to the smaller id. An empty table gives an empty result.
+padded with zeros. Rows are told apart by a number of their own: a query's candidates are all rows but itself, those
+that share its id or its vector too, and each query row is answered. Ties go to the smaller id, a null id last, and among
+equal ids to the row that was read first. Components are held at 2^62 in size; scores are exact before they are held at
+the limits of a long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +34,19 @@ SCALE = 256
 TOP = 5
 #: Rows of a block.
 BLOCK = 1 << 15
+#: Blocks of a group at most; a group's indexes are held by one task.
+GROUP = 32
+_MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id and v, the quantised components, of all vectors that take part."""
+    """vec_id, v, the quantised components, and row, a number of its own, of all vectors that take part. To be written before it is used twice."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~bad)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = vectors.where(F.col(vec_col).isNotNull() & ~bad)
+    limit = float(1 << 62)
+    held = F.transform(v, lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(limit)), F.lit(-limit))).cast("long"))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), held.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
@@ -54,22 +61,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.
 
 
 class Block:
-    """The bit-sliced index of some rows, in ascending order of id."""
+    """The bit-sliced index of some rows, in ascending order of id, null ones last, and of row."""
 
-    def __init__(self, ids: np.ndarray, least: np.ndarray, bits: np.ndarray, slices: np.ndarray):
-        self.ids, self.least, self.bits, self.slices = ids, least, bits, slices
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, known: int, least: np.ndarray, bits: np.ndarray, slices: np.ndarray):
+        self.ids, self.rows, self.known, self.least, self.bits, self.slices = ids, rows, known, least, bits, slices
         self.first = np.concatenate([[0], np.cumsum(bits)])
         self.flipped = ~slices
         every = np.zeros(slices.shape[1] * 64, dtype=np.uint8)
         every[: len(ids)] = 1
         self.exist = np.packbits(every, bitorder="little").view("<u8")
+        self.by_row = np.argsort(rows)
 
     @classmethod
-    def build(cls, ids: np.ndarray, values: np.ndarray) -> "Block":
-        order = np.argsort(ids, kind="stable")
-        ids, values = ids[order], values[order]
+    def build(cls, ids: pa.Array, rows: np.ndarray, values: np.ndarray) -> "Block":
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        order = np.lexsort((rows, ids, null))
+        ids, rows, values = ids[order], rows[order], values[order]
         least = values.min(axis=0)
-        above = (values - least).astype(np.uint64)
+        above = (values - least).view(np.uint64)
         bits = np.array([int(m).bit_length() for m in above.max(axis=0)], dtype=np.int64)
         words = -(-len(ids) // 64)
         out = np.zeros((int(bits.sum()), words * 64), dtype=np.uint8)
@@ -78,7 +88,7 @@ class Block:
             for j in range(n):
                 out[k, : len(ids)] = (above[:, d] >> np.uint64(j)) & np.uint64(1)
                 k += 1
-        return cls(ids, least, bits, np.packbits(out, axis=1, bitorder="little").view("<u8"))
+        return cls(ids, rows, int((~null).sum()), least, bits, np.packbits(out, axis=1, bitorder="little").view("<u8"))
 
     def sums(self, q: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Bitmaps of the bits of every row's sum, lowest first, and what to add for the score."""
@@ -122,15 +132,14 @@ class Block:
             w += 1
         return out, rest
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best rows; ties at the end go to the smaller id."""
+    def top(self, row: int, q: np.ndarray, k: int) -> list[tuple[int, bool, int, int]]:
+        """Score, whether the id is null, id and row of the k best rows but the query's own; ties at the end go to the smaller id."""
         bits, rest = self.sums(q)
         live = self.exist
-        lo, hi = np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")
-        if lo < hi:
-            live = live.copy()
-            for r in range(lo, hi):
-                live[r >> 6] &= ~np.uint64(1 << (r & 63))
+        at = np.searchsorted(self.rows, row, sorter=self.by_row)
+        if at < len(self.rows) and self.rows[self.by_row[at]] == row:
+            own, live = int(self.by_row[at]), live.copy()
+            live[own >> 6] &= ~np.uint64(1 << (own & 63))
         got, n = np.zeros_like(live), 0
         for s in reversed(bits):
             have = live & s
@@ -146,16 +155,16 @@ class Block:
         rows = _positions(got).tolist()
         if n < k:
             rows += _positions(live, k - n).tolist()
-        scores = [rest + sum((int(s[r >> 6]) >> (r & 63) & 1) << w for w, s in enumerate(bits)) for r in rows]
-        return self.ids[rows], scores
+        score = lambda r: rest + sum((int(s[r >> 6]) >> (r & 63) & 1) << w for w, s in enumerate(bits))
+        return [(score(r), r >= self.known, int(self.ids[r]), int(self.rows[r])) for r in rows]
 
     def pack(self) -> tuple:
-        return self.ids.tobytes(), self.least.tobytes(), self.bits.tobytes(), self.slices.tobytes()
+        return self.ids.tobytes(), self.rows.tobytes(), np.array([self.known]).tobytes(), self.least.tobytes(), self.bits.tobytes(), self.slices.tobytes()
 
     @classmethod
-    def unpack(cls, ids: bytes, least: bytes, bits: bytes, slices: bytes) -> "Block":
+    def unpack(cls, ids: bytes, rows: bytes, known: bytes, least: bytes, bits: bytes, slices: bytes) -> "Block":
         ids = np.frombuffer(ids, "<i8")
-        return cls(ids, np.frombuffer(least, "<i8"), np.frombuffer(bits, "<i8"), np.frombuffer(slices, "<u8").reshape(-1, -(-len(ids) // 64)))
+        return cls(ids, np.frombuffer(rows, "<i8"), int(np.frombuffer(known, "<i8")[0]), np.frombuffer(least, "<i8"), np.frombuffer(bits, "<i8"), np.frombuffer(slices, "<u8").reshape(-1, -(-len(ids) // 64)))
 
 
 def _positions(bitmap: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -167,51 +176,59 @@ def _positions(bitmap: np.ndarray, most: int | None = None) -> np.ndarray:
     return (words[w] * 64 + b)[:most]
 
 
+_PARTS = ["ids", "rows", "known", "least", "bits", "slices"]
+
+
 def index(rows: DataFrame, blocks: int) -> DataFrame:
     """One row per block: block and the parts of its bit-sliced index."""
     ship(rows.sparkSession)
 
     def build(table: pa.Table) -> pa.Table:
-        own = Block.build(table.column("vec_id").to_numpy(), _matrix(table.column("v")))
-        parts = own.pack()
-        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["block", "ids", "least", "bits", "slices"])
+        own = Block.build(table.column("vec_id").combine_chunks(), table.column("row").to_numpy(), _matrix(table.column("v")))
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), *[pa.array([p], pa.binary()) for p in own.pack()]], names=["block", *_PARTS])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(build, "block long, ids binary, least binary, bits binary, slices binary")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(build, ", ".join(["block long", *[f"{c} binary" for c in _PARTS]]))
 
 
 def search(vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK) -> DataFrame:
-    """The k best rows of each query: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows.
-
-    Query rows that share an id are ranked together, each with its own matches, as in the query's SQL.
-    """
+    """The k best rows of each query row: query_id, rank, vec_id, score. queries: an SQL condition on vec_id that picks query rows."""
+    spark = vectors.sparkSession
     rows = materialize(quantised(vectors), "vectors")
     blocks = max(1, -(-rows.count() // block))
+    groups = max(-(-blocks // GROUP), min(blocks, 2 * spark.sparkContext.defaultParallelism))
     built = materialize(index(rows, blocks), "slices")
-    asked = rows.where(F.expr(queries)).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "v").alias("q"), "v")
-    # A block's index comes first in its task, then a copy of each query.
-    names = ["block", "asks", "ids", "least", "bits", "slices", "query_id", "q", "v"]
-    left = built.withColumns({"asks": F.lit(0), "query_id": F.lit(None).cast("long"), "q": F.lit(None).cast("long"), "v": F.lit(None).cast("array<bigint>")})
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    right = asked.withColumns({"block": every, "asks": F.lit(1), **{c: F.lit(None).cast("binary") for c in names[2:6]}})
+    asked = rows.where(F.expr(queries)).select(F.col("vec_id").alias("query_id"), F.col("row").alias("q"), "v")
+    # A group's indexes come first in its task, then a copy of each query.
+    names = ["group", "asks", *_PARTS, "query_id", "q", "v"]
+    left = built.withColumns({"group": F.pmod("block", F.lit(groups)), "asks": F.lit(0), "query_id": F.lit(None).cast("long"), "q": F.lit(None).cast("long"), "v": F.lit(None).cast("array<bigint>")})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    right = asked.withColumns({"group": every, "asks": F.lit(1), **{c: F.lit(None).cast("binary") for c in _PARTS}})
 
     def meet(batches):
-        own = None
+        own, group = [], None
         for batch in batches:
-            asks = batch.column(1).to_numpy()
-            bounds = [0, *np.nonzero(asks == 0)[0].tolist(), batch.num_rows]
-            for x, y in zip(bounds, bounds[1:]):
-                if y > x and not asks[x]:
-                    own = Block.unpack(*[batch.column(c)[x].as_py() for c in names[2:6]])
-                    x += 1
-                asking, out = batch.slice(x, y - x), ([], [], [], [])
-                for query_id, q, v in zip(asking.column("query_id").to_pylist(), asking.column("q").to_pylist(), _matrix(asking.column("v"))):
-                    ids, scores = own.top(query_id, v, k)
-                    for store, found in zip(out, ([query_id] * len(ids), [q] * len(ids), ids.tolist(), scores)):
-                        store.extend(found)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()) for found in out], ["query_id", "q", "vec_id", "score"])
-
-    placed = left.select(*names).unionByName(right.select(*names)).repartition("block").sortWithinPartitions("block", "asks")
-    met = placed.mapInArrow(meet, "query_id long, q long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            asks, at = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            for x in np.nonzero(asks == 0)[0].tolist():
+                if at[x] != group:
+                    yield from answers(batch, asks, at, group, own)
+                    own, group = [], at[x]
+                own.append(Block.unpack(*[batch.column(c)[x].as_py() for c in _PARTS]))
+            yield from answers(batch, asks, at, group, own)
+
+    def answers(batch, asks, at, group, own):
+        asking = batch.filter(pa.array((asks == 1) & (at == group))) if group is not None else batch.slice(0, 0)
+        out = [], [], [], [], []
+        for query_id, q, v in zip(asking.column("query_id").to_pylist(), asking.column("q").to_pylist(), _matrix(asking.column("v"))):
+            found = [x for b in own for x in b.top(q, v, k)]
+            found.sort(key=lambda x: (-x[0], *x[1:]))
+            for score, null, vec_id, row in found[:k]:
+                for store, y in zip(out, (query_id, q, None if null else vec_id, row, max(-_MOST - 1, min(_MOST, score)))):
+                    store.append(y)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()) for y in out], ["query_id", "q", "vec_id", "row", "score"])
+
+    placed = left.select(*names).unionByName(right.select(*names)).repartition("group").sortWithinPartitions("group", "asks")
+    met = placed.mapInArrow(meet, "query_id long, q long, vec_id long, row long, score long")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
