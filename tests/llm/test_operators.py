@@ -676,7 +676,7 @@ def test_top_k_of_repeated_and_null_ids_is_that_of_the_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = con.execute(queries.ORACLE_SQL["op9_top_k"]).fetchall()
-    assert sorted(tuple(r) for r in queries.op9_top_k(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(map(repr, map(tuple, queries.op9_top_k(spark, str(tmp_path)).collect()))) == sorted(map(repr, want))
 
 
 def test_fingerprints(spark, folder, docs):
