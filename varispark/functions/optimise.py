@@ -16,16 +16,19 @@ def gradient(f: Callable, x: np.ndarray, h: float = 1e-5) -> np.ndarray:
     return out
 
 
-def hessian(grad: Callable, x: np.ndarray, h: float = 1e-4, low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0) -> np.ndarray:
-    """Symmetric Hessian by central differences of a gradient; one-sided ones, into the box, at its faces."""
+def hessian(grad: Callable, x: np.ndarray, h: float = 1e-4, low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0, free: np.ndarray | None = None) -> np.ndarray:
+    """Symmetric Hessian by central differences of a gradient; one-sided ones, into the box, at its faces. Rows and columns of
+    parameters that aren't free, if that is said, are zero."""
     n = len(x)
     out = np.zeros((n, n))
     low, high = np.broadcast_to(low, n), np.broadcast_to(high, n)
-    for i in range(n):
+    for i in range(n) if free is None else np.nonzero(free)[0]:
         e = np.zeros(n)
         e[i] = h
         up, down = (x + e if x[i] + h <= high[i] else x), (x - e if x[i] - h >= low[i] else x)
         out[i] = (grad(up) - grad(down)) / max(1e-300, up[i] - down[i])
+    if free is not None:
+        out[:, ~np.asarray(free)] = 0.0
     return (out + out.T) / 2
 
 

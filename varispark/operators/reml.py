@@ -1155,7 +1155,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         if other[1] < value - 1e-9:
             best, value, done = other
     timings["restarts"] = time.perf_counter() - began - timings["descent"]
-    hess = optimise.hessian(slope, best, low=low, high=high)
+    hess = optimise.hessian(slope, best, low=low, high=high, free=free)
     for _ in range(3):
         away = _escape(like, best, value, free, low, high, slope, hess)
         if away is None:
@@ -1164,10 +1164,10 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         if other[1] >= value - 1e-9:
             break
         best, value, done = other
-        hess = optimise.hessian(slope, best, low=low, high=high)
+        hess = optimise.hessian(slope, best, low=low, high=high, free=free)
     if not done:
-        best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high), best, free, low, high, rounds=5)
-        hess = optimise.hessian(slope, best, low=low, high=high)
+        best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high, free=free), best, free, low, high, rounds=5)
+        hess = optimise.hessian(slope, best, low=low, high=high, free=free)
     timings["hessian"] = time.perf_counter() - began - sum(timings.values())
     if isinstance(like, dense.DenseLikelihood):
         cinv, solution = like.solved(best)

@@ -7,14 +7,16 @@ balanced designs, so every number is computed by another way than the engine's.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varispark.functions import structures
-from varispark.operators import genome, inference, lag, predictions, reml, tables
+from varispark.operators import blocks, dense, genome, inference, lag, predictions, reml, tables
+from varispark.plans.grammar import Term
 
 
 def _t(spark, sf, name) -> DataFrame:
@@ -120,8 +122,9 @@ def engine_fitted(spark, sf):
 
 
 def engine_components(spark, sf):
-    """Components with their standing: all of them were fixed."""
-    return _rounded(tables.components(_crossed(spark, sf)).select(F.col("i").cast("long").alias("i"), "name", "value", "constraint"))
+    """Estimated components with their errors and standing."""
+    f = reml.reml(_cells(spark, sf), "y ~ 1", "~ g")
+    return _rounded(tables.components(f).select(F.col("i").cast("long").alias("i"), "name", "value", "se", "constraint"), 4)
 
 
 def engine_information(spark, sf):
@@ -250,20 +253,43 @@ def engine_two_traits_blups(spark, sf):
     return _rounded(_two_traits(spark, sf).blups().select("trait", "level", "blup", "pev"), 8)
 
 
-def engine_target_ratios(spark, sf):
-    """Variances, shares, heritabilities and correlations of two traits at given matrices."""
+def engine_fitted_traits(spark, sf):
+    """Fitted values and residuals of two traits, summed up by trait and level."""
     f = _two_traits(spark, sf)
-    t = [{"name": k, "direct": f"us(l_linenumber):{k}", "other": [f"residual:{k}"]} for k in ("disc", "tax")]
-    return _rounded(tables.target_ratios(f, t).select("target", "quantity", "component", "estimate"), 7)
+    rows = reml.fitted(f, f.model.source)
+    return _rounded(rows.where("y is not null").groupBy("trait", "l_linenumber").agg(F.count("*").alias("n"), F.avg("fitted").alias("fitted"), F.sum(F.col("resid") * F.col("resid")).alias("rss")), 6)
+
+
+def _pairs_of_traits(spark, sf) -> DataFrame:
+    rows = _t(spark, sf, "lineitem").groupBy(F.ceil(F.col("l_quantity") / 5).cast("int").alias("g"), F.col("l_linenumber").alias("n"))
+    rows = rows.agg((F.avg(F.col("l_extendedprice") / 10000) + 0.2 * F.first(F.ceil(F.col("l_quantity") / 5))).alias("price"), (F.avg(F.col("l_discount") * 10) + 0.3 * F.first(F.ceil(F.col("l_quantity") / 5) % 3)).alias("disc"))
+    return rows.withColumn("u", F.concat_ws(":", "g", "n")).unpivot(["u", "g"], ["disc", "price"], "trait", "y")
 
 
-_PAIRS = [("us(l_linenumber)", _G2), ("residual", _R2)]
-_RATIO_ROWS = [r for k, t in enumerate(("disc", "tax")) for g, r2 in [(_G2[k][k], _R2[k][k])] for r in (
-    (t, "var", "direct", g), (t, "var", f"residual:{t}", r2), (t, "var", "sum", g + r2), (t, "var", "phenotypic", g + r2), (t, "share", "direct", g / (g + r2)), (t, "share", f"residual:{t}", r2 / (g + r2)),
-    (t, "h2", "h2", g / (g + r2)), (t, "h2", "h2_ext_within", g / (g + r2)), (t, "h2", "h2_ext_total", g / (g + r2)), ("us(l_linenumber)", "tbv_var", f"own:{t}", g), ("us(l_linenumber)", "tau2", f"own:{t}", g / (g + r2)),
-)]
-_RATIO_ROWS += [(n, kind, "disc~tax", s[0][1] / math.sqrt(s[0][0] * s[1][1])) for kind, (n, s) in zip(("cor", "rescor"), _PAIRS)]
-_RATIO_ROWS += [("us(l_linenumber)", "tbv_cov", "own:disc~own:tax", _G2[0][1]), ("us(l_linenumber)", "tbv_cor", "own:disc~own:tax", _G2[0][1] / math.sqrt(_G2[0][0] * _G2[1][1]))]
+def engine_target_ratios(spark, sf):
+    """Variances, shares, heritabilities and correlations of two traits from estimated matrices."""
+    f = reml.reml(_pairs_of_traits(spark, sf), "y ~ trait", "~ us(g)", "~ us(trait):units", trait="trait", unit="u")
+    t = [{"name": k, "direct": f"us(g):{k}", "other": [f"residual:{k}"]} for k in ("disc", "price")]
+    return _rounded(tables.target_ratios(f, t).select("target", "quantity", "component", "estimate"), 3)
+
+
+# Balanced cells of two traits: matrices of mean squares.
+_RATIOS: list[tuple[str, str, str, str]] = []
+for _k, _name in enumerate(("disc", "price")):
+    _g, _r = f"g{_k}{_k}", f"r{_k}{_k}"
+    _RATIOS += [
+        (_name, "var", "direct", _g), (_name, "var", f"residual:{_name}", _r), (_name, "var", "sum", f"{_g} + {_r}"), (_name, "var", "phenotypic", f"{_g} + {_r}"), (_name, "share", "direct", f"{_g} / ({_g} + {_r})"), (_name, "share", f"residual:{_name}", f"{_r} / ({_g} + {_r})"),
+        (_name, "h2", "h2", f"{_g} / ({_g} + {_r})"), (_name, "h2", "h2_ext_within", f"{_g} / ({_g} + {_r})"), (_name, "h2", "h2_ext_total", f"{_g} / ({_g} + {_r})"), ("us(g)", "tbv_var", f"own:{_name}", _g), ("us(g)", "tau2", f"own:{_name}", f"{_g} / ({_g} + {_r})"),
+    ]
+_RATIOS += [("us(g)", "cor", "disc~price", "g01 / sqrt(g00 * g11)"), ("residual", "rescor", "disc~price", "r01 / sqrt(r00 * r11)"), ("us(g)", "tbv_cov", "own:disc~own:price", "g01"), ("us(g)", "tbv_cor", "own:disc~own:price", "g01 / sqrt(g00 * g11)")]
+_RATIOS_SQL = (
+    "WITH c AS (SELECT CAST(ceil(l_quantity / 5) AS INTEGER) AS g, avg(l_discount * 10) + 3e-1 * (ceil(l_quantity / 5) % 3) AS a, avg(l_extendedprice / 10000) + 2e-1 * ceil(l_quantity / 5) AS b FROM lineitem GROUP BY ceil(l_quantity / 5), l_linenumber), "
+    "m AS (SELECT g, avg(a) AS a, avg(b) AS b, count(*) AS k FROM c GROUP BY 1), t AS (SELECT avg(a) AS a, avg(b) AS b, count(DISTINCT g) AS q, max((SELECT max(k) FROM m)) AS k FROM c), "
+    "w AS (SELECT sum((c.a - m.a) ** 2) AS w00, sum((c.a - m.a) * (c.b - m.b)) AS w01, sum((c.b - m.b) ** 2) AS w11 FROM c JOIN m USING (g)), "
+    "x AS (SELECT sum((m.a - t.a) ** 2) AS b00, sum((m.a - t.a) * (m.b - t.b)) AS b01, sum((m.b - t.b) ** 2) AS b11 FROM m, t), "
+    "e AS (SELECT " + ", ".join(f"w{i} / (q * (k - 1)) AS r{i}, b{i} / (q - 1) - w{i} / (q * (k - 1)) / k AS g{i}" for i in ("00", "01", "11")) + " FROM w, x, t) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS target, '{b}' AS quantity, '{c}' AS component, round({v}, 3) AS estimate FROM e" for a, b, c, v in _RATIOS)
+)
 
 
 # A separable autoregressive residual on a lattice with empty cells: months by years.
@@ -340,21 +366,35 @@ _LEVELS: list[tuple[str, list[float], dict, str]] = [
 ]
 
 
+def _regions(spark, sf) -> DataFrame:
+    n = _t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    return _t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("r"), (F.col("n_regionkey") * F.col("n_regionkey") % 5).alias("p"), "c_nationkey", "c_mktsegment", (F.col("c_acctbal") / 1000).alias("y"))
+
+
 def level_correlations(spark, sf):
-    """Correlations between the regions' keys as positions, for each structure between levels."""
-    keys = np.array(sorted(r[0] for r in _t(spark, sf, "region").select("r_regionkey").collect()), dtype=float)
-    rows = []
+    """Likelihoods of the customers' balances with effects of regions under each correlation between levels, at given parameters.
+    The sums don't depend on the correlation: a pass each for levels on a line of whole steps, on an axis and in a plane."""
+    rows, out = _regions(spark, sf), []
+    made = {kind: reml.build(rows, "y ~ 1", f"~ {kind}({at})") for kind, at in (("ar1", "r"), ("exp", "r"), ("ieuc", "r, p"))}
     for kind, theta, options, _ in _LEVELS:
-        pos = np.column_stack([keys, keys * keys % 5]) if options.get("plane") else keys[:, None]
-        r = structures.correlation(np.array(theta), kind, pos, options.get("order", 1), options.get("fixed"))
-        rows += [(kind, int(a), int(b), float(r[i, j])) for i, a in enumerate(keys) for j, b in enumerate(keys)]
-    return _rounded(spark.createDataFrame(rows, "kind string, i long, j long, r double"), 8)
+        model = made["ieuc" if options.get("plane") else "exp" if kind in ("exp", "gau", "lvr", "own") else "ar1"]
+        (e,) = model.random
+        term = Term(kind, e.term.factors, "iid", kind, 1, {"order": options.get("order", len(theta) if kind in ("own", "mtrn") else 1)})
+        like = reml.Likelihood(replace(model, random=[replace(e, term=term, k=options.get("fixed"))]))
+        out.append((kind, int(model.n), float(like(np.array([_log(_KU)[0], *theta, _log(_KE)[0]])))))
+    return _rounded(spark.createDataFrame(out, "kind string, n long, neg2 double"), 4)
 
 
 _LEVELS_SQL = (
-    "WITH p AS (SELECT a.r_regionkey AS i, b.r_regionkey AS j, CAST(abs(a.r_regionkey - b.r_regionkey) AS DOUBLE) AS d, CAST(a.r_regionkey - b.r_regionkey AS DOUBLE) AS dx, CAST(a.r_regionkey ** 2 % 5 - b.r_regionkey ** 2 % 5 AS DOUBLE) AS dy, "
-    "tanh(4e-1) * (1 - tanh(-3e-1)) AS f1, tanh(-3e-1) AS f2, tanh(4e-1) * (1 - tanh(-3e-1)) / (1 - tanh(-3e-1)) AS r1, tanh(6e-1) AS h, tanh(6e-1) / (1 + tanh(6e-1) ** 2 / 4) AS s1 FROM region a, region b) "
-    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CAST({sql} AS DOUBLE), 8) AS r FROM p" for kind, _, _, sql in _LEVELS)
+    "WITH RECURSIVE c AS (SELECT n_regionkey AS k, count(*) AS n, avg(c_acctbal / 1000) AS m, var_pop(c_acctbal / 1000) * count(*) AS ss FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), "
+    "p AS (SELECT a.k AS i, b.k AS j, CAST(abs(a.k - b.k) AS DOUBLE) AS d, CAST(a.k - b.k AS DOUBLE) AS dx, CAST(a.k ** 2 % 5 - b.k ** 2 % 5 AS DOUBLE) AS dy, "
+    "tanh(4e-1) * (1 - tanh(-3e-1)) AS f1, tanh(-3e-1) AS f2, tanh(4e-1) * (1 - tanh(-3e-1)) / (1 - tanh(-3e-1)) AS r1, tanh(6e-1) AS h, tanh(6e-1) / (1 + tanh(6e-1) ** 2 / 4) AS s1 FROM c a, c b), "
+    "kr AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS snp, i, j, CAST({sql} AS DOUBLE) AS r FROM p" for kind, _, _, sql in _LEVELS) + "), "
+    f"ce AS (SELECT snp, i + 1 AS i, j + 1 AS j, {_KU}e0 * r + CASE WHEN i = j THEN {_KE}e0 / n ELSE 0 END AS v FROM kr JOIN c ON k = i UNION ALL SELECT snp, k + 1, 6, 1e0 FROM c, (SELECT DISTINCT snp FROM kr) UNION ALL SELECT snp, 6, k + 1, 1e0 FROM c, (SELECT DISTINCT snp FROM kr) "
+    "UNION ALL SELECT snp, k + 1, 7, m FROM c, (SELECT DISTINCT snp FROM kr) UNION ALL SELECT snp, 7, k + 1, m FROM c, (SELECT DISTINCT snp FROM kr) UNION ALL SELECT snp, unnest([6, 6, 7, 7]), unnest([6, 7, 6, 7]), 0e0 FROM (SELECT DISTINCT snp FROM kr)), "
+    "li AS (SELECT snp, i, list(v ORDER BY j) AS r FROM ce GROUP BY 1, 2), ma AS (SELECT snp, list(r ORDER BY i) AS m FROM li GROUP BY 1), "
+    "sw AS (SELECT 0 AS k, snp, m, 0e0 AS ld FROM ma UNION ALL SELECT k + 1, snp, list_transform(m, lambda r, i: CASE WHEN i <= k + 1 THEN r ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / p) END), ld + ln(abs(p)) FROM (SELECT k, snp, m, ld, m[k + 1][k + 1] AS p FROM sw WHERE k < 6)) "
+    f"SELECT snp AS kind, n, round(w + ld - m[7][7], 4) AS neg2 FROM sw, (SELECT CAST(sum(n) AS BIGINT) AS n, sum((n - 1) * ln({_KE}e0) + ln(n) + ss / {_KE}e0) AS w FROM c) WHERE k = 6"
 )
 # Entries of each structure between three traits, as sums of products l[i][k] * l[j][k] of a factor, plus a diagonal.
 _SIGMAS: list[tuple[str, int, list[float], list[list[str]], list[str]]] = [
@@ -369,24 +409,42 @@ _SIGMAS: list[tuple[str, int, list[float], list[list[str]], list[str]]] = [
 ]
 
 
+_RD = (15.0, 2.0, 0.5)
+
+
 def trait_covariances(spark, sf):
-    """Covariances between three traits, for each structure; the traits are the first three regions."""
-    keys = sorted(r[0] for r in _t(spark, sf, "region").select("r_regionkey").where("r_regionkey < 3").collect())
-    rows = []
+    """Likelihoods of three statistics of each nation's segments with effects of regions, under each covariance between the three,
+    at given parameters; the singular one takes the covariance matrix of all rows, the others take the sums of one pass."""
+    cells = _regions(spark, sf).groupBy("r", F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("u")).agg(F.avg("y").alias("a"), F.max("y").alias("b"), F.min("y").alias("c"))
+    model = reml.build(cells.unpivot(["r", "u"], ["a", "b", "c"], "trait", "v"), "v ~ trait", "~ us(r)", "~ diag(trait):units", trait="trait", unit="u")
+    (e,), out = model.random, []
     for kind, rank, theta, _, _ in _SIGMAS:
-        s = structures.sigma(np.array(theta), kind, 3, rank)
-        rows += [(kind, int(a), int(b), float(s[i, j])) for i, a in enumerate(keys) for j, b in enumerate(keys)]
-    return _rounded(spark.createDataFrame(rows, "kind string, i long, j long, s double"), 8)
+        one = replace(model, random=[replace(e, term=Term(kind, e.term.factors, kind, "id", rank))])
+        like = (dense.DenseLikelihood if kind == "rr" else reml.Likelihood)(one)
+        out.append((kind, int(model.n), float(like(np.array([*theta, *_log(*_RD)])))))
+    return _rounded(spark.createDataFrame(out, "kind string, n long, neg2 double"), 4)
 
 
 def _sigma_sql() -> str:
+    """Regions' means of the three have covariance G + R / n: inverses and determinants of three by three by cofactors."""
     parts = []
     for kind, _, _, factor, diagonal in _SIGMAS:
-        lists = "[" + ", ".join("[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row) + "]" for row in factor) + "]"
-        own = "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in diagonal) + "]"
-        total = " + ".join(f"l[i + 1][{k}] * l[j + 1][{k}]" for k in (1, 2, 3))
-        parts.append(f"SELECT '{kind}' AS kind, i, j, round({total} + CASE WHEN i = j THEN d[i + 1] ELSE 0 END, 8) AS s FROM (SELECT i, j, {lists} AS l, {own} AS d FROM p)")
-    return "WITH p AS (SELECT CAST(a.r_regionkey AS BIGINT) AS i, CAST(b.r_regionkey AS BIGINT) AS j, -5e-1 + 15e-1 * (tanh(4e-1) + 1) / 2 AS r FROM region a, region b WHERE a.r_regionkey < 3 AND b.r_regionkey < 3) " + " UNION ALL ".join(parts)
+        total = lambda i, j: " + ".join(f"({factor[i][k]}) * ({factor[j][k]})" for k in range(3)) + (f" + {diagonal[i]}" if i == j else "")  # noqa: E731, B023
+        entries = ", ".join(f"CAST({total(i, j)} AS DOUBLE) AS {name}" for name, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 0, 2), ("d", 1, 1), ("e", 1, 2), ("f", 2, 2)))
+        parts.append(f"SELECT '{kind}' AS kind, {entries} FROM (SELECT -5e-1 + 15e-1 * (tanh(4e-1) + 1) / 2 AS r)")
+    invert = "d * f - e * e AS a, c * e - b * f AS b, b * e - c * d AS c, a * f - c * c AS d, b * c - a * e AS e, a * d - b * b AS f, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det"
+    quad = lambda x, y, z: f"(a * {x} * {x} + d * {y} * {y} + f * {z} * {z} + 2 * (b * {x} * {y} + c * {x} * {z} + e * {y} * {z})) / det"
+    r0, r1, r2 = (f"{v}e0" for v in _RD)
+    return (
+        "WITH y AS (SELECT n_regionkey AS r, c_nationkey, c_mktsegment, avg(c_acctbal / 1000) AS p, max(c_acctbal / 1000) AS q, min(c_acctbal / 1000) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3), "
+        "m AS (SELECT r, count(*) AS n, avg(p) AS p, avg(q) AS q, avg(s) AS s, var_pop(p) * count(*) AS sp, var_pop(q) * count(*) AS sq, var_pop(s) * count(*) AS ss FROM y GROUP BY 1), "
+        f"g AS ({' UNION ALL '.join(parts)}), "
+        f"v AS (SELECT kind, n, p, q, s, sp, sq, ss, a + {r0} / n AS a, b, c, d + {r1} / n AS d, e, f + {r2} / n AS f FROM g, m), "
+        f"i AS (SELECT kind, n, p, q, s, sp, sq, ss, {invert} FROM v), "
+        "t AS (SELECT kind, sum(n) AS n, sum(a / det) AS a, sum(b / det) AS b, sum(c / det) AS c, sum(d / det) AS d, sum(e / det) AS e, sum(f / det) AS f, sum((a * p + b * q + c * s) / det) AS x, sum((b * p + d * q + e * s) / det) AS y, sum((c * p + e * q + f * s) / det) AS z, "
+        f"sum({quad('p', 'q', 's')}) AS k, sum((n - 1) * ln({r0} * {r1} * {r2}) + 3 * ln(n) + ln(det) + sp / {r0} + sq / {r1} + ss / {r2}) AS w FROM i GROUP BY 1), "
+        f"o AS (SELECT kind, n, x, y, z, k, w, {invert} FROM t) SELECT kind, CAST(3 * n AS BIGINT) AS n, round(w + ln(det) + k - {quad('x', 'y', 'z')}, 4) AS neg2 FROM o"
+    )
 
 
 # Scans on a fit: labels are the levels, mean components of the vectors their doses.
@@ -533,6 +591,70 @@ _LAG_SQL = (
     "SELECT round(count(*) * ln({1}e0) + ln(count(*) / {1}e0) + sum((s - m) ** 2) / {1}e0, 5) AS neg2, round((SELECT sum(ln(1 - {0}e0) + (n - 1) * ln(1 + {0}e0 / (n - 1))) FROM (SELECT r, count(*) AS n FROM u GROUP BY 1)), 5) AS jacobian FROM w, (SELECT avg(s) AS m FROM w)"
 ).format(_LP, _LV)
 
+# Each nation's neighbour is the next one of its region, in a ring.
+_RING = (0.5, -0.9, -2.5, 1.2)
+
+
+def lag_region(spark, sf):
+    """The Jacobian over rings of nations, null beyond the region where every real eigenvalue is below one."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    n = _t(spark, sf, "nation").select(F.col("n_regionkey").alias("block"), F.col("n_nationkey").alias("src"), F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(w)).alias("dst"), F.lit(1.0).alias("w"))
+    det = lag.log_jacobian(n, list(_RING))
+    return _rounded(spark.createDataFrame([(p, det[p] if math.isfinite(det[p]) else None) for p in _RING], "psi double, jacobian double"), 6)
+
+
+_RING_SQL = (
+    "SELECT psi, CASE WHEN psi < 1 AND (psi > -1 OR count(*) FILTER (n % 2 = 0) = 0) THEN round(sum(ln(abs(1 - psi ** n))), 6) END AS jacobian FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1), "
+    f"(SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in _RING)}]) AS psi) GROUP BY psi"
+)
+
+# Suppliers are blocks: effects of each supplier and of its parts are eliminated where the supplier's rows lie.
+_BL, _BS, _BP, _BE = 0.03, 0.02, 0.04, 0.4
+
+
+def _suppliers(spark, sf) -> blocks.BlockFit:
+    rows = _t(spark, sf, "lineitem").withColumn("y", F.log("l_extendedprice"))
+    like = blocks.build(rows, "y ~ l_quantity", "~ l_suppkey + l_partkey", "l_suppkey", random="~ l_linenumber")
+    return blocks.fit(like, fixed_theta=_log(_BL, _BS, _BP, _BE))
+
+
+def engine_blocks_likelihood(spark, sf):
+    """The restricted likelihood with all effects of suppliers and of their parts, by eliminating each supplier's block."""
+    f = _suppliers(spark, sf)
+    return _rounded(spark.createDataFrame([(int(f.model.n), int(sum(e.absorbed or 0 for e in f.model.random)), float(f.neg2))], "n long, effects long, neg2 double"), 4)
+
+
+def engine_blocks_fixed(spark, sf):
+    """Fixed effects and their errors beside the blocks."""
+    return _rounded(_suppliers(spark, sf).fixed().select("effect", "estimate", "se"), 7)
+
+
+def engine_blocks_blups(spark, sf):
+    """Predictions and error variances of all blocks' effects, from the inverse's entries on the pattern of the sums."""
+    return _rounded(_suppliers(spark, sf).local_blups().select(F.col("block").cast("long").alias("block"), "term", "level", "blup", "pev"), 7)
+
+
+_BLOCKS_SQL = "WITH RECURSIVE " + ", ".join([
+    _entries("SELECT ln(l_extendedprice) AS y, l_suppkey AS s, l_partkey AS part, l_linenumber AS n, l_quantity AS q FROM lineitem", [("0", "1"), ("1", "1"), ("2", "q"), ("2 + n", "1"), ("10", "y")]),
+    f"p AS (SELECT s, part, count(*) AS n, 1 / (count(*) / {_BE}e0 + 1 / {_BP}e0) AS d FROM b GROUP BY 1, 2)",
+    "l AS (SELECT b.s, part, c, sum(x) AS x FROM e JOIN b USING (rid) GROUP BY 1, 2, 3)",
+    f"r AS (SELECT s, c, sum(x) / {_BE}e0 - sum(n * x * d) / {_BE}e0 / {_BE}e0 AS x FROM l JOIN p USING (s, part) GROUP BY 1, 2)",
+    f"k AS (SELECT s, x + 1 / {_BS}e0 AS a FROM r WHERE c = 0)",
+    f"o AS (SELECT i, j, sum(x) AS x FROM (SELECT f.c AS i, h.c AS j, sum(f.x * h.x * d) / {_BE}e0 / {_BE}e0 AS x FROM l f JOIN l h USING (s, part) JOIN p USING (s, part) GROUP BY 1, 2 UNION ALL SELECT f.c, h.c, sum(f.x * h.x / a) FROM r f JOIN r h USING (s) JOIN k USING (s) GROUP BY 1, 2) GROUP BY 1, 2)",
+    f"a AS (SELECT o.i, o.j, coalesce(g.x, 0) / {_BE}e0 - o.x AS x FROM o LEFT JOIN g ON g.i = o.i AND g.j = o.j)",
+    _matrix(10, f"coalesce(x, 0) + CASE WHEN p.i = q.j AND p.i BETWEEN 3 AND 9 THEN 1 / {_BL}e0 ELSE 0 END", "a"), _sweep(9),
+])
+_BLOCKS_BLUPS = (
+    f", bb AS (SELECT i, m[i][10] AS b FROM s, {_AT.format(10)}), inv AS (SELECT p.i, q.i AS j, m[p.i][q.i] AS c FROM s, {_AT.format(10)} p, {_AT.format(10)} q), "
+    "us AS (SELECT r.s, sum(CASE WHEN c = 10 THEN x WHEN c > 0 THEN -x * b ELSE 0 END) / max(a) AS u, max(a) AS a FROM r LEFT JOIN bb ON i = c JOIN k ON k.s = r.s GROUP BY 1), "
+    "vs AS (SELECT f.s, sum(f.x * h.x * inv.c) AS v FROM r f JOIN r h ON f.s = h.s JOIN inv ON inv.i = f.c AND inv.j = h.c GROUP BY 1), "
+    f"up AS (SELECT l.s, part, sum(CASE WHEN c = 10 THEN x WHEN c = 0 THEN -x * u ELSE -x * b END) / {_BE}e0 AS y FROM l LEFT JOIN bb ON i = c JOIN us ON us.s = l.s GROUP BY 1, 2), "
+    "tp AS (SELECT p.s, p.part, p.n, i AS c, coalesce(l.x, 0) - p.n * coalesce(r.x, 0) / a AS x FROM p CROSS JOIN bb LEFT JOIN l ON l.s = p.s AND l.part = p.part AND l.c = i LEFT JOIN r ON r.s = p.s AND r.c = i JOIN k ON k.s = p.s), "
+    "vp AS (SELECT f.s, f.part, sum(f.x * h.x * inv.c) AS v FROM tp f JOIN tp h ON f.s = h.s AND f.part = h.part JOIN inv ON inv.i = f.c AND inv.j = h.c GROUP BY 1, 2) "
+    "SELECT CAST(s AS BIGINT) AS block, 'l_suppkey' AS term, CAST(s AS VARCHAR) AS level, round(u, 7) AS blup, round(1 / a + v / a / a, 7) AS pev FROM us JOIN vs USING (s) UNION ALL "
+    f"SELECT CAST(p.s AS BIGINT), 'l_partkey', CAST(part AS VARCHAR), round(d * y, 7), round(d + d * d / {_BE}e0 / {_BE}e0 * (v + n * n / a), 7) FROM p JOIN up USING (s, part) JOIN vp USING (s, part) JOIN k ON k.s = p.s"
+)
+
 _N = "(SELECT count(*) AS n FROM lineitem)"
 _LOGS = f"n * ln({_CE}e0) + 7 * ln({_C1}e0) + 2 * ln({_C2}e0) + ld + m[14][14]"
 _MEANQ = "(SELECT avg(l_quantity) AS q, avg(CASE WHEN l_returnflag = 'N' THEN 1e0 ELSE 0 END) AS fn, avg(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0 END) AS fr FROM lineitem)"
@@ -556,7 +678,7 @@ ORACLE_SQL = {
     "engine_predict_random": f"{_CROSSED_SQL}, {_linear(_RANDOM_ROWS)} SELECT CAST(name AS BIGINT) AS l_linenumber, round(v, 6) AS predicted, round(sqrt(c), 6) AS se FROM val JOIN var ON a = name AND b = name",
     "engine_sed": f"{_CROSSED_SQL}, {_linear(_EQUAL_ROWS)} SELECT x.name AS a, y.name AS b, round(x.v - y.v, 6) AS difference, round(sqrt(p.c + q.c - 2 * r.c), 6) AS sed FROM val x JOIN val y ON x.name < y.name JOIN var p ON p.a = x.name AND p.b = x.name JOIN var q ON q.a = y.name AND q.b = y.name JOIN var r ON r.a = x.name AND r.b = y.name",
     "engine_fitted": f"{_CROSSED_SQL} SELECT f AS l_returnflag, t AS l_linestatus, n AS l_linenumber, count(*) AS n, round(avg(h), 5) AS fitted, round(sum((y - h) ** 2), 5) AS rss FROM (SELECT f, t, n, y, m[1][14] + CASE f WHEN 'N' THEN m[2][14] WHEN 'R' THEN m[3][14] ELSE 0 END + q * m[4][14] + m[4 + n][14] + CASE t WHEN 'F' THEN m[12][14] ELSE m[13][14] END AS h FROM b, s) GROUP BY 1, 2, 3",
-    "engine_components": f"SELECT CAST(i AS BIGINT) AS i, name, value, 'F' AS constraint FROM (VALUES (1, 'l_linenumber', {_C1}e0), (2, 'l_linestatus', {_C2}e0), (3, 'residual', {_CE}e0)) t(i, name, value)",
+    "engine_components": f"WITH {_BALANCED} SELECT CAST(1 AS BIGINT) AS i, 'g' AS name, round((msg - msw) / b, 4) AS value, round(sqrt(2 * msg * msg / (q - 1) + 2 * msw * msw / (q * (b - 1))) / b, 4) AS se, 'P' AS constraint FROM ms UNION ALL SELECT 2, 'residual', round(msw, 4), round(sqrt(2 * msw * msw / (q * (b - 1))), 4), 'P' FROM ms",
     "engine_information": f"{_CROSSED_SQL}, {_WORK} SELECT CAST(qq.k1 AS BIGINT) AS i, CAST(qq.k2 AS BIGINT) AS j, round(qq.x - tt.x, 3) AS x FROM qq JOIN tt ON qq.k1 = tt.k1 AND qq.k2 = tt.k2",
     "engine_absorbed_likelihood": f"{_ABSORBED_SQL} SELECT c.n, l.q AS levels, round(c.n * ln({_AE}e0) + 7 * ln({_AL}e0) + lg + ld + m[10][10], 4) AS neg2 FROM s, {_N} c, (SELECT count(*) AS q, sum(ln({_AP}e0 / d)) AS lg FROM n) l",
     "engine_absorbed_blups": f"{_ABSORBED_SQL}, bb AS (SELECT i, m[i][10] AS b FROM s, {_AT.format(10)}), inv AS (SELECT p.i, q.i AS j, m[p.i][q.i] AS c FROM s, {_AT.format(10)} p, {_AT.format(10)} q), ub AS (SELECT part, sum(CASE WHEN c = 10 THEN x ELSE -x * b END) AS v FROM l LEFT JOIN bb ON i = c GROUP BY 1), up AS (SELECT p.part, sum(p.x * q.x * inv.c) AS v FROM l p JOIN l q USING (part) JOIN inv ON inv.i = p.c AND inv.j = q.c GROUP BY 1) SELECT part AS level, n, round(ub.v * d / {_AE}e0, 7) AS blup, round(d + up.v * d * d / {_AE}e0 / {_AE}e0, 7) AS pev FROM n JOIN ub USING (part) JOIN up USING (part)",
@@ -564,7 +686,11 @@ ORACLE_SQL = {
     "engine_autoregression": _RELATION_SQL,
     "engine_two_traits": f"{_TRAITS_SQL} SELECT n, round(lr + 7 * ln({_det(_G2)!r}) + ld + m[17][17], 4) AS neg2 FROM s, (SELECT CAST(sum(k) AS BIGINT) AS n, sum(CASE WHEN k = 2 THEN ln({_det(_R2)!r}) WHEN t = 0 THEN ln({_R2[0][0]!r}) ELSE ln({_R2[1][1]!r}) END) AS lr FROM k)",
     "engine_two_traits_blups": f"{_TRAITS_SQL} SELECT CASE WHEN i < 10 THEN 'disc' ELSE 'tax' END AS trait, CAST((i - 3) % 7 + 1 AS VARCHAR) AS level, round(m[i][17], 8) AS blup, round(m[i][i], 8) AS pev FROM s, (SELECT unnest(range(3, 17)) AS i)",
-    "engine_target_ratios": "SELECT target, quantity, component, round(estimate, 7) AS estimate FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', CAST({v!r} AS DOUBLE))" for a, b, c, v in _RATIO_ROWS) + ") t(target, quantity, component, estimate)",
+    "engine_fitted_traits": f"{_TRAITS_SQL} SELECT CASE t WHEN 0 THEN 'disc' ELSE 'tax' END AS trait, n AS l_linenumber, count(*) AS n, round(avg(h), 6) AS fitted, round(sum((y - h) ** 2), 6) AS rss FROM (SELECT t, n, y, m[1][17] + t * m[2][17] + m[2 + 7 * t + n][17] AS h FROM o, s) GROUP BY 1, 2",
+    "engine_target_ratios": _RATIOS_SQL,
+    "engine_blocks_likelihood": f"{_BLOCKS_SQL} SELECT c.n, CAST(x.q + y.q AS BIGINT) AS effects, round(c.n * ln({_BE}e0) + 7 * ln({_BL}e0) + x.lg + y.lg + ld + m[10][10], 4) AS neg2 FROM s, {_N} c, (SELECT count(*) AS q, sum(ln({_BP}e0 / d)) AS lg FROM p) x, (SELECT count(*) AS q, sum(ln({_BS}e0 * a)) AS lg FROM k) y",
+    "engine_blocks_fixed": f"{_BLOCKS_SQL} SELECT CASE i WHEN 1 THEN '(Intercept)' ELSE 'l_quantity' END AS effect, round(m[i][10], 7) AS estimate, round(sqrt(m[i][i]), 7) AS se FROM s, {_AT.format(3)}",
+    "engine_blocks_blups": f"{_BLOCKS_SQL}{_BLOCKS_BLUPS}",
     "engine_lattice": _LATTICE_SQL,
     "fit_balanced": f"WITH {_BALANCED} SELECT round((msg - msw) / b, 5) AS between, round(msw, 5) AS within, round(v1 / (v1 + msw), 5) AS h2, round(sqrt(msw * msw * (2 * msg * msg / (q - 1) + 2 * msw * msw / (q * (b - 1))) / (b * b) + v1 * v1 * 2 * msw * msw / (q * (b - 1)) + 2 * v1 * msw * 2 * msw * msw / (q * (b - 1)) / b) / (v1 + msw) ** 2, 5) AS se, true AS converged FROM (SELECT *, (msg - msw) / b AS v1 FROM ms)",
     "fit_small_sample_tests": f"WITH {_BALANCED} SELECT b - 1 AS df1, round(CAST((q - 1) * (b - 1) AS DOUBLE), 3) AS df2, round(msn / mse, 3) AS f FROM ms",
@@ -575,5 +701,6 @@ ORACLE_SQL = {
     "pair_tests": "WITH RECURSIVE " + ", ".join([*_PAIR_CTES, _PAIR_ALONE, _PAIR_GIVEN]) + " " + _PAIR_ROW.format("pair", 2, 20, "sv1", 19) + " UNION ALL " + _PAIR_ROW.format("pair|dir+ind", 4, 22, "sv2", 21),
     "pair_best": "WITH RECURSIVE " + ", ".join([*_PAIR_CTES, _PAIR_ALONE]) + ", z AS (SELECT fa, nb, m[2][20] ** 2 / m[2][2] AS chi2 FROM sv1 JOIN pr USING (snp) WHERE k = 19) SELECT 'focal' AS side, CAST(fa AS BIGINT) AS snp, round(max(chi2), 5) AS chi2 FROM z GROUP BY 2 UNION ALL SELECT 'neighbour', CAST(nb AS BIGINT), round(max(chi2), 5) FROM z GROUP BY 2",
     "lag_likelihood": _LAG_SQL,
+    "lag_region": _RING_SQL,
 }
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}
