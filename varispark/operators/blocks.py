@@ -407,9 +407,7 @@ class BlockLikelihood(Likelihood):
         for k, sl, tk in zip(local, slices, t):
             trace, q = traces[at : at + tk * tk].reshape(tk, tk), m.random[k].absorbed
             at += tk * tk
-            between = lambda th, k=k, trace=trace, q=q: q * np.linalg.slogdet(self._sigma(th, k))[1] + float((np.linalg.inv(self._sigma(th, k)) * trace).sum())
-            for j in range(sl.start, sl.stop):
-                grad[j] = (between(theta + little(j)) - between(theta - little(j))) / (2 * h)
+            grad[sl] = reml.between_gradient(theta[sl], m.random[k].term, tk, q, trace)
         self._random_gradient(theta, meet, grad, h)
         # Working columns of the residual against each other and against those of the border's terms.
         design = base @ border + first + there

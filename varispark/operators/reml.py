@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varispark.functions import bordered, optimise, splines, structures
+from varispark.functions import bordered, cone, optimise, splines, structures
 from varispark.functions.special import chi2_sf, normal_ppf
 from varispark.plans.grammar import Residual, Term, parse_fixed, parse_random, parse_residual
 from varispark.shipping import ship
@@ -851,12 +851,7 @@ class Likelihood:
             kin = None if e.term.level == "id" else self.level(e, theta[sl])
             traces = np.einsum("aibi->ab", block) if kin is None else np.einsum("aibj,ij->ab", block, np.linalg.inv(kin))
 
-            def between(th: np.ndarray) -> float:
-                sig = structures.sigma(th[ss], e.term.struct, e.t, e.term.rank)
-                return e.q * np.linalg.slogdet(sig)[1] + float((np.linalg.inv(sig) * traces).sum())
-
-            for j in range(ss.start, ss.stop):
-                grad[j] = (between(theta + step(j)) - between(theta - step(j))) / (2 * h)
+            grad[ss] = between_gradient(theta[ss], e.term, e.t, e.q, traces)
             if sl.stop > sl.start:
                 folded = np.einsum("aibj,ab->ij", block, np.linalg.inv(structures.sigma(theta[ss], e.term.struct, e.t, e.term.rank)))
 
@@ -868,6 +863,21 @@ class Likelihood:
                     grad[j] = (levels(theta + step(j)) - levels(theta - step(j))) / (2 * h)
 
 
+def between_gradient(own: np.ndarray, term: Term, t: int, q: int, traces: np.ndarray) -> np.ndarray:
+    """Derivatives of q log |S| + tr(S^-1 T) over the parameters of S, a covariance between traits.
+
+    The matrix's derivative is taken first, as q S^-1 - S^-1 T S^-1, so that nearly singular ones keep their digits.
+    """
+    s = lambda th: structures.sigma(th, term.struct, t, term.rank)
+    inv = np.linalg.inv(s(own))
+    meet = q * inv - inv @ ((traces + traces.T) / 2) @ inv
+    out = np.zeros(len(own))
+    for j in range(len(own)):
+        e = np.eye(len(own))[j] * 1e-5
+        out[j] = float((meet * (s(own + e) - s(own - e))).sum()) / 2e-5
+    return out
+
+
 @dataclass
 class Fit:
     model: Model
@@ -882,6 +892,7 @@ class Fit:
     box: tuple = (-12.0, 12.0)
     diagnostics: dict = field(default_factory=dict)
     timings: dict = field(default_factory=dict)
+    faces: dict = field(default_factory=dict)  # ranks of the terms' covariances that are singular
 
     @property
     def spark(self) -> SparkSession:
@@ -1109,8 +1120,9 @@ class Fit:
 def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray | None = None, ml: bool = False, restarts: int = 0, seed: int = 1, optimizer: str = "auto", engine: str = "auto", low: float | np.ndarray = -12.0, high: float | np.ndarray = 12.0, like: Likelihood | None = None) -> Fit:
     """Maximise the restricted likelihood, or with ml the likelihood; entries of fixed_theta that are not NaN stay as given.
 
-    optimizer: "ai" for average information steps and then quasi-Newton ones, "bfgs" for the latter alone, "auto" for ai
-    where it is defined. The point found is polished with Newton steps; a variance at its floor is moved up and the descent
+    optimizer: "ai" for average information steps and then quasi-Newton ones, "bfgs" for the latter alone, "cone" for steps on
+    the scale of variances, over the cone of semidefinite matrices, "auto" for ai where it is defined, and then cone if a
+    covariance between traits comes out singular. The point found is polished with Newton steps; a variance at its floor is moved up and the descent
     taken again if the likelihood rises there, and so is a point with a direction of negative curvature. engine: "mme" for
     mixed-model equations, "dense" for the covariance matrix of all rows, "auto" for the latter where the former is not
     defined. Ranges of correlations by distance begin where short descents from several of them come out best. low and
@@ -1131,13 +1143,19 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     if fixed_theta is not None:
         free = np.isnan(fixed_theta)
         start = np.where(free, start, fixed_theta)
-    if optimizer not in ("auto", "ai", "bfgs"):
+    if optimizer not in ("auto", "ai", "bfgs", "cone"):
         raise ValueError(f"unknown optimizer {optimizer!r}")
-    informed = optimizer == "ai" or optimizer == "auto" and not (model.residual.axes or model.absorbed or ml)
+    informed = optimizer in ("ai", "cone") or optimizer == "auto" and not (model.residual.axes or model.absorbed or ml)
     f = like.value_and_gradient
     slope = lambda th: f(th)[1]
+    parts = [(e.term.struct, ss, e.t) for e, (ss, _) in zip(model.random, like.slices)] + [(model.structure(s).struct, sl, len(model.traits)) for s, sl in zip(model.sections, like.residual) if not model.residual.axes]
+    ranks: list = []
 
     def descend(at: np.ndarray) -> tuple[np.ndarray, float, bool]:
+        if optimizer == "cone":
+            at, found, ended, ranks[:] = cone.minimise(f, like.average_information, at, parts, free, low, high)
+            if ended:
+                return at, found, True
         if informed:
             try:
                 at, _, _ = optimise.newton(f, like.average_information, at, free, low, high)
@@ -1155,8 +1173,16 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         if other[1] < value - 1e-9:
             best, value, done = other
     timings["restarts"] = time.perf_counter() - began - timings["descent"]
+    singular = [ss for struct, ss, t in parts if struct == "us" and t > 1 and free[ss].all() and np.linalg.cond(structures.sigma(best[ss], "us", t)) > 1e5]
+    if optimizer == "auto" and informed and singular:  # the descent on logarithms doesn't end where a matrix is singular
+        try:
+            at, found, ended, got = cone.minimise(f, like.average_information, start, parts, free, low, high)
+            if found <= value + 1e-6:
+                best, value, done, ranks[:] = at, found, ended, got
+        except np.linalg.LinAlgError:
+            pass
     hess = optimise.hessian(slope, best, low=low, high=high, free=free)
-    for _ in range(3):
+    for _ in range(3 if not any(r < c.t for c, r in ranks) else 0):
         away = _escape(like, best, value, free, low, high, slope, hess)
         if away is None:
             break
@@ -1165,7 +1191,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
             break
         best, value, done = other
         hess = optimise.hessian(slope, best, low=low, high=high, free=free)
-    if not done:
+    if not done and not any(r < c.t for c, r in ranks):
         best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high, free=free), best, free, low, high, rounds=5)
         hess = optimise.hessian(slope, best, low=low, high=high, free=free)
     timings["hessian"] = time.perf_counter() - began - sum(timings.values())
@@ -1176,7 +1202,9 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         solution = cinv @ b
     checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
     timings["total"] = time.perf_counter() - began
-    return like.result(model, like, best, value, bool(done or checks["converged"]), cinv, solution, hess, free, (low, high), checks, timings)
+    names = [*[e.name for e in model.random], *["residual" + (f"({s})" if s is not None else "") for s in model.sections]]
+    faces = {name: r for c, r in ranks if r < c.t > 1 for name, (_, ss, _) in zip(names, parts) if ss.start == c.places[0]}
+    return like.result(model, like, best, value, bool(done or checks["converged"]), cinv, solution, hess, free, (low, high), checks, timings, faces)
 
 
 def _range_sweep(like: Likelihood, start: np.ndarray, free: np.ndarray, low, high) -> np.ndarray:

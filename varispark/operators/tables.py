@@ -52,7 +52,7 @@ def aliased(fit: Fit, tol: float = 1e-8) -> list[tuple[str, list[tuple[int, int]
 
 def components(fit: Fit) -> DataFrame:
     """i, name, value, se and constraint of each component, in the order V1, V2, ...: F hangs on fixed parameters only, B on
-    one at its bound or on a flat direction, N can't be told from others (their sum follows at the end of the table), P is
+    one at its bound, on a flat direction or of a singular matrix, N can't be told from others (their sum follows at the end of the table), P is
     a variance and U any other. F, B and N have no standard error."""
     names = list(fit.components())
     value = lambda th: np.array([fit.components(th)[n] for n in names])
@@ -67,6 +67,8 @@ def components(fit: Fit) -> DataFrame:
         hangs = np.abs(row) > 1e-12 * max(1.0, float(np.abs(row).max()))
         if hangs.any() and not fit.free[hangs].any():
             return "F"
+        if any(name.startswith(f"{term}[") for term in fit.faces):
+            return "B"
         length = float((row[free] ** 2).sum())
         if (fit.at_bound & fit.free)[hangs].any() or flat.shape[1] and length > 0 and float(((row @ flat) ** 2).sum()) / length > 0.05:
             return "B"
