@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.functions.special import chi2_sf
-from varispark.operators import reml
+from varispark.operators import products, reml
 from varispark.operators.reml import Effects, Fit, Model, Sums
 from varispark.plans.hypotheses import FAMILIES, parse_test, parts as parts_of
 from varispark.shipping import ship
@@ -143,13 +143,13 @@ def load_projection(spark, path: str) -> Projection:
     return Projection(meta["families"], meta["traits"], c, big)
 
 
-def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, str], tests: list[str], maf: float | None = None, keep: str | None = None, coding: str = "count", ploidy: int = 2, limit: int = 200_000) -> DataFrame:
+def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, str], tests: list[str], maf: float | None = None, keep: str | None = None, coding: str = "count", ploidy: int = 2) -> DataFrame:
     """A scan with the test grammar of parse_test: snp and maf; for each test k chi2_k, df_k and p_k, and for each of its
     rows j beta_k_j and se_k_j.
 
     fit: a fit, or a projection that was saved. families: the terms of dir (own doses) and ind (others' doses). The family sim is the product of a row's own dose and
-    the sum of its neighbours'; it takes models of one trait and one plain residual with at most limit rows, whose design
-    is broadcast, and doses that are centred. markers: snp, dose (array in the order of the levels), and keep, a boolean
+    the sum of its neighbours', for each trait; it takes doses that are centred, and its sums over rows are those of products.py.
+    markers: snp, dose (array in the order of the levels), and keep, a boolean
     column, if named: loci that it leaves out, rare and constant ones are there with nulls.
     """
     ship(markers.sparkSession)
@@ -167,14 +167,17 @@ def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, st
     q = {len(x) for x in c}
     if len(q) > 1:
         raise ValueError("the families of one scan have the same levels")
-    design = _rows(fit, families, limit) if needs_sim else None
     if needs_sim and coding == "count":
         raise ValueError("sim takes centred doses: coding is 'sign' or 'centred'")
-    held = markers.sparkSession.sparkContext.broadcast((c, big, design, fit.cinv if needs_sim else None))  # as large as the equations, and at most limit rows
+    t = len(traits)
+    rows = markers.select("snp", "dose", *([F.col(keep).alias("keep")] if keep else []))
+    if needs_sim:
+        rows = rows.join(products.products(fit, markers.select("snp", "dose"), products.design_of(fit, families)), "snp")
+    held = markers.sparkSession.sparkContext.broadcast((c, big))  # as large as the equations
     names = [n for k, (_, _, labels) in enumerate(parsed) for n in (f"chi2_{k + 1}", f"df_{k + 1}", f"p_{k + 1}", *[f"{x}_{k + 1}_{j + 1}" for j in range(len(labels)) for x in ("beta", "se")])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, big, design, cinv = held.value
+        c, big = held.value
         for pdf in frames:
             s = np.stack(pdf["dose"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, len(c[0])))
             share = {"count": s / ploidy, "fraction": s, "sign": (s + 1) / 2, "centred": s - s.min(axis=1, keepdims=True)}[coding].mean(axis=1) if len(s) else np.zeros(0)
@@ -187,11 +190,15 @@ def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, st
             x = s[live]
             num = {key: x @ c[place[key]] for key in used if key[0] != "sim"}
             den = {(a, b): ((x @ big[place[a]][place[b]]) * x).sum(axis=1) for a in used for b in used if "sim" not in (a[0], b[0])}
-            if design is not None and ("sim", 0) in used:
-                extra = _products(x, design, cinv)
-                num["sim", 0], den[("sim", 0), ("sim", 0)] = extra["num"], extra["den"]
-                for f in ("dir", "ind"):
-                    den[("sim", 0), (f, 0)] = den[(f, 0), ("sim", 0)] = extra[f]
+            if needs_sim:
+                of = lambda name, size: np.stack(pdf[name].to_numpy())[live] if live.any() else np.zeros((0, size))
+                own, inner, cross = of("num", t), of("den", t * t).reshape(-1, t, t), of("cross", 2 * t * t).reshape(-1, 2, t, t)
+                for k in range(t):
+                    num["sim", k] = own[:, k]
+                    for j in range(t):
+                        den[("sim", k), ("sim", j)] = inner[:, k, j]
+                        for i, f in enumerate(("dir", "ind")):
+                            den[(f, j), ("sim", k)] = den[("sim", k), (f, j)] = cross[:, i, j, k]
             out = {"snp": pdf["snp"], "maf": rare}
             for k, (columns, hypothesis, labels) in enumerate(parsed):
                 score = np.stack([sum(w * num[key] for key, w in col.items()) for col in columns], axis=1)
@@ -207,55 +214,10 @@ def scan_tests(fit: Fit | Projection, markers: DataFrame, families: dict[str, st
             yield pd.DataFrame(out)
 
     kind = markers.schema["snp"].dataType.simpleString()
-    rows = markers.select("snp", "dose", *([F.col(keep).alias("keep")] if keep else []))
     found = rows.mapInPandas(run, f"snp {kind}, maf double, " + ", ".join(f"{n} double" for n in names))
     return found.select("snp", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in ["maf", *names]])
 
 
-def _rows(fit: Fit, families: dict[str, str], limit: int) -> dict:
-    """The design of a model of one trait and one plain residual, by rows."""
-    m = fit.model
-    if len(m.traits) > 1 or len(m.sections) > 1 or m.residual.axes or m.absorbed or m.design is None:
-        raise ValueError("products of doses take models of one trait and one plain residual, built in this session")
-    if m.n > limit:
-        raise ValueError(f"the model has more than {limit} rows")
-    table = m.design.select(F.col("coo.c").alias("c"), F.col("coo.x").alias("x")).toPandas()
-    size = np.array([len(v) for v in table["c"]])
-    row, col = np.repeat(np.arange(len(table)), size), np.concatenate(table["c"].to_numpy())
-    x = np.concatenate(table["x"].to_numpy()).astype(float)
-    y, own = np.zeros(len(table)), col == m.m
-    y[row[own]] = x[own]
-    order = np.argsort(col[~own], kind="stable")
-    out = {"n": len(table), "row": row[~own][order], "col": col[~own][order], "x": x[~own][order], "se2": float(np.exp(2 * fit.theta[fit.likelihood.residual[0]][0])), "m": m.m}
-    e = y - np.bincount(out["row"], weights=out["x"] * fit.solution[out["col"]], minlength=len(table))
-    return out | {"e": e, "at": {f: blocks(m, t)[0] for f, t in families.items()}, "gram": fit.likelihood.reduced(fit.theta)[0][: m.m, : m.m]}
-
-
-def _products(s: np.ndarray, d: dict, cinv: np.ndarray, step: int = 32) -> dict[str, np.ndarray]:
-    """Scores and information of the products of own and neighbours' doses, and their information with each of the two."""
-    out = {k: np.zeros(len(s)) for k in ("num", "den", "dir", "ind")}
-    cut = np.searchsorted(d["col"], np.arange(d["m"] + 1))
-    filled = np.nonzero(cut[1:] > cut[:-1])[0]
-    for at in range(0, len(s), step):
-        part = s[at : at + step]
-        sums = {}
-        for f in ("dir", "ind"):
-            k = slice(cut[d["at"][f].start], cut[d["at"][f].stop])
-            sums[f] = np.zeros((d["n"], len(part)))
-            np.add.at(sums[f], d["row"][k], d["x"][k, None] * part[:, d["col"][k] - d["at"][f].start].T)
-        u = sums["dir"] * sums["ind"]
-        w = np.zeros((d["m"], len(part)))
-        w[filled] = np.add.reduceat(d["x"][:, None] * u[d["row"]], cut[filled], axis=0)
-        w /= d["se2"]
-        solved_w = cinv @ w
-        out["num"][at : at + step] = d["e"] @ u / d["se2"]
-        out["den"][at : at + step] = (u * u).sum(axis=0) / d["se2"] - (w * solved_w).sum(axis=0)
-        for f in ("dir", "ind"):
-            k = d["at"][f]
-            out[f][at : at + step] = ((w[k] - d["gram"][k] @ solved_w) * part.T).sum(axis=0)
-    return out
-
-
 def scan_loco(null_without: Callable[[object], Fit], markers: DataFrame, terms: list[str], chrom: str = "chr", **options) -> DataFrame:
     """A scan in which each chromosome's loci are tested on the null fit made without it; chromosomes are few."""
     parts = [scan(null_without(r[0]), markers.where(F.col(chrom) == F.lit(r[0])), terms, **options) for r in markers.select(chrom).distinct().orderBy(chrom).collect()]

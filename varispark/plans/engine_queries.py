@@ -551,9 +551,9 @@ _PAIR_CTES = [
 ]
 
 
-def _pair_model(columns: list[tuple[str, str]], fixed: int, name: str) -> str:
-    """Sweep of the equations with these fixed columns, 10 labels and 7 others."""
-    size = fixed + 17
+def _pair_model(columns: list[tuple[str, str]], fixed: int, name: str, others: int = 7) -> str:
+    """Sweep of the equations with these fixed columns, 10 labels and so many others."""
+    size = fixed + 10 + others
     listed = ", ".join(f"{{'c': CAST({c} AS INTEGER), 'x': CAST({x} AS DOUBLE)}}" for c, x in [*columns, (f"{fixed + 1} + li", "1"), (f"{fixed + 11} + o", "1")])
     return (
         f"en{name} AS (SELECT snp, n, sy, unnest([{listed}]) AS s, li, o FROM rw), "
@@ -569,6 +569,24 @@ _PAIR_GIVEN = _pair_model([("1", "1"), ("2", "x"), ("3", "z"), ("4", "x * z")],
 _PAIR_ROW = "SELECT '{0}' AS test, CAST(pr.fa AS BIGINT) AS focal, CAST(pr.nb AS BIGINT) AS neighbour, round(m[{1}][{2}] ** 2 / m[{1}][{1}], 5) AS chi2, round(m[{1}][{2}], 5) AS beta, round(sqrt(m[{1}][{1}]), 5) AS se FROM {3} JOIN pr USING (snp) WHERE k = {4}"
 
 
+def scan_products(spark, sf):
+    """Products of a locus's doses at two factors, row by row, alone and given both; slabs of rows meet tiles of loci."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding")[0].cast("double").alias("y"), ((F.col("vec_id") * 7 + 3) % 10).cast("int").alias("other"), "embedding")
+    f = reml.reml(rows, "y ~ 1", "~ label + other", fixed_theta=_log(_P1, _P2, _PE))
+    loci = _doses(rows, "label").where(f"snp < {_SCAN_AT + _PAIR_LOCI}")
+    got = genome.scan_tests(f, loci, {"dir": "label", "ind": "other"}, ["sim", "sim|dir+ind"], coding="centred")
+    return _rounded(got.select("snp", F.col("chi2_1").alias("alone"), F.col("beta_1_1").alias("beta"), F.col("se_1_1").alias("se"), F.col("chi2_2").alias("given"), F.col("beta_2_1").alias("beta_given")), 5)
+
+
+_PRODUCT_CTES = [
+    "v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS y, CAST((vec_id * 7 + 3) % 10 AS INTEGER) AS other, embedding FROM embeddings)", _DOSE.format("label", "da"),
+    "ce AS (SELECT label, other, count(*) AS n, sum(y) AS sy FROM v GROUP BY 1, 2)",
+    "lb AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS li FROM (SELECT DISTINCT label FROM v))",
+    f"pr AS (SELECT DISTINCT snp FROM da WHERE snp < {_SCAN_AT + _PAIR_LOCI})",
+    "rw AS (SELECT pr.snp, n, sy, lb.li, ce.other AS o, a.dose AS x, b.dose AS z FROM pr JOIN da a USING (snp) JOIN da b ON b.snp = pr.snp JOIN lb ON lb.label = a.level JOIN lb lo ON lo.label = b.level JOIN ce ON ce.label = a.level AND ce.other = lo.li)",
+]
+
+
 # A structural lag: nations are units, those of one region each other's neighbours.
 _LP, _LV = 0.3, 0.05
 
@@ -700,6 +718,7 @@ ORACLE_SQL = {
     "scan_two_traits": _SCAN2_SQL,
     "pair_tests": "WITH RECURSIVE " + ", ".join([*_PAIR_CTES, _PAIR_ALONE, _PAIR_GIVEN]) + " " + _PAIR_ROW.format("pair", 2, 20, "sv1", 19) + " UNION ALL " + _PAIR_ROW.format("pair|dir+ind", 4, 22, "sv2", 21),
     "pair_best": "WITH RECURSIVE " + ", ".join([*_PAIR_CTES, _PAIR_ALONE]) + ", z AS (SELECT fa, nb, m[2][20] ** 2 / m[2][2] AS chi2 FROM sv1 JOIN pr USING (snp) WHERE k = 19) SELECT 'focal' AS side, CAST(fa AS BIGINT) AS snp, round(max(chi2), 5) AS chi2 FROM z GROUP BY 2 UNION ALL SELECT 'neighbour', CAST(nb AS BIGINT), round(max(chi2), 5) FROM z GROUP BY 2",
+    "scan_products": "WITH RECURSIVE " + ", ".join([*_PRODUCT_CTES, _pair_model([("1", "1"), ("2", "x * z")], 2, "1", 10), _pair_model([("1", "1"), ("2", "x"), ("3", "z"), ("4", "x * z")], 4, "2", 10)]) + " SELECT a.snp, round(a.m[2][23] ** 2 / a.m[2][2], 5) AS alone, round(a.m[2][23], 5) AS beta, round(sqrt(a.m[2][2]), 5) AS se, round(b.m[4][25] ** 2 / b.m[4][4], 5) AS given, round(b.m[4][25], 5) AS beta_given FROM sv1 a JOIN sv2 b ON a.snp = b.snp WHERE a.k = 22 AND b.k = 24",
     "lag_likelihood": _LAG_SQL,
     "lag_region": _RING_SQL,
 }
