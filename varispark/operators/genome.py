@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.functions.special import chi2_sf
-from varispark.operators import products, reml
+from varispark.operators import products, refits, reml
 from varispark.operators.reml import Effects, Fit, Model, Sums
 from varispark.plans.hypotheses import FAMILIES, parse_test, parts as parts_of
 from varispark.shipping import ship
@@ -250,7 +250,8 @@ def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) ->
     """Exact refits: variances estimated anew with each locus as a fixed effect, and its Wald test: snp, chi2, df, p, neg2,
     converged, and theta; labels' beta_j and se_j.
 
-    A locus is a row and is refitted where it lies, from the sums of the null fit. markers: the loci to refit, as for
+    A locus is a row and is refitted where it lies, from the sums of the null fit: loci by batches whose equations are
+    stacked (refits.py), those that don't converge there, or whose model it doesn't take, by a fit each. markers: the loci to refit, as for
     scan_tests; families are dir and ind.
     """
     m = fit.model
@@ -264,30 +265,49 @@ def refit(fit: Fit, markers: DataFrame, families: dict[str, str], test: str) ->
     at = {(f, k): b for f, t in families.items() for k, b in enumerate(blocks(m, t))}
     held = markers.sparkSession.sparkContext.broadcast((replace(m, source=None, design=None, rows=None, coder=None, spec={}), fit.theta, fit.free, fit.likelihood.ml))
 
+    names = ["snp", "chi2", "p", "df", "neg2", "converged", "theta", *[f"{x}_{j + 1}" for j in range(len(labels)) for x in ("beta", "se")]]
+
+    def tested(snp, value: float, done: bool, best: np.ndarray, effects: np.ndarray, v: np.ndarray) -> tuple:
+        lb, lv = hypothesis @ effects, hypothesis @ v @ hypothesis.T
+        chi2 = float(lb @ np.linalg.solve(lv, lb))
+        return (snp, chi2, chi2_sf(chi2, len(hypothesis)), float(len(hypothesis)), value, bool(done), best.tolist(), *[x for pair in zip(lb, np.sqrt(np.diag(lv))) for x in pair])
+
+    def alone(null: Model, snp, weights: np.ndarray, theta: np.ndarray, free: np.ndarray, ml: bool) -> tuple:
+        """One locus, by a fit of its own."""
+        try:
+            model = reml._checked(with_columns(null, weights, [f"__locus{j}" for j in range(len(columns))]))
+        except ValueError:
+            return (snp, *[float("nan")] * 2, float(len(hypothesis)), float("nan"), False, theta.tolist(), *[float("nan")] * (2 * len(labels)))
+        one = reml.fit(model, theta=theta, fixed_theta=np.where(free, np.nan, theta), ml=ml)
+        place = slice(null.p, null.p + len(columns))
+        return tested(snp, one.neg2, one.converged, one.theta, one.solution[place], one.cinv[place, place])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         null, theta, free, ml = held.value
-        for pdf in frames:
-            out = []
-            for snp, dose in zip(pdf["snp"], pdf["dose"]):
-                s = np.asarray(dose, dtype=float)
-                weights = np.zeros((null.m, len(columns)))
-                for j, col in enumerate(columns):
-                    for key, w in col.items():
-                        weights[at[key], j] += w * s
-                try:
-                    model = reml._checked(with_columns(null, weights, [f"__locus{j}" for j in range(len(columns))]))
-                except ValueError:
-                    out.append((snp, *[float("nan")] * 2, float(len(hypothesis)), float("nan"), False, theta.tolist(), *[float("nan")] * (2 * len(labels))))
-                    continue
-                one = reml.fit(model, theta=theta, fixed_theta=np.where(free, np.nan, theta), ml=ml)
-                best, value, done = one.theta, one.neg2, one.converged
-                place = slice(null.p, null.p + len(columns))
-                v = one.cinv[place, place]
-                lb = hypothesis @ one.solution[place]
-                lv = hypothesis @ v @ hypothesis.T
-                chi2 = float(lb @ np.linalg.solve(lv, lb))
-                out.append((snp, chi2, chi2_sf(chi2, len(hypothesis)), float(len(hypothesis)), value, bool(done), best.tolist(), *[x for pair in zip(lb, np.sqrt(np.diag(lv))) for x in pair]))
-            yield pd.DataFrame(out, columns=["snp", "chi2", "p", "df", "neg2", "converged", "theta", *[f"{x}_{j + 1}" for j in range(len(labels)) for x in ("beta", "se")]])
+        like = reml.Likelihood(null, ml)
+        together = refits.takes(null) and not ml
+        step = max(1, refits.BATCH // (6 * (null.m + 1) ** 2))
+        for whole in frames:
+            for lo in range(0, len(whole), step):
+                pdf, out = whole.iloc[lo : lo + step], []
+                weights = np.zeros((len(pdf), null.m, len(columns)))
+                for i, dose in enumerate(pdf["dose"]):
+                    for j, col in enumerate(columns):
+                        for key, w in col.items():
+                            weights[i, at[key], j] += w * np.asarray(dose, dtype=float)
+                results = {}
+                if together:
+                    alive = refits.independent(null, weights)
+                    if alive.any():
+                        found = refits.fit(like, theta, free, weights[alive])
+                        results = {i: r for i, *r in zip(np.nonzero(alive)[0], *found) if r[2]}
+                for i, snp in enumerate(pdf["snp"]):
+                    if i in results:
+                        best, value, done, effects, v = results[i]
+                        out.append(tested(snp, float(value), done, best, effects, v))
+                    else:
+                        out.append(alone(null, snp, weights[i], theta, free, ml))
+                yield pd.DataFrame(out, columns=names)
 
     kind = markers.schema["snp"].dataType.simpleString()
     more = "".join(f", {x}_{j + 1} double" for j in range(len(labels)) for x in ("beta", "se"))
