@@ -283,3 +283,81 @@ def test_search_with_shared_ids(spark, tmp_path):
         assert got == sorted_rows(some)
     big = spark.createDataFrame([(0, [1e300, -1e300]), (1, [1e300, 1.0]), (2, [-1e300, 1e300]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in top_k.search(big, "vec_id = 0").orderBy("rank").collect()] == [(1, (1 << 63) - 1), (3, 0), (2, -(1 << 63))]
+
+
+# --- near copies where cells are dense, heavy or split
+
+
+def test_unlike_sets_hide_no_near_copies():
+    """All pairs with a common variant meet, however many unlike ones share it."""
+    from varispark.llm import simhash
+
+    rng = np.random.default_rng(21)
+    n, width = 6000, 18  # about four variants to a value
+    fp = rng.integers(0, 1 << width, n).astype(np.uint64)
+    guard = rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for k in range(0, 2000, 2):  # near copies: up to four bits apart, guards alike
+        bits = rng.choice(width, rng.integers(0, 5), replace=False)
+        fp[k + 1] = fp[k] ^ np.uint64(sum(1 << int(b) for b in bits))
+        guard[k + 1] = guard[k] ^ np.uint64(0b1011)
+    place = rng.permutation(n)  # pairs don't stand side by side
+    fp[place], guard[place] = fp.copy(), guard.copy()
+    near = lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= 6
+    root = simhash.joined(fp, 0, 0, 2, near, width, every=True)
+    assert all(root[place[k]] == root[place[k + 1]] for k in range(0, 2000, 2)) and len(np.unique(root)) == n - 1000
+    alone = simhash.joined(fp, 0, 0, 2, near, width)
+    assert sum(alone[place[k]] == alone[place[k + 1]] for k in range(0, 2000, 2)) < 1000
+
+
+def test_heavy_cells_are_taken_apart(spark):
+    """Fingerprints that agree in most bits: no cell holds them all, and no link is lost."""
+    import pyarrow as pa
+
+    from varispark.llm import near_copies, shared
+
+    rng = np.random.default_rng(22)
+    size, rows, pairs = near_copies.WIDTH // 8, [], []
+    base = rng.integers(0, 256, near_copies.TABLES * size, dtype=np.uint8)
+    for g in range(300):
+        own = base.copy()
+        for t in range(near_copies.TABLES):  # 12 of a table's bits are each set's own
+            bits = rng.integers(0, 2, 12)
+            for j, b in enumerate(bits):
+                at = t * size + (3 * j) // 8
+                own[at] = own[at] & ~np.uint8(1 << ((3 * j) % 8)) | np.uint8(int(b) << ((3 * j) % 8))
+        other = own.copy()
+        for t in range(near_copies.TABLES):
+            for j in rng.choice(40, 3, replace=False):
+                other[t * size + j // 8] ^= np.uint8(1 << (j % 8))
+        guard = rng.integers(0, 256, near_copies.GUARD // 8, dtype=np.uint8)
+        rows += [(2 * g, 100, bytearray(np.concatenate([own, guard]).tobytes())), (2 * g + 1, 100, bytearray(np.concatenate([other, guard]).tobytes()))]
+        pairs.append((2 * g, 2 * g + 1))
+    df = spark.createDataFrame(rows, "set long, n long, signature binary")
+    shared.ship(spark)
+    plan = near_copies.planned(df, len(rows), 20)
+    assert plan.heavy and len(plan.heavy[0])
+    largest = 0
+    fps, _ = near_copies._tables(pa.array([bytes(r[2]) for r in rows], pa.binary()))
+    for t, fp in enumerate(fps[:3]):
+        for names, _, _ in plan.places(fp, t):
+            largest = max(largest, int(np.unique(names, return_counts=True)[1].max()))
+    assert largest < len(rows) / 4
+    together = {}
+    for r in near_copies.candidates(df, len(rows), 20).collect():
+        together.setdefault((r["cell"], r["low"]), set()).add(r["set"])
+    assert all(any(a in c and b in c for c in together.values()) for a, b in pairs)
+
+
+def test_split_components_by_tiles(spark, monkeypatch):
+    from varispark.llm import near_copies, shared, simhash
+
+    rng = np.random.default_rng(23)
+    sets = [np.unique(np.concatenate([rng.choice(np.arange(100, dtype=np.uint64), 92, replace=False), rng.integers(100, 200, 5).astype(np.uint64)])) for _ in range(60)]
+    rows = [(k // 30, k, len(h), bytearray(h.tobytes())) for k, h in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, set long, n long, h binary")
+    sizes = members.groupBy("key").agg(F.sum("n").alias("total"))
+    shared.ship(spark)
+    whole = {r["node"]: r["root"] for r in simhash.components(near_copies.bucketed(members, sizes)).collect()}
+    monkeypatch.setattr(near_copies, "TILE", 500)
+    tiled = {r["node"]: r["root"] for r in simhash.components(near_copies.bucketed(members, sizes)).collect()}
+    assert tiled == whole and len(whole) > 5

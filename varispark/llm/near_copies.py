@@ -12,11 +12,13 @@ in simhash.py: all variants within RADIUS bits are made and those of one value l
 GUARD further bits of the two differ in GUARD_BITS or fewer (0.99999 of pairs at 0.8; 1 in 170 of unlike
 ones). Where there are many sets, those meet that agree in some whole segments of a fingerprint, as
 all pairs within reach do for some choice of segments, and the variants are of the other segments.
-Each cell gives back its components, and these are verified on the shingles: first each set against
-the smallest one that it met in any component, then, where these links leave it apart from another
-component's smallest, against that, and then, in components that are still in several parts, all pairs
-at once by products of incidence matrices. A component gives back at most one link for each of its
-members.
+Within a cell all pairs with a common variant are held against the guard, so unlike sets don't hide
+near copies from each other however dense it is; a cell that far more fingerprints share than foreseen
+is taken apart by further segments. Each cell gives back its components, and these are verified on the
+shingles: first each set against the smallest one that it met in any component, then, where these links
+leave it apart from another component's smallest, against that, and then, in components that are still
+in several parts, all pairs by products of incidence matrices, in tiles of a bounded number of shingles.
+A tile gives back at most one link for each of its members.
 
 Equal sets are one from the start, so groups of copies are candidates once. Null texts and texts
 without a word have the empty set.
@@ -43,7 +45,11 @@ TABLES, WIDTH, RADIUS = 24, 40, 2
 GUARD, GUARD_BITS = 64, 22
 #: Sets of one fingerprint that meet in a cell, about.
 GROUP = 1 << 20
-#: Sets of a component whose pairs are counted at once, and shingles of them.
+#: Cells with over so many times that are taken apart, and how often.
+HEAVY, DEEPER = 4, 3
+#: Shingles of a part of a component, about; two parts make a tile.
+TILE = 1 << 21
+#: Sets of a tile whose pairs are counted at once, and shingles of them.
 BLOCK = 1_024
 COLUMNS = 2_048
 LONGS = (TABLES * WIDTH + GUARD) // 64
@@ -122,46 +128,122 @@ def _bits(fp: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+class Plan:
+    """The cells that fingerprints go to: segments and choices of them at first, and then, for cells that are too heavy, each of
+    2 * RADIUS + 1 parts of the bits that are left, in one of which at least any two within reach agree."""
+
+    def __init__(self, count: int, group: int):
+        self.segments, self.choices = cells(count, group)
+        self.heavy: list[np.ndarray] = []  # names of the heavy cells of each depth
+
+    def left(self, k: int) -> list[tuple[int, int]]:
+        """The segments in which members of the k-th choice's cells can differ."""
+        return [s for i, s in enumerate(self.segments) if i not in self.choices[k]]
+
+    @staticmethod
+    def parts(free: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """The bits of these segments, dealt to 2 * RADIUS + 1 parts."""
+        bits = [b for first, size in free for b in range(first, first + size)]
+        n = 2 * RADIUS + 1
+        return [[(b, 1) for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]] for i in range(n)]
+
+    def places(self, fp: np.ndarray, table: int):
+        """Name of the cell (a hash of which table, choice and bits), bits that its members can differ in, and who goes there."""
+        for k, chosen in enumerate(self.choices):
+            where = _bits(fp, [self.segments[i] for i in chosen])
+            yield from self._deeper(fp, np.arange(len(fp)), _mixed(where, table * len(self.choices) + k), self.left(k), 0)
+
+    def _deeper(self, fp: np.ndarray, who: np.ndarray, name: np.ndarray, free: list[tuple[int, int]], depth: int):
+        heavy = np.isin(name, self.heavy[depth]) if depth < len(self.heavy) else np.zeros(len(name), dtype=bool)
+        if (~heavy).any():
+            yield name[~heavy], free, who[~heavy]
+        if heavy.any():
+            who, name = who[heavy], name[heavy]
+            for i, part in enumerate(self.parts(free)):
+                rest = [s for other in self.parts(free)[:i] + self.parts(free)[i + 1 :] for s in other]
+                yield from self._deeper(fp, who, _mixed(_bits(fp[who], part) ^ name, i + 1), rest, depth + 1)
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of 64 bits of each number and of the salt."""
+    x = (x.astype(np.uint64) + np.uint64(salt * int(FACTORS[1]) & (1 << 64) - 1)) * FACTORS[2]
+    x ^= x >> np.uint64(31)
+    x *= FACTORS[3]
+    return x ^ (x >> np.uint64(29))
+
+
+def _tables(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """All fingerprints of signatures, table by table, and their guards."""
+    size = WIDTH // 8
+    every = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    out = []
+    for t in range(TABLES):
+        fp = np.zeros((len(column), 8), dtype=np.uint8)
+        fp[:, :size] = every[:, t * size : (t + 1) * size]
+        out.append(fp.view("<u8")[:, 0])
+    return out, np.ascontiguousarray(every[:, TABLES * size :]).view("<i8")[:, 0]
+
+
+def planned(sets: DataFrame, count: int, group: int) -> Plan:
+    """Cells for so many sets. The driver holds the names of heavy cells, each of over HEAVY * group fingerprints."""
+    plan = Plan(count, group)
+    for _ in range(DEEPER):
+        if count <= HEAVY * group:
+            break
+
+        def name(batches, plan=plan):
+            for batch in batches:
+                for part in slices(batch, 4096):
+                    for t, fp in enumerate(_tables(part.column(0))[0]):
+                        for names, _, _ in plan.places(fp, t):
+                            cell, n = np.unique(names, return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(n)], ["cell", "n"])
+
+        counted = sets.select("signature").mapInArrow(name, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        heavy = np.array([r["cell"] for r in counted.where(F.col("n") > HEAVY * group).collect()], dtype=np.int64).view(np.uint64)
+        if not len(heavy):
+            break
+        deeper = Plan(count, group)
+        deeper.heavy = [*plan.heavy, heavy]
+        plan = deeper
+    return plan
+
+
 def candidates(sets: DataFrame, count: int, group: int | None = None) -> DataFrame:
     """Components of two sets or more under candidate links within one cell.
 
     sets: set, n and signature of each non-empty set. A row per member: set, n, cell, and low and low_n, the component's
     smallest set and that one's n. A cell holds about 32 * GROUP bytes.
     """
-    segments, choices = cells(count, group or GROUP)
-    size = WIDTH // 8
+    plan = planned(sets, count, group or GROUP)
 
     def send(batches):
         for batch in batches:
             for part in slices(batch, 4096):
                 name, n = (part.column(i) for i in (0, 1))
-                every = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                guard = pa.array(np.ascontiguousarray(every[:, TABLES * size :]).view("<i8")[:, 0])
-                for t in range(TABLES):
-                    fp = np.zeros((part.num_rows, 8), dtype=np.uint8)
-                    fp[:, :size] = every[:, t * size : (t + 1) * size]
-                    fp = fp.view("<u8")[:, 0]
-                    for k, chosen in enumerate(choices):
-                        cell = _bits(fp, [segments[i] for i in chosen]).astype(np.int64) + ((t * len(choices) + k) << WIDTH)
-                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp.view(np.int64)), guard, name, n], ["cell", "fp", "guard", "set", "n"])
+                fps, guard = _tables(part.column(2))
+                for t, fp in enumerate(fps):
+                    for cell, free, who in plan.places(fp, t):
+                        own = _bits(fp[who], free)  # all that members of the cell can differ in
+                        at = pa.array(who)
+                        width = pa.array(np.full(len(who), sum(s for _, s in free), dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), width, pa.array(own.view(np.int64)), pa.array(guard[who]), name.take(at), n.take(at)], ["cell", "width", "fp", "guard", "set", "n"])
 
     def meet(batches):
-        for (cell,), (fp, guard, name, n) in grouped(batches, 1):
+        for (cell, width), (fp, guard, name, n) in grouped(batches, 2):
             if len(fp) < 2:
                 continue
             order = np.argsort(name)
             fp, guard, name, n = fp[order].view(np.uint64), guard[order].view(np.uint64), name[order], n[order]
-            chosen = choices[(cell >> WIDTH) % len(choices)]
-            free = [s for i, s in enumerate(segments) if i not in chosen]  # all that members of the cell can differ in
-            root = joined(_bits(fp, free), 0, 0, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, sum(s for _, s in free))
+            root = joined(fp, 0, 0, RADIUS, lambda a, b: np.bitwise_count(guard[a] ^ guard[b]) <= GUARD_BITS, width, every=True)
             (k,) = np.nonzero(np.bincount(root, minlength=len(root))[root] > 1)
             low = root[k]
             for at in range(0, len(k), 65_536):
                 i, j = k[at : at + 65_536], low[at : at + 65_536]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name[i], n[i], np.full(len(i), cell), name[j], n[j])], ["set", "n", "cell", "low", "low_n"])
 
-    sent = sets.select("set", "n", "signature").mapInArrow(send, "cell long, fp long, guard long, set long, n long")
-    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "set long, n long, cell long, low long, low_n long")
+    sent = sets.select("set", "n", "signature").mapInArrow(send, "cell long, width long, fp long, guard long, set long, n long")
+    return sent.repartition("cell").sortWithinPartitions("cell", "width").mapInArrow(meet, "set long, n long, cell long, low long, low_n long")
 
 
 def contents(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
@@ -214,8 +296,11 @@ def bucket_links(names: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray,
     return names[root[k]], names[k]
 
 
-def bucketed(members: DataFrame) -> DataFrame:
-    """Links of all components of candidates: members has key, set and h."""
+def bucketed(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links of all components of candidates: members has key, set, n and h, sizes the shingles of each key's sets (key, total).
+
+    A component's sets are dealt to parts of about TILE shingles by a hash, and each two parts are a tile, for a task of its own.
+    """
 
     def run(batches):
         key, names, held = None, [], []
@@ -225,7 +310,7 @@ def bucketed(members: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for k, name, h in zip(*(c.to_pylist() for c in batch.columns)):
+            for *k, name, h in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key:
                     if names:
                         yield end()
@@ -235,7 +320,12 @@ def bucketed(members: DataFrame) -> DataFrame:
         if names:
             yield end()
 
-    return members.select("key", "set", "h").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    parts = members.join(small(sizes), "key").withColumn("parts", F.ceil(F.col("total") / TILE).cast("int"))
+    own = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    parts = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Of three parts or more no tile is of one part alone: each part meets itself in its tile with the next one.
+    tiles = parts.where((F.col("own") != F.col("other")) | (F.col("parts") == 1)).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "set", "h")
+    return tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -262,7 +352,8 @@ def groups(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("names"))
     split = split.where("x < y and members > 2").groupBy("members", "names").agg(F.min("key").alias("key")).select("key")
     placed = materialize(placed.join(split, "key", "left_semi").select("set", "key"), "split")
-    links = links.unionByName(bucketed(held.join(small(placed), "set")))
+    sizes = materialize(placed.join(sets.select("set", "n"), "set").groupBy("key").agg(F.sum("n").alias("total")), "sizes")
+    links = links.unionByName(bucketed(held.join(small(placed), "set"), sizes))
     joined_up = components(links)
     known = sets.join(joined_up, F.col("set") == F.col("node"), "left").select(F.col("set").alias("s"), F.coalesce("root", "set").alias("root"))
     return rows.join(known, F.col("set") == F.col("s")).select("doc_id", "text_key", "root")

@@ -122,8 +122,9 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root[root]
 
 
-def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owners that stand next to each other among those of one key, for all keys of so many bits."""
+def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int, every: bool = False):
+    """Owners that stand next to each other among those of one key, for all keys of so many bits; with every, then those that
+    stand two apart, and so on: all pairs of a key's owners, step by step."""
     places = int(owner.max()).bit_length()
     if bits + places <= 64:
         shift = np.uint64(places)
@@ -133,12 +134,22 @@ def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarr
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
     (same,) = np.nonzero(key[1:] == key[:-1])
-    return owner[same], owner[same + 1]
+    apart = 1
+    while len(same):
+        yield owner[same], owner[same + apart]
+        if not every:
+            return
+        apart += 1
+        same = same[same + apart < len(key)]
+        same = same[key[same] == key[same + apart]]
 
 
-def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int = BITS) -> np.ndarray:
+def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int = BITS, every: bool = False) -> np.ndarray:
     """Smallest index of each fingerprint's component, where those with a common variant are linked if near(i, j).
 
+    If near holds for all that have a common variant, neighbours in order link them all. Else every is to be asked for: all
+    pairs with a common variant, but for those that are one component already.
+
     The variants are those whose first so many bits are lead. They are made and sorted by parts of their values, a
     part at a time.
     """
@@ -171,8 +182,11 @@ def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int
         key = np.concatenate(keys)
         if split:
             key &= np.uint64((1 << (low - split)) - 1)  # all keys of a part agree in the rest
-        a, b = _neighbours(key, np.concatenate(owners), low - split)
-        if len(a):
+        for a, b in _neighbours(key, np.concatenate(owners), low - split, every):
+            apart = root[a] != root[b]
+            if not apart.any():
+                continue
+            a, b = a[apart], b[apart]
             pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
             a, b = pair // len(fps), pair % len(fps)
             linked = near(a, b)
