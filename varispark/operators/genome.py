@@ -607,3 +607,65 @@ def neighbour_scale(df: DataFrame, traits: list[str], plant: str, markers: DataF
         rows += [(float(s), *r, float(found["fit"].loglik), float(found["fit_self"].loglik), lrt, p if len(traits) == 1 else None) for r in found["shares"].collect()]
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
     return df.sparkSession.createDataFrame(rows, f"scale double, {columns}, loglik double, loglik_self double, lrt double, p double")
+
+
+def pair_kernel(plants: DataFrame, own: pd.DataFrame, other: pd.DataFrame, plant: str = "plant", level: str = "level", near: str = "near", block: str | None = None, normalise: bool = True, ridge: float = 1e-6, tile: int = 1_024) -> DataFrame:
+    """The kernel of a plant's and its neighbours' genotypes together, as pairs (a, b, x; block first if it is named), each pair
+    once: the product of the two plants' own relationship and of that of their neighbours, over the mean of the diagonal if
+    normalised, with the ridge (in shares of it) on the diagonal, since a plant without neighbours has a row of zeros.
+
+    plants: plant, level (its genotype) and near, a map from neighbours' genotypes to weights. own and other: relationships
+    with genotypes as index and columns, which are broadcast. Pairs are made by tiles of two parts of the plants, or within blocks, so
+    that a term vm(plant, K) of blocks.build() takes them as they are.
+    """
+    ship(plants.sparkSession)
+    held = plants.sparkSession.sparkContext.broadcast((own, other))  # as large as the genotypes squared
+    rows = plants.select(F.col(plant).cast("string").alias("p"), F.col(level).cast("string").alias("l"), F.col(near).cast("map<string,double>").alias("w"), *([F.col(block).alias("block")] if block else []))
+
+    def parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the own genotypes, and the neighbours' weights."""
+        o, n = held.value
+        w = np.zeros((len(pdf), len(n)))
+        for k, m in enumerate(pdf["w"]):
+            m = dict(m) if m is not None else {}
+            if m:
+                w[k, n.index.get_indexer(list(m))] += list(m.values())
+        at = o.index.get_indexer(pdf["l"])
+        if (at < 0).any():
+            raise ValueError("a plant's genotype is not among the relationships")
+        return at, w
+
+    def diagonal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            at, w = parts(pdf)
+            yield pd.DataFrame({"x": np.diag(held.value[0].to_numpy())[at] * ((w @ held.value[1].to_numpy()) * w).sum(axis=1)})
+
+    mean = rows.mapInPandas(diagonal, "x double").agg(F.avg("x")).first()[0]
+    if not mean or mean <= 0 or not np.isfinite(mean):
+        raise ValueError("the kernel has no positive diagonal")
+    scale, extra = (mean, ridge) if normalise else (1.0, ridge * mean)
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        (a, v), (b, w) = parts(left), parts(right)
+        x = held.value[0].to_numpy()[np.ix_(a, b)] * (v @ held.value[1].to_numpy() @ w.T) / scale
+        if same:
+            x += extra * np.eye(len(left))
+        i, j = np.nonzero(np.tril(np.ones(x.shape)) if same else np.ones(x.shape))
+        return pd.DataFrame({"a": left["p"].to_numpy()[i], "b": right["p"].to_numpy()[j], "x": x[i, j]})
+
+    if block:
+        kind = rows.schema["block"].dataType.simpleString()
+        return rows.groupBy("block").applyInPandas(lambda pdf: kernel(pdf, pdf, True).assign(block=pdf["block"].iloc[0])[["block", "a", "b", "x"]], f"block {kind}, a string, b string, x double")
+    n = max(1, -(-rows.count() // tile))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("p"), F.lit(n)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", every).where("j <= i")
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", every).where("j <= i")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "x": []})
+        return kernel(x.sort_values("p"), y.sort_values("p"), bool(x["i"].iloc[0] == x["j"].iloc[0]))
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda x, y: meet(x, y), "a string, b string, x double")

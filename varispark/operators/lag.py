@@ -92,8 +92,67 @@ def log_jacobian(edges: DataFrame, psis: list, max_units: int = 5_000, traits: l
     columns = ["block", "src", "dst", "w"] + (["trait"] if own else [])
     sums = edges.select(*columns).groupBy("block").applyInPandas(one, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
     found = {r["k"]: r["x"] for r in sums}
-    key = lambda p: float(p) if np.ndim(p) == 0 else tuple(map(tuple, np.asarray(p, dtype=float).tolist()))
-    return {key(p): found.get(k, 0.0) for k, p in enumerate(psis)}
+    return {_key(p): found.get(k, 0.0) for k, p in enumerate(psis)}
+
+
+def mean_terms(model: reml.Model, edges: DataFrame, psis: list, max_units: int = 5_000) -> dict:
+    """Half of log |Y'Y| - log |X'X| for each psi, where Y = (I - M)^-1 X are the means of the untransformed responses: what
+    restricting on these, and not on the transformed ones, changes. Blocks are solved where they lie; their sums are as large
+    as the fixed effects. model: of build(), in this session."""
+    if model.rows is None or "unit" not in model.spec.get("lag_names", {}):
+        raise ValueError("the criterion on the untransformed response takes a model of lag.build(), built in this session")
+    unit, names = model.spec["lag_names"]["unit"], model.spec["lag"].traits
+    points = [np.atleast_2d(np.asarray(p, dtype=float)) for p in psis]
+    q, own = len(points[0]), "trait" in edges.columns
+    lags = {e.offset for e in model.fixed if e.name.startswith("__lag")}
+    columns = [c for c in range(model.p) if c not in lags]
+    place = {c: k for k, c in enumerate(columns)}
+    size = len(columns)
+    if not size:
+        return {k: 0.0 for k in map(_key, psis)}
+    ship(edges.sparkSession)
+    x = F.filter("coo", lambda e: e["c"].isin(columns))
+    members = edges.select("block", F.col("src").alias("u")).unionByName(edges.select("block", F.col("dst").alias("u"))).distinct()
+    rows = model.rows.select(F.col(f"__keep_{unit}").alias("u"), F.col("t").cast("int").alias("t"), x["c"].alias("c"), x["x"].alias("x"))
+    # Units without an edge keep their means; they are dealt out as blocks of their own.
+    lone = F.concat(F.lit("alone "), F.pmod(F.xxhash64("u"), F.lit(64)).cast("string"))
+    rows = rows.join(members.withColumn("block", F.concat(F.lit("b "), F.col("block").cast("string"))), "u", "left").withColumn("block", F.coalesce("block", lone))
+    sides = edges.select(F.concat(F.lit("b "), F.col("block").cast("string")).alias("block"), "src", "dst", "w", *(["trait"] if own else []))
+
+    def one(part: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(points) + 1, size, size))
+        if len(part):
+            linked = pd.unique(pd.concat([links["src"], links["dst"]]))
+            units = pd.Index(linked if len(linked) else pd.unique(part["u"]))
+            n = len(units)
+            if len(links) and n * q > max_units:
+                raise ValueError(f"a block has more than {max_units} units")
+            mean = np.zeros((q * n, size))
+            at = part["t"].to_numpy() * n + units.get_indexer(part["u"])
+            for k, cs, xs in zip(at, part["c"], part["x"]):
+                mean[k, [place[c] for c in cs]] += xs
+            w = np.zeros((q, n, n)) if len(links) else None
+            if len(links):
+                i, j, v = units.get_indexer(links["src"]), units.get_indexer(links["dst"]), links["w"].to_numpy(float)
+                for t in range(q):
+                    mine = (links["trait"] == names[t]).to_numpy() if own else np.ones(len(links), dtype=bool)
+                    np.add.at(w[t], (i[mine], j[mine]), v[mine])
+            out[-1] = mean.T @ mean
+            for k, p in enumerate(points):
+                y = mean if w is None else np.linalg.solve(np.eye(q * n) - np.einsum("tu,tij->tiuj", p, w).reshape(q * n, q * n), mean)
+                out[k] = y.T @ y
+        k, i, j = np.nonzero(out)
+        return pd.DataFrame({"k": k, "i": i, "j": j, "x": out[k, i, j]})
+
+    found = rows.groupBy("block").cogroup(sides.groupBy("block")).applyInPandas(one, "k int, i int, j int, x double").groupBy("k", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+    total = np.zeros((len(points) + 1, size, size))
+    total[found["k"], found["i"], found["j"]] = found["x"]
+    logs = np.linalg.slogdet(total)[1]
+    return {_key(p): float(logs[k] - logs[-1]) / 2 for k, p in enumerate(psis)}
+
+
+def _key(p):
+    return float(p) if np.ndim(p) == 0 else tuple(map(tuple, np.asarray(p, dtype=float).tolist()))
 
 
 def build(df: DataFrame, unit: str, edges: DataFrame, fixed: str, random: str | None = None, residual: str | None = None, trait: str | None = None, lag: Spec | None = None, **options) -> reml.Model:
@@ -121,8 +180,9 @@ def build(df: DataFrame, unit: str, edges: DataFrame, fixed: str, random: str |
         names.append(name)
     if trait:
         options = {"trait": trait, "unit": unit} | options
-    model = reml.build(rows, " + ".join([f"__response ~ {right}", *names]), random, residual, **options)
+    model = reml.build(rows, " + ".join([f"__response ~ {right}", *names]), random, residual, keep=(unit,), **options)
     model.spec["lag"] = lag
+    model.spec["lag_names"] = {"unit": unit}
     model.spec["lag_columns"] = used
     return model
 
@@ -192,11 +252,12 @@ class LagFit:
 def fit_psi(model: reml.Model, edges: DataFrame, criterion: str = "jacobian", start: np.ndarray | None = None, rounds: int = 30, tol: float = 1e-6, **options) -> LagFit:
     """All free entries of Psi together, by quasi-Newton steps on the profile over the variances.
 
-    criterion: "jacobian" for the restricted likelihood of y - M y and log |det(I - M)|, "ml" for the likelihood with both.
+    criterion: "jacobian" for the restricted likelihood of y - M y and log |det(I - M)|, "ml" for the likelihood with both,
+    "reml_y" for the restricted likelihood of y itself, whose means are (I - M)^-1 X b.
     The profile's derivatives are central differences, whose points share one Jacobian job. An acyclic Psi has none.
     """
-    if criterion not in ("jacobian", "ml"):
-        raise ValueError("criterion is 'jacobian' or 'ml'")
+    if criterion not in ("jacobian", "ml", "reml_y"):
+        raise ValueError("criterion is 'jacobian', 'ml' or 'reml_y'")
     lag: Spec = model.spec["lag"]
     k, state = int(lag.mask.sum()), {"theta": None}
     acyclic = lag.nilpotent()
@@ -204,8 +265,12 @@ def fit_psi(model: reml.Model, edges: DataFrame, criterion: str = "jacobian", st
     def values(points: list[np.ndarray]) -> list[tuple[float, reml.Fit | None]]:
         matrices = [lag.matrix(p) for p in points]
         det = [0.0] * len(points) if acyclic else list(log_jacobian(edges, matrices, traits=lag.traits).values())
+        means = list(mean_terms(model, edges, [m for m, d in zip(matrices, det) if math.isfinite(d)]).values()) if criterion == "reml_y" and any(map(math.isfinite, det)) else []
+        means = iter(means)
         out = []
         for m, d in zip(matrices, det):
+            if math.isfinite(d) and criterion == "reml_y":
+                d += next(means)
             if not math.isfinite(d):
                 out.append((math.inf, None))
                 continue

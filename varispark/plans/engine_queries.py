@@ -595,6 +595,39 @@ _PRODUCT_CTES = [
 ]
 
 
+def pair_kernel(spark, sf):
+    """The kernel of suppliers' own nations and of the nations of their parts' other suppliers, summed up by pairs of nations."""
+    supplier = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    near = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), ((F.col("l_partkey") * 7) % 25).cast("string").alias("k")).groupBy("s_suppkey", "k").agg(F.count("*").alias("n"))
+    near = near.groupBy("s_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("n") / 10.0))).alias("near"))  # at most 25 nations
+    names = [str(k) for k in range(25)]
+    k1, k2 = (pd.DataFrame(r ** np.abs(np.subtract.outer(np.arange(25), np.arange(25))), index=names, columns=names) for r in (0.5, 0.8))
+    pairs = genome.pair_kernel(supplier.join(near, "s_suppkey", "left"), k1, k2, "s_suppkey", "s_nationkey", ridge=0.01, tile=64)
+    nation = lambda c: supplier.select(F.col("s_suppkey").cast("string").alias(c), F.col("s_nationkey").alias(f"n{c}"))
+    both = pairs.join(nation("a"), "a").join(nation("b"), "b").groupBy(F.least("na", "nb").cast("long").alias("i"), F.greatest("na", "nb").cast("long").alias("j"))
+    return _rounded(both.agg(F.count("*").alias("n"), F.sum("x").alias("x")), 5)
+
+
+_KERNEL_SQL = (
+    "WITH w AS (SELECT l_suppkey AS s, l_partkey * 7 % 25 AS k, count(*) / 10e0 AS v FROM lineitem GROUP BY 1, 2), "
+    "t AS (SELECT s, q.k, sum(v * 8e-1 ** abs(w.k - q.k)) AS v FROM w, (SELECT unnest(range(25)) AS k) q GROUP BY 1, 2), "
+    "d AS (SELECT s_suppkey AS s, s_nationkey AS n FROM supplier), "
+    "c AS (SELECT w.s AS a, t.s AS b, sum(w.v * t.v) AS x FROM w JOIN t USING (k) WHERE w.s <= t.s GROUP BY 1, 2), "
+    "p AS (SELECT x.s AS a, y.s AS b, x.n AS na, y.n AS nb, 5e-1 ** abs(x.n - y.n) * coalesce(c.x, 0) AS x FROM d x JOIN d y ON x.s <= y.s LEFT JOIN c ON c.a = x.s AND c.b = y.s), "
+    "m AS (SELECT avg(x) AS m FROM p WHERE a = b) "
+    "SELECT CAST(least(na, nb) AS BIGINT) AS i, CAST(greatest(na, nb) AS BIGINT) AS j, count(*) AS n, round(sum(x / m + CASE WHEN a = b THEN 1e-2 ELSE 0 END), 5) AS x FROM p, m GROUP BY 1, 2"
+)
+
+
+def lag_mean_term(spark, sf):
+    """What restricting on the untransformed response changes, over the rings of nations, with a trend as a fixed effect."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    n = _t(spark, sf, "nation").select(F.col("n_regionkey").alias("block"), F.col("n_nationkey").alias("src"), F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(w)).alias("dst"), F.lit(1.0).alias("w"))
+    units = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.avg(F.col("c_acctbal") / 1000).alias("y")).withColumn("x", F.col("c_nationkey") / 10.0)
+    found = lag.mean_terms(lag.build(units, "c_nationkey", n, "y ~ x"), n, list(_RING[:2]))
+    return _rounded(spark.createDataFrame([(p, found[p]) for p in _RING[:2]], "psi double, term double"), 6)
+
+
 # A structural lag: nations are units, those of one region each other's neighbours.
 _LP, _LV = 0.3, 0.05
 
@@ -634,6 +667,14 @@ _RING_SQL = (
     f"(SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in _RING)}]) AS psi) GROUP BY psi"
 )
 
+# Means of the untransformed response: each unit's is a sum around its ring, with weights psi^k / (1 - psi^n).
+_MEAN_SQL = (
+    "WITH u AS (SELECT n_regionkey AS r, n_nationkey / 10e0 AS x, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)), "
+    f"p AS (SELECT unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in _RING[:2])}]) AS psi), "
+    "y AS (SELECT psi, a.r, a.i, sum(psi ** ((b.i - a.i + a.n) % a.n) / (1 - psi ** a.n)) AS o, sum(b.x * psi ** ((b.i - a.i + a.n) % a.n) / (1 - psi ** a.n)) AS x FROM p, u a JOIN u b ON a.r = b.r GROUP BY 1, 2, 3), "
+    "s AS (SELECT psi, sum(o * o) * sum(x * x) - sum(o * x) ** 2 AS d FROM y GROUP BY 1) SELECT psi, round(5e-1 * ln(d / z), 6) AS term FROM s, (SELECT count(*) * sum(x * x) - sum(x) ** 2 AS z FROM u)"
+)
+
 # Suppliers are blocks: effects of each supplier and of its parts are eliminated where the supplier's rows lie.
 _BL, _BS, _BP, _BE = 0.03, 0.02, 0.04, 0.4
 
@@ -732,5 +773,7 @@ ORACLE_SQL = {
     "scan_products": "WITH RECURSIVE " + ", ".join([*_PRODUCT_CTES, _pair_model([("1", "1"), ("2", "x * z")], 2, "1", 10), _pair_model([("1", "1"), ("2", "x"), ("3", "z"), ("4", "x * z")], 4, "2", 10)]) + " SELECT a.snp, round(a.m[2][23] ** 2 / a.m[2][2], 5) AS alone, round(a.m[2][23], 5) AS beta, round(sqrt(a.m[2][2]), 5) AS se, round(b.m[4][25] ** 2 / b.m[4][4], 5) AS given, round(b.m[4][25], 5) AS beta_given FROM sv1 a JOIN sv2 b ON a.snp = b.snp WHERE a.k = 22 AND b.k = 24",
     "lag_likelihood": _LAG_SQL,
     "lag_region": _RING_SQL,
+    "lag_mean_term": _MEAN_SQL,
+    "pair_kernel": _KERNEL_SQL,
 }
 QUERIES = {k: globals()[k] for k in ORACLE_SQL}
