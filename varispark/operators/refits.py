@@ -120,7 +120,7 @@ class Batch:
         return (out + out.transpose(0, 2, 1)) / 2
 
 
-def fit(like: reml.Likelihood, start: np.ndarray, free: np.ndarray, weights: np.ndarray, low: float = -12.0, high: float = 12.0, rounds: int = 25, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fit(like: reml.Likelihood, start: np.ndarray, free: np.ndarray, weights: np.ndarray, low: float = -12.0, high: float = 12.0, rounds: int = 40, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """theta, value, whether it has converged, effects and their covariance for each locus of weights."""
     batch, n, k = Batch(like, weights), len(weights), np.nonzero(free)[0]
     theta = np.tile(start, (n, 1))

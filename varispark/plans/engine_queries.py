@@ -341,7 +341,7 @@ def engine_refits(spark, sf):
     f = reml.reml(_cells(spark, sf), "y ~ 1", "~ g")
     means = _t(spark, sf, "lineitem").groupBy(F.ceil(F.col("l_quantity") / 5).cast("int").alias("g")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"), F.avg(F.col("l_linenumber").cast("double")).alias("c"))
     loci = means.unpivot(["g"], ["a", "b", "c"], "snp", "x").groupBy("snp").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "x"))), lambda v: v["x"]).alias("dose"))
-    return _rounded(genome.refit(f, loci, {"dir": "g"}, "dir").select("snp", "chi2", F.col("beta_1").alias("beta"), F.col("se_1").alias("se"), "converged"), 2)
+    return _rounded(genome.refit(f, loci, {"dir": "g"}, "dir").select("snp", F.round("chi2", 3).alias("chi2"), F.round("beta_1", 1).alias("beta"), F.round("se_1", 1).alias("se"), "converged"), 3)
 
 
 def fit_small_sample_tests(spark, sf):
@@ -762,7 +762,7 @@ ORACLE_SQL = {
     "fit_balanced": f"WITH {_BALANCED} SELECT round((msg - msw) / b, 5) AS between, round(msw, 5) AS within, round(v1 / (v1 + msw), 5) AS h2, round(sqrt(msw * msw * (2 * msg * msg / (q - 1) + 2 * msw * msw / (q * (b - 1))) / (b * b) + v1 * v1 * 2 * msw * msw / (q * (b - 1)) + 2 * v1 * msw * 2 * msw * msw / (q * (b - 1)) / b) / (v1 + msw) ** 2, 5) AS se, true AS converged FROM (SELECT *, (msg - msw) / b AS v1 FROM ms)",
     "engine_refits": f"WITH {_BALANCED}, d AS (SELECT CAST(ceil(l_quantity / 5) AS INTEGER) AS g, avg(l_discount) AS a, avg(l_tax) AS b, avg(l_linenumber) AS c FROM lineitem GROUP BY 1), r AS (UNPIVOT d ON a, b, c INTO NAME snp VALUE x), "
     "k AS (SELECT snp, regr_slope(v, x) AS beta, regr_sxx(v, x) AS sxx, count(*) AS n, regr_syy(v, x) - regr_slope(v, x) * regr_sxy(v, x) AS rss FROM r JOIN gm USING (g) GROUP BY 1) "
-    "SELECT snp, round(beta * beta * sxx * (n - 2) / rss, 2) AS chi2, round(beta, 2) AS beta, round(sqrt(rss / (n - 2) / sxx), 2) AS se, true AS converged FROM k",
+    "SELECT snp, round(beta * beta * sxx * (n - 2) / rss, 3) AS chi2, round(beta, 1) AS beta, round(sqrt(rss / (n - 2) / sxx), 1) AS se, true AS converged FROM k",
     "fit_small_sample_tests": f"WITH {_BALANCED} SELECT b - 1 AS df1, round(CAST((q - 1) * (b - 1) AS DOUBLE), 3) AS df2, round(msn / mse, 3) AS f FROM ms",
     "level_correlations": _LEVELS_SQL,
     "trait_covariances": _sigma_sql(),
