@@ -122,9 +122,8 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root[root]
 
 
-def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int, every: bool = False):
-    """Owners that stand next to each other among those of one key, for all keys of so many bits; with every, then those that
-    stand two apart, and so on: all pairs of a key's owners, step by step."""
+def _runs(key: np.ndarray, owner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of the keys, of so many bits, that two or more of them have, key by key; and how many have each."""
     places = int(owner.max()).bit_length()
     if bits + places <= 64:
         shift = np.uint64(places)
@@ -133,15 +132,10 @@ def _neighbours(key: np.ndarray, owner: np.ndarray, bits: int, every: bool = Fal
     else:
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
-    (same,) = np.nonzero(key[1:] == key[:-1])
-    apart = 1
-    while len(same):
-        yield owner[same], owner[same + apart]
-        if not every:
-            return
-        apart += 1
-        same = same[same + apart < len(key)]
-        same = same[key[same] == key[same + apart]]
+    start = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    length = np.diff(np.append(start, len(key)))
+    del key  # runs are few bytes a variant, as they are held for longer
+    return owner.astype(np.int32)[np.repeat(length > 1, length)], length[length > 1]
 
 
 def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int = BITS, every: bool = False) -> np.ndarray:
@@ -182,15 +176,28 @@ def joined(fps: np.ndarray, lead: int, bits: int, radius: int, near, width: int
         key = np.concatenate(keys)
         if split:
             key &= np.uint64((1 << (low - split)) - 1)  # all keys of a part agree in the rest
-        for a, b in _neighbours(key, np.concatenate(owners), low - split, every):
+        owner, length = _runs(key, np.concatenate(owners), low - split)
+        del keys, owners, key
+        step = 1
+        while len(length):
+            end = np.cumsum(length)
+            start, inside = end - length, np.ones(len(owner), dtype=bool)
+            for k in range(1, step + 1):
+                inside[end - k] = False
+            a, b = owner[inside], owner[step:][inside[:-step]]
             apart = root[a] != root[b]
-            if not apart.any():
-                continue
-            a, b = a[apart], b[apart]
-            pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
-            a, b = pair // len(fps), pair % len(fps)
-            linked = near(a, b)
-            root = merge(root, a[linked], b[linked])
+            a, b = a[apart].astype(np.int64), b[apart].astype(np.int64)
+            if len(a):
+                pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+                a, b = pair // len(fps), pair % len(fps)
+                linked = near(a, b)
+                root = merge(root, a[linked], b[linked])
+            if not every:
+                break
+            step += 1  # what is one component already, as groups of copies are, needs no further pairs
+            own = root[owner]
+            more = (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)) & (length > step)
+            owner, length = owner[np.repeat(more, length)], length[more]
     return root
 
 
