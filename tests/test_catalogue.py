@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else v.item() if hasattr(v, "item") else v
+    def plain(v):
+        """A cell, missing ones as None and whole numbers as such: a column of them with gaps is of doubles in pandas."""
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
+            return None
+        v = v.item() if hasattr(v, "item") else v
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
     return sorted((tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).values.tolist()), key=repr)
 
 
