@@ -113,7 +113,7 @@ def exposure_functionals(spark, sf):
 
 
 def border_covariate(spark, sf):
-    return _rounded(design.border(design.neighbours(_field(spark, sf)).withColumn("w", F.lit(0.125)), 2))
+    return _rounded(design.neighbour_border(_field(spark, sf), 0.125, 2))
 
 
 def lag_ystar(spark, sf):
