@@ -34,3 +34,8 @@ def test_neighbours_brute_force(spark, window, rank, spacing):
 
 def test_border_covariate_without_broadcast(spark):
     assert "Broadcast" not in plan(catalogue.border_covariate(spark, DATA))
+
+
+def test_neighbourhood_shuffles_units_only(spark):
+    text = plan(catalogue.neighbourhood_level_incidence(spark, DATA))
+    assert "Broadcast" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 2
