@@ -39,3 +39,19 @@ def test_border_covariate_without_broadcast(spark):
 def test_neighbourhood_shuffles_units_only(spark):
     text = plan(catalogue.neighbourhood_level_incidence(spark, DATA))
     assert "Broadcast" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 2
+
+
+def test_exposure_has_one_shuffle_of_entries(spark):
+    text = plan(catalogue.exposure_functionals(spark, DATA))
+    assert "Broadcast" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 3 and text.count("SortMergeJoin") == 1
+
+
+def test_exposure_with_repeated_entries_and_rows_of_one_side(spark):
+    z = spark.createDataFrame([(1, "a", 2.0), (1, "a", 1.0), (1, "b", 1.0), (2, "a", 5.0), (4, None, 3.0), (4, "c", 1.0)], "src long, level string, x double")
+    own = spark.createDataFrame([(1, "a", 1.0), (1, "a", 1.0), (3, "b", 2.0), (4, "b", 1.0), (4, None, 9.0), (None, "a", 9.0)], "src long, level string, x double")
+    got = design.exposure(z, direct=own).first()
+    # rows 1, 3, 4: d (4 + 4 + 1) / 3, k (4 + 1 + 1 + 0 + 9 + 1) / 3, c (2 * 3) / 3, s (4 + 0 + 4) / 3
+    assert (got["rows"], got["d"], got["c"]) == (3, 3.0, 2.0)
+    assert abs(got["k"] - 16 / 3) < 1e-12 and abs(got["s"] - 8 / 3) < 1e-12
+    alone = design.exposure(z).first()
+    assert (alone["rows"], alone["d"], alone["c"]) == (3, 1.0, None) and abs(alone["k"] - 41 / 3) < 1e-12
