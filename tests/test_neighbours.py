@@ -55,3 +55,8 @@ def test_exposure_with_repeated_entries_and_rows_of_one_side(spark):
     assert abs(got["k"] - 16 / 3) < 1e-12 and abs(got["s"] - 8 / 3) < 1e-12
     alone = design.exposure(z).first()
     assert (alone["rows"], alone["d"], alone["c"]) == (3, 1.0, None) and abs(alone["k"] - 41 / 3) < 1e-12
+
+
+def test_separable_pairs_shuffle_units_only(spark):
+    text = plan(catalogue.separable_cov_pairs(spark, DATA))
+    assert "Broadcast" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 2

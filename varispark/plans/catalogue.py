@@ -240,10 +240,8 @@ def spherical_corr_pairs(spark, sf):
 
 
 def separable_cov_pairs(spark, sf):
-    units = _field(spark, sf)
-    at = lambda k, i: units.select("block", F.col("id").alias(k), F.col("r").alias(f"r{i}"), F.col("c").alias(f"c{i}"))
-    n = design.neighbours(units).join(at("src", 1), ["block", "src"]).join(at("dst", 2), ["block", "dst"])
-    return _rounded(n.select("src", "dst", summaries.separable_pairs(F.col("r1") - F.col("r2"), F.col("c1") - F.col("c2"), RHO, PSI).alias("r")))
+    n = design.neighbours(_field(spark, sf))
+    return _rounded(n.select("src", "dst", summaries.separable_pairs(F.col("dr"), F.col("dc"), RHO, PSI).alias("r")))
 
 
 def ld_prune(spark, sf):
