@@ -60,3 +60,8 @@ def test_exposure_with_repeated_entries_and_rows_of_one_side(spark):
 def test_separable_pairs_shuffle_units_only(spark):
     text = plan(catalogue.separable_cov_pairs(spark, DATA))
     assert "Broadcast" not in text and len(re.findall(r"Exchange hashpartitioning", text)) == 2
+
+
+def test_lag_shuffles_no_pairs(spark):
+    text = plan(catalogue.lag_ystar(spark, DATA))
+    assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") == 2 and "Window" not in text

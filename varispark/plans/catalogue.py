@@ -117,8 +117,7 @@ def border_covariate(spark, sf):
 
 
 def lag_ystar(spark, sf):
-    units = _field(spark, sf)
-    return _rounded(design.lagged(units.select("id", F.log("y").alias("y")), design.neighbour_weights(units), PSI), 6)
+    return _rounded(design.neighbour_lagged(_field(spark, sf).withColumn("y", F.log("y")), PSI), 6)
 
 
 def _markers(spark, sf):
