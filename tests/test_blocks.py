@@ -176,3 +176,15 @@ def test_hypotheses():
             parse_test(wrong, ["a", "b"])
     with pytest.raises(ValueError):
         parse_test("dir@het", ["a"])
+
+
+def test_levels_that_never_meet_need_no_dense_block(spark):
+    """One block of 40,000 levels beside an effect of its own: its equations would be 13 GB as a matrix."""
+    df = spark.range(80_000).selectExpr("'a' as b", "id % 40000 as lv", "id % 7 as x", "cast(xxhash64(id) % 1000 as double) / 500 + (id % 40000) % 3 as y")
+    theta = np.log(np.sqrt([0.5, 0.8]))
+    f = blocks.fit(blocks.build(df, "y ~ x", "~ lv", "b", max_local=50_000), fixed_theta=theta)
+    g = reml.reml(df, "y ~ x", "~ lv", absorb="lv", fixed_theta=theta)
+    assert f.neg2 == pytest.approx(g.neg2, rel=1e-9)
+    mine = {r["level"]: (r["blup"], r["pev"]) for r in f.local_blups().collect()}
+    other = {str(r["level"]): r["blup"] for r in g.absorbed_blups().collect()}
+    assert len(mine) == 40_000 and all(abs(mine[k][0] - v) < 1e-9 for k, v in other.items())

@@ -85,11 +85,19 @@ def _sums(model: Model, terms: list[Term], traits: int, block: str, unit: bool)
     rows = model.rows.withColumn("block", F.col(f"__keep_{block}"))
     level = lambda t: F.concat_ws("|", *[F.col(f"__keep_{c}").cast("string") for c in t.factors])
     local = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("t") if t.struct != "iid" and traits > 1 else F.lit(0)).cast("int").alias("v"), level(t).alias("l"), F.col("scale").alias("x")) for k, t in enumerate(terms)])
+    keys = ["t1", "t2", "ki", "vi", "li", "kj", "vj", "lj", "c"]
+    if not unit:  # every row is a unit of its own: its pairs are written out and stay in generated code
+        rows = rows.withColumns({f"l{k}": level(t) for k, t in enumerate(terms)} | {f"v{k}": (F.col("t") if t.struct != "iid" and traits > 1 else F.lit(0)).cast("int") for k, t in enumerate(terms)})
+        own, none = F.col("t").cast("int"), F.lit(None).cast("string")
+        first = lambda k: (own.alias("t1"), own.alias("t2"), F.lit(k).alias("ki"), F.col(f"v{k}").alias("vi"), F.col(f"l{k}").alias("li"))
+        both = [F.struct(*first(a), F.lit(b).alias("kj"), F.col(f"v{b}").alias("vj"), F.col(f"l{b}").alias("lj"), F.lit(-1).alias("c"), (F.col("scale") * F.col("scale")).alias("x")) for a in range(len(terms)) for b in range(a, len(terms))]
+        beside = [F.struct(*first(a), F.lit(-1).alias("kj"), F.lit(0).alias("vj"), none.alias("lj"), F.col("e.c").cast("int").alias("c"), (F.col("scale") * F.col("e.x")).alias("x")) for a in range(len(terms))]
+        pattern = F.col("t").cast("string").alias("pattern")
+        kept = ["block", "t", "scale", *[f"{c}{k}" for k in range(len(terms)) for c in "lv"]]
+        pairs = rows.select("block", pattern, F.inline(F.array(*both))).unionByName(rows.select(*kept, F.explode("coo").alias("e")).select("block", pattern, F.inline(F.array(*beside))))
+        return pairs.where("x <> 0").groupBy("block", "pattern", *keys).agg(F.sum("x").alias("x"))
     own = F.struct(F.col("t"), local.alias("loc"), F.col("coo"))
-    if unit:
-        units = rows.groupBy("block", "unit").agg(F.array_sort(F.collect_list(own)).alias("recs"))  # as many as there are traits
-    else:
-        units = rows.select("block", F.array(own).alias("recs"))
+    units = rows.groupBy("block", "unit").agg(F.array_sort(F.collect_list(own)).alias("recs"))  # as many as there are traits
     pattern = F.array_join(F.transform("recs", lambda r: r["t"].cast("string")), ",")
 
     def pair(a, b=None, e=None, r1=None, r2=None):
@@ -105,7 +113,6 @@ def _sums(model: Model, terms: list[Term], traits: int, block: str, unit: bool)
         return F.concat(both, beside, back)
 
     pairs = F.flatten(F.transform("recs", lambda r1: F.flatten(F.transform(F.filter("recs", lambda r2: r2["t"] >= r1["t"]), lambda r2: of(r1, r2)))))
-    keys = ["t1", "t2", "ki", "vi", "li", "kj", "vj", "lj", "c"]
     return units.select("block", pattern.alias("pattern"), F.inline(pairs)).where("x <> 0").groupBy("block", "pattern", *keys).agg(F.sum("x").alias("x"))
 
 
@@ -143,11 +150,14 @@ def _pack(sums: DataFrame, terms: list[Term], t: list[int], cells: dict, kin: Da
             at += t[k] * len(seen)
         if at > max_local:
             raise ValueError(f"a block has {at} effects, more than {max_local}")
-        code = [{v: n for n, v in enumerate(x)} for x in labels]
-        place = lambda k, v, level: offset[k] + v * len(labels[k]) + code[k][level]
-        i = [place(k, v, level) for k, v, level in zip(part["ki"], part["vi"], part["li"])]
-        j = [place(k, v, level) if k >= 0 else at + c for k, v, level, c in zip(part["kj"], part["vj"], part["lj"], part["c"])]
-        cell = [cells[key] for key in zip(part["pattern"], part["t1"], part["t2"])]
+        i, j = np.zeros(len(part), dtype=np.int32), at + part["c"].to_numpy()
+        for k, x in enumerate(labels):
+            code = pd.Index(x, dtype=object)
+            for out, side in ((i, "i"), (j, "j")):
+                here = (part[f"k{side}"] == k).to_numpy()
+                out[here] = offset[k] + part[f"v{side}"].to_numpy()[here] * len(x) + code.get_indexer(part[f"l{side}"].to_numpy()[here])
+        kinds, back = np.unique(part["pattern"].astype(str) + ":" + part["t1"].astype(str) + ":" + part["t2"].astype(str) if len(cells) > 1 else np.zeros(len(part)), return_index=True, return_inverse=True)[1:]
+        cell = np.array([cells[part["pattern"].iloc[n], part["t1"].iloc[n], part["t2"].iloc[n]] for n in kinds])[back]
         return pd.DataFrame({"block": [part["block"].iloc[0]], "labels": [labels], "cell": [cell], "i": [i], "j": [j], "x": [part["x"].to_numpy()], "kinv": [kinv], "logk": [logk]})
 
     if kin is None:
@@ -156,7 +166,11 @@ def _pack(sums: DataFrame, terms: list[Term], t: list[int], cells: dict, kin: Da
 
 
 class _Block:
-    """One block's part of the equations at given parameters."""
+    """One block's part of the equations at given parameters.
+
+    Effects of one term, the leaf, whose levels never meet each other are eliminated level by level, and only the others' equations are
+    dense: with D the leaf's own small matrices and G what they are beside the others, the inverse is D^-1 and U S^-1 U', U = (-G, I).
+    """
 
     def __init__(self, row: dict, t: list[int], size: int, same: np.ndarray):
         self.labels, self.t, self.size = row["labels"], t, size
@@ -169,33 +183,118 @@ class _Block:
         # Sums of one trait are of half of a symmetric matrix. Those of two traits are of one that isn't, and stand for its sum with
         # its transpose, which has their diagonal twice.
         one = same[self.cell]
-        self.mirrored = (self.j < self.n) & (~one | (self.i != self.j))
+        self.beside = self.j >= self.n
+        inside = ~self.beside
+        mirrored = inside & (~one | (self.i != self.j))
         self.often = np.where(one & (self.i != self.j), 2.0, 1.0)
+        self.rows, self.cols = np.concatenate([self.i[inside], self.j[mirrored]]), np.concatenate([self.j[inside], self.i[mirrored]])
+        self.source = np.concatenate([np.nonzero(inside)[0], np.nonzero(mirrored)[0]])
+        self.leaf, self.lo, self.hi, self.tl, self.ql = None, 0, 0, 1, 0
+        for k in sorted(range(len(t)), key=lambda k: -t[k] * self.q[k]):
+            lo, hi, q = self.offset[k], self.offset[k + 1], self.q[k]
+            own = (self.rows >= lo) & (self.rows < hi) & (self.cols >= lo) & (self.cols < hi)
+            if self.kinv[k] is None and q and not ((self.rows[own] - self.cols[own]) % q).any():
+                self.leaf, self.lo, self.hi, self.tl, self.ql = k, int(lo), int(hi), t[k], q
+                break
+        self.rest = np.concatenate([np.arange(self.lo), np.arange(self.hi, self.n)])
+        self.at = np.arange(self.n) - self.lo  # place in the leaf or among the others
+        self.at[self.rest] = np.arange(len(self.rest))
+        self.in_leaf = np.zeros(self.n, dtype=bool)
+        self.in_leaf[self.lo : self.hi] = True
+
+    def weighted(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted sums: of local effects, in the order of rows and cols, and what each local effect is beside the border and the response."""
+        x, here = weights[self.cell] * self.x, self.beside
+        return x[self.source], np.bincount(self.i[here] * self.size + self.j[here] - self.n, weights=x[here], minlength=self.n * self.size).reshape(self.n, self.size)
+
+    def times(self, sums: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The weighted sums of local effects times the columns of b."""
+        return np.stack([np.bincount(self.rows, weights=sums * c[self.cols], minlength=self.n) for c in b.T], axis=1) if b.shape[1] else np.zeros((self.n, 0))
+
+    def _leafwise(self, d: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The leaf's small matrices times its rows x."""
+        return np.einsum("qab,bqw->aqw", d, x.reshape(self.tl, self.ql, x.shape[1])).reshape(x.shape)
+
+    def solve(self, sums: np.ndarray, beside: np.ndarray, sigma_inv: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        """The inverse of the block's equations, kept in parts, times what is beside it, and the log determinant."""
+        r, c, t, q, m = self.rows, self.cols, self.tl, self.ql, len(self.rest)
+        left, right = self.in_leaf[r], self.in_leaf[c]
+        k = left & right
+        i, j = self.at[r[k]], self.at[c[k]]
+        d = np.bincount(((i % max(q, 1)) * t + i // max(q, 1)) * t + j // max(q, 1), weights=sums[k], minlength=q * t * t).astype(float).reshape(q, t, t)
+        k = left & ~right
+        b = np.bincount(self.at[r[k]] * m + self.at[c[k]], weights=sums[k], minlength=q * t * m).astype(float).reshape(q * t, m)
+        k = ~left & ~right
+        others = np.bincount(self.at[r[k]] * m + self.at[c[k]], weights=sums[k], minlength=m * m).astype(float).reshape(m, m)  # sums of nothing are whole numbers
+        for n, s in enumerate(sigma_inv):
+            if n == self.leaf:
+                d += s
+            elif self.q[n]:
+                at = slice(self.at[self.offset[n]], self.at[self.offset[n + 1] - 1] + 1)
+                others[at, at] += np.kron(s, np.eye(self.q[n]) if self.kinv[n] is None else self.kinv[n])
+        low = np.linalg.cholesky(d)
+        self.d = np.linalg.inv(d)
+        self.g = self._leafwise(self.d, b)
+        others -= b.T @ self.g
+        low_s = np.linalg.cholesky(others)
+        self.s = np.linalg.inv(others)
+        through = np.zeros((self.n, beside.shape[1]))
+        first = self._leafwise(self.d, beside[self.lo : self.hi])
+        through[self.rest] = self.s @ (beside[self.rest] - b.T @ first)
+        through[self.lo : self.hi] = first - self.g @ through[self.rest]
+        return through, 2 * float(np.log(np.diagonal(low, axis1=1, axis2=2)).sum() + np.log(np.diag(low_s)).sum())
+
+    def between(self, h: np.ndarray) -> np.ndarray:
+        """h' inverse h."""
+        leaf = h[self.lo : self.hi]
+        u = h[self.rest] - self.g.T @ leaf
+        return leaf.T @ self._leafwise(self.d, leaf) + u.T @ self.s @ u
+
+    def inner(self, through: np.ndarray, meet: np.ndarray) -> _Inner:
+        """The inverse and through meet through', where they are asked for."""
+        return _Inner(self, through, meet)
+
+
+class _Inner:
+    """A symmetric matrix of a block's effects: within levels of the leaf, of the leaf beside the others, and of the others."""
+
+    def __init__(self, b: _Block, through: np.ndarray, meet: np.ndarray):
+        self.b = b
+        leaf, others, gs = through[b.lo : b.hi], through[b.rest], b.g @ b.s
+        met = leaf @ meet
+        per = lambda x: x.reshape(b.tl, b.ql, x.shape[1])
+        self.own = b.d + np.einsum("aqn,bqn->qab", per(gs), per(b.g)) + np.einsum("aqn,bqn->qab", per(met), per(leaf))
+        self.side = met @ others.T - gs
+        self.others = b.s + others @ meet @ others.T
+
+    def entries(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Entries i, j, in the leaf those of one level."""
+        b, out = self.b, np.zeros(len(i))
+        p, q, x, y = b.in_leaf[i], b.in_leaf[j], b.at[i], b.at[j]
+        n = max(b.ql, 1)
+        k = p & q
+        out[k] = self.own[x[k] % n, x[k] // n, y[k] // n]
+        k = p & ~q
+        out[k] = self.side[x[k], y[k]]
+        k = ~p & q
+        out[k] = self.side[y[k], x[k]]
+        k = ~p & ~q
+        out[k] = self.others[x[k], y[k]]
+        return out
+
+    def diagonal(self) -> np.ndarray:
+        return self.entries(np.arange(self.b.n), np.arange(self.b.n))
 
-    def assembled(self, weights: np.ndarray) -> np.ndarray:
-        """The weighted sums: a row for each local effect, a column for each of these and then of the border and the response."""
-        width, x = self.n + self.size, weights[self.cell] * self.x
-        back = self.mirrored
-        at = np.concatenate([self.i * width + self.j, self.j[back] * width + self.i[back]])
-        return np.bincount(at, weights=np.concatenate([x, x[back]]), minlength=self.n * width).reshape(self.n, width)
-
-    def solve(self, sums: np.ndarray, sigma_inv: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Inverse of the block's equations, the same times what is beside it, and the log determinant."""
-        c = sums[:, : self.n].copy()
-        for k, s in enumerate(sigma_inv):
-            at = slice(self.offset[k], self.offset[k + 1])
-            c[at, at] += np.kron(s, np.eye(self.q[k]) if self.kinv[k] is None else self.kinv[k])
-        low = np.linalg.cholesky(c)
-        inv = np.linalg.inv(c)
-        return inv, inv @ sums[:, self.n :], 2 * float(np.log(np.diag(low)).sum())
-
-    def traces(self, square: np.ndarray) -> list[np.ndarray]:
-        """For each term the sums, by traits, of a matrix of the block's effects with the inverse relationship of the levels."""
-        out = []
-        for k, t in enumerate(self.t):
-            at = slice(self.offset[k], self.offset[k + 1])
-            part = square[at, at].reshape(t, self.q[k], t, self.q[k])
-            out.append(np.einsum("aibi->ab", part) if self.kinv[k] is None else np.einsum("aibj,ij->ab", part, self.kinv[k]))
+    def traces(self) -> list[np.ndarray]:
+        """For each term the sums, by traits, with the inverse relationship of the levels."""
+        b, out = self.b, []
+        for k, (t, q) in enumerate(zip(b.t, b.q)):
+            if k == b.leaf:
+                out.append(self.own.sum(axis=0))
+                continue
+            at = b.at[b.offset[k] : b.offset[k + 1]]
+            part = self.others[np.ix_(at, at)].reshape(t, q, t, q)
+            out.append(np.einsum("aibi->ab", part) if b.kinv[k] is None else np.einsum("aibj,ij->ab", part, b.kinv[k]))
         return out
 
 
@@ -278,13 +377,13 @@ class BlockLikelihood(Likelihood):
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     b = _Block(row, t, size, same)
-                    sums, any_ = b.assembled(w), True
+                    (sums, beside), any_ = b.weighted(w), True
                     try:
-                        _, through, log_c = b.solve(sums, inverses)
+                        through, log_c = b.solve(sums, beside, inverses)
                     except np.linalg.LinAlgError:
                         out[:] = np.nan
                         break
-                    out[:-1] -= (sums[:, b.n :].T @ through).ravel()
+                    out[:-1] -= (beside.T @ through).ravel()
                     out[-1] += log_c + sum(q * x + tk * y for q, x, tk, y in zip(b.q, logs, t, b.logk))
             if any_:
                 yield pd.DataFrame({"x": [out]})
@@ -342,32 +441,33 @@ class BlockLikelihood(Likelihood):
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     bl = _Block(row, t, size, same)
-                    sums, any_ = bl.assembled(w), True
-                    inv, through, _ = bl.solve(sums, inverses)
+                    (sums, local), any_ = bl.weighted(w), True
+                    through, _ = bl.solve(sums, local, inverses)
                     x = through @ z  # the block's solution
-                    inner, beside = inv + through @ meet @ through.T, -through @ meet
-                    every = np.hstack([inner, beside])
+                    inner, beside = bl.inner(through, meet), -through @ meet
+                    every, out_ = np.zeros(len(bl.i)), bl.beside
+                    every[~out_], every[out_] = inner.entries(bl.i[~out_], bl.j[~out_]), beside[bl.i[out_], bl.j[out_] - bl.n]
                     whole = np.concatenate([-x, z])
-                    part[0] += np.bincount(bl.cell, weights=bl.x * every[bl.i, bl.j] * bl.often, minlength=n_cells)
+                    part[0] += np.bincount(bl.cell, weights=bl.x * every * bl.often, minlength=n_cells)
                     part[1] += np.bincount(bl.cell, weights=bl.x * whole[bl.i] * whole[bl.j] * bl.often, minlength=n_cells)
-                    part[2] += np.concatenate([x.ravel() for x in bl.traces(inner)])
+                    part[2] += np.concatenate([x.ravel() for x in inner.traces()])
                     own = np.zeros((bl.n, n_par))
                     for k, tk in enumerate(t):
                         lo, hi = bl.offset[k], bl.offset[k + 1]
                         for j, d in zip(range(slices[k].start, slices[k].stop), back[k]):
                             own[lo:hi, j] = (d @ x[lo:hi].reshape(tk, bl.q[k])).ravel()
-                    here = sums[:, : bl.n] @ own + sums[:, bl.n :] @ border  # W'R^-1 q, local rows
-                    there = sums[:, bl.n :].T @ own
+                    here = bl.times(sums, own) + local @ border  # W'R^-1 q, local rows
+                    there = local.T @ own
                     products = own.T @ here + border.T @ there
                     for n, j in enumerate(range(rs.start, rs.stop)):
-                        moved = bl.assembled(wd[n])
-                        a = moved[:, : bl.n] @ -x + moved[:, bl.n :] @ z
+                        moved, aside = bl.weighted(wd[n])
+                        a = bl.times(moved, -x[:, None])[:, 0] + aside @ z
                         here[:, j] = a
-                        there[:, j] = moved[:, bl.n :].T @ -x
+                        there[:, j] = aside.T @ -x
                         products[j, :] += a @ own
                         products[:, j] += own.T @ a
                     part[3] += products.ravel()
-                    part[4] += (here.T @ inv @ here).ravel()
+                    part[4] += bl.between(here).ravel()
                     part[5] += there.ravel()
                     part[6] += (through.T @ here).ravel()
             if any_:
@@ -451,11 +551,11 @@ class BlockFit(Fit):
         w, _ = like._weights(like._residual_sigma(self.theta), [])
         cinv, z = self.cinv, np.append(-self.solution, 1.0)
 
-        def inside(row: dict) -> tuple[_Block, np.ndarray, np.ndarray]:
+        def inside(row: dict) -> tuple[_Block, np.ndarray, _Inner]:
             """The block, its solution, and its part of the whole inverse."""
             b = _Block(row, t, size, same)
-            inv, through, _ = b.solve(b.assembled(w), inverses)
-            return b, through @ z, inv + through[:, :-1] @ cinv @ through[:, :-1].T
+            through, _ = b.solve(*b.weighted(w), inverses)
+            return b, through @ z, b.inner(through[:, :-1], cinv)
 
         return inside
 
@@ -469,7 +569,7 @@ class BlockFit(Fit):
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     b, x, inv = inside(row)
-                    pev, out = np.diag(inv), []
+                    pev, out = inv.diagonal(), []
                     for k, (name, t, q) in enumerate(zip(names, b.t, b.q)):
                         for v in range(t):
                             lo = b.offset[k] + v * q
@@ -492,7 +592,7 @@ class BlockFit(Fit):
                 out = []
                 for row in pdf.to_dict("records"):
                     b, _, inv = inside(row)
-                    out += [(name, q, float(x[0, 0])) for name, q, x in zip(names, b.q, b.traces(inv)) if len(x) == 1]
+                    out += [(name, q, float(x[0, 0])) for name, q, x in zip(names, b.q, inv.traces()) if len(x) == 1]
                 yield pd.DataFrame(out, columns=["term", "q", "trace"])
 
         found = self._local(run, "term string, q long, trace double").groupBy("term").agg(F.sum("q").alias("q"), F.sum("trace").alias("trace")).collect()
