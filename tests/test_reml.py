@@ -102,3 +102,17 @@ def test_gradient_is_that_of_the_value(field, spark):
         like = reml.Likelihood(reml.build(df, "y ~ b + x", random))
         theta = like.start() + 0.1
         assert np.allclose(like.value_and_gradient(theta)[1], optimise.gradient(like, theta), atol=1e-4)
+
+
+def test_small_residual_beside_large_effects(spark):
+    """Balanced cells of two traits: the matrix of residual mean squares, though the likelihood's value has few digits of it."""
+    rng = np.random.default_rng(7)
+    q, k = 10, 7
+    g, e = rng.normal(0, 0.4, (q, 1, 2)), rng.normal(0, 1, (q, k, 2)) * [2e-3, 3e-2]
+    y = 5 + g + e
+    rows = [(f"{i}:{j}", i, t, float(y[i, j, n])) for i in range(q) for j in range(k) for n, t in enumerate("ab")]
+    fit = reml.reml(spark.createDataFrame(rows, "u string, g int, trait string, y double"), "y ~ trait", "~ us(g)", "~ us(trait):units", trait="trait", unit="u")
+    left = (y - y.mean(axis=1, keepdims=True)).reshape(-1, 2)
+    want = left.T @ left / (q * (k - 1))
+    got = structures.sigma(fit.theta[3:], "us", 2)
+    assert fit.converged and got == pytest.approx(want, rel=1e-5)

@@ -80,6 +80,38 @@ def newton(f: Callable, curvature: Callable, x0: np.ndarray, free: np.ndarray, l
     return x, value, False
 
 
+def polish(grad: Callable, x: np.ndarray, hess: np.ndarray, free: np.ndarray, low=-12.0, high=12.0, rounds: int = 6, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Newton steps near a minimum by the gradient alone, for values that lose the digits a line search needs (sums of squares
+    far above the residuals'). A step is taken if the curvature is positive before and after it, the decrement is below one, and
+    falls by half. Returns the point, its Hessian, and whether the decrement is below tol."""
+
+    def step_of(z: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
+        g, step = grad(z), np.zeros(len(z))
+        k = np.nonzero(live(z, g, free, low, high))[0]
+        if not len(k):
+            return step, 0.0
+        values, vectors = np.linalg.eigh(h[np.ix_(k, k)])
+        if values[0] <= 1e-8 * max(1.0, float(np.abs(values).max())):
+            return step, np.inf
+        step[k] = -vectors @ (vectors.T @ g[k] / values)
+        return step, float(-step @ g)
+
+    step, decrement = step_of(x, hess)
+    for _ in range(rounds):
+        if not tol <= decrement < 1:
+            break
+        new = np.clip(x + step, low, high)
+        try:
+            h = hessian(grad, new, low=low, high=high, free=free)
+            ahead, left = step_of(new, h)
+        except np.linalg.LinAlgError:
+            break
+        if not left < decrement / 2:
+            break
+        x, hess, step, decrement = new, h, ahead, left
+    return x, hess, decrement < tol
+
+
 def diagnostics(x: np.ndarray, value: float, grad: np.ndarray, hess: np.ndarray, free: np.ndarray, low=-12.0, high=12.0) -> dict:
     """Newton decrement and relative projected gradient over the parameters off the box's faces, smallest curvature of the
     free ones, how many lie at a face, and whether it all adds up to a minimum."""

@@ -1194,6 +1194,11 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     if not done and not any(r < c.t for c, r in ranks):
         best, value, done = optimise.newton(f, lambda th: optimise.hessian(slope, th, low=low, high=high, free=free), best, free, low, high, rounds=5)
         hess = optimise.hessian(slope, best, low=low, high=high, free=free)
+    if free.any() and not any(r < c.t for c, r in ranks):
+        at, hess, ended = optimise.polish(slope, best, hess, free, low, high)
+        if (at != best).any():
+            best, value = at, f(at)[0]
+        done = done or ended
     timings["hessian"] = time.perf_counter() - began - sum(timings.values())
     if isinstance(like, dense.DenseLikelihood):
         cinv, solution = like.solved(best)
