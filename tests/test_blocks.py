@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from varispark.plans.grammar import parse_random
 from varispark.operators import blocks, lag, reml
 from varispark.plans.hypotheses import parse_test
 
@@ -188,3 +189,26 @@ def test_levels_that_never_meet_need_no_dense_block(spark):
     mine = {r["level"]: (r["blup"], r["pev"]) for r in f.local_blups().collect()}
     other = {str(r["level"]): r["blup"] for r in g.absorbed_blups().collect()}
     assert len(mine) == 40_000 and all(abs(mine[k][0] - v) < 1e-9 for k, v in other.items())
+
+
+def test_sums_where_rows_pass_by(spark, monkeypatch):
+    """Each block's sums from one shuffle of its rows are those of the pairs; parameters that are all given take no derivatives."""
+    rng = np.random.default_rng(21)
+    rows = [(f"b{rng.integers(5)}", f"a{rng.integers(9)}", f"c{rng.integers(4)}", int(rng.integers(3)), float(rng.normal()), float(rng.normal()), float(rng.uniform(0.5, 2))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "blk string, a string, c string, z int, x double, y double, w double").repartition(6)
+    terms = parse_random("~ blk + a + c")
+    model = reml.build(df, "y ~ x", "~ z", weights="w", absorb=None, keep=("blk", "a", "c"))
+    cells = {("0", 0, 0): 0}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # blocks go on over batches
+    try:
+        found = []
+        for table in (blocks._gathered(model, terms, [1, 1, 1], 1, "blk", cells, 2_000), blocks._pack(blocks._sums(model, terms, 1, "blk", False), terms, [1, 1, 1], cells, None, 2_000)):
+            found.append({r["block"]: (r["labels"], r["q"], {(c, i, j): x for c, i, j, x in zip(r["cell"], r["i"], r["j"], r["x"])}) for r in table.collect()})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found[0]) == set(found[1]) == {f"b{k}" for k in range(5)}
+    for b, (labels, q, sums) in found[0].items():
+        assert (labels, q) == found[1][b][:2] and sums == pytest.approx(found[1][b][2], rel=1e-12)
+    like = blocks.build(df, "y ~ x", "~ blk + a", "blk", random="~ z", weights="w")
+    monkeypatch.setattr(blocks.BlockLikelihood, "_derivatives", lambda *a: pytest.fail("derivatives"))
+    assert blocks.fit(like, fixed_theta=np.zeros(4)).neg2 == pytest.approx(like(np.zeros(4)))

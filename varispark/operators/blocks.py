@@ -24,6 +24,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from varispark.plans.grammar import Term, parse_random
 from varispark.shipping import ship
 from varispark.storage import checkpointed
 
-_PACKED = "labels array<array<string>>, cell array<int>, i array<int>, j array<int>, x array<double>, kinv array<array<double>>, logk array<double>"
+_PACKED = "labels array<array<string>>, q array<int>, cell array<int>, i array<int>, j array<int>, x array<double>, kinv array<array<double>>, logk array<double>"
 
 
 def pedigree(animals: DataFrame, block: str, animal: str = "animal", sire: str = "sire", dam: str = "dam") -> DataFrame:
@@ -158,13 +159,116 @@ def _pack(sums: DataFrame, terms: list[Term], t: list[int], cells: dict, kin: Da
                 out[here] = offset[k] + part[f"v{side}"].to_numpy()[here] * len(x) + code.get_indexer(part[f"l{side}"].to_numpy()[here])
         kinds, back = np.unique(part["pattern"].astype(str) + ":" + part["t1"].astype(str) + ":" + part["t2"].astype(str) if len(cells) > 1 else np.zeros(len(part)), return_index=True, return_inverse=True)[1:]
         cell = np.array([cells[part["pattern"].iloc[n], part["t1"].iloc[n], part["t2"].iloc[n]] for n in kinds])[back]
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "labels": [labels], "cell": [cell], "i": [i], "j": [j], "x": [part["x"].to_numpy()], "kinv": [kinv], "logk": [logk]})
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "labels": [labels], "q": [[len(x) for x in labels]], "cell": [cell], "i": [i], "j": [j], "x": [part["x"].to_numpy()], "kinv": [kinv], "logk": [logk]})
 
     if kin is None:
         return sums.groupBy("block").applyInPandas(lambda part: one(part), f"block {kind}, {_PACKED}")
     return sums.groupBy("block").cogroup(kin.groupBy("block")).applyInPandas(one, f"block {kind}, {_PACKED}")
 
 
+def _gathered(model: Model, terms: list[Term], t: list[int], traits: int, block: str, cells: dict, max_local: int) -> DataFrame:
+    """As _pack of _sums, for rows that are units of their own: rows are dealt and sorted by block, once, and each block's sums are
+    formed where its rows pass by, so neither pairs of entries nor all rows of a block are held anywhere."""
+    ship(model.rows.sparkSession)
+    level = lambda x: F.concat_ws("|", *[F.col(f"__keep_{c}").cast("string") for c in x.factors])
+    rows = model.rows.select(F.col(f"__keep_{block}").alias("block"), F.col("t").cast("int").alias("t"), "scale", F.col("coo.c").alias("c"), F.col("coo.x").alias("x"), *[level(x).alias(f"l{k}") for k, x in enumerate(terms)])
+    kind, n_terms, by_trait = rows.schema["block"].dataType.simpleString(), len(terms), [x.struct != "iid" and traits > 1 for x in terms]
+    cell_of = np.array([cells.get((str(v), v, v), -1) for v in range(traits)])
+    border = np.int64(1) << 62  # effects are term, trait and number of the level in one whole number; columns of the border come after them
+
+    class Sums:
+        """Sums of one block, by cell and the two effects."""
+
+        def __init__(self):
+            self.levels: list[dict] = [{} for _ in terms]
+            self.key, self.x = np.zeros((3, 0), dtype=np.int64), np.zeros(0)
+            self.waiting: list[tuple] = []
+
+        def add(self, part: pa.RecordBatch) -> None:
+            v, scale = part.column("t").to_numpy(), part.column("scale").to_numpy()
+            cell, effects = cell_of[v], []
+            for k in range(n_terms):
+                coded = part.column(f"l{k}").dictionary_encode()
+                known = self.levels[k]
+                number = np.array([known.setdefault(name, len(known)) for name in coded.dictionary.to_pylist()], dtype=np.int64)
+                effects.append((np.int64(k) << 52) + ((v if by_trait[k] else 0 * v).astype(np.int64) << 40) + number[coded.indices.to_numpy()])
+            n_effects = sum(tk * len(x) for tk, x in zip(t, self.levels))
+            if n_effects > max_local:
+                raise ValueError(f"a block has {n_effects} effects, more than {max_local}")
+            lists = part.column("c")
+            of = np.repeat(np.arange(len(v)), pa.compute.list_value_length(lists).to_numpy())
+            c, x = border + lists.flatten().to_numpy().astype(np.int64), part.column("x").flatten().to_numpy() * scale[of]
+            for a in range(n_terms):
+                for b in range(a, n_terms):
+                    self.waiting.append((cell, effects[a], effects[b], scale * scale))
+                self.waiting.append((cell[of], effects[a][of], c, x))
+            if sum(len(w[3]) for w in self.waiting) > 500_000:
+                self.settle()
+
+        def settle(self) -> None:
+            key = np.concatenate([self.key, *[np.stack(w[:3]) for w in self.waiting]], axis=1)
+            x = np.concatenate([self.x, *[w[3] for w in self.waiting]])
+            order = np.lexsort(key[::-1])
+            key, x = key[:, order], x[order]
+            first = np.nonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))[0]
+            self.key, self.x, self.waiting = key[:, first], np.add.reduceat(x, first), []
+
+        def row(self) -> dict:
+            self.settle()
+            labels = [sorted(x) for x in self.levels]
+            q = [len(x) for x in labels]
+            offset = np.concatenate([[0], np.cumsum([a * b for a, b in zip(t, q)])]).astype(np.int64)
+            places = []
+            for known, names in zip(self.levels, labels):
+                place = np.zeros(len(names), dtype=np.int64)
+                place[[known[name] for name in names]] = np.arange(len(names))
+                places.append(place)
+            keep = self.x != 0
+            cell, first, second = self.key[:, keep]
+
+            def at(e: np.ndarray) -> np.ndarray:
+                out = np.where(e >= border, offset[-1] + (e - border), 0)
+                for k, place in enumerate(places):
+                    mine = (e < border) & (e >> 52 == k)
+                    out[mine] = offset[k] + ((e[mine] >> 40) & 0xFFF) * q[k] + place[e[mine] & 0xFFFFFFFFFF]
+                return out
+
+            return {"labels": labels, "q": q, "cell": cell, "i": at(first), "j": at(second), "x": self.x[keep], "kinv": [[] for _ in terms], "logk": [0.0] * n_terms}
+
+    types = {"labels": pa.list_(pa.list_(pa.string())), "q": pa.list_(pa.int32()), "cell": pa.list_(pa.int32()), "i": pa.list_(pa.int32()), "j": pa.list_(pa.int32()), "x": pa.list_(pa.float64()), "kinv": pa.list_(pa.list_(pa.float64())), "logk": pa.list_(pa.float64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_, now, sums, done, held = None, None, None, [], 0
+
+        def packed() -> pa.RecordBatch:
+            names = pa.array([b for b, _ in done], kind_)
+            return pa.RecordBatch.from_arrays([names, *[pa.array([r[c] for _, r in done], kind_of) for c, kind_of in types.items()]], names=["block", *types])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch.column("block")
+            kind_ = ids.type
+            cuts = [0, *(np.nonzero(pa.compute.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))[0] + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                name = ids[lo].as_py()
+                if sums is None or name != now:
+                    if sums is not None:
+                        done.append((now, sums.row()))
+                        held += len(done[-1][1]["x"])
+                    now, sums = name, Sums()
+                    if held > 500_000:
+                        yield packed()
+                        done, held = [], 0
+                sums.add(batch.slice(lo, hi - lo))
+        if sums is not None:
+            done.append((now, sums.row()))
+        if done:
+            yield packed()
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, f"block {kind}, {_PACKED}")
+
+
 class _Block:
     """One block's part of the equations at given parameters.
 
@@ -173,8 +277,8 @@ class _Block:
     """
 
     def __init__(self, row: dict, t: list[int], size: int, same: np.ndarray):
-        self.labels, self.t, self.size = row["labels"], t, size
-        self.q = [len(x) for x in self.labels]
+        self.labels, self.t, self.size = row.get("labels"), t, size
+        self.q = [int(x) for x in row["q"]]
         self.offset = np.concatenate([[0], np.cumsum([a * b for a, b in zip(t, self.q)])]).astype(int)
         self.n = int(self.offset[-1])
         self.cell, self.i, self.j, self.x = (np.asarray(row[c]) for c in ("cell", "i", "j", "x"))
@@ -339,7 +443,7 @@ class BlockLikelihood(Likelihood):
 
     def _total(self, frames, size: int) -> np.ndarray:
         """The sum of all partitions' arrays, added up in two steps, so that the driver gets the root of their number."""
-        parts = self.table.mapInPandas(frames, "x array<double>")
+        parts = self.table.drop("labels").mapInPandas(frames, "x array<double>")
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = None
@@ -638,9 +742,12 @@ def build(df: DataFrame, fixed: str, local: str, block: str, random: str | None
         if x.level == "fixed":
             part = relationships[x.options["K"]].select("block", F.lit(k).alias("k"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("x").cast("double").alias("x"))
             kin = part if kin is None else kin.unionByName(part)
-    sums = _sums(model, terms, many, block, bool(unit))
-    table = checkpointed(_pack(sums, terms, t, {c: n for n, c in enumerate(cells)}, kin, max_local))
-    sizes = table.agg(*[F.sum(F.size(F.get("labels", F.lit(k)))).alias(f"q{k}") for k in range(len(terms))]).first()
+    number = {c: n for n, c in enumerate(cells)}
+    if unit or kin is not None:
+        table = checkpointed(_pack(_sums(model, terms, many, block, bool(unit)), terms, t, number, kin, max_local))
+    else:
+        table = checkpointed(_gathered(model, terms, t, many, block, number, max_local))
+    sizes = table.agg(*[F.sum(F.get("q", F.lit(k))).alias(f"q{k}") for k in range(len(terms))]).first()
     model.random = model.random + [Effects(x.name, -1, [], x, tk, absorbed=int(q)) for x, tk, q in zip(terms, t, sizes)]
     return BlockLikelihood(model, table, cells, ml)
 

@@ -1147,7 +1147,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
         raise ValueError(f"unknown optimizer {optimizer!r}")
     informed = optimizer in ("ai", "cone") or optimizer == "auto" and not (model.residual.axes or model.absorbed or ml)
     f = like.value_and_gradient
-    slope = lambda th: f(th)[1]
+    slope = lambda th: f(th)[1] if free.any() else np.zeros(like.size)
     parts = [(e.term.struct, ss, e.t) for e, (ss, _) in zip(model.random, like.slices)] + [(model.structure(s).struct, sl, len(model.traits)) for s, sl in zip(model.sections, like.residual) if not model.residual.axes]
     ranks: list = []
 
@@ -1163,9 +1163,13 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
                 pass
         return optimise.minimise(f, at, free, low, high)
 
-    if theta is None:
+    if theta is None and free.any():
         start = _range_sweep(like, start, free, low, high)
-    best, value, done = descend(start)
+    if free.any():
+        best, value, done = descend(start)
+    else:  # nothing to descend along: the value alone, without derivatives
+        best, done = np.clip(start, low, high), True
+        value = float(like(best))
     timings["descent"] = time.perf_counter() - began
     rng = np.random.default_rng(seed)
     for _ in range(restarts):
