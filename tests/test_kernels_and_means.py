@@ -30,6 +30,20 @@ def test_pair_kernel(plants, tile):
         assert all(x == pytest.approx(full[int(a[1:]), int(b[1:])], abs=1e-10) for (a, b), x in got.items())
 
 
+@pytest.mark.parametrize("normalise", [True, False])
+def test_kernel_sums_are_those_of_the_pairs(plants, normalise):
+    """Sums by genotypes, also with plants that have no neighbours, equal those of the pairs."""
+    rows, k1, k2, df = plants
+    level, want = {r[0]: r[1] for r in rows}, {}
+    for r in genome.pair_kernel(df, k1, k2, normalise=normalise, ridge=0.01).collect():
+        key = tuple(sorted((level[r["a"]], level[r["b"]])))
+        n, x = want.get(key, (0, 0.0))
+        want[key] = n + 1, x + r["x"]
+    got = {(r["i"], r["j"]): (r["n"], r["x"]) for r in genome.pair_kernel_sums(df, k1, k2, normalise=normalise, ridge=0.01).collect()}
+    assert set(got) == set(want)
+    assert all(n == want[k][0] and x == pytest.approx(want[k][1], rel=1e-10) for k, (n, x) in got.items())
+
+
 def test_kernel_as_a_term_of_blocks(plants, spark):
     rows, k1, k2, df = plants
     kin = genome.pair_kernel(df, k1, k2, block="site", ridge=0.01)

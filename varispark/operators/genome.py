@@ -609,6 +609,44 @@ def neighbour_scale(df: DataFrame, traits: list[str], plant: str, markers: DataF
     return df.sparkSession.createDataFrame(rows, f"scale double, {columns}, loglik double, loglik_self double, lrt double, p double")
 
 
+def pair_kernel_sums(plants: DataFrame, own: pd.DataFrame, other: pd.DataFrame, level: str = "level", near: str = "near", normalise: bool = True, ridge: float = 1e-6) -> DataFrame:
+    """The entries of pair_kernel() summed up by the two plants' genotypes: i, j (i no later than j among the relationships), n pairs
+    and x, their sum, each pair once.
+
+    The kernel is bilinear in the neighbours' weights, so the sum over the pairs of two genotypes is the product of the weights' sums, and
+    no pair is formed: the plants are read once and summed up by genotype, as many rows as there are genotypes by neighbours'. Within a
+    genotype half the square's sum and half the diagonal's are the pairs' sum.
+    """
+    k1, k2 = own.to_numpy(dtype=float), other.to_numpy(dtype=float)
+    rows = plants.select(F.col(level).cast("string").alias("l"), F.col(near).cast("map<string,double>").alias("w"))
+    known = F.create_map(*[v for k, name in enumerate(other.index) for v in (F.lit(str(name)), F.lit(k))])
+    entries = F.filter(F.transform(F.map_entries("w"), lambda e: F.struct(F.element_at(known, e["key"]).alias("k"), e["value"].alias("v"))), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    held = plants.sparkSession.createDataFrame([(k2.tolist(),)], "m array<array<double>>")  # as large as the genotypes squared
+    listed = rows.join(F.broadcast(held), how="cross").select("l", F.coalesce(entries, F.array()).alias("e"), "m")
+    square = F.aggregate("e", F.lit(0.0), lambda s, a: s + F.aggregate("e", F.lit(0.0), lambda q, b: q + b["v"] * F.get(F.get("m", a["k"]), b["k"])) * a["v"])
+    sizes = listed.select("l", square.alias("d")).groupBy("l").agg(F.count("*").alias("n"), F.sum("d").alias("d")).collect()  # as many as there are genotypes
+    sums = listed.select("l", F.inline("e")).groupBy("l", "k").agg(F.sum("v").alias("v")).collect()
+    at = {str(name): k for k, name in enumerate(own.index)}
+    if any(r["l"] not in at for r in sizes):
+        raise ValueError("a plant's genotype is not among the relationships")
+    n, d, s = np.zeros(len(at), dtype=np.int64), np.zeros(len(at)), np.zeros((len(at), len(k2)))
+    for r in sizes:
+        n[at[r["l"]]], d[at[r["l"]]] = r["n"], r["d"]
+    for r in sums:
+        s[at[r["l"]], r["k"]] = r["v"]
+    diagonal = np.diag(k1) * d
+    mean = diagonal.sum() / max(1, n.sum())
+    if not mean > 0 or not np.isfinite(mean):
+        raise ValueError("the kernel has no positive diagonal")
+    scale, extra = (mean, ridge) if normalise else (1.0, ridge * mean)
+    x = k1 * (s @ k2 @ s.T)
+    out = []
+    for i in np.nonzero(n)[0].tolist():
+        out.append((str(own.index[i]), str(own.index[i]), int(n[i] * (n[i] + 1) // 2), float((x[i, i] + diagonal[i]) / 2 / scale + extra * n[i])))
+        out += [(str(own.index[i]), str(own.index[j]), int(n[i] * n[j]), float(x[i, j] / scale)) for j in range(i + 1, len(n)) if n[j]]
+    return plants.sparkSession.createDataFrame(out, "i string, j string, n long, x double")
+
+
 def pair_kernel(plants: DataFrame, own: pd.DataFrame, other: pd.DataFrame, plant: str = "plant", level: str = "level", near: str = "near", block: str | None = None, normalise: bool = True, ridge: float = 1e-6, tile: int = 1_024) -> DataFrame:
     """The kernel of a plant's and its neighbours' genotypes together, as pairs (a, b, x; block first if it is named), each pair
     once: the product of the two plants' own relationship and of that of their neighbours, over the mean of the diagonal if
