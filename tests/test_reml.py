@@ -116,3 +116,22 @@ def test_small_residual_beside_large_effects(spark):
     want = left.T @ left / (q * (k - 1))
     got = structures.sigma(fit.theta[3:], "us", 2)
     assert fit.converged and got == pytest.approx(want, rel=1e-5)
+
+
+def test_sums_of_units_in_one_job(spark, monkeypatch):
+    """Three traits with gaps, weights and sections: likelihood from one job of sums, of rows whose repeats are refused."""
+    rng = np.random.default_rng(8)
+    rows = [(u, f"t{t}", f"s{u % 2}", u % 5, float(rng.normal()), float(rng.uniform(0.5, 2))) for u in range(60) for t in range(3) if rng.random() < 0.7]
+    names = "u long, trait string, sec string, g int, y double, w double"
+    calls, real = [], reml._unit_sums
+    monkeypatch.setattr(reml, "_unit_sums", lambda *a: calls.append(1) or real(*a))
+    model = reml.build(spark.createDataFrame(rows, names), "y ~ trait", "~ us(g)", "~ dsum(~ us(trait):units | sec)", trait="trait", unit="u", weights="w")
+    assert calls and model.n == len(rows) and model.log_weights == pytest.approx(sum(np.log(r[5]) for r in rows))
+    y, centre = np.array([r[4] for r in rows]), np.mean([r[4] for r in rows])
+    x = np.column_stack([np.ones(len(rows)), *[[float(r[1] == f"t{k}") for r in rows] for k in (1, 2)]])
+    theta = rng.normal(0, 0.3, 18)
+    g, r0, r1 = (structures.sigma(theta[k : k + 6], "us", 3) for k in (0, 6, 12))
+    v = np.array([[(g[int(a[1][1]), int(b[1][1])] if a[3] == b[3] else 0) + ((r0, r1)[a[0] % 2][int(a[1][1]), int(b[1][1])] / np.sqrt(a[5] * b[5]) if a[0] == b[0] else 0) for b in rows] for a in rows])
+    assert reml.Likelihood(model)(theta) == pytest.approx(reml.dense_neg2(y - centre, x, v), rel=1e-8)
+    with pytest.raises(ValueError, match="two records"):
+        reml.build(spark.createDataFrame(rows + rows[:1], names), "y ~ trait", "~ us(g)", "~ us(trait):units", trait="trait", unit="u")

@@ -389,6 +389,11 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     if res.axes:
         cells, n = _lattice_sums(rows, res, grids, empty, coo, m)
         return _checked(Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, 0.0, df, response, info, None, grids={k: (len(g[0]), len(g[1])) for k, g in grids.items()}, coder=coder))
+    if unit and not many and len(traits) * len(entries) <= 60:
+        cells, n, lw = _unit_sums(rows, section, trait_code, unit, scale, F.log(F.col(weights)) if weights else F.lit(0.0), entries, len(traits), m)
+        model = Model(fixed_effects, random_effects, res, traits, sections, cells, p, m, n, lw, df, response, info)
+        model.rows, model.coder = coded.drop("lw"), coder
+        return _checked(model)
     if unit:
         twice = coded.groupBy("section", "unit", "t").count().where("count > 1").limit(1).count()
         if twice:
@@ -435,6 +440,40 @@ def _blocks(sums: DataFrame, by: list[str]):
         yield key, (part["i"].to_numpy(), part["j"].to_numpy(), part["x"].to_numpy())
 
 
+def _unit_sums(rows: DataFrame, section: Column, trait: Column, unit: str, scale: Column, lw: Column, entries: list[Column], traits: int, m: int) -> tuple[dict, int, float]:
+    """Cross-products by section and pattern, the number of records and the sum of the logarithms of weights, in one job: a unit's
+    records become one row, whose pairs of entries, with those of its counts, are written out and stay in generated code."""
+    flat = rows.select(section.alias("section"), F.col(unit).alias("unit"), trait.alias("t"), lw.alias("lw"), *[v for k, e in enumerate(entries) for v in (e["c"].alias(f"c{k}"), (e["x"] * scale).alias(f"x{k}"))])
+    own = lambda v, c: F.max(F.when(F.col("t") == v, F.col(c)))
+    units = flat.groupBy("section", "unit").agg(F.sum("lw").alias("lw"), *[F.count(F.when(F.col("t") == v, 1)).alias(f"n{v}") for v in range(traits)], *[own(v, f"{c}{k}").alias(f"{c}{v}_{k}") for v in range(traits) for k in range(len(entries)) for c in "cx"])
+    pattern = sum((F.when(F.col(f"n{v}") > 0, F.lit(2**v)).otherwise(F.lit(0)).cast("long") for v in range(1, traits)), F.when(F.col("n0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    column = [(v, k) for v in range(traits) for k in range(len(entries))]
+    cell = lambda t1, t2, i, j, x: F.struct(F.lit(t1).alias("t1"), F.lit(t2).alias("t2"), i.cast("int").alias("i"), j.cast("int").alias("j"), x.cast("double").alias("x"))
+    col = lambda c, at: F.col(f"{c}{at[0]}_{at[1]}")
+    pairs = [cell(a[0], b[0], col("c", a), col("c", b), col("x", a) * col("x", b)) for n, a in enumerate(column) for b in column[n:]]
+    none, twice = F.lit(-1), F.greatest(F.lit(0), *[F.col(f"n{v}") - 1 for v in range(traits)])
+    pairs += [cell(-1, k, none, none, x) for k, x in enumerate((F.lit(1.0), twice, F.col("lw")))]
+    sums = units.select("section", pattern.alias("pattern"), F.inline(F.array(*pairs))).where("x <> 0 and i is not null and j is not null")
+    sums = sums.groupBy("section", "pattern", "t1", "t2", "i", "j").agg(F.sum("x").alias("x"))
+    name = lambda bits: ",".join(str(v) for v in range(traits) if bits >> v & 1)
+    cells, n, weight, found = {}, 0, 0.0, []
+    for (s, bits, t1, t2), (i, j, x) in _blocks(sums, ["section", "pattern", "t1", "t2"]):  # at most the square of the number of effects, for each pair of traits
+        if t1 >= 0:
+            found.append(((s, name(bits)), (t1, t2), Sums(i, j, x, m + 1, mirror=t1 == t2)))
+        elif t2 == 0:
+            cells[s, name(bits)] = (int(round(x[0])), {})
+            n += int(round(x[0])) * int(bits).bit_count()
+        elif t2 == 1:
+            raise ValueError("a unit has two records of one trait")
+        else:
+            weight += float(x[0])
+    if not n:
+        raise ValueError("no complete rows")
+    for key, pair, g in found:
+        cells[key][1][pair] = g
+    return dict(sorted(cells.items(), key=repr)), n, weight
+
+
 def _absorb(rows: DataFrame, effects: Effects, coo: Column, m: int) -> Absorbed:
     """Sums of each level's columns, and of their outer products over the levels with equal numbers of rows."""
     entry = rows.select(F.col(effects.term.factors[0]).alias("level"), F.explode(F.concat(coo, F.array(F.struct(F.lit(-1).alias("c"), F.lit(1.0).alias("x"))))).alias("s"))
