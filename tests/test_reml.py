@@ -135,3 +135,20 @@ def test_sums_of_units_in_one_job(spark, monkeypatch):
     assert reml.Likelihood(model)(theta) == pytest.approx(reml.dense_neg2(y - centre, x, v), rel=1e-8)
     with pytest.raises(ValueError, match="two records"):
         reml.build(spark.createDataFrame(rows + rows[:1], names), "y ~ trait", "~ us(g)", "~ us(trait):units", trait="trait", unit="u")
+
+
+def test_absorbed_sums(spark):
+    """Sums of absorbed levels and their products by numbers of rows, from a table that is written once, equal those of the rows."""
+    rng = np.random.default_rng(9)
+    rows = [(f"p{rng.integers(12)}", int(rng.integers(4)), float(rng.integers(3)), float(rng.normal())) for _ in range(90)]
+    model = reml.build(spark.createDataFrame(rows, "p string, g int, x double, y double").repartition(5), "y ~ x", "~ p + g", absorb="p")
+    assert "Exchange" not in model.absorbed.levels._jdf.queryExecution().executedPlan().toString()
+    centre = np.mean([r[3] for r in rows])
+    w = {p: np.array([[1.0, r[2], *[float(r[1] == k) for k in range(4)], r[3] - centre] for r in rows if r[0] == p]) for p in {r[0] for r in rows}}
+    got = {r["level"]: (r["n"], {e["c"]: e["x"] for e in r["e"]}) for r in model.absorbed.levels.collect()}
+    assert set(got) == set(w)
+    for p, (n, e) in got.items():
+        assert n == len(w[p]) and [e.get(c, 0.0) for c in range(7)] == pytest.approx(w[p].sum(axis=0), abs=1e-12)
+    for n, (count, sums) in model.absorbed.by_n.items():
+        mine = [v.sum(axis=0) for v in w.values() if len(v) == n]
+        assert count == len(mine) and sums.dense() == pytest.approx(sum(np.outer(v, v) for v in mine), abs=1e-12)

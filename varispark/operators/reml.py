@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from varispark.functions import bordered, cone, optimise, splines, structures
 from varispark.functions.special import chi2_sf, normal_ppf
 from varispark.plans.grammar import Residual, Term, parse_fixed, parse_random, parse_residual
 from varispark.shipping import ship
+from varispark.storage import checkpointed
 
 
 @dataclass
@@ -427,7 +429,7 @@ def build(df: DataFrame, fixed: str, random: str | None = None, residual: str |
     if not (trait or unit or weights):
         model.design = coded.select("coo")
     if absorbed:
-        model.absorbed = _absorb(rows, absorbed, coo, m)
+        model.absorbed = _absorb(rows, absorbed, entries, m)
         absorbed.absorbed = sum(q for q, _ in model.absorbed.by_n.values())
     return _checked(model)
 
@@ -474,15 +476,47 @@ def _unit_sums(rows: DataFrame, section: Column, trait: Column, unit: str, scale
     return dict(sorted(cells.items(), key=repr)), n, weight
 
 
-def _absorb(rows: DataFrame, effects: Effects, coo: Column, m: int) -> Absorbed:
+def _absorb(rows: DataFrame, effects: Effects, entries: list[Column], m: int) -> Absorbed:
     """Sums of each level's columns, and of their outer products over the levels with equal numbers of rows."""
-    entry = rows.select(F.col(effects.term.factors[0]).alias("level"), F.explode(F.concat(coo, F.array(F.struct(F.lit(-1).alias("c"), F.lit(1.0).alias("x"))))).alias("s"))
-    per = entry.groupBy("level", F.col("s.c").alias("c")).agg(F.sum("s.x").alias("x"))  # column -1 counts rows
-    own = F.max(F.when(F.col("c") < 0, F.col("x"))).cast("long")
-    listed = F.collect_list(F.when(F.col("c") >= 0, F.struct("c", "x")))  # at most m + 1
-    levels = per.groupBy("level").agg(own.alias("n"), listed.alias("e"))
-    pairs = F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["x"] * b["x"]).alias("x")))))
-    products = levels.select("n", F.inline(pairs)).groupBy("n", "i", "j").agg(F.sum("x").alias("x"))
+    ship(rows.sparkSession)
+    codes, sums = [f"c{k}" for k in range(len(entries))], [f"x{k}" for k in range(len(entries))]
+    flat = rows.select(F.col(effects.term.factors[0]).alias("level"), *[v for k, e in enumerate(entries) for v in (e["c"].alias(f"c{k}"), e["x"].alias(f"x{k}"))])
+    wide = flat.groupBy("level", *codes).agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in sums])
+    listed = wide.groupBy("level").agg(F.sum("n").alias("n"), *[F.collect_list(F.coalesce(F.col(c), F.lit(d))).alias(c) for cs, d in ((codes, -1), (sums, 0.0)) for c in cs])  # a level's different codes
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not len(t):
+                continue
+            row = np.concatenate([np.repeat(np.arange(len(t)), pa.compute.list_value_length(t.column(c)).to_numpy()) for c in codes])
+            c = np.concatenate([t.column(c).flatten().to_numpy().astype(np.int64) for c in codes])
+            x = np.concatenate([t.column(c).flatten().to_numpy() for c in sums])
+            row, c, x = row[c >= 0], c[c >= 0], x[c >= 0]
+            key, where = np.unique(row * (m + 1) + c, return_inverse=True)
+            x = np.bincount(where, weights=x, minlength=len(key))
+            row, c, x = key[x != 0] // (m + 1), key[x != 0] % (m + 1), x[x != 0]
+            cell = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(x)], names=["c", "x"])
+            bounds = np.searchsorted(row, np.arange(len(t) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([t.column("level"), t.column("n"), pa.ListArray.from_arrays(pa.array(bounds), cell)], names=["level", "n", "e"])
+
+    def products_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            lists, n = t.column("e"), t.column("n").to_numpy()
+            size, flat_ = pa.compute.list_value_length(lists).to_numpy(), lists.flatten()
+            c, x, first = flat_.field("c").to_numpy().astype(np.int64), flat_.field("x").to_numpy(), np.concatenate([[0], np.cumsum(size)])[:-1]
+            for length in np.unique(size[size > 0]).tolist():  # levels with equally many entries at once
+                every, step = np.nonzero(size == length)[0], max(1, 2_000_000 // length**2)
+                for lo in range(0, len(every), step):
+                    mine = every[lo : lo + step]
+                    at = first[mine][:, None] + np.arange(length)
+                    key = ((n[mine][:, None, None] * (m + 1) + c[at][:, :, None]) * (m + 1) + c[at][:, None, :]).ravel()
+                    key, where = np.unique(key, return_inverse=True)
+                    total = np.bincount(where.ravel(), weights=(x[at][:, :, None] * x[at][:, None, :]).ravel(), minlength=len(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(key // (m + 1) ** 2), pa.array((key // (m + 1) % (m + 1)).astype(np.int32)), pa.array((key % (m + 1)).astype(np.int32)), pa.array(total)], names=["n", "i", "j", "x"])
+
+    kind = listed.schema["level"].dataType.simpleString()
+    levels = checkpointed(listed.mapInArrow(folded, f"level {kind}, n long, e array<struct<c:int,x:double>>"))  # read for the numbers of rows, the products and the predictions
+    products = levels.select("n", "e").mapInArrow(products_of, "n long, i int, j int, x double").groupBy("n", "i", "j").agg(F.sum("x").alias("x"))
     counts = {r["n"]: r["q"] for r in levels.groupBy("n").agg(F.count("*").alias("q")).collect()}  # numbers of rows add up to their total, so they are at most the root of twice that
     if len(counts) * (m + 1) ** 2 > 500_000_000:
         raise ValueError(f"{len(counts)} different numbers of rows by {m} other effects are too many sums: absorb another factor")
