@@ -152,3 +152,22 @@ def test_absorbed_sums(spark):
     for n, (count, sums) in model.absorbed.by_n.items():
         mine = [v.sum(axis=0) for v in w.values() if len(v) == n]
         assert count == len(mine) and sums.dense() == pytest.approx(sum(np.outer(v, v) for v in mine), abs=1e-12)
+
+
+@pytest.mark.parametrize("shrunk, swapped", [(60, False), (60, True), (3600, False)])
+def test_residuals_far_below_the_other_variances(spark, shrunk, swapped):
+    """Means of many rows: the likelihood lost the digits of its descent, which ended far from the estimates' closed form."""
+    rng = np.random.default_rng(7)
+    g, sd = np.repeat(np.arange(10), 7), np.array([0.0024, 0.033]) / np.sqrt(shrunk)
+    y = np.column_stack([0.5 + 0.3 * (g % 3), 3.0 + 0.2 * g]) + rng.normal(size=(70, 2)) * sd
+    y = y[:, ::-1] if swapped else y
+    means = np.array([y[g == k].mean(axis=0) for k in range(10)])
+    within = (y - means[g]).T @ (y - means[g]) / 60
+    between = np.cov(means.T) - within / 7
+    df = spark.createDataFrame([(f"{i}", int(g[i]), t, float(y[i, k])) for i in range(70) for k, t in enumerate("ab")], "u string, g int, trait string, y double").coalesce(1)
+    f = reml.reml(df, "y ~ trait", "~ us(g)", "~ us(trait):units", trait="trait", unit="u")
+    got = [structures.sigma(f.theta[k : k + 3], "us", 2) for k in (0, 3)]
+    correlation = lambda s: s[0, 1] / np.sqrt(s[0, 0] * s[1, 1])
+    assert f.converged
+    for s, want in zip(got, (between, within)):
+        assert np.diag(s) == pytest.approx(np.diag(want), rel=1e-4) and correlation(s) == pytest.approx(correlation(want), abs=1e-4)

@@ -93,7 +93,18 @@ def search(n: int, groups: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Sp
 
 
 def inverse(c: np.ndarray, split: Split | None) -> tuple[np.ndarray, float]:
-    """Inverse and log determinant of a positive definite matrix; LinAlgError if it is not."""
+    """Inverse and log determinant of a positive definite matrix; LinAlgError if it is not. Rows are brought to a diagonal
+    of one first, as variances that lie far apart would take the smaller one's digits."""
+    diagonal = np.diag(c)
+    if not (diagonal > 0).all():
+        raise np.linalg.LinAlgError("not positive definite")
+    scale = 1 / np.sqrt(diagonal)
+    out, logdet = _inverse(c * scale[:, None] * scale, split)
+    out *= scale[:, None] * scale
+    return out, logdet - 2 * float(np.log(scale).sum())
+
+
+def _inverse(c: np.ndarray, split: Split | None) -> tuple[np.ndarray, float]:
     if split is None:
         low = np.linalg.cholesky(c)
         return np.linalg.inv(c), 2 * float(np.log(np.diag(low)).sum())

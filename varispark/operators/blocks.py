@@ -501,9 +501,9 @@ class BlockLikelihood(Likelihood):
         if key in self._kept:
             return self._kept[key]
         m, h, grad = self.model, 1e-6, np.zeros(self.size)
-        c, b, yy, logdet, cinv, log_c = self.inverted(theta)
-        solution = cinv @ b
-        value = logdet + self._log_c(c, log_c) + yy - float(b @ solution)
+        c, _, _, logdet, cinv, log_c = self.inverted(theta)
+        solution, quad = self.refined(theta)
+        value = logdet + self._log_c(c, log_c) + quad
         z = np.append(-solution, 1.0)
         meet = np.outer(z, z)
         if self.ml:

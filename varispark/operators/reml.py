@@ -690,6 +690,16 @@ class Likelihood:
             self._last = (key, (c, b, yy, logdet, *bordered.inverse(c, self.split())))
         return self._last[1]
 
+    def refined(self, theta: np.ndarray) -> tuple[np.ndarray, float]:
+        """The solution of the equations and the quadratic form y'P y, refined: where the residual is far below the other
+        variances the product with the inverse alone loses the digits that descents need."""
+        c, b, yy, _, inv, _ = self.inverted(theta)
+        x = inv @ b
+        for _ in range(2):
+            left = b - c @ x
+            x = x + inv @ left
+        return x, yy - float(b @ x) - float(x @ (b - c @ x))
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_last": None}
 
@@ -798,8 +808,7 @@ class Likelihood:
         if m.residual.axes or m.absorbed or self.ml:
             raise ValueError("takes restricted likelihoods without a lattice or an absorbed factor")
         full, _ = self.weighted(theta)
-        c, b, _, _, cinv, _ = self.inverted(theta)
-        x = cinv @ b
+        cinv, (x, _) = self.inverted(theta)[4], self.refined(theta)
         z = np.append(-x, 1.0)
         step = lambda j: np.eye(self.size)[j] * h
         effects = np.zeros((m.m, self.size))  # working columns of random terms, as combinations of the design's
@@ -850,8 +859,8 @@ class Likelihood:
 
     def __call__(self, theta: np.ndarray) -> float:
         """-2 log restricted likelihood without its constant."""
-        c, b, yy, logdet, inv, log_c = self.inverted(theta)
-        return logdet + self._log_c(c, log_c) + yy - float(b @ inv @ b)
+        c, _, _, logdet, _, log_c = self.inverted(theta)
+        return logdet + self._log_c(c, log_c) + self.refined(theta)[1]
 
     def _log_c(self, c: np.ndarray, whole: float) -> float:
         """Log determinant of the equations; that of the random effects' part for maximum likelihood."""
@@ -866,9 +875,9 @@ class Likelihood:
         closed forms; what they meet are traces with the inverse and the solution.
         """
         m, h, grad = self.model, 1e-6, np.zeros(self.size)
-        c, b, yy, logdet, inv, log_c = self.inverted(theta)
-        x = inv @ b
-        value = logdet + self._log_c(c, log_c) + yy - float(b @ x)
+        c, _, _, logdet, inv, log_c = self.inverted(theta)
+        x, quad = self.refined(theta)
+        value = logdet + self._log_c(c, log_c) + quad
         z = np.append(-x, 1.0)
         meet = np.outer(z, z)
         if self.ml:
@@ -1280,8 +1289,7 @@ def fit(model: Model, theta: np.ndarray | None = None, fixed_theta: np.ndarray |
     if isinstance(like, dense.DenseLikelihood):
         cinv, solution = like.solved(best)
     else:
-        _, b, _, _, cinv, _ = like.inverted(best)
-        solution = cinv @ b
+        cinv, solution = like.inverted(best)[4], like.refined(best)[0]
     checks = optimise.diagnostics(best, value, slope(best), hess, free, low, high)
     timings["total"] = time.perf_counter() - began
     names = [*[e.name for e in model.random], *["residual" + (f"({s})" if s is not None else "") for s in model.sections]]
